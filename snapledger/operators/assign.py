@@ -13,6 +13,7 @@ from ..schemas import (
     LINUX_MAX_LINKS,
     LINUX_MIN_BYTES,
 )
+from ..session import stage
 from .lookup import BLOB_ORDER, blobs, content_capacity
 from .skew import HOT_ROWS, attach, bucket, count_rows, running_before, running_total
 
@@ -20,7 +21,7 @@ PLACE = ["hash", "snapshot", "_bucket"]
 
 
 def number_per_hash(files: DataFrame, per_hash: DataFrame) -> DataFrame:
-    """``files`` with ``nth`` within the hash, ``n_new``, and the columns of ``per_hash``.
+    """``files`` with ``nth`` within the hash and the columns of ``per_hash``.
 
     The order is: snapshot; in the earliest snapshot the smallest file; bucket of the file name;
     file. Rows are numbered inside (hash, snapshot, bucket) and shifted by the counts of the earlier
@@ -36,7 +37,6 @@ def number_per_hash(files: DataFrame, per_hash: DataFrame) -> DataFrame:
     lead = F.struct("snapshot", F.col("_min_file").alias("file"), F.col("_bucket").alias("bucket"))
     placed = (
         parts.withColumn("_before", running_before("_rows", ["hash"], ["snapshot", "_bucket"]))
-        .withColumn("n_new", F.sum("_rows").over(whole))
         .withColumn("_lead", F.min(lead).over(whole))
         .drop("_rows", "_min_file")
         .join(per_hash, "hash", "left")
@@ -49,7 +49,7 @@ def number_per_hash(files: DataFrame, per_hash: DataFrame) -> DataFrame:
         F.col("_before") + F.col("_local") + moved
     )
     carried = [c for c in per_hash.columns if c != "hash"]
-    return numbered.select(*files.columns, nth.cast("long").alias("nth"), "n_new", *carried)
+    return numbered.select(*files.columns, nth.cast("long").alias("nth"), *carried)
 
 
 def assign_blobs(
@@ -68,10 +68,13 @@ def assign_blobs(
     such a copy at the limit then takes the next links. ``run`` is a name no earlier run has used;
     it keeps new blob ids apart. With ``stored`` (see ``blobs``), rows whose only blobs are gone are
     ``failed``.
+
+    What the manifest holds of the new hashes is written to the shared folder first (one line per
+    hash), so the manifest is scanned once and the rest of the plan stays small.
     """
     per_blob = blobs(manifest, max_links, min_bytes, stored)
-    capacity = content_capacity(per_blob)
-    numbered = number_per_hash(files, capacity.select("hash", "spare", "present", "room"))
+    held = stage(count_rows(files, ["hash"], "n_new").join(content_capacity(per_blob), "hash"), "held")
+    numbered = number_per_hash(files, held.select("hash", "spare", "present", "room"))
 
     small = F.col("size") < min_bytes
     known = F.col("present").isNotNull()
@@ -96,20 +99,15 @@ def assign_blobs(
     )
     columns = [*[c for c in files.columns if c != "blob_id"], "action", "blob_id"]
     decided = numbered.withColumn("action", action).withColumn("blob_id", blob)
-    direct = decided.where(~in_older).select(*columns)
-
     # Rows past the newest blob's room and within that of older blobs: only where content has
     # several blobs with room and more new rows than the newest one takes.
-    need = (
-        count_rows(files, ["hash"], "n_new")
-        .join(capacity, "hash")
-        .where((F.col("n_new") > F.col("room.spare")) & (F.col("spare") > F.col("room.spare")))
-        .select("hash", "n_new", "n_room")
-    )
-    any_need = need.limit(1).exists()
-    slots = older_slots(per_blob.where("spare > 0").where(any_need), need, hot_rows)
-    waiting = decided.where(in_older).where(any_need).drop("blob_id")
-    return direct.unionByName(waiting.join(slots, ["hash", "nth"]).select(*columns))
+    past_newest = (F.col("n_new") > F.col("room.spare")) & (F.col("spare") > F.col("room.spare"))
+    need = held.where(past_newest).select("hash", "n_new", "n_room")
+    if need.isEmpty():
+        return decided.select(*columns)
+    slots = older_slots(per_blob.where("spare > 0"), need, hot_rows)
+    waiting = decided.where(in_older).drop("blob_id").join(slots, ["hash", "nth"])
+    return decided.where(~in_older).select(*columns).unionByName(waiting.select(*columns))
 
 
 def older_slots(per_blob: DataFrame, need: DataFrame, hot_rows: int) -> DataFrame:

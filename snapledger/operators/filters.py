@@ -57,7 +57,7 @@ def _mark_by_table(inventory: DataFrame, excludes: DataFrame, hot_rows: int) ->
         .agg(F.max("_n").alias("_n"), F.lit(True).alias("hit"))
     )
     found = attach(steps, matched, ["step"], ["path"], "_n", hot_rows)
-    first = F.min(F.when("hit", F.struct("depth", "step")))
+    first = F.min(F.when(F.col("hit"), F.struct("depth", "step")))
     return (
         found.groupBy(*inventory.columns)
         .agg(first.alias("_first"))
