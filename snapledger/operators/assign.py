@@ -28,7 +28,7 @@ def number_per_hash(files: DataFrame, per_hash: DataFrame) -> DataFrame:
     buckets, so content shared by a third of all rows is numbered in thousands of independent
     parts, and per-hash values travel with the parts instead of a join on the hot hash.
     """
-    rows = files.where(F.col("hash").isNotNull()).withColumn("_bucket", bucket("file"))
+    rows = files.withColumn("_bucket", bucket("file"))
     parts = rows.groupBy(*PLACE).agg(
         F.count(F.lit(1)).alias("_rows"), F.min("file").alias("_min_file")
     )
@@ -67,11 +67,14 @@ def assign_blobs(
     first; ``dup_copy`` where the file is below ``min_bytes`` or all blobs are at ``max_links``, and
     such a copy at the limit then takes the next links. ``run`` is a name no earlier run has used;
     it keeps new blob ids apart. With ``stored`` (see ``blobs``), rows whose only blobs are gone are
-    ``failed``.
+    ``failed``, as are rows without a hash.
 
     What the manifest holds of the new hashes is written to the shared folder first (one line per
     hash), so the manifest is scanned once and the rest of the plan stays small.
     """
+    has_hash = F.col("hash").isNotNull() & (F.col("hash") != "")
+    lost = files.where(~F.coalesce(has_hash, F.lit(False)))
+    files = files.where(has_hash)
     per_blob = blobs(manifest, max_links, min_bytes, stored)
     held = stage(count_rows(files, ["hash"], "n_new").join(content_capacity(per_blob), "hash"), "held")
     numbered = number_per_hash(files, held.select("hash", "spare", "present", "room"))
@@ -103,11 +106,13 @@ def assign_blobs(
     # several blobs with room and more new rows than the newest one takes.
     past_newest = (F.col("n_new") > F.col("room.spare")) & (F.col("spare") > F.col("room.spare"))
     need = held.where(past_newest).select("hash", "n_new", "n_room")
+    unhashed = lost.withColumn("action", F.lit(FAILED)).withColumn("blob_id", F.lit(None).cast("string"))
     if need.isEmpty():
-        return decided.select(*columns)
+        return decided.select(*columns).unionByName(unhashed.select(*columns))
     slots = older_slots(per_blob.where("spare > 0"), need, hot_rows)
     waiting = decided.where(in_older).drop("blob_id").join(slots, ["hash", "nth"])
-    return decided.where(~in_older).select(*columns).unionByName(waiting.select(*columns))
+    direct = decided.where(~in_older).select(*columns)
+    return direct.unionByName(waiting.select(*columns)).unionByName(unhashed.select(*columns))
 
 
 def older_slots(per_blob: DataFrame, need: DataFrame, hot_rows: int) -> DataFrame:

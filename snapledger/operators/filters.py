@@ -15,7 +15,8 @@ from ..functions.paths import (
     target_key,
 )
 from ..schemas import LINUX_MAX_PATH
-from .skew import HOT_ROWS, attach, count_rows
+from ..session import stage
+from .skew import HOT_ROWS, attach, count_rows, is_small
 
 FOLDED_SUFFIXES = 64
 
@@ -121,11 +122,16 @@ def target_path(
     roots: DataFrame, inventory: DataFrame, windows: bool = False, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Add ``file``: the root's directory name followed by the path below the root."""
-    keys = root_keys(roots, windows).select("root", "key")
-    sized = count_rows(inventory, ["root"], "_n").join(keys, "root")
-    found = attach(inventory, sized, ["root"], ["path"], "_n", hot_rows)
+    keys = stage(root_keys(roots, windows).select("root", "key"), "roots")
+    if is_small(keys):
+        found = inventory.join(F.broadcast(keys), "root", "left")
+    else:
+        sized = count_rows(inventory, ["root"], "_n").join(keys, "root")
+        found = attach(inventory, sized, ["root"], ["path"], "_n", hot_rows)
     below = relative_path(F.col("root"), F.col("path"))
-    return found.withColumn("file", join_path(F.col("key"), below)).drop("key")
+    return found.select(
+        *inventory.columns, join_path(F.col("key"), below).alias("file")
+    )
 
 
 def bad_rows(manifest: DataFrame) -> DataFrame:

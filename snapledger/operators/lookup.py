@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import LINUX_MAX_LINKS, LINUX_MIN_BYTES, RECORD, SIGNATURE
-from .skew import HOT_ROWS, attach, bucket, count_rows
+from .skew import HOT_ROWS, attach, bucket, count_rows, rank_snapshots
 
 HEX = "0123456789abcdef"
 BLOB_ORDER = ["newest", "oldest"]
@@ -191,13 +191,6 @@ def unstable_files(before: DataFrame, after: DataFrame) -> DataFrame:
     return before.join(now, "path").where(changed).select(*before.columns, "now_size", "now_mtime_ns")
 
 
-def content_ranks(manifest: DataFrame, targets: list[str]) -> DataFrame:
-    """``manifest`` with ``rank``: place of its snapshot among ``targets``, past them all otherwise."""
-    place = F.array_position(F.array(*[F.lit(t) for t in targets]), F.col("snapshot"))
-    rank = F.when(place > 0, place).otherwise(F.lit(len(targets) + 1))
-    return manifest.withColumn("rank", rank.cast("int"))
-
-
 def target_standing(
     manifest: DataFrame, targets: list[str], hot_rows: int = HOT_ROWS
 ) -> DataFrame:
@@ -206,12 +199,13 @@ def target_standing(
     Targets are taken in order and each leaves the search set when its turn comes, so a row goes
     exactly when its hash occurs in a later target or in a snapshot that is no target.
     """
-    ranked = content_ranks(manifest, targets)
-    in_target = F.col("rank") <= len(targets)
+    ranked = rank_snapshots(manifest, targets, "rank")
+    in_target = F.col("rank").isNotNull()
+    rank = F.coalesce("rank", F.lit(len(targets)))
     per_hash = (
         ranked.where(F.col("hash").isNotNull())
         .groupBy("hash")
-        .agg(F.max("rank").alias("top_rank"), F.count_if(in_target).alias("_n"))
+        .agg(F.max(rank).alias("top_rank"), F.count_if(in_target).alias("_n"))
         .where("_n > 0")
     )
     found = attach(ranked.where(in_target), per_hash, ["hash"], ["snapshot", "file"], "_n", hot_rows)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
+BROADCAST_ROWS = 100_000
 BUCKET_DIGITS = 3
 
 
@@ -44,6 +45,23 @@ def attach(
     return joined.select(*rows.columns, *[F.col("_value")[v].alias(v) for v in values])
 
 
+def is_small(df: DataFrame) -> bool:
+    """Whether ``df`` has few enough lines to broadcast; counts no further than the limit."""
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def rank_snapshots(rows: DataFrame, names: list[str], rank: str) -> DataFrame:
+    """Add the place of a row's snapshot in ``names``, from 0; null where it is not named.
+
+    The names are an argument of the call, so the table of places is no larger than that.
+    """
+    spark = rows.sparkSession
+    places = spark.createDataFrame(
+        [(name, place) for place, name in enumerate(names)], f"snapshot string, {rank} int"
+    )
+    return rows.join(F.broadcast(places), "snapshot", "left").select(*rows.columns, rank)
+
+
 def bucket(*columns: str) -> Column:
     """One of 16 ** BUCKET_DIGITS parts of a group, from the row's own text."""
     return F.substring(F.md5(F.concat_ws("/", *columns)), 1, BUCKET_DIGITS)

@@ -44,14 +44,13 @@ def exclusion_stats(excluded: DataFrame) -> DataFrame:
 
 
 def event_counts(problems: DataFrame) -> DataFrame:
-    """Warnings and errors per snapshot, and in total on the line with ``snapshot`` = '*'."""
-    total = F.grouping("snapshot") == 1
-    return (
-        problems.rollup("snapshot")
-        .agg(
-            total.alias("_total"),
-            F.count_if(F.col("level") == "warning").alias("warnings"),
-            F.count_if(F.col("level") == "error").alias("errors"),
-        )
-        .select(F.when(F.col("_total"), "*").otherwise(F.col("snapshot")).alias("snapshot"), "warnings", "errors")
+    """Warnings and errors per snapshot, and in total on the line with ``snapshot`` = '*'.
+
+    The total is there even without any event.
+    """
+    events = {"warnings": "warning", "errors": "error"}
+    per_snapshot = problems.groupBy("snapshot").agg(
+        *[F.count_if(F.col("level") == level).alias(name) for name, level in events.items()]
     )
+    total = per_snapshot.agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in events])
+    return per_snapshot.unionByName(total.withColumn("snapshot", F.lit("*")))

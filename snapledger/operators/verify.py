@@ -9,16 +9,25 @@ from pyspark.sql import functions as F
 
 from ..schemas import RECORD, SIGNATURE
 from .filters import bad_rows
-from .skew import HOT_ROWS, attach
+from .skew import HOT_ROWS, attach, rank_snapshots
 
 Hasher = Callable[[DataFrame], DataFrame]
 
 
-def order_of(snapshots: list[str] | None) -> Column:
-    """Place of a row's snapshot: in the given list, or by name."""
+PIVOT_NAMES = 64
+PHYSICAL = ["device", "inode"]
+
+
+def placed(linked: DataFrame, snapshots: list[str] | None) -> DataFrame:
+    """Readable rows with ``place``: that of the snapshot in the given list, or its name."""
+    rows = linked.where("inode is not null")
     if snapshots is None:
-        return F.col("snapshot")
-    return F.array_position(F.array(*[F.lit(s) for s in snapshots]), F.col("snapshot"))
+        return rows.withColumn("place", F.col("snapshot"))
+    return rank_snapshots(rows, snapshots, "place")
+
+
+def first_record() -> Column:
+    return F.min(F.struct("place", "file", "snapshot", "hash", *SIGNATURE))
 
 
 def link_inventory(manifest: DataFrame, inventory: DataFrame) -> DataFrame:
@@ -38,12 +47,11 @@ def unreadable_index(linked: DataFrame) -> DataFrame:
 
 def representatives(linked: DataFrame, snapshots: list[str] | None = None) -> DataFrame:
     """The first row of each physical file, in snapshot order and then by file, and ``refs``."""
-    first = F.struct(order_of(snapshots).alias("place"), "file", "snapshot", "hash", *SIGNATURE)
     return (
-        linked.where("inode is not null")
-        .groupBy("device", "inode")
-        .agg(F.min(first).alias("r"), F.count(F.lit(1)).alias("refs"))
-        .select("device", "inode", "refs", "r.snapshot", "r.file", "r.hash", *[f"r.{c}" for c in SIGNATURE])
+        placed(linked, snapshots)
+        .groupBy(*PHYSICAL)
+        .agg(first_record().alias("r"), F.count(F.lit(1)).alias("refs"))
+        .select(*PHYSICAL, "refs", "r.snapshot", "r.file", "r.hash", *[f"r.{c}" for c in SIGNATURE])
     )
 
 
@@ -51,21 +59,23 @@ def file_table(
     linked: DataFrame, names: list[str], snapshots: list[str] | None = None
 ) -> DataFrame:
     """One line per physical file: links per snapshot in ``names``, and its first record."""
-    first = F.struct(order_of(snapshots).alias("place"), "file", "snapshot", "hash", *SIGNATURE)
-    counts = [F.count_if(F.col("snapshot") == n).alias(n) for n in names]
-    return (
-        linked.where("inode is not null")
-        .groupBy("device", "inode")
-        .agg(*counts, F.min(first).alias("r"))
-        .select(
-            F.col("inode").alias("file_index"),
-            *[F.col(f"`{n}`") for n in names],
-            "r.size",
-            "r.mtime_ns",
-            "r.hash",
-            F.concat_ws("/", "r.snapshot", "r.file").alias("first_path"),
-            F.col("r.source").alias("first_source"),
-        )
+    rows = placed(linked, snapshots)
+    if len(names) <= PIVOT_NAMES:
+        counts = [F.count_if(F.col("snapshot") == n).alias(n) for n in names]
+        table = rows.groupBy(*PHYSICAL).agg(*counts, first_record().alias("r"))
+    else:
+        # counting per snapshot first keeps the work per row independent of the number of columns
+        counts = rows.groupBy(*PHYSICAL).pivot("snapshot", names).agg(F.count(F.lit(1)))
+        first = rows.groupBy(*PHYSICAL).agg(first_record().alias("r"))
+        table = first.join(counts, PHYSICAL).na.fill(0, names)
+    return table.select(
+        F.col("inode").alias("file_index"),
+        *[F.col(f"`{n}`") for n in names],
+        "r.size",
+        "r.mtime_ns",
+        "r.hash",
+        F.concat_ws("/", "r.snapshot", "r.file").alias("first_path"),
+        F.col("r.source").alias("first_source"),
     )
 
 

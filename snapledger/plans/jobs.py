@@ -157,7 +157,7 @@ def clone(
     rows = source.select("snapshot", *SIGNATURE, "hash", "file")
     place = F.struct("snapshot", "file", "hash")
     per_source = rows.groupBy(*SIGNATURE).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(place).alias("first")
+        F.count(F.lit(1)).alias("_n"), F.min(F.when(F.col("hash") != "", place)).alias("first")
     )
     per_signature = per_source.join(newest_per_signature(target), SIGNATURE, "left").select(
         *SIGNATURE, "_n", "first", F.col("prior_hash").alias("kept_hash")
@@ -165,7 +165,11 @@ def clone(
     found = attach(rows, per_signature, SIGNATURE, ["snapshot", "file"], "_n", hot_rows)
     canonical = F.coalesce("kept_hash", "first.hash")
     later = F.col("kept_hash").isNotNull() | (place != F.col("first"))
-    state = F.when(F.col("hash") != canonical, CONFLICT).when(F.lit(incremental) & later, SKIP)
+    state = (
+        F.when(F.col("hash").isNull() | (F.col("hash") == ""), FAILED)
+        .when(F.col("hash") != canonical, CONFLICT)
+        .when(F.lit(incremental) & later, SKIP)
+    )
     judged = stage(
         found.withColumn("action", state)
         .withColumn("snapshot", snapshot_name(F.col("snapshot"), suffix))

@@ -391,7 +391,7 @@ union all select reason, count(*) from by_type group by reason""",
     "event_counts": f"""with report as ({'with ' + verify_report(False)}), marks as (
   select snapshot, level from report
   union all select concat('s', cast(doc_id % 4 as varchar)), 'warning' from documents
-  where octet_length(encode(concat('#', source, '/', lang, '/', cast(doc_id as varchar), '.txt'))) >= 14)
+  where octet_length(encode(concat('#', source, '/', lang, '/', cast(doc_id as varchar), '.txt'))) >= 16)
 select case when grouping(snapshot) = 1 then '*' else snapshot end as snapshot,
   count(*) filter (level = 'warning') as warnings, count(*) filter (level = 'error') as errors
 from marks group by rollup (snapshot)""",
@@ -401,6 +401,10 @@ union all select snapshot, file, 'repeated' from flawed group by {ROW} having co
     "empty_directories": f"""with {TREE}
 select snapshot, file from dirs d where not exists (
   select 1 from left_files l where l.snapshot = d.snapshot and starts_with(l.file, d.file || '/'))""",
+    "take_snapshot_first": f"""with {NEW_DOCS}, none as (select *, hash as blob_id from new_docs where false),
+{assign('new_docs', 'none', 's9')} select {ROW}, blob_id, action, true as hashed from decided""",
+    "take_snapshot_repeat": f"""with {DOCS}, kept as (select * exclude (blob_id) replace ('s9' as snapshot) from docs),
+{assign('kept', 'docs', 's9')} select {ROW}, d.blob_id, action, false as hashed from decided d""",
     "verify_report": f"with {verify_report(False)}",
     "verify_report_rehash": f"with {verify_report(True)}",
     "purge_result": f"with {DOCS} select {ROW} from docs where doc_id % 37 <> 0 or snapshot not in ('s0', 's1')",

@@ -306,7 +306,7 @@ def event_counts(spark, sf):
     """Errors of verification and warnings for long paths."""
     docs = staged_docs(spark, sf)
     errors = jobs.verify(docs, V.mixed_inventory(docs)).select("snapshot", "level")
-    long = docs.where(P.is_overlong(F.col("file"), 14)).select("snapshot", F.lit("warning").alias("level"))
+    long = docs.where(P.is_overlong(F.col("file"), 16)).select("snapshot", F.lit("warning").alias("level"))
     return stats.event_counts(errors.unionByName(long))
 
 
@@ -327,6 +327,20 @@ def take_snapshot(spark, sf, incremental, always_hash, max_links=LINUX_MAX_LINKS
     )
 
 
+def take_first(spark, sf):
+    """A snapshot into an empty repository."""
+    files = V.doc_files(spark, sf)
+    hasher = table_hasher(V.doc_hashes(spark, sf), ["source"])
+    return jobs.take_snapshot(files, empty(V.prior_manifest(spark, sf)), hasher, "s9")
+
+
+def take_again(spark, sf):
+    """Nothing changed since the last snapshots: no content is read."""
+    files = V.doc_files(spark, sf)
+    hasher = table_hasher(V.doc_hashes(spark, sf), ["source"])
+    return jobs.take_snapshot(files, staged_docs(spark, sf).drop("doc_id"), hasher, "s9")
+
+
 def verify_report(spark, sf, rehash: bool):
     docs = staged_docs(spark, sf)
     hasher = stored_hasher(spark, sf) if rehash else None
@@ -429,6 +443,8 @@ QUERIES: dict[str, Query] = {
     "take_snapshot_limited": partial(
         take_snapshot, incremental=False, always_hash=True, max_links=2, min_bytes=600
     ),
+    "take_snapshot_first": take_first,
+    "take_snapshot_repeat": take_again,
     "verify_report": partial(verify_report, rehash=False),
     "verify_report_rehash": partial(verify_report, rehash=True),
     "purge_result": purge_result,

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import sha256_hex
+from ..operators.skew import is_small
 
 CHUNK_BYTES = 1 << 20
 
@@ -22,11 +23,16 @@ def hash_column(content: DataFrame, key: str, value: Column) -> DataFrame:
 
 
 def table_hasher(hashes: DataFrame, key: list[str]) -> Callable[[DataFrame], DataFrame]:
-    """A hasher that takes ``content_hash`` from a table with one line per ``key``."""
+    """A hasher that takes ``content_hash`` from a table with one line per ``key``.
+
+    If only few rows are wanted, the content table is cut down to them before anything is hashed;
+    otherwise content is hashed where it is scanned and only keys and hashes are shuffled.
+    """
     def hasher(rows: DataFrame) -> DataFrame:
-        return rows.join(hashes.select(*key, "content_hash"), key, "left").select(
-            *rows.columns, "content_hash"
-        )
+        found = hashes.select(*key, "content_hash")
+        if is_small(rows):
+            found = found.join(F.broadcast(rows.select(*key)), key, "left_semi")
+        return rows.join(found, key, "left").select(*rows.columns, "content_hash")
 
     return hasher
 

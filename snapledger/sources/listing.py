@@ -75,7 +75,7 @@ def scan_inventory(
     subtree they come from, so one deep or wide root does not hold the listing up. Excluded
     directories appear but are not entered. Each level is written to the shared folder.
     """
-    tasks = tasks or max(spark.sparkContext.defaultParallelism, 1)
+    tasks = tasks or 4 * spark.sparkContext.defaultParallelism
     out = scratch_path(spark, "listing")
     named = spark.createDataFrame([(r, r) for r in roots], "root string, path string")
     level = 0
