@@ -17,38 +17,65 @@ from ..session import stage
 from .lookup import BLOB_ORDER, blobs, content_capacity
 from .skew import HOT_ROWS, attach, bucket, count_rows, running_before, running_total
 
-PLACE = ["hash", "snapshot", "_bucket"]
+def number_per_hash(files: DataFrame, held: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``files`` with ``nth`` within the hash and the columns of ``held`` but ``n_new``.
+
+    ``held`` has a line for each hash with something to add, and for every hash with more than
+    ``hot_rows`` new rows. Rows are numbered by (snapshot, file). Hot hashes are instead numbered
+    in parts, see ``_number_in_parts``; without any the plan is one shuffle of the rows.
+    """
+    by_hash = held.drop("n_new")
+    hot = held.where(F.col("n_new") > hot_rows)
+    if hot.isEmpty():
+        order = Window.partitionBy("hash").orderBy("snapshot", "file")
+        numbered = files.withColumn("nth", F.row_number().over(order).cast("long"))
+        return numbered.join(by_hash, "hash", "left")
+    return _number_in_parts(files, held, hot, hot_rows)
 
 
-def number_per_hash(files: DataFrame, per_hash: DataFrame) -> DataFrame:
-    """``files`` with ``nth`` within the hash and the columns of ``per_hash``.
+def _number_in_parts(files: DataFrame, held: DataFrame, hot: DataFrame, hot_rows: int) -> DataFrame:
+    """Numbering when some hashes have more rows than one task should sort.
 
-    The order is: snapshot; in the earliest snapshot the smallest file; bucket of the file name;
-    file. Rows are numbered inside (hash, snapshot, bucket) and shifted by the counts of the earlier
-    buckets, so content shared by a third of all rows is numbered in thousands of independent
-    parts, and per-hash values travel with the parts instead of a join on the hot hash.
+    Their rows are numbered inside (snapshot, bucket of the file name), thousands of independent
+    parts, and shifted by the counts of the earlier parts. The order of a hot hash is: snapshot; in
+    the earliest snapshot the smallest file; bucket; file. There are at most count / hot_rows hot
+    hashes, so the table of them can be broadcast. Per-hash values travel with the parts, so no
+    join has a hot hash as its group either.
     """
-    rows = files.withColumn("_bucket", bucket("file"))
-    parts = rows.groupBy(*PLACE).agg(
-        F.count(F.lit(1)).alias("_rows"), F.min("file").alias("_min_file")
+    by_hash = held.drop("n_new")
+    flags = F.broadcast(hot.select("hash", F.lit(True).alias("_hot")))
+    part = F.concat_ws("/", "snapshot", bucket("file"))
+    rows = files.join(flags, "hash", "left").withColumn(
+        "_part", F.when(F.col("_hot"), part).otherwise("")
+    )
+    sizes = (
+        rows.where("_hot")
+        .groupBy("hash", "snapshot", "_part")
+        .agg(F.count(F.lit(1)).alias("_rows"), F.min("file").alias("_min_file"))
     )
     # from here on a hash has at most one line per snapshot and bucket
-    whole = Window.partitionBy("hash")
-    lead = F.struct("snapshot", F.col("_min_file").alias("file"), F.col("_bucket").alias("bucket"))
-    placed = (
-        parts.withColumn("_before", running_before("_rows", ["hash"], ["snapshot", "_bucket"]))
-        .withColumn("_lead", F.min(lead).over(whole))
-        .drop("_rows", "_min_file")
-        .join(per_hash, "hash", "left")
+    lead = F.min(F.struct("snapshot", "_min_file", "_part")).over(Window.partitionBy("hash"))
+    parts = (
+        sizes.withColumn("_before", running_before("_rows", ["hash"], ["snapshot", "_part"]))
+        .withColumn("_lead", lead)
+        .drop("snapshot", "_rows", "_min_file")
+        .join(F.broadcast(hot.drop("n_new")), "hash")
+    )
+    whole = held.where(F.col("n_new") <= hot_rows).drop("n_new").withColumn("_part", F.lit(""))
+    places = parts.unionByName(whole, allowMissingColumns=True)
+
+    order = Window.partitionBy("hash", "_part").orderBy("snapshot", "file")
+    numbered = rows.withColumn("_local", F.row_number().over(order)).join(
+        places, ["hash", "_part"], "left"
     )
-    local = F.row_number().over(Window.partitionBy(*PLACE).orderBy("file"))
-    numbered = rows.withColumn("_local", local).join(placed, PLACE)
-    at_lead = F.col("snapshot") == F.col("_lead.snapshot")
-    moved = F.when(at_lead & (F.col("_bucket") < F.col("_lead.bucket")), 1).otherwise(0)
-    nth = F.when(at_lead & (F.col("file") == F.col("_lead.file")), 1).otherwise(
-        F.col("_before") + F.col("_local") + moved
+    in_lead = F.col("snapshot") == F.col("_lead.snapshot")
+    moved = F.when(in_lead & (F.col("_part") < F.col("_lead._part")), 1).otherwise(0)
+    nth = (
+        F.when(F.col("_lead").isNull(), F.col("_local"))
+        .when(in_lead & (F.col("file") == F.col("_lead._min_file")), 1)
+        .otherwise(F.col("_before") + F.col("_local") + moved)
     )
-    carried = [c for c in per_hash.columns if c != "hash"]
+    carried = [c for c in by_hash.columns if c != "hash"]
     return numbered.select(*files.columns, nth.cast("long").alias("nth"), *carried)
 
 
@@ -70,14 +97,33 @@ def assign_blobs(
     ``failed``, as are rows without a hash.
 
     What the manifest holds of the new hashes is written to the shared folder first (one line per
-    hash), so the manifest is scanned once and the rest of the plan stays small.
+    hash), so the manifest is scanned once and the plan can follow what was found: numbering in
+    parts only if a hash is hot, filling of older blobs only if one runs over.
     """
-    has_hash = F.col("hash").isNotNull() & (F.col("hash") != "")
-    lost = files.where(~F.coalesce(has_hash, F.lit(False)))
-    files = files.where(has_hash)
+    has_hash = F.coalesce(F.col("hash") != "", F.lit(False))
+    decided = assign_hashed(
+        files.where(has_hash), manifest, run, max_links, min_bytes, stored, hot_rows
+    )
+    unhashed = files.where(~has_hash).withColumn("action", F.lit(FAILED))
+    unhashed = unhashed.withColumn("blob_id", F.lit(None).cast("string"))
+    return decided.unionByName(unhashed.select(*decided.columns))
+
+
+def assign_hashed(
+    files: DataFrame,
+    manifest: DataFrame,
+    run: str,
+    max_links: int = LINUX_MAX_LINKS,
+    min_bytes: int = LINUX_MIN_BYTES,
+    stored: DataFrame | None = None,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """``assign_blobs`` for rows that all have a hash."""
     per_blob = blobs(manifest, max_links, min_bytes, stored)
-    held = stage(count_rows(files, ["hash"], "n_new").join(content_capacity(per_blob), "hash"), "held")
-    numbered = number_per_hash(files, held.select("hash", "spare", "present", "room"))
+    counted = count_rows(files, ["hash"], "n_new").join(content_capacity(per_blob), "hash", "left")
+    kept = F.col("present").isNotNull() | (F.col("n_new") > hot_rows)
+    held = stage(counted.where(kept), "held")
+    numbered = number_per_hash(files, held, hot_rows)
 
     small = F.col("size") < min_bytes
     known = F.col("present").isNotNull()
@@ -106,13 +152,12 @@ def assign_blobs(
     # several blobs with room and more new rows than the newest one takes.
     past_newest = (F.col("n_new") > F.col("room.spare")) & (F.col("spare") > F.col("room.spare"))
     need = held.where(past_newest).select("hash", "n_new", "n_room")
-    unhashed = lost.withColumn("action", F.lit(FAILED)).withColumn("blob_id", F.lit(None).cast("string"))
     if need.isEmpty():
-        return decided.select(*columns).unionByName(unhashed.select(*columns))
+        return decided.select(*columns)
     slots = older_slots(per_blob.where("spare > 0"), need, hot_rows)
     waiting = decided.where(in_older).drop("blob_id").join(slots, ["hash", "nth"])
     direct = decided.where(~in_older).select(*columns)
-    return direct.unionByName(waiting.select(*columns)).unionByName(unhashed.select(*columns))
+    return direct.unionByName(waiting.select(*columns))
 
 
 def older_slots(per_blob: DataFrame, need: DataFrame, hot_rows: int) -> DataFrame:

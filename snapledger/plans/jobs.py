@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import full_path
 from ..functions.text import snapshot_name
-from ..operators.assign import assign_blobs
+from ..operators.assign import assign_hashed
 from ..operators.filters import exclude_kept, mark_excluded, route_by_type, target_path
 from ..operators.lookup import (
     newest_per_signature,
@@ -62,6 +62,7 @@ def take_snapshot(
     max_links: int = LINUX_MAX_LINKS,
     min_bytes: int = LINUX_MIN_BYTES,
     stored: DataFrame | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Decide what happens to every file of a new snapshot.
 
@@ -72,11 +73,10 @@ def take_snapshot(
     ``hashed``; rows with an action in ``STORED`` are the new manifest rows.
     """
     base = ["snapshot", *SIGNATURE, "file"]
+    looked = stage(signature_lookup(files.select(*base), manifest, unique_files=True), "looked")
     readable = F.col("size").isNotNull() & F.col("mtime_ns").isNotNull()
-    looked = stage(
-        signature_lookup(files.where(readable).select(*base), manifest, unique_files=True), "looked"
-    )
-    wanted = looked if always_hash else looked.where("prior_hash is null")
+    lost = looked.where(~readable)
+    wanted = looked.where(readable if always_hash else readable & F.col("prior_hash").isNull())
     trusted = looked.where(F.lit(False) if always_hash else F.col("prior_hash").isNotNull())
     trusted = trusted.select(*base, F.col("prior_hash").alias("hash"), "prior_hash", F.lit(False).alias("hashed"))
 
@@ -89,15 +89,15 @@ def take_snapshot(
 
     broken = F.col("hashed") & F.col("prior_hash").isNotNull() & (F.col("prior_hash") != F.col("hash"))
     state = (
-        F.when(F.col("hash").isNull(), FAILED)
+        F.when(F.col("hash").isNull() | (F.col("hash") == ""), FAILED)
         .when(broken, CONFLICT)
         .when(F.lit(incremental) & F.col("prior_hash").isNotNull(), SKIP)
     )
     judged = rows.withColumn("action", state)
     closed = judged.where("action is not null").withColumn("blob_id", F.lit(None).cast("string"))
     open_rows = judged.where("action is null").drop("action", "prior_hash")
-    decided = assign_blobs(open_rows, manifest, run, max_links, min_bytes, stored)
-    lost = files.where(~readable).select(
+    decided = assign_hashed(open_rows, manifest, run, max_links, min_bytes, stored, hot_rows)
+    unread = lost.select(
         *base,
         F.lit(None).cast("string").alias("hash"),
         F.lit(None).cast("string").alias("blob_id"),
@@ -107,7 +107,7 @@ def take_snapshot(
     return (
         decided.select(*ACTION_COLUMNS)
         .unionByName(closed.select(*ACTION_COLUMNS))
-        .unionByName(lost.select(*ACTION_COLUMNS))
+        .unionByName(unread.select(*ACTION_COLUMNS))
     )
 
 
@@ -178,7 +178,7 @@ def clone(
     )
     closed = judged.where("action is not null").withColumn("blob_id", F.lit(None).cast("string"))
     open_rows = judged.where("action is null").drop("action")
-    decided = assign_blobs(open_rows, target, run, max_links, min_bytes, stored, hot_rows)
+    decided = assign_hashed(open_rows, target, run, max_links, min_bytes, stored, hot_rows)
     columns = [*MANIFEST.names, "action"]
     return decided.select(*columns).unionByName(closed.select(*columns))
 

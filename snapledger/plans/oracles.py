@@ -81,13 +81,7 @@ slots as (
   select hash, blob_id, spare, coalesce(sum(spare) over (partition by hash order by {order}
     rows between unbounded preceding and 1 preceding), 0) as lo from held),
 room as (select hash, sum(spare) as c from held group by hash),
-lead_rows as (
-  select *, first_value(file) over (partition by hash order by snapshot, file) as lead_file,
-    min(snapshot) over (partition by hash) as lead_snapshot from {kept}),
-numbered as (
-  select *, row_number() over (partition by hash order by snapshot,
-    case when file = lead_file and snapshot = lead_snapshot then 0 else 1 end,
-    substr(md5(file), 1, 3), file) as n from lead_rows),
+numbered as (select *, row_number() over (partition by hash order by snapshot, file) as n from {kept}),
 decided as (
   select d.*,
     case when r.c is null and n = 1 then 'import'

@@ -9,11 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; an own one only where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.conf.get("snapledger.scratch.dir", None)
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local session that names none gets a temporary folder of its own.
+    """
+    named = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or spark.sparkContext.getCheckpointDir()
+        or spark.conf.get("snapledger.scratch.dir", None)
+    )
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         named = tempfile.mkdtemp(prefix="snapledger-")
         spark.conf.set("snapledger.scratch.dir", named)
     return named.rstrip("/")

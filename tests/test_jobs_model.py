@@ -42,7 +42,8 @@ def frame(spark, rows):
     return spark.createDataFrame([tuple(r[c] for c in MANIFEST.names) for r in rows], MANIFEST)
 
 
-CASES = [(s, inc, always) for s in range(2) for inc in (False, True) for always in (False, True)]
+CASES = [(s, inc, always) for s in range(3) for inc in (False, True) for always in (False, True)]
+HOT = [1_000_000, 5, 0]
 
 
 @pytest.mark.parametrize("seed,incremental,always_hash", CASES)
@@ -59,7 +60,7 @@ def test_take_snapshot(spark, seed, incremental, always_hash):
         )
         content[f"/r/{i}"] = h
     expected, read = model.take_snapshot(
-        files, prior, content, "s9", incremental, always_hash, max_links, min_bytes
+        files, prior, content, "s9", incremental, always_hash, max_links, min_bytes, HOT[seed]
     )
     table = spark.createDataFrame(list(content.items()), "source string, content_hash string")
     cols = ["snapshot", "source", "size", "mtime_ns", "file"]
@@ -76,6 +77,7 @@ def test_take_snapshot(spark, seed, incremental, always_hash):
         always_hash,
         max_links,
         min_bytes,
+        hot_rows=HOT[seed],
     ).collect()
     assert {r.file: (r.action, r.blob_id) for r in got} == expected
     assert len(got) == len(files)
@@ -88,7 +90,7 @@ def test_clone(spark, seed, incremental):
     max_links, min_bytes = 3, 100 * (seed % 2)
     source = random_manifest(rng, ["a", "b", "c"], 50, max_links)
     target = random_manifest(rng, ["t1", "t2"], 25, max_links, hashes=8, start=1000)
-    expected = model.clone(source, target, "run", incremental, max_links, min_bytes)
+    expected = model.clone(source, target, "run", incremental, max_links, min_bytes, HOT[seed])
     got = jobs.clone(
         frame(spark, source),
         frame(spark, target),
@@ -96,7 +98,7 @@ def test_clone(spark, seed, incremental):
         incremental,
         max_links=max_links,
         min_bytes=min_bytes,
-        hot_rows=2,
+        hot_rows=HOT[seed],
     ).collect()
     assert {(r.snapshot, r.file): (r.action, r.blob_id) for r in got} == expected
     assert len(got) == len(source)
@@ -125,9 +127,9 @@ def test_assign_fills_older_blobs(spark, seed):
         for i in range(40)
     ]
     blobs = model.Blobs(prior, 5, 0)
-    expected = {r["file"]: blobs.place(r, "run") for r in model.walk_order(new)}
+    expected = {r["file"]: blobs.place(r, "run") for r in model.walk_order(new, 20 * seed)}
     files = frame(spark, new).drop("blob_id")
-    got = assign_blobs(files, frame(spark, prior), "run", 5, 0, hot_rows=seed)
+    got = assign_blobs(files, frame(spark, prior), "run", 5, 0, hot_rows=20 * seed)
     assert {r.file: (r.action, r.blob_id) for r in got.collect()} == expected
 
 
