@@ -17,23 +17,24 @@ from ..session import stage
 from .lookup import BLOB_ORDER, blobs, content_capacity
 from .skew import HOT_ROWS, attach, bucket, count_rows, running_before, running_total
 
-def number_per_hash(files: DataFrame, held: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def number_per_hash(
+    files: DataFrame, held: DataFrame, any_hot: bool, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """``files`` with ``nth`` within the hash and the columns of ``held`` but ``n_new``.
 
     ``held`` has a line for each hash with something to add, and for every hash with more than
     ``hot_rows`` new rows. Rows are numbered by (snapshot, file). Hot hashes are instead numbered
     in parts, see ``_number_in_parts``; without any the plan is one shuffle of the rows.
     """
-    by_hash = held.drop("n_new")
-    hot = held.where(F.col("n_new") > hot_rows)
-    if hot.isEmpty():
+    by_hash = held.drop("n_new", "n_room")
+    if not any_hot:
         order = Window.partitionBy("hash").orderBy("snapshot", "file")
         numbered = files.withColumn("nth", F.row_number().over(order).cast("long"))
         return numbered.join(by_hash, "hash", "left")
-    return _number_in_parts(files, held, hot, hot_rows)
+    return _number_in_parts(files, held, hot_rows)
 
 
-def _number_in_parts(files: DataFrame, held: DataFrame, hot: DataFrame, hot_rows: int) -> DataFrame:
+def _number_in_parts(files: DataFrame, held: DataFrame, hot_rows: int) -> DataFrame:
     """Numbering when some hashes have more rows than one task should sort.
 
     Their rows are numbered inside (snapshot, bucket of the file name), thousands of independent
@@ -42,7 +43,8 @@ def _number_in_parts(files: DataFrame, held: DataFrame, hot: DataFrame, hot_rows
     hashes, so the table of them can be broadcast. Per-hash values travel with the parts, so no
     join has a hot hash as its group either.
     """
-    by_hash = held.drop("n_new")
+    by_hash = held.drop("n_new", "n_room")
+    hot = held.where(F.col("n_new") > hot_rows)
     flags = F.broadcast(hot.select("hash", F.lit(True).alias("_hot")))
     part = F.concat_ws("/", "snapshot", bucket("file"))
     rows = files.join(flags, "hash", "left").withColumn(
@@ -59,9 +61,10 @@ def _number_in_parts(files: DataFrame, held: DataFrame, hot: DataFrame, hot_rows
         sizes.withColumn("_before", running_before("_rows", ["hash"], ["snapshot", "_part"]))
         .withColumn("_lead", lead)
         .drop("snapshot", "_rows", "_min_file")
-        .join(F.broadcast(hot.drop("n_new")), "hash")
+        .join(F.broadcast(hot.select(*by_hash.columns)), "hash")
     )
-    whole = held.where(F.col("n_new") <= hot_rows).drop("n_new").withColumn("_part", F.lit(""))
+    rest = held.where(F.col("n_new") <= hot_rows).select(*by_hash.columns)
+    whole = rest.withColumn("_part", F.lit(""))
     places = parts.unionByName(whole, allowMissingColumns=True)
 
     order = Window.partitionBy("hash", "_part").orderBy("snapshot", "file")
@@ -122,8 +125,14 @@ def assign_hashed(
     per_blob = blobs(manifest, max_links, min_bytes, stored)
     counted = count_rows(files, ["hash"], "n_new").join(content_capacity(per_blob), "hash", "left")
     kept = F.col("present").isNotNull() | (F.col("n_new") > hot_rows)
-    held = stage(counted.where(kept), "held")
-    numbered = number_per_hash(files, held, hot_rows)
+    columns = ["hash", "n_new", "n_room", "spare", "present", "room"]
+    held = stage(counted.where(kept).select(*columns), "held")
+    # rows past the newest blob's room and within that of older blobs
+    past_newest = (F.col("n_new") > F.col("room.spare")) & (F.col("spare") > F.col("room.spare"))
+    found = held.agg(
+        F.max(F.col("n_new") > hot_rows).alias("hot"), F.max(past_newest).alias("past_newest")
+    ).first()
+    numbered = number_per_hash(files, held, bool(found.hot), hot_rows)
 
     small = F.col("size") < min_bytes
     known = F.col("present").isNotNull()
@@ -148,12 +157,9 @@ def assign_hashed(
     )
     columns = [*[c for c in files.columns if c != "blob_id"], "action", "blob_id"]
     decided = numbered.withColumn("action", action).withColumn("blob_id", blob)
-    # Rows past the newest blob's room and within that of older blobs: only where content has
-    # several blobs with room and more new rows than the newest one takes.
-    past_newest = (F.col("n_new") > F.col("room.spare")) & (F.col("spare") > F.col("room.spare"))
-    need = held.where(past_newest).select("hash", "n_new", "n_room")
-    if need.isEmpty():
+    if not found.past_newest:
         return decided.select(*columns)
+    need = held.where(past_newest).select("hash", "n_new", "n_room")
     slots = older_slots(per_blob.where("spare > 0"), need, hot_rows)
     waiting = decided.where(in_older).drop("blob_id").join(slots, ["hash", "nth"])
     direct = decided.where(~in_older).select(*columns)

@@ -15,8 +15,7 @@ from ..functions.paths import (
     target_key,
 )
 from ..schemas import LINUX_MAX_PATH
-from ..session import stage
-from .skew import HOT_ROWS, attach, count_rows, is_small
+from .skew import HOT_ROWS, attach, count_rows, small_copy
 
 FOLDED_SUFFIXES = 64
 
@@ -43,7 +42,7 @@ def mark_excluded(
 def _mark_by_table(inventory: DataFrame, excludes: DataFrame, hot_rows: int) -> DataFrame:
     suffixes = excludes.select("suffix").where("suffix <> ''").distinct()
     steps = inventory.select(
-        "*", F.posexplode(ancestors(F.col("root"), F.col("path"))).alias("depth", "step")
+        "root", "path", F.posexplode(ancestors(F.col("root"), F.col("path"))).alias("depth", "step")
     )
     # one line per directory; the lengths are at most as many as a path has characters
     places = count_rows(steps, ["step"], "_n")
@@ -57,12 +56,15 @@ def _mark_by_table(inventory: DataFrame, excludes: DataFrame, hot_rows: int) ->
         .groupBy("step")
         .agg(F.max("_n").alias("_n"), F.lit(True).alias("hit"))
     )
-    found = attach(steps, matched, ["step"], ["path"], "_n", hot_rows)
-    first = F.min(F.when(F.col("hit"), F.struct("depth", "step")))
-    return (
-        found.groupBy(*inventory.columns)
-        .agg(first.alias("_first"))
-        .select(*inventory.columns, F.col("_first.step").alias("excluded_by"))
+    few = small_copy(matched)
+    if few is not None:
+        found = steps.join(F.broadcast(few), "step")
+    else:
+        found = attach(steps, matched, ["step"], ["path"], "_n", hot_rows).where("hit")
+    topmost = found.groupBy("root", "path").agg(F.min(F.struct("depth", "step")).alias("first"))
+    excluded = topmost.select("root", "path", F.col("first.step").alias("excluded_by"))
+    return inventory.join(excluded, ["root", "path"], "left").select(
+        *inventory.columns, "excluded_by"
     )
 
 
@@ -122,9 +124,10 @@ def target_path(
     roots: DataFrame, inventory: DataFrame, windows: bool = False, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Add ``file``: the root's directory name followed by the path below the root."""
-    keys = stage(root_keys(roots, windows).select("root", "key"), "roots")
-    if is_small(keys):
-        found = inventory.join(F.broadcast(keys), "root", "left")
+    keys = root_keys(roots, windows).select("root", "key")
+    few = small_copy(keys)
+    if few is not None:
+        found = inventory.join(F.broadcast(few), "root", "left")
     else:
         sized = count_rows(inventory, ["root"], "_n").join(keys, "root")
         found = attach(inventory, sized, ["root"], ["path"], "_n", hot_rows)

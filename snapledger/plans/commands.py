@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from datetime import datetime
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.lookup import missing_files, target_standing
 from ..operators.roots import overlapping_roots
-from ..operators.stats import action_stats, event_counts, exclusion_stats
+from ..operators.stats import action_stats, event_counts
 from ..operators.verify import Hasher, file_table, link_inventory
 from ..schemas import DELETE, LINUX_MAX_LINKS, LINUX_MIN_BYTES, STORED
 from ..session import stage
@@ -18,6 +19,14 @@ from ..sources.repository import Repository
 from . import jobs
 
 
+class Run(NamedTuple):
+    """What a run did: its rows, files and bytes per measure, and warnings and errors."""
+
+    rows: DataFrame
+    stats: DataFrame
+    events: DataFrame
+
+
 def backup(
     repo: Repository,
     roots: DataFrame,
@@ -30,8 +39,8 @@ def backup(
     suffix: str | None = None,
     max_links: int = LINUX_MAX_LINKS,
     min_bytes: int = LINUX_MIN_BYTES,
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Take a snapshot named after ``at``. Returns actions, their counters, and what was left out."""
+) -> Run:
+    """Take a snapshot named after ``at``. What was left out by rule is ``jobs.left_out``."""
     name = at.strftime("%Y-%m-%d_%H-%M-%S") + (f"_{suffix}" if suffix else "")
     clash = overlapping_roots(roots, repo.path, excludes).take(1)
     if clash:
@@ -46,7 +55,7 @@ def backup(
         "actions",
     )
     repo.write(jobs.stored_rows(actions), generation)
-    return actions, action_stats(actions), exclusion_stats(jobs.left_out(inventory, excludes))
+    return Run(actions, action_stats(actions), event_counts(jobs.run_events(actions)))
 
 
 def verify(
@@ -74,14 +83,15 @@ def purge(repo: Repository, inventory: DataFrame, names: list[str], compact: boo
     return dropped
 
 
-def distill(repo: Repository, names: list[str], compact: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Reduce the named snapshots, in order. Returns the deleted rows and their counters."""
+def distill(repo: Repository, names: list[str], compact: bool = False) -> Run:
+    """Reduce the named snapshots, in order. Returns the deleted rows."""
     repo.check()
     repo.check(names)
     standing = stage(target_standing(repo.manifest(), names), "standing")
     dropped = standing.where("not stays").drop("stays")
     _rewrite(repo, names, standing.where("stays").drop("stays"), dropped, compact)
-    return dropped, action_stats(dropped.withColumn("action", F.lit(DELETE)))
+    deleted = dropped.withColumn("action", F.lit(DELETE))
+    return Run(dropped, action_stats(deleted), event_counts(jobs.run_events(deleted)))
 
 
 def _rewrite(repo: Repository, names: list[str], kept: DataFrame, dropped: DataFrame, compact: bool) -> None:
@@ -107,8 +117,8 @@ def clone(
     suffix: str | None = None,
     max_links: int = LINUX_MAX_LINKS,
     min_bytes: int = LINUX_MIN_BYTES,
-) -> tuple[DataFrame, DataFrame]:
-    """Clone all snapshots of ``source`` into ``target``. Returns actions and their counters."""
+) -> Run:
+    """Clone all snapshots of ``source`` into ``target``."""
     names = [n + (f"_{suffix}" if suffix else "") for n in source.names()]
     rows, known = source.manifest(), target.manifest()
     generations = target.begin(names, create=True)
@@ -116,4 +126,4 @@ def clone(
         jobs.clone(rows, known, run, incremental, suffix, max_links, min_bytes), "actions"
     )
     target.write(actions.where(F.col("action").isin(STORED)), generations)
-    return actions, action_stats(actions)
+    return Run(actions, action_stats(actions), event_counts(jobs.run_events(actions)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import full_path
+from ..functions.paths import full_path, is_overlong
 from ..functions.text import snapshot_name
 from ..operators.assign import assign_hashed
 from ..operators.filters import exclude_kept, mark_excluded, route_by_type, target_path
@@ -26,7 +26,7 @@ from ..operators.verify import (
     signature_pairs,
     unreadable_index,
 )
-from ..schemas import CONFLICT, FAILED, LINUX_MAX_LINKS, LINUX_MIN_BYTES, MANIFEST, SIGNATURE, SKIP, STORED
+from ..schemas import CONFLICT, FAILED, LINUX_MAX_LINKS, LINUX_MAX_PATH, LINUX_MIN_BYTES, MANIFEST, SIGNATURE, SKIP, STORED
 from ..session import stage
 
 ACTION_COLUMNS = [*MANIFEST.names, "action", "hashed"]
@@ -132,6 +132,18 @@ def _hash_rows(wanted: DataFrame, manifest: DataFrame, hasher: Hasher, base: lis
     )
 
 
+def run_events(actions: DataFrame, max_path: int = LINUX_MAX_PATH) -> DataFrame:
+    """Errors and warnings (snapshot, file, detail, level) of a run: rows left out, long paths."""
+    failed = actions.where(F.col("action").isin(CONFLICT, FAILED)).select(
+        "snapshot", "file", F.col("action").alias("detail"), F.lit("error").alias("level")
+    )
+    path = full_path(F.col("snapshot"), F.col("file"))
+    long = actions.where(is_overlong(path, max_path)).select(
+        "snapshot", "file", F.lit("path is too long").alias("detail"), F.lit("warning").alias("level")
+    )
+    return failed.unionByName(long)
+
+
 def stored_rows(actions: DataFrame) -> DataFrame:
     return actions.where(F.col("action").isin(STORED)).select(*MANIFEST.names)
 
@@ -221,7 +233,7 @@ def verify(
     barred = F.broadcast(integrity.select("snapshot").distinct())
     linked = stage(link_inventory(manifest.join(barred, "snapshot", "left_anti"), inventory), "linked")
     lost = unreadable_index(linked)
-    reps = representatives(linked, snapshots)
+    reps = stage(representatives(linked, snapshots), "reps")
     found = [
         problems(integrity, "integrity", F.col("problem")),
         problems(lost, "unreadable_index", full_path(F.col("snapshot"), F.col("file"))),

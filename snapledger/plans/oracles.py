@@ -389,6 +389,12 @@ union all select reason, count(*) from by_type group by reason""",
 select case when grouping(snapshot) = 1 then '*' else snapshot end as snapshot,
   count(*) filter (level = 'warning') as warnings, count(*) filter (level = 'error') as errors
 from marks group by rollup (snapshot)""",
+    "run_events": f"""with {take_snapshot(True, True)}, marks as (
+  select snapshot, action = 'conflict' as failed, octet_length(encode(concat(snapshot, '/', file))) >= 17 as long
+  from actions), counted as (
+  select snapshot, count(*) filter (long) as warnings, count(*) filter (failed) as errors from marks group by snapshot)
+select snapshot, warnings, errors from counted
+union all select '*', sum(warnings)::bigint, sum(errors)::bigint from counted""",
     "manifest_integrity": f"""with {FLAWED}, judged as (select *, {INTEGRITY_PROBLEM} as problem from flawed)
 select snapshot, file, problem from judged where problem is not null
 union all select snapshot, file, 'repeated' from flawed group by {ROW} having count(*) > 1""",

@@ -310,6 +310,12 @@ def event_counts(spark, sf):
     return stats.event_counts(errors.unionByName(long))
 
 
+def run_events(spark, sf):
+    """Conflicts of a run as errors, long paths as warnings."""
+    actions = stage(take_snapshot(spark, sf, True, True), "actions")
+    return stats.event_counts(jobs.run_events(actions, 17))
+
+
 def empty_directories(spark, sf):
     docs = staged_docs(spark, sf)
     gone = docs.where(F.col("file").contains("/de/") | F.col("file").startswith("#src3/"))
@@ -434,6 +440,7 @@ QUERIES: dict[str, Query] = {
     "deletion_stats": deletion_stats,
     "exclusion_stats": exclusion_stats,
     "event_counts": event_counts,
+    "run_events": run_events,
     "manifest_integrity": manifest_integrity,
     "empty_directories": empty_directories,
     "take_snapshot": partial(take_snapshot, incremental=False, always_hash=False),

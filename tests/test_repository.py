@@ -83,9 +83,9 @@ def counts(df):
 def test_life_of_a_repository(spark, tree, tmp_path):
     repo = Repository(spark, str(tmp_path / "repo"), create=True)
     assert repo.manifest().count() == 0
-    actions, stats, left_out = run_backup(spark, repo, tree, 1)
+    _, stats, events = run_backup(spark, repo, tree, 1)
+    assert [tuple(r) for r in events.collect()] == [("*", 0, 0)]
     assert counts(stats) == {"hashed": 6, "copied": 5, "linked": 1, "deleted": 0}
-    assert {r.reason: r.entries for r in left_out.collect()} == {"suffix": 1, "symlink": 2}
     first = "2024-01-01_00-01-00"
     assert repo.names() == [first]
 
@@ -121,14 +121,14 @@ def test_life_of_a_repository(spark, tree, tmp_path):
     assert commands.purge(repo, lost, [third]).count() == 0
 
     before = {r.hash for r in repo.manifest().collect()}
-    dropped, stats = commands.distill(repo, [first, third])
+    dropped, stats, _ = commands.distill(repo, [first, third])
     assert counts(stats)["deleted"] == dropped.count() > 0
     assert {r.hash for r in repo.manifest().collect()} == before
-    again, _ = commands.distill(repo, [first, third])
+    again, _, _ = commands.distill(repo, [first, third])
     assert again.count() == 0
 
     other = Repository(spark, str(tmp_path / "other"), create=True)
-    _, stats = commands.clone(repo, other, "clone", suffix="c")
+    _, stats, _ = commands.clone(repo, other, "clone", suffix="c")
     assert counts(stats)["copied"] == len(before)
     assert other.names() == [n + "_c" for n in repo.names()]
     assert other.manifest().count() == repo.manifest().count()

@@ -174,14 +174,16 @@ TREE = [
 ]
 
 
-@pytest.mark.parametrize("form", ["list", "long list", "table"])
-def test_exclusion(spark, form):
+@pytest.mark.parametrize("form", ["list", "long list", "table", "large table"])
+def test_exclusion(spark, form, monkeypatch):
     inventory = spark.createDataFrame([(*t, 1, 1) for t in TREE], LISTING)
     excludes = ["_NO_BACKUP", ".tmp"]
     if form == "long list":
         excludes += [f"/unused{i}" for i in range(80)]
-    elif form == "table":
+    elif form != "list":
         excludes = spark.createDataFrame([(e,) for e in excludes], "suffix string")
+    if form == "large table":
+        monkeypatch.setattr("snapledger.operators.filters.small_copy", lambda df: None)
     kept = {r.path for r in filters.exclude_kept(inventory, excludes).collect()}
     assert kept == {t[1] for t in TREE if "NO_BACKUP" not in t[1] and not t[1].endswith(".tmp")}
     topmost = sorted(r.path for r in filters.exclude_topmost(inventory, excludes).collect())
@@ -199,7 +201,7 @@ def test_ancestors_above_the_root_do_not_exclude(spark):
 @pytest.mark.parametrize("small", [True, False])
 def test_target_path(spark, small, monkeypatch):
     if not small:
-        monkeypatch.setattr("snapledger.operators.filters.is_small", lambda df: False)
+        monkeypatch.setattr("snapledger.operators.filters.small_copy", lambda df: None)
     given = [(0, "/a/b"), (1, "#a#b"), (2, "."), (3, "/"), (4, "/one.txt")]
     entries = [
         ("/a/b", "/a/b/c/d"),
