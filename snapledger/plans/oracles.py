@@ -330,7 +330,7 @@ select {ROW} from docs d where not exists (
     "overlapping_roots": overlapping(False),
     "overlapping_roots_component": overlapping(True),
     "unstable_files": f"""with {URL_INV}
-select page_id, path, size, mtime_ns, size + page_id % 2 as now_size, mtime_ns + 5 as now_mtime_ns
+select page_id, concat(path, '#', cast(page_id as varchar)) as path, size, mtime_ns, size + page_id % 2 as now_size, mtime_ns + 5 as now_mtime_ns
 from url_inv where page_id % 9 = 0""",
     "snapshot_set_checks": f"""with {STATES}, named as (
   select concat(case when event_type = 'error' then '/old/' else '/repo/' end, day) as path, count(*) as times

@@ -200,7 +200,9 @@ def overlapping_roots(spark, sf, mode="string"):
 
 
 def unstable_files(spark, sf):
-    before = V.url_inventory(spark, sf).select("page_id", "path", "size", "mtime_ns")
+    entries = V.url_inventory(spark, sf)
+    named = F.concat_ws("#", "path", F.col("page_id").cast("string"))
+    before = entries.select("page_id", named.alias("path"), "size", "mtime_ns")
     later = F.col("page_id") % 9 == 0
     after = before.withColumn("size", F.col("size") + F.when(later, F.col("page_id") % 2).otherwise(0))
     after = after.withColumn("mtime_ns", F.col("mtime_ns") + F.when(later, 5).otherwise(0))

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.roots import invalid_snapshots
 from ..schemas import MANIFEST, SNAPSHOT_LOG
 
 IN_PROGRESS = "in_progress"
@@ -44,65 +43,71 @@ class Repository:
     def _empty(self, schema: T.StructType) -> DataFrame:
         return self.spark.createDataFrame([], schema)
 
+    def _log(self) -> DataFrame:
+        return self.spark.read.schema(SNAPSHOT_LOG).parquet(f"{self.path}/log")
+
     def snapshots(self) -> DataFrame:
         """Current (snapshot, state, generation), without deleted ones."""
-        log = self.spark.read.schema(SNAPSHOT_LOG).parquet(f"{self.path}/log")
-        last = log.groupBy("snapshot").agg(F.max(F.struct("seq", "state", "generation")).alias("l"))
+        last = self._log().groupBy("snapshot").agg(
+            F.max(F.struct("seq", "state", "generation")).alias("l")
+        )
         return last.select("snapshot", "l.state", "l.generation").where(F.col("state") != DELETED)
 
-    def check(self, names: list[str] | None = None) -> None:
-        """Raise if a snapshot is unfinished (the named ones only, if given)."""
-        known = self.snapshots()
+    def _states(self) -> dict[str, Row]:
+        """Last log line of every snapshot, deleted ones too: one line each, however many rows."""
+        last = F.max(F.struct("seq", "state", "generation")).alias("l")
+        lines = self._log().groupBy("snapshot").agg(last, F.max("generation").alias("highest"))
+        return {r.snapshot: r for r in lines.select("snapshot", "highest", "l.*").collect()}
+
+    def _open(self, names: list[str] | None = None) -> dict[str, Row]:
+        known = {n: r for n, r in self._states().items() if r.state != DELETED}
         if names is not None:
-            known = known.where(F.col("snapshot").isin(names))
-            found = {r.snapshot for r in known.select("snapshot").collect()}
-            missing = [n for n in names if n not in found]
-            if missing:
-                raise ValueError(f"snapshot not in repository: {missing[0]}")
             if len(set(names)) != len(names):
                 raise ValueError("a snapshot is named twice")
-        bad = invalid_snapshots(known).take(1)
-        if bad:
-            raise ValueError(f"snapshot is {bad[0].problem}: {bad[0].snapshot}")
+            missing = [n for n in names if n not in known]
+            if missing:
+                raise ValueError(f"snapshot not in repository: {missing[0]}")
+            known = {n: known[n] for n in names}
+        for name, line in known.items():
+            if line.state != COMPLETE:
+                raise ValueError(f"snapshot is unfinished: {name}")
+        return known
+
+    def check(self, names: list[str] | None = None) -> None:
+        """Raise if a snapshot is unfinished (the named ones only, if given) or not there."""
+        self._open(names)
 
     def names(self) -> list[str]:
-        """Snapshot names in order; one per snapshot, not per row."""
-        return sorted(r.snapshot for r in self.snapshots().select("snapshot").collect())
+        """Snapshot names in order."""
+        return sorted(n for n, r in self._states().items() if r.state != DELETED)
 
     def manifest(self, names: list[str] | None = None) -> DataFrame:
         """Rows of all, or the named, snapshots; only current partitions are listed."""
-        self.check(names)
-        current = self.snapshots().where(F.col("generation") > 0)
-        if names is not None:
-            current = current.where(F.col("snapshot").isin(names))
-        parts = [f"{r.generation}@{r.snapshot}" for r in current.collect()]
+        current = self._open(names)
+        parts = [f"{r.generation}@{n}" for n, r in current.items() if r.generation > 0]
         stored = T.StructType([*MANIFEST.fields, T.StructField("generation", T.LongType())])
         rows = self.spark.read.schema(stored).parquet(f"{self.path}/manifest")
         place = F.concat(F.col("generation").cast("string"), F.lit("@"), F.col("snapshot"))
         return rows.where(place.isin(parts)).select(*MANIFEST.names)
 
-    def _record(self, states: dict[str, tuple[str, int]]) -> None:
-        log = self.spark.read.schema(SNAPSHOT_LOG).parquet(f"{self.path}/log")
-        seq = (log.agg(F.max("seq")).first()[0] or 0) + 1
+    def _record(self, states: dict[str, tuple[str, int]], known: dict[str, Row]) -> None:
+        seq = max((r.seq for r in known.values()), default=0) + 1
         lines = [(seq, name, state, generation) for name, (state, generation) in states.items()]
-        lines_df = self.spark.createDataFrame(lines, SNAPSHOT_LOG).coalesce(1)
-        lines_df.write.mode("append").parquet(f"{self.path}/log")
+        added = self.spark.createDataFrame(lines, SNAPSHOT_LOG).coalesce(1)
+        added.write.mode("append").parquet(f"{self.path}/log")
 
     def begin(self, names: list[str], create: bool = False) -> dict[str, int]:
         """Mark snapshots in progress; returns the generation each will be written to."""
-        known = {r.snapshot: r.generation for r in self.snapshots().collect()}
+        known = self._states()
         for name in names:
-            if create and name in known:
+            state = known[name].state if name in known else DELETED
+            if create and state != DELETED:
                 raise ValueError(f"snapshot already exists: {name}")
-        if not create:
-            self.check(names)
-        last = self._last_generations()
-        self._record({n: (IN_PROGRESS, known.get(n, 0)) for n in names})
-        return {n: last.get(n, 0) + 1 for n in names}
-
-    def _last_generations(self) -> dict[str, int]:
-        log = self.spark.read.schema(SNAPSHOT_LOG).parquet(f"{self.path}/log")
-        return {r[0]: r[1] for r in log.groupBy("snapshot").agg(F.max("generation")).collect()}
+            if not create and state != COMPLETE:
+                raise ValueError(f"snapshot is not open for changes: {name}")
+        marks = {n: (IN_PROGRESS, known[n].generation if n in known else 0) for n in names}
+        self._record(marks, known)
+        return {n: (known[n].highest if n in known else 0) + 1 for n in names}
 
     def write(self, rows: DataFrame, generations: dict[str, int]) -> None:
         """Store rows of snapshots that are in progress and finish these snapshots."""
@@ -112,13 +117,8 @@ class Repository:
         arrange(stored).write.mode("append").partitionBy("snapshot", "generation").parquet(
             f"{self.path}/manifest"
         )
-        self._record({n: (COMPLETE, g) for n, g in generations.items()})
-
-    def finish(self, names: list[str]) -> None:
-        """Clear the mark without new rows."""
-        known = {r.snapshot: r.generation for r in self.snapshots().collect()}
-        self._record({n: (COMPLETE, known[n]) for n in names})
+        self._record({n: (COMPLETE, g) for n, g in generations.items()}, self._states())
 
     def delete_snapshot(self, name: str) -> None:
-        last = self._last_generations()
-        self._record({name: (DELETED, last.get(name, 0))})
+        known = self._states()
+        self._record({name: (DELETED, known[name].highest)}, known)
