@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import parent_chain, parent_path
+from .filters import mark_excluded
 from .skew import HOT_ROWS, attach, count_rows
 
 
@@ -72,6 +73,21 @@ def _ends_with_excluded(path: str, excludes):
     return F.lit(any(path.endswith(s) for s in excludes))
 
 
+def invalid_roots(
+    roots: DataFrame, inventory: DataFrame, excludes: list[str] | DataFrame
+) -> DataFrame:
+    """Roots (root, problem) that are excluded themselves, are links, or are not there."""
+    itself = inventory.where(F.col("path") == F.col("root")).select("root", "path", "type")
+    marked = mark_excluded(itself, excludes).select("root", "type", "excluded_by")
+    problem = (
+        F.when(F.col("excluded_by").isNotNull(), "excluded")
+        .when(F.col("type").isin("symlink", "junction"), "symlink")
+        .when(F.col("type").isNull() | (F.col("type") == "not_found"), "missing")
+    )
+    found = roots.select("root").distinct().join(marked, "root", "left")
+    return found.select("root", problem.alias("problem")).where("problem is not null")
+
+
 def snapshot_set_checks(paths: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Problems (path, problem) in a list of snapshot paths against the known snapshots.
 

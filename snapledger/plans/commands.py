@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.lookup import missing_files, target_standing
-from ..operators.roots import overlapping_roots
+from ..operators.roots import invalid_roots, overlapping_roots
 from ..operators.stats import action_stats, event_counts
 from ..operators.verify import Hasher, file_table, link_inventory
 from ..schemas import DELETE, LINUX_MAX_LINKS, LINUX_MIN_BYTES, STORED
@@ -45,6 +45,9 @@ def backup(
     clash = overlapping_roots(roots, repo.path, excludes).take(1)
     if clash:
         raise ValueError(f"{clash[0].problem}: {clash[0].root} and {clash[0].other}")
+    bad = invalid_roots(roots, inventory, excludes).take(1)
+    if bad:
+        raise ValueError(f"root is {bad[0].problem}: {bad[0].root}")
     manifest = repo.manifest()
     generation = repo.begin([name], create=True)
     files = jobs.walk(roots, inventory, excludes, name)

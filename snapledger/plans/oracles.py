@@ -286,6 +286,10 @@ from states where state is null or state <> 'complete'""",
 select r.inode as "file index", s0, s1, s2, s3, size, strftime({STAMP}, '%Y-%m-%d %H:%M:%S') as time, hash,
   concat(snapshot, '/', file) as "first path", source as "first source"
 from ranked r join counts c using (inode) where k = 1""",
+    "scan_and_hash": """select source, lang,
+  sum(octet_length(encode(text)) + 1)::bigint as listed_bytes,
+  sum(octet_length(encode(text)) + 1)::bigint as read_bytes
+from documents group by source, lang""",
     "content_hash": "select doc_id, sha256(text) as content_hash from documents",
     "exclude_kept": f"with {url_marks(URL_TEST)} select root, path, page_id from marked where excluded_by is null",
     "exclude_topmost": f"""with {url_marks(URL_TEST)}
@@ -329,6 +333,12 @@ select {ROW} from docs d where not exists (
     "shared_content": f"with {DOCS}, {distill('docs', TARGET_RANK, 'rnk < 3 and rnk < top')}",
     "overlapping_roots": overlapping(False),
     "overlapping_roots_component": overlapping(True),
+    "invalid_roots": f"""with {URL_ROOTS}, {URL_INV}, judged as (
+  select distinct k.root, case when type is not null and (ends_with(k.root, '.html') or ends_with(k.root, '#top')
+      or ends_with(k.root, '.net')) then 'excluded'
+    when type = 'symlink' then 'symlink' when type is null or type = 'not_found' then 'missing' end as problem
+  from known k left join url_inv i on i.path = k.root)
+select root, problem from judged where problem is not null""",
     "unstable_files": f"""with {URL_INV}
 select page_id, concat(path, '#', cast(page_id as varchar)) as path, size, mtime_ns, size + page_id % 2 as now_size, mtime_ns + 5 as now_mtime_ns
 from url_inv where page_id % 9 = 0""",

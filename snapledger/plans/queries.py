@@ -21,7 +21,8 @@ from ..schemas import (
     WINDOWS_MIN_BYTES,
 )
 from ..session import scratch_path, stage
-from ..sources.content import hash_column, table_hasher
+from ..sources.content import file_hasher, hash_column, table_hasher
+from ..sources.listing import scan_inventory
 from ..sources.report import read_file_table, write_file_table
 from ..sources.repository import Repository
 from . import commands, jobs
@@ -114,6 +115,21 @@ def write_table(spark, sf):
     return read_file_table(spark, DOC_SNAPSHOTS, path)
 
 
+def scan_and_hash(spark, sf):
+    """The texts as files in a directory tree, listed and read back: bytes per directory."""
+    tree = scratch_path(spark, "tree")
+    texts = V.table(spark, sf, "documents").select("text", "source", "lang")
+    texts.hint("rebalance", "source", "lang").write.partitionBy("source", "lang").text(tree)
+    top = tree.removeprefix("file://").removeprefix("file:")
+    listed = scan_inventory(spark, [top], [".crc"])
+    files = filters.exclude_kept(listed, [".crc", "_SUCCESS"]).where("type = 'regular'")
+    read = file_hasher(F.col("path"))(files.select("path", "size")).where("content_hash is not null")
+    place = [F.regexp_extract("path", f"/{part}=([^/]+)", 1).alias(part) for part in ("source", "lang")]
+    return read.groupBy(*place).agg(
+        F.sum("size").alias("listed_bytes"), F.sum("now_size").alias("read_bytes")
+    )
+
+
 def content_hash(spark, sf):
     return hash_column(V.table(spark, sf, "documents"), "doc_id", F.col("text"))
 
@@ -199,6 +215,11 @@ def overlapping_roots(spark, sf, mode="string"):
     return roots.overlapping_roots(known, V.REPO_PATH, V.URL_EXCLUDES, mode)
 
 
+def invalid_roots(spark, sf):
+    entries = V.url_inventory(spark, sf).select(F.col("path").alias("root"), "path", "type")
+    return roots.invalid_roots(V.url_roots(spark, sf), entries, V.URL_EXCLUDES).distinct()
+
+
 def unstable_files(spark, sf):
     entries = V.url_inventory(spark, sf)
     named = F.concat_ws("#", "path", F.col("page_id").cast("string"))
@@ -407,6 +428,7 @@ QUERIES: dict[str, Query] = {
     "compact_roundtrip": compact_roundtrip,
     "invalid_snapshots": invalid_snapshots,
     "write_file_table": write_table,
+    "scan_and_hash": scan_and_hash,
     "content_hash": content_hash,
     "exclude_kept": exclude_kept,
     "exclude_topmost": exclude_topmost,
@@ -423,6 +445,7 @@ QUERIES: dict[str, Query] = {
     "shared_content": shared_content,
     "overlapping_roots": overlapping_roots,
     "overlapping_roots_component": partial(overlapping_roots, mode="component"),
+    "invalid_roots": invalid_roots,
     "unstable_files": unstable_files,
     "snapshot_set_checks": snapshot_set_checks,
     "assign_blobs": assign_all_new,

@@ -71,10 +71,13 @@ def scan_inventory(
 ) -> DataFrame:
     """Inventory of all entries below ``roots`` (a root may be a file); links are not followed.
 
-    One job per directory level: the directories of a level are spread over all tasks whatever
+    Roots are paths on the mount, without a scheme. One job per directory level: the directories of a level are spread over all tasks whatever
     subtree they come from, so one deep or wide root does not hold the listing up. Excluded
     directories appear but are not entered. Each level is written to the shared folder.
     """
+    for root in roots:
+        if "://" in root:
+            raise ValueError(f"not a path on a mount: {root}")
     tasks = tasks or 4 * spark.sparkContext.defaultParallelism
     out = scratch_path(spark, "listing")
     named = spark.createDataFrame([(r, r) for r in roots], "root string, path string")

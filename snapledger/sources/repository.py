@@ -105,9 +105,10 @@ class Repository:
                 raise ValueError(f"snapshot already exists: {name}")
             if not create and state != COMPLETE:
                 raise ValueError(f"snapshot is not open for changes: {name}")
-        marks = {n: (IN_PROGRESS, known[n].generation if n in known else 0) for n in names}
-        self._record(marks, known)
-        return {n: (known[n].highest if n in known else 0) + 1 for n in names}
+        # the mark carries the new number, so what a broken run left is never written to again
+        new = {n: (known[n].highest if n in known else 0) + 1 for n in names}
+        self._record({n: (IN_PROGRESS, generation) for n, generation in new.items()}, known)
+        return new
 
     def write(self, rows: DataFrame, generations: dict[str, int]) -> None:
         """Store rows of snapshots that are in progress and finish these snapshots."""

@@ -150,6 +150,8 @@ def test_unfinished_snapshot_keeps_the_repository_closed(spark, tmp_path):
         repo.manifest()
     repo.delete_snapshot("s1")
     assert repo.manifest().count() == 0
+    assert repo.begin(["s1"], create=True) == {"s1": 2}
+    repo.delete_snapshot("s1")
     with pytest.raises(ValueError, match="not in repository"):
         repo.check(["s1"])
     rows = spark.createDataFrame([("s1", "/a", 1, 1, "a" * 64, "x", "b")], MANIFEST)
@@ -178,6 +180,24 @@ def test_overlapping_roots_stop_a_backup(spark, tree, tmp_path):
         run_backup(spark, repo, tree, 1)
 
 
+def test_roots_that_cannot_be_taken(spark, tree, tmp_path):
+    repo = Repository(spark, str(tmp_path / "repo"), create=True)
+
+    def attempt(path, excludes=()):
+        given = spark.createDataFrame([(0, str(path))], "ord int, root string")
+        inventory = scan_inventory(spark, [str(path)], list(excludes))
+        hasher = file_hasher(F.col("source"))
+        commands.backup(repo, given, inventory, list(excludes), hasher, datetime(2024, 1, 1))
+
+    with pytest.raises(ValueError, match="root is missing"):
+        attempt(tree / "nowhere")
+    with pytest.raises(ValueError, match="root is symlink"):
+        attempt(tree / "dirlink")
+    with pytest.raises(ValueError, match="root is excluded"):
+        attempt(tree / "sub", ["/sub"])
+    assert repo.names() == []
+
+
 def test_quotes_in_the_file_table(spark, tmp_path):
     odd = 'a "quoted", name'
     rows = spark.createDataFrame([("s1", odd, 1, 0, "a" * 64, odd, None)], MANIFEST)
