@@ -15,7 +15,7 @@ from ..schemas import (
 )
 from ..session import stage
 from .lookup import BLOB_ORDER, blobs, content_capacity
-from .skew import HOT_ROWS, attach, bucket, count_rows, running_before, running_total
+from .skew import HOT_ROWS, attach, bucket, count_rows, cut_to, running_before, running_total
 
 def number_per_hash(
     files: DataFrame, held: DataFrame, any_hot: bool, hot_rows: int = HOT_ROWS
@@ -120,8 +120,11 @@ def assign_hashed(
     min_bytes: int = LINUX_MIN_BYTES,
     stored: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
+    few_files: bool = False,
 ) -> DataFrame:
-    """``assign_blobs`` for rows that all have a hash."""
+    """``assign_blobs`` for rows that all have a hash; for ``few_files`` see ``skew.cut_to``."""
+    if few_files:
+        manifest = cut_to(manifest, files, ["hash"])
     per_blob = blobs(manifest, max_links, min_bytes, stored)
     counted = count_rows(files, ["hash"], "n_new").join(content_capacity(per_blob), "hash", "left")
     kept = F.col("present").isNotNull() | (F.col("n_new") > hot_rows)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import LINUX_MAX_LINKS, LINUX_MIN_BYTES, RECORD, SIGNATURE
-from .skew import HOT_ROWS, attach, bucket, count_rows, rank_snapshots
+from .skew import HOT_ROWS, attach, bucket, count_rows, cut_to, rank_snapshots
 
 HEX = "0123456789abcdef"
 BLOB_ORDER = ["newest", "oldest"]
@@ -64,12 +64,16 @@ def signature_lookup(
     manifest: DataFrame,
     unique_files: bool = False,
     hot_rows: int = HOT_ROWS,
+    few_files: bool = False,
 ) -> DataFrame:
     """Add ``prior_hash`` and ``prior_snapshot`` of the newest record with the same signature.
 
     ``unique_files`` says that no signature repeats in ``files`` (true for a listing, where every
-    path occurs once); the join then needs no care for repeated keys.
+    path occurs once); the join then needs no care for repeated keys. ``few_files`` says that a
+    short list meets a large manifest, see ``skew.cut_to``.
     """
+    if few_files:
+        manifest = cut_to(manifest, files, SIGNATURE)
     newest = newest_per_signature(manifest)
     if unique_files:
         return files.join(newest, SIGNATURE, "left").select(

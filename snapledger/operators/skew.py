@@ -46,8 +46,19 @@ def attach(
 
 
 def is_small(df: DataFrame) -> bool:
-    """Whether ``df`` has few enough lines to broadcast; counts no further than the limit."""
-    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    """Whether ``df`` has few enough lines to broadcast; reads no further than the limit."""
+    return len(df.select(F.lit(1)).take(BROADCAST_ROWS + 1)) <= BROADCAST_ROWS
+
+
+def cut_to(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``table`` without lines that cannot match ``rows``, if those are few.
+
+    A small run against a large table then shuffles only the lines it needs. With many rows the
+    table is returned as it is.
+    """
+    if not is_small(rows):
+        return table
+    return table.join(F.broadcast(rows.select(*keys).distinct()), keys, "left_semi")
 
 
 def small_copy(df: DataFrame) -> DataFrame | None:

@@ -63,6 +63,7 @@ def take_snapshot(
     min_bytes: int = LINUX_MIN_BYTES,
     stored: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
+    few_files: bool = False,
 ) -> DataFrame:
     """Decide what happens to every file of a new snapshot.
 
@@ -70,10 +71,12 @@ def take_snapshot(
     given only rows without a known signature (all rows with ``always_hash``) and adds
     ``content_hash``, and may add ``now_size`` and ``now_mtime_ns`` if it saw the file change; such
     rows are looked up again with the new values. Returns the rows with ``action``, ``blob_id`` and
-    ``hashed``; rows with an action in ``STORED`` are the new manifest rows.
+    ``hashed``; rows with an action in ``STORED`` are the new manifest rows. ``few_files`` is for a
+    short list against a large manifest, see ``skew.cut_to``.
     """
     base = ["snapshot", *SIGNATURE, "file"]
-    looked = stage(signature_lookup(files.select(*base), manifest, unique_files=True), "looked")
+    found = signature_lookup(files.select(*base), manifest, unique_files=True, few_files=few_files)
+    looked = stage(found, "looked")
     readable = F.col("size").isNotNull() & F.col("mtime_ns").isNotNull()
     lost = looked.where(~readable)
     wanted = looked.where(readable if always_hash else readable & F.col("prior_hash").isNull())
@@ -96,7 +99,9 @@ def take_snapshot(
     judged = rows.withColumn("action", state)
     closed = judged.where("action is not null").withColumn("blob_id", F.lit(None).cast("string"))
     open_rows = judged.where("action is null").drop("action", "prior_hash")
-    decided = assign_hashed(open_rows, manifest, run, max_links, min_bytes, stored, hot_rows)
+    decided = assign_hashed(
+        open_rows, manifest, run, max_links, min_bytes, stored, hot_rows, few_files
+    )
     unread = lost.select(
         *base,
         F.lit(None).cast("string").alias("hash"),

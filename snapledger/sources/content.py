@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import sha256_hex
-from ..operators.skew import is_small
+from ..operators.skew import cut_to
 
 CHUNK_BYTES = 1 << 20
 
@@ -29,9 +29,7 @@ def table_hasher(hashes: DataFrame, key: list[str]) -> Callable[[DataFrame], Dat
     otherwise content is hashed where it is scanned and only keys and hashes are shuffled.
     """
     def hasher(rows: DataFrame) -> DataFrame:
-        found = hashes.select(*key, "content_hash")
-        if is_small(rows):
-            found = found.join(F.broadcast(rows.select(*key)), key, "left_semi")
+        found = cut_to(hashes.select(*key, "content_hash"), rows, key)
         return rows.join(found, key, "left").select(*rows.columns, "content_hash")
 
     return hasher

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import model
+from snapledger.operators import skew
 from snapledger.operators.assign import assign_blobs
 from snapledger.plans import jobs
 from snapledger.schemas import MANIFEST
@@ -47,7 +48,9 @@ HOT = [1_000_000, 5, 0]
 
 
 @pytest.mark.parametrize("seed,incremental,always_hash", CASES)
-def test_take_snapshot(spark, seed, incremental, always_hash):
+def test_take_snapshot(spark, seed, incremental, always_hash, monkeypatch):
+    if incremental != always_hash:
+        monkeypatch.setattr(skew, "BROADCAST_ROWS", 0)
     rng = random.Random(seed)
     max_links, min_bytes = 4, 100 * (seed % 2)
     prior = random_manifest(rng, ["s1", "s2", "s3"], 40, max_links)
@@ -78,6 +81,7 @@ def test_take_snapshot(spark, seed, incremental, always_hash):
         max_links,
         min_bytes,
         hot_rows=HOT[seed],
+        few_files=seed != 1,
     ).collect()
     assert {r.file: (r.action, r.blob_id) for r in got} == expected
     assert len(got) == len(files)
