@@ -16,7 +16,6 @@ from ..schemas import (
     DELETE,
     LINUX_MAX_LINKS,
     LINUX_MIN_BYTES,
-    SIGNATURE,
     WINDOWS_MAX_LINKS,
     WINDOWS_MIN_BYTES,
 )
