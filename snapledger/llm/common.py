@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The characters that part words, and a word as a pattern.
@@ -43,3 +43,30 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without columns that an operator is about to add under these names."""
     lowered = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in lowered])
+
+
+def running_sums(
+    df: DataFrame, order: str, values: list[str], descending: bool = False, block: int = 4096
+) -> DataFrame:
+    """Add ``before_<v>``: the sum of ``v`` over the rows before a row in the order of ``order``.
+
+    ``order`` is a whole number that no two rows share. Sums are taken inside blocks of the number
+    range and shifted by the sums of the earlier blocks, so a task holds one block, or one line per
+    block.
+    """
+    place = spare(df, "block")
+    rows = df.withColumn(place, F.expr(f"`{order}` div {block}"))
+    way = lambda c: F.col(f"`{c}`").desc() if descending else F.col(f"`{c}`").asc()
+    earlier = lambda w, c: F.coalesce(
+        F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+    )
+    sums = rows.groupBy(place).agg(*[F.sum(f"`{v}`").alias(f"_sum_{v}") for v in values])
+    across = Window.orderBy(way(place))
+    shifts = sums.select(place, *[earlier(across, f"_sum_{v}").alias(f"_shift_{v}") for v in values])
+    inside = Window.partitionBy(place).orderBy(way(order))
+    local = rows.select("*", *[earlier(inside, f"`{v}`").alias(f"_local_{v}") for v in values])
+    joined = local.join(shifts, place)
+    return joined.select(
+        *[F.col(f"`{c}`") for c in df.columns],
+        *[(F.col(f"_shift_{v}") + F.col(f"_local_{v}")).alias(f"before_{v}") for v in values],
+    )

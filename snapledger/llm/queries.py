@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import stage
-from . import quality_rules
-from .common import table
+from ..session import scratch_path, stage
+from . import classifier, mixing, ngram_join, quality_rules, sampled_pieces, sharding
+from .common import count_words, table
+
+
+def vocabulary(name: str) -> str:
+    """A public vocabulary file: in the folder the setting names, else where the package has it."""
+    folder = os.environ.get("TOKENIZER_DIR")
+    if folder:
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    join = ngram_join.Join(width=4, percent=85)
+    return ngram_join.find_components(documents, join).withColumnRenamed("_key", "doc_id")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +46,56 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    written = sharding.write_shards(documents, scratch_path(spark, "shards"), sharding.Shuffle())
+    content = F.coalesce("text", F.lit("")).cast("binary")
+    return written.select(
+        "doc_id",
+        (F.octet_length(content) + 1).cast("long").alias("size"),
+        F.crc32(content).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    # Staged because several totals are taken of it; the texts are read once.
+    counted = stage(documents.select("doc_id", "source", count_words("text").alias("n_words")), "counted")
+    planned = mixing.schedule(counted, mixing.Mix(), "doc_id", "source", F.col("n_words"))
+    return planned.orderBy(F.get("finish", F.lit(0)).asc_nulls_last(), "doc_id").select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
+    )
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    training = classifier.Training()
+    model = classifier.train(documents, table(spark, sf_dir, "labels"), training, "doc_id", "text")
+    scored = classifier.score(documents, model, training, columns=["doc_id"])
+    return scored.select("doc_id", classifier.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+def op9_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = sampled_pieces.Pieces(vocabulary("piece_bpe_32k.model"))
+    decoded = sampled_pieces.decode(sampled_pieces.encode(documents, pieces), pieces)
+    return decoded.select(
+        "doc_id",
+        F.size("pieces").alias("n_pieces"),
+        "pieces",
+        F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"),
+    )
+
+
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
+    "op3_sharding": op3_sharding,
+    "op5_mixing": op5_mixing,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op9_sampled_pieces": op9_sampled_pieces,
     "op2_quality_rules": op2_quality_rules,
 }
