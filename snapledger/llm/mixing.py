@@ -26,6 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage
 from .common import without
 
 PARTS_DIGITS = 12
@@ -84,9 +85,9 @@ def schedule(df: DataFrame, mix: Mix, key: str, source: str, size: Column) -> Da
         .withColumn("_part", F.shiftrightunsigned("_order", 64 - PARTS_DIGITS))
     )
     rows = without(rows, *RESULTS)
-    slim = rows.select("_source", "_part", "_size")
-    parts = slim.groupBy("_source", "_part").agg(F.sum("_size").alias("_sum"))
-    sizes = slim.groupBy("_source").agg(F.sum("_size").alias("source_size"))
+    # A line per source and part, staged so that sizes are computed for it once.
+    parts = stage(rows.groupBy("_source", "_part").agg(F.sum("_size").alias("_sum")), "parts")
+    sizes = parts.groupBy("_source").agg(F.sum("_sum").alias("source_size"))
     targets = find_targets(sizes, mix)
     earlier = Window.partitionBy("_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

@@ -72,4 +72,66 @@ from s
 """
 
 
-ORACLES = {"op2_quality_rules": quality_rules()}
+def ngram_join() -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = WORDS.replace("text", f"translate(text, '{upper}', '{upper.lower()}')")
+    return rf"""
+with recursive w as (
+    select row_number() over () as rid, doc_id, {words} as w from documents
+), s as (
+    select distinct rid, array_to_string(w[i : i + 3], ' ') as g from w, unnest(range(1, len(w) - 2)) as t(i) where len(w) >= 4
+    union all select rid, array_to_string(w, ' ') || ' ' from w where len(w) between 1 and 3
+), n as (select rid, count(*) as n from s group by rid),
+shared as (select a.rid as a, b.rid as b, count(*) as k from s a join s b on a.g = b.g and a.rid < b.rid group by 1, 2),
+links as (
+    select a, b from shared join n x on x.rid = a join n y on y.rid = b where 100 * k >= 85 * (x.n + y.n - k)
+), both as (select a, b from links union all select b, a from links),
+reach as (select a, b from both union select reach.a, both.b from reach join both on both.a = reach.b),
+least as (select a, min(doc_id) as m from reach join w on w.rid = reach.b group by a)
+select doc_id, coalesce(n.n, 0)::bigint as n_shingles, least(doc_id, coalesce(m, doc_id)) as component_id
+from w left join n on n.rid = w.rid left join least on least.a = w.rid
+"""
+
+
+def syncmers() -> str:
+    return rf"""
+with d as (
+    select doc_id, coalesce(text, '') as body,
+        coalesce(lead(coalesce(text, '')) over (order by doc_id), first(coalesce(text, '')) over (order by doc_id)) as nxt
+    from documents
+), e as (
+    select doc_id, body, length(body) as n,
+        substring(body, 1, length(body) - length(body) // 4) || substring(nxt, 1, length(body) // 4) as edited, nxt from d
+), texts as (
+    select doc_id, 0 as which, body as t from e union all select doc_id, 1, edited from e union all select doc_id, 2, nxt from e
+), p as (
+    select doc_id, which, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w from texts
+), q as (
+    select doc_id, which, list_concat(list_concat(['', '', '', '', '', '', ''], w), ['', '', '', '', '', '', '']) as w
+    from p where len(w) > 0
+), k as (
+    select doc_id, which, w, list_transform(range(1, len(w)), lambda i: md5(w[i] || ' ' || w[i + 1])) as s from q
+), a as (
+    select doc_id, which, list_transform(
+        list_filter(range(1, len(s) - 5), lambda i: least(s[i], s[i + 6]) = list_min(s[i : i + 6])),
+        lambda i: left(md5(array_to_string(w[i : i + 7], ' ')), 8)) as f from k
+), f as (
+    select e.doc_id, e.n, e.edited, coalesce(x.f, []) as x, coalesce(y.f, []) as y, coalesce(z.f, []) as z
+    from e left join a x on x.doc_id = e.doc_id and x.which = 0 left join a y on y.doc_id = e.doc_id and y.which = 1
+    left join a z on z.doc_id = e.doc_id and z.which = 2
+), g as (select *, list_distinct(x) as xs, list_distinct(y) as ys, list_distinct(z) as zs from f)
+select doc_id, n::bigint as n_chars, sha256(edited) as edited_sha256, array_to_string(x, '') as fingerprint,
+    array_to_string(y, '') as edited_fingerprint,
+    case when len(xs) + len(ys) = 0 then 1.0::double
+        else (2 * len(list_intersect(xs, ys)))::double / (len(xs) + len(ys)) end as near_edited,
+    case when len(xs) + len(zs) = 0 then 1.0::double
+        else (2 * len(list_intersect(xs, zs)))::double / (len(xs) + len(zs)) end as near_next
+from g
+"""
+
+
+ORACLES = {
+    "op1_ngram_join": ngram_join(),
+    "op2_quality_rules": quality_rules(),
+    "op8_syncmers": syncmers(),
+}

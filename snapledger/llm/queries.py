@@ -8,7 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, stage
-from . import classifier, mixing, ngram_join, quality_rules, sampled_pieces, sharding
+from . import (
+    chat_format,
+    classifier,
+    mixing,
+    ngram_join,
+    quality_rules,
+    sampled_pieces,
+    sharding,
+    style_tree,
+    syncmers,
+    token_counts,
+)
 from .common import count_words, table
 
 
@@ -63,7 +74,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    # Staged because several totals are taken of it; the texts are read once.
+    # Staged because totals are taken of it before the rows are placed; the texts are read once.
     counted = stage(documents.select("doc_id", "source", count_words("text").alias("n_words")), "counted")
     planned = mixing.schedule(counted, mixing.Mix(), "doc_id", "source", F.col("n_words"))
     return planned.orderBy(F.get("finish", F.lit(0)).asc_nulls_last(), "doc_id").select(
@@ -91,11 +102,42 @@ def op9_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    documents = table(spark, sf_dir, "documents").select("text")
+    encoding = token_counts.Encoding(vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    # Staged, as the sums run over the histogram twice.
+    lengths = stage(token_counts.encoded_lengths(documents, encoding, columns=[]), "lengths")
+    return token_counts.histogram(lengths)
+
+
+def op6_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = style_tree.extract(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op8_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.compare_edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    transcripts = chat_format.as_transcripts(table(spark, sf_dir, "conversations"))
+    lines = stage(chat_format.lines_of(transcripts, keep=("role",)), "lines")
+    model = chat_format.fit(lines.where(F.crc32(F.col("conv").cast("string")) % 5 != 0))
+    turns = chat_format.render(chat_format.recover(lines, model))
+    return turns.withColumn("conv_id", F.col("conv").cast("long")).drop("conv")
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_quality_rules": op2_quality_rules,
     "op3_sharding": op3_sharding,
+    "op4_token_counts": op4_token_counts,
     "op5_mixing": op5_mixing,
+    "op6_style_tree": op6_style_tree,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_syncmers": op8_syncmers,
     "op9_sampled_pieces": op9_sampled_pieces,
-    "op2_quality_rules": op2_quality_rules,
+    "op10_chat_format": op10_chat_format,
 }
