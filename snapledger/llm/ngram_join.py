@@ -19,8 +19,8 @@ in the same way, without up to two. So a key shared by many documents means trul
 Equal sets form a class by a 128-bit signature and are compared once. Within a key, classes are
 first compared to the key's first class only, which ties groups of near copies together in a number
 of comparisons that is linear in the group. After components are found, keys whose classes fall
-into several components are taken up again: first star by star with changing centres, at last with
-every pair of different components. A pair above the similarity therefore always ends up in one
+into several components are taken up again: star by star with changing centres as long as they
+make many pairs, at last with every pair of different components. A pair above the similarity therefore always ends up in one
 component, and no bucket, group or list of partners is cut.
 
 Memory: keys are read in sorted order and only the current group's first line is held. Sets of
@@ -47,10 +47,11 @@ from pyspark.sql import functions as F
 from ..session import stage
 from .common import without
 from .components import stars
-from .shingles import ODD, STEP, U, mix64, shingle_sets, signature
+from .shingles import ODD, STEP, U, mix64, ranges, shingle_parts, signatures
 
 SEEN_SETS = 1 << 18
 STAR_ROUNDS = 4
+PAIRS_PER_ROW = 16
 
 
 @dataclass(frozen=True)
@@ -79,121 +80,112 @@ def digests(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, first, second = [], [], []
-            for found in shingle_sets(batch.column("_text"), width):
-                one, two = signature(found)
-                sizes.append(len(found))
-                first.append(one)
-                second.append(two)
-            yield pa.record_batch(
-                [batch.column("_key"), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64())],
-                names=["_key", "n_shingles", "sig", "sig2"],
-            )
+            parts = [(np.diff(b), *signatures(v, b)) for v, b in shingle_parts(batch.column("_text"), width)]
+            columns = [pa.array(np.concatenate(c), pa.int64()) for c in zip(*parts, strict=True)]
+            if columns:
+                yield pa.record_batch([batch.column("_key"), *columns], names=["_key", "n_shingles", "sig", "sig2"])
 
     return run
 
 
-def deleted(tokens: np.ndarray, errors: int) -> list[tuple[np.uint64, int]]:
-    """(XOR, count) of the tokens without any ``errors`` of them or fewer."""
+def deleted(tokens: np.ndarray, errors: int) -> np.ndarray:
+    """XOR of the tokens without any ``errors`` of them or fewer."""
     whole = np.bitwise_xor.reduce(tokens) if len(tokens) else U(0)
-    return [
-        (whole ^ np.bitwise_xor.reduce(np.array(out, dtype=np.uint64)) if out else whole, len(tokens) - gone)
-        for gone in range(min(errors, len(tokens)) + 1)
-        for out in combinations(tokens.tolist(), gone)
-    ]
-
-
-def band_keys(found: np.ndarray, band: int, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of one band, and 16 parity bits of the word after each."""
-    at = ((found >> U(32)) % U(count)).astype(np.int64)
-    order = np.argsort(at, kind="stable")
-    tokens, held = mix64(found[order]), np.bincount(at, minlength=count)
+    gone = [out for n in range(min(errors, len(tokens)) + 1) for out in combinations(tokens.tolist(), n)]
+    left = [whole ^ np.bitwise_xor.reduce(np.array(out, dtype=np.uint64)) if out else whole for out in gone]
+    return np.array(left, dtype=np.uint64)
+
+
+def sketch_keys(
+    values: np.ndarray, bounds: np.ndarray, bands: np.ndarray, counts: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of many sketches at once, 16 parity bits of the word after each, and whose they are.
+
+    Sketch ``i`` holds the shingles between bounds ``i`` and ``i + 1`` in ``counts[i]`` words.
+    """
+    sizes = np.diff(bounds)
+    base = np.cumsum(counts) - counts
+    at = ((values >> U(32)) % np.repeat(counts.astype(np.uint64), sizes)).astype(np.int64) + np.repeat(base, sizes)
+    total = int(counts.sum())
+    order = np.argsort(at)
+    tokens, held = mix64(values[order]), np.bincount(at, minlength=total)
     begin = np.cumsum(held) - held
     full = np.flatnonzero(held)
-    words, parity = np.zeros(count, dtype=np.uint64), np.zeros(count, dtype=np.uint64)
+    words, parity = np.zeros(total, dtype=np.uint64), np.zeros(total, dtype=np.uint64)
     words[full] = np.bitwise_xor.reduceat(tokens, begin[full])
     parity[full] = np.bitwise_xor.reduceat(U(1) << (tokens & U(15)), begin[full])
-    place = mix64(np.array([band], dtype=np.uint64) * STEP + np.arange(count, dtype=np.uint64) * ODD)
-    keys = mix64(words ^ place)
-    if count == 1:
-        return keys, np.zeros(1, np.uint64)
-    near = np.roll(parity, -1)
-    weak = np.flatnonzero(held <= 1)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    inside = np.arange(total) - base[owner]
+    place = bands[owner].astype(np.uint64) * STEP + inside.astype(np.uint64) * ODD
+    keys = mix64(words ^ mix64(place))
+    after = np.where(inside + 1 < counts[owner], np.arange(total) + 1, base[owner])
+    alone = counts[owner] == 1
+    near = np.where(alone, U(0), parity[after])
+    weak = np.flatnonzero((held <= 1) & ~alone)
     if not len(weak):
-        return keys, near
+        return keys, near, owner
     # The next word as it is, then without one of its shingles each.
-    after = (weak + 1) % count
-    many = held[after]
-    owner = np.repeat(np.arange(len(weak)), many)
-    inside = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
-    forms = np.concatenate([words[after], words[after][owner] ^ tokens[begin[after][owner] + inside]])
-    left = np.concatenate([many, many[owner] - 1])
-    owner = np.concatenate([np.arange(len(weak)), owner])
-    long = mix64(keys[weak][owner] ^ mix64(forms + ODD))
-    owned = near[weak][owner]
-    thin = np.flatnonzero(left <= 1) if count > 2 else []
-    if len(thin):  # rare: the word after the next joins the key as well
-        strong = np.ones(len(long), dtype=bool)
-        strong[thin] = False
-        more, more_near = [], []
-        for t in thin.tolist():
-            j = (int(weak[owner[t]]) + 2) % count
-            far = deleted(tokens[begin[j] : begin[j] + held[j]], 2)
-            more.append(mix64(long[t] ^ mix64(np.array([x for x, _ in far], dtype=np.uint64) + STEP)))
-            more_near.append(np.full(len(far), owned[t]))
-        long = np.concatenate([long[strong], *more])
-        owned = np.concatenate([owned[strong], *more_near])
-    firm = held > 1
-    return np.concatenate([keys[firm], long]), np.concatenate([near[firm], owned])
-
-
-def sketch_keys(join: Join):
+    following = after[weak]
+    many = held[following]
+    source = np.repeat(np.arange(len(weak)), many)
+    nth = np.arange(len(source)) - np.repeat(np.cumsum(many) - many, many)
+    forms = np.concatenate([words[following], words[following][source] ^ tokens[begin[following][source] + nth]])
+    left = np.concatenate([many, many[source] - 1])
+    source = np.concatenate([np.arange(len(weak)), source])
+    long, whose = mix64(keys[weak][source] ^ mix64(forms + ODD)), weak[source]
+    thin = np.flatnonzero((left <= 1) & (counts[owner[whose]] > 2))
+    more, more_whose = [], []
+    for t in thin.tolist():  # rare: the word after the next joins the key as well
+        j = int(after[after[whose[t]]])
+        far = deleted(tokens[begin[j] : begin[j] + held[j]], 2)
+        more.append(mix64(long[t] ^ mix64(far + STEP)))
+        more_whose.append(np.full(len(far), whose[t]))
+    strong = np.ones(len(long), dtype=bool)
+    strong[thin] = False
+    firm = (held > 1) | alone
+    from_ = np.concatenate([np.flatnonzero(firm), whose[strong], *more_whose])
+    return np.concatenate([keys[firm], long[strong], *more]), near[from_], owner[from_]
+
+
+def key_rows(join: Join):
     """Task function: a row per key of every distinct set; ``next`` is folded from the next word."""
-    starts = join.starts()
-
-    def of(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        size = len(found)
-        low = int(np.searchsorted(starts, size, side="right")) - 1
-        high = int(np.searchsorted(starts, size * 100 // join.percent, side="right")) - 1
-        parts = [band_keys(found, band, join.words(band, starts)) for band in range(low, high + 1)]
-        return np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts])
+    starts = np.array(join.starts())
+    words = np.array([join.words(b, starts.tolist()) for b in range(len(starts) - 1)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            held, size = [], 0
-            for found in shingle_sets(batch.column("_text"), join.width):
-                if not len(found):
+            for values, bounds in shingle_parts(batch.column("_text"), join.width):
+                sizes = np.diff(bounds)
+                one, two = signatures(values, bounds)
+                chosen = []
+                for row, name in enumerate(zip(one.tolist(), two.tolist(), strict=True)):
+                    # Copies that this task has met send their keys once.
+                    if sizes[row] and name not in seen:
+                        if len(seen) >= SEEN_SETS:
+                            seen.clear()
+                        seen.add(name)
+                        chosen.append(row)
+                rows = np.array(chosen, dtype=np.int64)
+                low = np.searchsorted(starts, sizes[rows], side="right") - 1
+                high = np.searchsorted(starts, sizes[rows] * 100 // join.percent, side="right") - 1
+                again = high - low + 1
+                rows, bands = np.repeat(rows, again), ranges(low, again)
+                if not len(rows):
                     continue
-                name = signature(found)
-                if name in seen:  # copies met by this task send their keys once
-                    continue
-                if len(seen) >= SEEN_SETS:
-                    seen.clear()
-                seen.add(name)
-                keys, near = of(found)
-                held.append((keys, near, name[0]))
-                size += len(keys)
-                if size >= 1 << 17:
-                    yield key_batch(held)
-                    held, size = [], 0
-            if held:
-                yield key_batch(held)
+                held = np.append(0, np.cumsum(sizes[rows]))
+                keys, near, owner = sketch_keys(values[ranges(bounds[rows], sizes[rows])], held, bands, words[bands])
+                columns = [keys.view(np.int64), one[rows][owner], near.astype(np.int32)]
+                yield pa.record_batch([pa.array(c) for c in columns], names=["key", "sig", "next"])
 
     return run
 
 
-def key_batch(held: list) -> pa.RecordBatch:
-    keys = np.concatenate([k for k, _, _ in held]).view(np.int64)
-    near = np.concatenate([n for _, n, _ in held]).astype(np.int32)
-    names = np.repeat(np.array([s for _, _, s in held], dtype=np.int64), [len(k) for k, _, _ in held])
-    return pa.record_batch([pa.array(keys), pa.array(names), pa.array(near)], names=["key", "sig", "next"])
-
-
 def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Task function over rows sorted by (key, sig): rows of keys with two sets or more.
 
-    Adds the first set of the key and its ``next``. One line is held between batches.
+    Adds the first set of the key and its ``next``. One line is held between batches. A set may
+    come twice where a batch ends.
     """
     names = ["key", "first", "first_next", "sig", "next"]
     held = None  # key, sig, next of the open group's first line; whether it has been sent
@@ -234,29 +226,26 @@ def near_words(one: str, two: str) -> Column:
     return F.bit_count(F.col(one).bitwiseXOR(F.col(two))) <= 1
 
 
-def similar(join: Join, shared: Column, one: Column, two: Column) -> Column:
-    return 100 * shared >= join.percent * (one + two - shared)
-
-
 def sizes_fit(join: Join, one: str, two: str) -> Column:
     return 100 * F.least(one, two) >= join.percent * F.greatest(one, two)
 
 
-def fetch_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
-    """(sig, set) for the wanted classes, computed from a text of each."""
-    spokes = classes.join(wanted.distinct(), "sig", "left_semi").select("rep", F.col("sig").alias("_sig"))
+def fetch_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, join: Join) -> DataFrame:
+    """(sig, set) for the classes in ``pairs``, computed from a text of each."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    spokes = classes.join(wanted, "sig", "left_semi").select("rep", F.col("sig").alias("_sig"))
     texts = docs.join(spokes, F.col("_key").eqNullSafe(F.col("rep"))).select("_text", "_sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sigs, sets = [], []
-            for found, sig in zip(
-                shingle_sets(batch.column("_text"), join.width), batch.column("_sig").to_pylist(), strict=True
-            ):
-                if signature(found)[0] == sig:  # a repeated key may also name other texts
-                    sigs.append(sig)
-                    sets.append(found.tobytes())
-            yield pa.record_batch([pa.array(sigs, pa.int64()), pa.array(sets, pa.binary())], names=["sig", "found"])
+            wanted_sigs, at = batch.column("_sig").to_numpy(), 0
+            for values, bounds in shingle_parts(batch.column("_text"), join.width):
+                own = wanted_sigs[at : at + len(bounds) - 1]
+                at += len(own)
+                # A repeated key may also name other texts.
+                same = np.flatnonzero(signatures(values, bounds)[0] == own)
+                sets = [values[bounds[i] : bounds[i + 1]].tobytes() for i in same.tolist()]
+                yield pa.record_batch([pa.array(own[same]), pa.array(sets, pa.binary())], names=["sig", "found"])
 
     rows = texts.mapInArrow(run, "sig long, found binary")
     return stage(rows.dropDuplicates(["sig"]), "sets")
@@ -281,39 +270,42 @@ def verify(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def open_pairs(shared: DataFrame, roots: DataFrame, classes: DataFrame, join: Join, turn: int | None) -> DataFrame:
-    """Pairs of classes that share a key but no component yet.
-
-    With a ``turn``, every class is paired with one centre of its key, another one each turn;
-    without, with all classes of other components.
-    """
-    sizes = classes.select("sig", "n")
+def open_members(shared: DataFrame, roots: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(key, sig, next, n, root) of the keys whose sets are not all in one component yet."""
     named = (
-        shared.join(roots, F.col("sig") == F.col("node"), "left")
-        .withColumn("root", F.coalesce("root", "sig"))
-        .select("key", "sig", "next", "root")
-        .join(sizes, "sig")
-    )
-    spread = named.groupBy("key").agg(
-        F.min("root").alias("_low"),
-        F.max("root").alias("_high"),
-        F.min_by(F.struct("sig", "next", "root", "n"), F.xxhash64("sig", F.lit(turn or 0))).alias("c"),
+        shared.select("key", "sig", "next")
+        .join(roots, F.col("sig") == F.col("node"), "left")
+        .select("key", "sig", "next", F.coalesce("root", "sig").alias("root"))
     )
-    spread = spread.where("_low <> _high").drop("_low", "_high")
+    mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    return named.join(mixed.select("key"), "key", "left_semi").join(sizes, "sig").distinct()
+
+
+def open_pairs(members: DataFrame, join: Join, turn: int | None) -> DataFrame:
+    """Pairs of sets that share a key but no component yet.
+
+    With a ``turn``, every set is paired with one centre of its key, another one each turn;
+    without, with all sets of other components.
+    """
+    sides = [members.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("sig", "next", "root", "n")]) for side in "ab"]
     if turn is not None:
-        both = named.join(spread, "key").select(
-            F.col("sig").alias("a"), F.col("next").alias("a_next"), F.col("root").alias("a_root"), F.col("n").alias("a_n"),
-            F.col("c.sig").alias("b"), F.col("c.next").alias("b_next"), F.col("c.root").alias("b_root"), F.col("c.n").alias("b_n"),
-        ).where("a_root <> b_root")
+        centre = F.min_by(F.struct("b_sig", "b_next", "b_root", "b_n"), F.xxhash64("b_sig", F.lit(turn)))
+        sides[1] = sides[1].groupBy("key").agg(centre.alias("c")).select("key", "c.*")
+        both = sides[0].join(sides[1], "key").where("a_root <> b_root")
     else:
-        left = named.join(spread.select("key"), "key", "left_semi").select(
-            "key", *[F.col(c).alias(f"a_{c}") for c in ("sig", "next", "root", "n")]
-        )
-        right = left.select("key", *[F.col(f"a_{c}").alias(f"b_{c}") for c in ("sig", "next", "root", "n")])
-        both = left.join(right, "key").where("a_sig < b_sig and a_root <> b_root")
-        both = both.withColumnRenamed("a_sig", "a").withColumnRenamed("b_sig", "b")
+        both = sides[0].join(sides[1], "key").where("a_sig < b_sig and a_root <> b_root")
     fitting = both.where(near_words("a_next", "b_next") & sizes_fit(join, "a_n", "b_n"))
-    return fitting.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return fitting.select(F.least("a_sig", "b_sig").alias("a"), F.greatest("a_sig", "b_sig").alias("b")).distinct()
+
+
+def first_pairs(shared: DataFrame, sizes: DataFrame, join: Join) -> DataFrame:
+    """Every set with the first one of each of its keys."""
+    near = shared.where(F.col("first") != F.col("sig")).where(near_words("first_next", "next"))
+    pairs = near.select(F.least("first", "sig").alias("a"), F.greatest("first", "sig").alias("b")).distinct()
+    sized = pairs.join(sizes.select(F.col("sig").alias("a"), F.col("n").alias("a_n")), "a").join(
+        sizes.select(F.col("sig").alias("b"), F.col("n").alias("b_n")), "b"
+    )
+    return sized.where(sizes_fit(join, "a_n", "b_n")).select("a", "b")
 
 
 def find_components(df: DataFrame, join: Join, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -328,39 +320,31 @@ def find_components(df: DataFrame, join: Join, key: str = "doc_id", text: str =
         .agg(F.min("_key").alias("rep")),
         "classes",
     )
-    keys = docs.mapInArrow(sketch_keys(join), "key long, sig long, next int")
+    keys = docs.mapInArrow(key_rows(join), "key long, sig long, next int")
     shared = stage(
         keys.repartition("key").sortWithinPartitions("key", "sig").mapInArrow(shared_keys, SHARED), "shared"
     )
     sizes = classes.select("sig", "n")
-    first = (
-        shared.where(F.col("first") != F.col("sig"))
-        .where(near_words("first_next", "next"))
-        .select(F.least("first", "sig").alias("a"), F.greatest("first", "sig").alias("b"))
-        .distinct()
-        .join(sizes.select(F.col("sig").alias("a"), F.col("n").alias("a_n")), "a")
-        .join(sizes.select(F.col("sig").alias("b"), F.col("n").alias("b_n")), "b")
-        .where(sizes_fit(join, "a_n", "b_n"))
-        .select("a", "b")
-    )
-    sets = fetch_sets(docs, classes, shared.select("sig"), join)
-    links = stage(verify(first, sets, join), "links")
-    roots = stars(links)
-    tested = None
-    for turn in [*range(1, STAR_ROUNDS + 1), None]:
-        pairs = open_pairs(shared, roots, classes, join, turn)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+    tested = stage(first_pairs(shared, sizes, join), "pairs")
+    links = stage(verify(tested, fetch_sets(docs, classes, tested, join), join), "links")
+    roots = stage(stars(links), "roots")
+    for turn in range(1, STAR_ROUNDS + 2):
+        members = stage(open_members(shared, roots, sizes), "open")
+        groups = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+        many = groups.agg(F.sum("c").alias("rows"), F.sum(F.expr("c * (c - 1) div 2")).alias("pairs")).first()
+        if not many["rows"]:
+            break
+        # Only how many pairs there are at most decides when all of them are taken.
+        last = turn > STAR_ROUNDS or many["pairs"] <= PAIRS_PER_ROW * many["rows"]
+        pairs = open_pairs(members, join, None if last else turn).join(tested, ["a", "b"], "left_anti")
         pairs = stage(pairs, "pairs")
-        if pairs.isEmpty():
-            if turn is None:
-                break
-            continue
-        tested = pairs if tested is None else stage(tested.unionByName(pairs), "tested")
-        more = stage(verify(pairs, sets, join), "more")
+        more = stage(verify(pairs, fetch_sets(docs, classes, pairs, join), join), "more")
         if not more.isEmpty():
-            links = stage(links.unionByName(more), "links")
-            roots = stars(links)
+            joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
+            roots = stage(stars(joined), "roots")
+        if last:
+            break
+        tested = stage(tested.unionByName(pairs), "tested")
     named = classes.join(roots, F.col("sig") == F.col("node"), "left").withColumn(
         "root", F.coalesce("root", "sig")
     )

@@ -85,8 +85,8 @@ with recursive w as (
 shared as (select a.rid as a, b.rid as b, count(*) as k from s a join s b on a.g = b.g and a.rid < b.rid group by 1, 2),
 links as (
     select a, b from shared join n x on x.rid = a join n y on y.rid = b where 100 * k >= 85 * (x.n + y.n - k)
-), both as (select a, b from links union all select b, a from links),
-reach as (select a, b from both union select reach.a, both.b from reach join both on both.a = reach.b),
+), edges as (select a, b from links union all select b, a from links),
+reach as (select a, b from edges union select reach.a, edges.b from reach join edges on edges.a = reach.b),
 least as (select a, min(doc_id) as m from reach join w on w.rid = reach.b group by a)
 select doc_id, coalesce(n.n, 0)::bigint as n_shingles, least(doc_id, coalesce(m, doc_id)) as component_id
 from w left join n on n.rid = w.rid left join least on least.a = w.rid

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import spare, without
-from .shingles import ODD, STEP, U, mix64, powers, text_parts
+from .shingles import ODD, STEP, U, mix64, powers, ranges, text_parts
 
 SHIFT = 10
 BATCH_BYTES = 4 << 20
@@ -138,13 +138,6 @@ def load(pieces: Pieces) -> Trie:
     )
 
 
-def ranges(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The numbers begin, begin + 1, ... of every range, one range after the other."""
-    ends = np.cumsum(lengths)
-    total = int(ends[-1]) if len(ends) else 0
-    return np.arange(total) + np.repeat(begins - (ends - lengths), lengths)
-
-
 def lattice(trie: Trie, data: np.ndarray, left: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Edges over ``data`` by length from 1 on: starts and pieces; ``left`` is what a segment still has."""
     found = [(np.arange(len(data)), trie.one_byte[data])]

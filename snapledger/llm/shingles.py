@@ -62,6 +62,13 @@ def text_parts(column: pa.Array, size: int = BLOCK) -> Iterator[tuple[np.ndarray
         first = end
 
 
+def ranges(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers begin, begin + 1, ... of every range, one range after the other."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.arange(total) + np.repeat(begins - (ends - lengths), lengths)
+
+
 def hash_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word, and the number of words before each bound."""
     hashes, places, begin, size = [], [], 0, len(data)
@@ -94,29 +101,49 @@ def hash_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.concatenate(hashes), np.searchsorted(np.concatenate(places), bounds)
 
 
-def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
-    """Distinct shingles of a word sequence, sorted; a shorter sequence is one shingle."""
-    n = len(words)
-    if n == 0:
-        return words
-    if n < width:
-        return mix64((words * PLACE_FACTOR[:n]).sum(keepdims=True) + U(n))
-    total = words[: n - width + 1] * PLACE_FACTOR[0]
-    for j in range(1, width):
-        total = total + words[j : n - width + 1 + j] * PLACE_FACTOR[j]
-    return np.unique(mix64(total + U(width)))
+def shingle_parts(column: pa.Array, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct shingles of every text of a column, in order: (values, bounds) of runs of texts.
 
-
-def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
-    """The shingle set of every text of a column, in order."""
+    A text's values are sorted. A text with fewer words than ``width`` is one shingle.
+    """
     for data, bounds, _ in text_parts(column):
         words, before = hash_words(data, bounds)
-        for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True):
-            yield shingle_set(words[a:b], width)
+        yield distinct_shingles(words, before, width)
 
 
-def signature(found: np.ndarray) -> tuple[int, int]:
-    """128 bits that stand for a set, as two signed numbers."""
-    sums = np.array([mix64(found ^ ODD).sum(), mix64(found + STEP).sum()], dtype=np.uint64)
-    first, second = sums.view(np.int64).tolist()
-    return first, second
+def distinct_shingles(words: np.ndarray, before: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    counts = np.diff(before)
+    windows = max(0, len(words) - width + 1)
+    total = words[:windows] * PLACE_FACTOR[0]
+    for j in range(1, width):
+        total += words[j : windows + j] * PLACE_FACTOR[j]
+    total = mix64(total + U(width))
+    sizes = np.where(counts >= width, counts - width + 1, np.minimum(counts, 1))
+    ends = np.cumsum(sizes)
+    found = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.uint64)
+    for a, n, size, end in zip(before[:-1].tolist(), counts.tolist(), sizes.tolist(), ends.tolist(), strict=True):
+        if n >= width:
+            found[end - size : end] = np.sort(total[a : a + size])
+        elif n:
+            found[end - 1 : end] = mix64((words[a : a + n] * PLACE_FACTOR[:n]).sum(keepdims=True) + U(n))
+    fresh = np.ones(len(found), dtype=bool)
+    fresh[1:] = found[1:] != found[:-1]
+    begins = ends - sizes
+    fresh[begins[sizes > 0]] = True
+    kept = np.append(0, np.cumsum(fresh))
+    return found[fresh], kept[np.append(begins, len(found))]
+
+
+def segment_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sum of the values between neighbouring bounds, 0 of nothing."""
+    sums = np.zeros(len(bounds) - 1, dtype=values.dtype)
+    full = np.flatnonzero(np.diff(bounds))
+    if len(full):
+        sums[full] = np.add.reduceat(values, bounds[full])
+    return sums
+
+
+def signatures(found: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that stand for each set, as two columns of signed numbers."""
+    one = segment_sums(mix64(found ^ ODD), bounds).view(np.int64)
+    return one, segment_sums(mix64(found + STEP), bounds).view(np.int64)

@@ -76,13 +76,14 @@ def with_next(df: DataFrame, key: str, values: list[str]) -> DataFrame:
 
     ``_key`` and ``_tie`` order the rows; both are dropped again.
     """
-    ordered = df.withColumn("_key", F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-(2**63)).cast("long")))
-    stats = ordered.agg(F.min("_key").alias("low"), F.max("_key").alias("high"), F.count(F.lit(1)).alias("n")).first()
+    number = F.col(f"`{key}`").cast("decimal(20,0)")
+    stats = df.agg(F.min(number).alias("low"), F.max(number).alias("high"), F.count(F.lit(1)).alias("n")).first()
     blocks = max(1, min(MAX_BLOCKS, stats["n"] // BLOCK_ROWS))
-    low, high = (stats["low"], stats["high"]) if stats["n"] else (0, 0)
-    width = (high - low) // blocks + 1
-    number = (F.col("_key").cast("decimal(38,0)") - F.lit(low).cast("decimal(38,0)")) / F.lit(width)
-    ordered = ordered.withColumn("_block", F.floor(number).cast("long"))
+    low = int(stats["low"] or 0) - 1  # the place of null keys
+    width = (int(stats["high"] or 0) - low) // blocks + 1
+    exact = lambda n: F.lit(str(n)).cast("decimal(20,0)")
+    ordered = df.withColumn("_key", F.coalesce(number, exact(low)))
+    ordered = ordered.withColumn("_block", F.floor((F.col("_key") - exact(low)) / exact(width)).cast("long"))
     # At most MAX_BLOCKS lines: the first key of every block, and the block before it.
     firsts = ordered.groupBy("_block").agg(F.min("_key").alias("_key"))
     line = Window.orderBy("_block")
