@@ -32,6 +32,27 @@ def parent_path(path: Column) -> Column:
     return F.when(cut > 0, F.substr(path, F.lit(1), cut)).otherwise(F.lit(""))
 
 
+def normal_path(path: Column) -> Column:
+    """The path without ``.``, ``..``, doubled or trailing slashes, by its text alone.
+
+    ``..`` above the root is dropped; above a relative path it stays.
+    """
+    absolute = path.startswith("/")
+    start = F.array().cast("array<string>")
+    up = F.lit("..")
+
+    def add(kept: Column, part: Column) -> Column:
+        none, last = F.size(kept) == 0, F.element_at(F.concat(F.array(F.lit("")), kept), -1)
+        climbed = F.when(none & absolute, kept).when(none | (last == up), F.concat(kept, F.array(up)))
+        shorter = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
+        return F.when(part.isin("", "."), kept).when(part == up, climbed.otherwise(shorter)).otherwise(
+            F.concat(kept, F.array(part))
+        )
+
+    joined = F.array_join(F.aggregate(F.split(path, "/"), start, add), "/")
+    return F.when(absolute, F.concat(F.lit("/"), joined)).when(joined == "", F.lit(".")).otherwise(joined)
+
+
 def file_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 

@@ -14,8 +14,9 @@ from ..schemas import (
     LINUX_MIN_BYTES,
 )
 from ..session import stage
-from .lookup import BLOB_ORDER, blobs, content_capacity
-from .skew import HOT_ROWS, attach, bucket, count_rows, cut_to, running_before, running_total
+from .lookup import BLOB_ORDER, blobs, content_capacity, hash_is_set
+from .skew import BROADCAST_ROWS, HOT_ROWS, attach, bucket, count_rows, cut_to, running_before, running_total
+
 
 def number_per_hash(
     files: DataFrame, held: DataFrame, any_hot: bool, hot_rows: int = HOT_ROWS
@@ -23,61 +24,51 @@ def number_per_hash(
     """``files`` with ``nth`` within the hash and the columns of ``held`` but ``n_new``.
 
     ``held`` has a line for each hash with something to add, and for every hash with more than
-    ``hot_rows`` new rows. Rows are numbered by (snapshot, file). Hot hashes are instead numbered
-    in parts, see ``_number_in_parts``; without any the plan is one shuffle of the rows.
+    ``hot_rows`` new rows. Rows are numbered by (snapshot, bucket of the file, file); ``any_hot``
+    only picks the plan: one shuffle of the rows, or numbering in parts.
     """
     by_hash = held.drop("n_new", "n_room")
     if not any_hot:
-        order = Window.partitionBy("hash").orderBy("snapshot", "file")
+        order = Window.partitionBy("hash").orderBy("snapshot", bucket("file"), "file")
         numbered = files.withColumn("nth", F.row_number().over(order).cast("long"))
         return numbered.join(by_hash, "hash", "left")
     return _number_in_parts(files, held, hot_rows)
 
 
 def _number_in_parts(files: DataFrame, held: DataFrame, hot_rows: int) -> DataFrame:
-    """Numbering when some hashes have more rows than one task should sort.
+    """The same numbers when some hashes have more rows than one task should sort.
 
-    Their rows are numbered inside (snapshot, bucket of the file name), thousands of independent
-    parts, and shifted by the counts of the earlier parts. The order of a hot hash is: snapshot; in
-    the earliest snapshot the smallest file; bucket; file. There are at most count / hot_rows hot
-    hashes, so the table of them can be broadcast. Per-hash values travel with the parts, so no
-    join has a hot hash as its group either.
+    Their rows are numbered inside (snapshot, bucket), thousands of independent parts, and shifted
+    by the counts of the earlier parts: of earlier snapshots, of which a hash has one line each, and
+    of the snapshot's earlier buckets. The limit rises with the number of rows, so the table of hot
+    hashes stays below ``BROADCAST_ROWS`` lines. Per-hash values travel with the parts, so no join
+    has a hot hash as its group either.
     """
     by_hash = held.drop("n_new", "n_room")
-    hot = held.where(F.col("n_new") > hot_rows)
+    total = held.agg(F.coalesce(F.sum(F.when(F.col("n_new") > hot_rows, F.col("n_new"))), F.lit(0))).first()[0]
+    limit = max(hot_rows, total // BROADCAST_ROWS)
+    hot = held.where(F.col("n_new") > limit)
     flags = F.broadcast(hot.select("hash", F.lit(True).alias("_hot")))
-    part = F.concat_ws("/", "snapshot", bucket("file"))
     rows = files.join(flags, "hash", "left").withColumn(
-        "_part", F.when(F.col("_hot"), part).otherwise("")
-    )
-    sizes = (
-        rows.where("_hot")
-        .groupBy("hash", "snapshot", "_part")
-        .agg(F.count(F.lit(1)).alias("_rows"), F.min("file").alias("_min_file"))
+        "_part", F.when(F.col("_hot"), F.concat_ws("/", "snapshot", bucket("file"))).otherwise("")
     )
-    # from here on a hash has at most one line per snapshot and bucket
-    lead = F.min(F.struct("snapshot", "_min_file", "_part")).over(Window.partitionBy("hash"))
+    sizes = count_rows(rows.where("_hot"), ["hash", "snapshot", "_part"], "_rows")
+    per_snapshot = sizes.groupBy("hash", "snapshot").agg(F.sum("_rows").alias("_sum"))
+    earlier = per_snapshot.withColumn("_earlier", running_before("_sum", ["hash"], ["snapshot"]))
     parts = (
-        sizes.withColumn("_before", running_before("_rows", ["hash"], ["snapshot", "_part"]))
-        .withColumn("_lead", lead)
-        .drop("snapshot", "_rows", "_min_file")
+        sizes.withColumn("_inside", running_before("_rows", ["hash", "snapshot"], ["_part"]))
+        .join(earlier.drop("_sum"), ["hash", "snapshot"])
+        .select("hash", "_part", (F.col("_earlier") + F.col("_inside")).alias("_before"))
         .join(F.broadcast(hot.select(*by_hash.columns)), "hash")
     )
-    rest = held.where(F.col("n_new") <= hot_rows).select(*by_hash.columns)
-    whole = rest.withColumn("_part", F.lit(""))
-    places = parts.unionByName(whole, allowMissingColumns=True)
+    rest = held.where(F.col("n_new") <= limit).select(*by_hash.columns)
+    places = parts.unionByName(rest.withColumn("_part", F.lit("")), allowMissingColumns=True)
 
-    order = Window.partitionBy("hash", "_part").orderBy("snapshot", "file")
+    order = Window.partitionBy("hash", "_part").orderBy("snapshot", bucket("file"), "file")
     numbered = rows.withColumn("_local", F.row_number().over(order)).join(
         places, ["hash", "_part"], "left"
     )
-    in_lead = F.col("snapshot") == F.col("_lead.snapshot")
-    moved = F.when(in_lead & (F.col("_part") < F.col("_lead._part")), 1).otherwise(0)
-    nth = (
-        F.when(F.col("_lead").isNull(), F.col("_local"))
-        .when(in_lead & (F.col("file") == F.col("_lead._min_file")), 1)
-        .otherwise(F.col("_before") + F.col("_local") + moved)
-    )
+    nth = F.coalesce("_before", F.lit(0)) + F.col("_local")
     carried = [c for c in by_hash.columns if c != "hash"]
     return numbered.select(*files.columns, nth.cast("long").alias("nth"), *carried)
 
@@ -103,7 +94,7 @@ def assign_blobs(
     hash), so the manifest is scanned once and the plan can follow what was found: numbering in
     parts only if a hash is hot, filling of older blobs only if one runs over.
     """
-    has_hash = F.coalesce(F.col("hash") != "", F.lit(False))
+    has_hash = hash_is_set(F.col("hash"))
     decided = assign_hashed(
         files.where(has_hash), manifest, run, max_links, min_bytes, stored, hot_rows
     )
@@ -120,11 +111,9 @@ def assign_hashed(
     min_bytes: int = LINUX_MIN_BYTES,
     stored: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
-    few_files: bool = False,
 ) -> DataFrame:
-    """``assign_blobs`` for rows that all have a hash; for ``few_files`` see ``skew.cut_to``."""
-    if few_files:
-        manifest = cut_to(manifest, files, ["hash"])
+    """``assign_blobs`` for rows that all have a hash."""
+    manifest = cut_to(manifest, files, ["hash"])
     per_blob = blobs(manifest, max_links, min_bytes, stored)
     counted = count_rows(files, ["hash"], "n_new").join(content_capacity(per_blob), "hash", "left")
     kept = F.col("present").isNotNull() | (F.col("n_new") > hot_rows)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,14 +23,16 @@ FOLDED_SUFFIXES = 64
 
 
 def mark_excluded(
-    inventory: DataFrame, excludes: list[str] | DataFrame, hot_rows: int = HOT_ROWS
+    inventory: DataFrame, excludes: Sequence[str] | DataFrame, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Add ``excluded_by``: the topmost of the path and its ancestors that ends with a suffix.
 
     A short list becomes part of the row expression, where a cheap substring test guards the work
-    on ancestors. A table (or a long list) is matched by an equi-join of directory endings.
+    on ancestors. A table (or a long list) is matched by an equi-join of directory endings. Empty
+    and null suffixes exclude nothing.
     """
-    if isinstance(excludes, list):
+    if not isinstance(excludes, DataFrame):
+        excludes = [s for s in excludes if s]
         if len(excludes) <= FOLDED_SUFFIXES:
             chain = ancestors(F.col("root"), F.col("path"))
             hits = F.filter(chain, lambda a: ends_with_any(a, excludes))
@@ -87,7 +91,7 @@ def route_by_type(inventory: DataFrame) -> DataFrame:
         F.when(kind == "regular", "file")
         .when(kind == "directory", "directory")
         .when(kind.isin("symlink", "junction"), "symlink")
-        .when(kind.isNull() | kind.isin("none", "not_found"), "inaccessible")
+        .when(kind.isNull() | kind.isin("none", "not_found", "unreadable_directory"), "inaccessible")
         .otherwise("unknown_type")
     )
     return inventory.withColumn("route", route)

@@ -36,6 +36,11 @@ def scan_manifest(
     return manifest
 
 
+def hash_is_set(hash: Column) -> Column:
+    """Whether a value stands for content at all; null, empty and anything but a SHA-256 don't."""
+    return F.coalesce(hash.rlike("^[0-9a-f]{64}$"), F.lit(False))
+
+
 def mirrored(hash: Column) -> Column:
     """Hex digits swapped end for end, so that the largest mirrored hash is the smallest hash."""
     return F.translate(hash, HEX, HEX[::-1])
@@ -46,7 +51,7 @@ def newest_per_signature(manifest: DataFrame) -> DataFrame:
 
     A plain max() with map-side combining; no group is ever gathered in a window.
     """
-    usable = F.col("hash").isNotNull() & (F.col("hash") != "")
+    usable = hash_is_set(F.col("hash"))
     return (
         manifest.where(usable)
         .groupBy(*SIGNATURE)
@@ -64,16 +69,13 @@ def signature_lookup(
     manifest: DataFrame,
     unique_files: bool = False,
     hot_rows: int = HOT_ROWS,
-    few_files: bool = False,
 ) -> DataFrame:
     """Add ``prior_hash`` and ``prior_snapshot`` of the newest record with the same signature.
 
     ``unique_files`` says that no signature repeats in ``files`` (true for a listing, where every
-    path occurs once); the join then needs no care for repeated keys. ``few_files`` says that a
-    short list meets a large manifest, see ``skew.cut_to``.
+    path occurs once); the join then needs no care for repeated keys.
     """
-    if few_files:
-        manifest = cut_to(manifest, files, SIGNATURE)
+    manifest = cut_to(manifest, files, SIGNATURE)
     newest = newest_per_signature(manifest)
     if unique_files:
         return files.join(newest, SIGNATURE, "left").select(
@@ -107,7 +109,7 @@ def blobs(
     links are taken from the file system, and a blob none of whose files is left is not present.
     """
     own = F.concat_ws("/", F.col("snapshot"), F.col("file"))
-    rows = manifest.where(F.col("hash").isNotNull() & (F.col("hash") != "")).select(
+    rows = manifest.where(hash_is_set(F.col("hash"))).select(
         "hash",
         F.coalesce("blob_id", own).alias("blob_id") if "blob_id" in manifest.columns else own.alias("blob_id"),
         "snapshot",
@@ -207,7 +209,7 @@ def target_standing(
     in_target = F.col("rank").isNotNull()
     rank = F.coalesce("rank", F.lit(len(targets)))
     per_hash = (
-        ranked.where(F.col("hash").isNotNull())
+        ranked.where(hash_is_set(F.col("hash")))
         .groupBy("hash")
         .agg(F.max(rank).alias("top_rank"), F.count_if(in_target).alias("_n"))
         .where("_n > 0")

@@ -70,7 +70,7 @@ def overlapping_roots(
 def _ends_with_excluded(path: str, excludes):
     if isinstance(excludes, DataFrame):
         return excludes.where(F.lit(path).endswith(F.col("suffix"))).exists()
-    return F.lit(any(path.endswith(s) for s in excludes))
+    return F.lit(any(path.endswith(s) for s in excludes if s))
 
 
 def invalid_roots(

@@ -8,9 +8,11 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.lookup import missing_files, target_standing
+from ..functions.paths import normal_path
+from ..operators.lookup import target_standing
 from ..operators.roots import invalid_roots, overlapping_roots
-from ..operators.stats import action_stats, event_counts
+from ..operators.stats import action_stats, event_counts, exclusion_stats
+from ..operators.tree import empty_directories
 from ..operators.verify import Hasher, file_table, link_inventory
 from ..schemas import DELETE, LINUX_MAX_LINKS, LINUX_MIN_BYTES, STORED
 from ..session import stage
@@ -20,14 +22,20 @@ from . import jobs
 
 
 class Run(NamedTuple):
-    """What a run did: its rows, files and bytes per measure, and warnings and errors."""
+    """What a run did: its rows, files and bytes per measure, and warnings and errors.
+
+    ``excluded`` counts what a snapshot left out by reason; ``emptied`` lists the directories that
+    a distillation left without files.
+    """
 
     rows: DataFrame
     stats: DataFrame
     events: DataFrame
+    excluded: DataFrame | None = None
+    emptied: DataFrame | None = None
 
 
-def backup(
+def take_snapshot(
     repo: Repository,
     roots: DataFrame,
     inventory: DataFrame,
@@ -39,9 +47,14 @@ def backup(
     suffix: str | None = None,
     max_links: int = LINUX_MAX_LINKS,
     min_bytes: int = LINUX_MIN_BYTES,
-    few_files: bool = False,
+    stored: DataFrame | None = None,
 ) -> Run:
-    """Take a snapshot named after ``at``. What was left out by rule is ``jobs.left_out``."""
+    """Take a snapshot named after ``at``.
+
+    ``inventory`` comes from ``scan_inventory``, which writes roots as they are written here.
+    ``stored`` (snapshot, file, nlink) gives the link counts of the files in the repository.
+    """
+    roots = roots.withColumn("root", normal_path(F.col("root")))
     name = at.strftime("%Y-%m-%d_%H-%M-%S") + (f"_{suffix}" if suffix else "")
     clash = overlapping_roots(roots, repo.path, excludes).take(1)
     if clash:
@@ -62,12 +75,14 @@ def backup(
             always_hash,
             max_links,
             min_bytes,
-            few_files=few_files,
+            stored,
         ),
         "actions",
     )
     repo.write(jobs.stored_rows(actions), generation)
-    return Run(actions, action_stats(actions), event_counts(jobs.run_events(actions)))
+    excluded = stage(jobs.left_out(inventory, excludes), "excluded")
+    events = jobs.run_events(actions).unionByName(jobs.access_errors(excluded, name))
+    return Run(actions, action_stats(actions), event_counts(events), exclusion_stats(excluded))
 
 
 def verify(
@@ -89,25 +104,29 @@ def verify(
 
 def purge(repo: Repository, inventory: DataFrame, names: list[str], compact: bool = False) -> DataFrame:
     """Drop records of missing files from the named snapshots. Returns the dropped rows."""
-    rows = repo.manifest(names)
-    dropped = stage(missing_files(rows, inventory), "dropped")
-    # few rows are gone as a rule, so this join is planned by their true size
-    kept = rows.where("file is not null").join(
-        dropped.select("snapshot", "file"), ["snapshot", "file"], "left_anti"
-    )
-    _rewrite(repo, names, kept.select(*rows.columns), dropped, compact)
+    repo.check()
+    standing = stage(jobs.purge_standing(repo.manifest(names), inventory), "standing")
+    dropped = standing.where("not stays").drop("stays")
+    _rewrite(repo, names, jobs.staying(standing), dropped, compact)
     return dropped
 
 
-def distill(repo: Repository, names: list[str], compact: bool = False) -> Run:
-    """Reduce the named snapshots, in order. Returns the deleted rows."""
+def distill(
+    repo: Repository, names: list[str], compact: bool = False, tree: DataFrame | None = None
+) -> Run:
+    """Reduce the named snapshots, in order. Returns the deleted rows.
+
+    With ``tree`` (snapshot, file, type) of what is stored, directories without a file left are
+    returned as ``emptied``.
+    """
     repo.check()
     repo.check(names)
     standing = stage(target_standing(repo.manifest(), names), "standing")
     dropped = standing.where("not stays").drop("stays")
-    _rewrite(repo, names, standing.where("stays").drop("stays"), dropped, compact)
+    _rewrite(repo, names, jobs.staying(standing), dropped, compact)
     deleted = dropped.withColumn("action", F.lit(DELETE))
-    return Run(dropped, action_stats(deleted), event_counts(jobs.run_events(deleted)))
+    emptied = None if tree is None else empty_directories(tree, dropped)
+    return Run(dropped, action_stats(deleted), event_counts(jobs.run_events(deleted)), emptied=emptied)
 
 
 def _rewrite(repo: Repository, names: list[str], kept: DataFrame, dropped: DataFrame, compact: bool) -> None:
@@ -133,13 +152,14 @@ def clone(
     suffix: str | None = None,
     max_links: int = LINUX_MAX_LINKS,
     min_bytes: int = LINUX_MIN_BYTES,
+    stored: DataFrame | None = None,
 ) -> Run:
-    """Clone all snapshots of ``source`` into ``target``."""
+    """Clone all snapshots of ``source`` into ``target``; ``stored`` as in ``take_snapshot``."""
     names = [n + (f"_{suffix}" if suffix else "") for n in source.names()]
     rows, known = source.manifest(), target.manifest()
     generations = target.begin(names, create=True)
     actions = stage(
-        jobs.clone(rows, known, run, incremental, suffix, max_links, min_bytes), "actions"
+        jobs.clone(rows, known, run, incremental, suffix, max_links, min_bytes, stored), "actions"
     )
     target.write(actions.where(F.col("action").isin(STORED)), generations)
     return Run(actions, action_stats(actions), event_counts(jobs.run_events(actions)))

@@ -10,6 +10,7 @@ from ..functions.text import snapshot_name
 from ..operators.assign import assign_hashed
 from ..operators.filters import exclude_kept, mark_excluded, route_by_type, target_path
 from ..operators.lookup import (
+    hash_is_set,
     newest_per_signature,
     signature_lookup,
     target_standing,
@@ -29,6 +30,7 @@ from ..operators.verify import (
 from ..schemas import CONFLICT, FAILED, LINUX_MAX_LINKS, LINUX_MAX_PATH, LINUX_MIN_BYTES, MANIFEST, SIGNATURE, SKIP, STORED
 from ..session import stage
 
+INACCESSIBLE = "inaccessible"
 ACTION_COLUMNS = [*MANIFEST.names, "action", "hashed"]
 
 
@@ -63,7 +65,6 @@ def take_snapshot(
     min_bytes: int = LINUX_MIN_BYTES,
     stored: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
-    few_files: bool = False,
 ) -> DataFrame:
     """Decide what happens to every file of a new snapshot.
 
@@ -71,11 +72,10 @@ def take_snapshot(
     given only rows without a known signature (all rows with ``always_hash``) and adds
     ``content_hash``, and may add ``now_size`` and ``now_mtime_ns`` if it saw the file change; such
     rows are looked up again with the new values. Returns the rows with ``action``, ``blob_id`` and
-    ``hashed``; rows with an action in ``STORED`` are the new manifest rows. ``few_files`` is for a
-    short list against a large manifest, see ``skew.cut_to``.
+    ``hashed``; rows with an action in ``STORED`` are the new manifest rows.
     """
     base = ["snapshot", *SIGNATURE, "file"]
-    found = signature_lookup(files.select(*base), manifest, unique_files=True, few_files=few_files)
+    found = signature_lookup(files.select(*base), manifest, unique_files=True)
     looked = stage(found, "looked")
     readable = F.col("size").isNotNull() & F.col("mtime_ns").isNotNull()
     lost = looked.where(~readable)
@@ -92,16 +92,14 @@ def take_snapshot(
 
     broken = F.col("hashed") & F.col("prior_hash").isNotNull() & (F.col("prior_hash") != F.col("hash"))
     state = (
-        F.when(F.col("hash").isNull() | (F.col("hash") == ""), FAILED)
+        F.when(~hash_is_set(F.col("hash")), FAILED)
         .when(broken, CONFLICT)
         .when(F.lit(incremental) & F.col("prior_hash").isNotNull(), SKIP)
     )
     judged = rows.withColumn("action", state)
     closed = judged.where("action is not null").withColumn("blob_id", F.lit(None).cast("string"))
     open_rows = judged.where("action is null").drop("action", "prior_hash")
-    decided = assign_hashed(
-        open_rows, manifest, run, max_links, min_bytes, stored, hot_rows, few_files
-    )
+    decided = assign_hashed(open_rows, manifest, run, max_links, min_bytes, stored, hot_rows)
     unread = lost.select(
         *base,
         F.lit(None).cast("string").alias("hash"),
@@ -131,12 +129,23 @@ def _hash_rows(wanted: DataFrame, manifest: DataFrame, hasher: Hasher, base: lis
             "file",
             "content_hash",
         )
-        found = steady.unionByName(signature_lookup(moved, manifest, unique_files=True))
+        if moved.isEmpty():
+            found = steady
+        else:
+            found = steady.unionByName(signature_lookup(moved, manifest, unique_files=True))
     return found.select(
         *base, F.col("content_hash").alias("hash"), "prior_hash", F.col("content_hash").isNotNull().alias("hashed")
     )
 
 
+def access_errors(excluded: DataFrame, snapshot: str) -> DataFrame:
+    """Entries and directories (see ``left_out``) that could not be read, as events."""
+    lost = excluded.where(F.col("reason") == INACCESSIBLE)
+    return lost.select(
+        F.lit(snapshot).alias("snapshot"), F.col("path").alias("file"), F.col("reason").alias("detail"), F.lit("error").alias("level")
+    )
+
+
 def run_events(actions: DataFrame, max_path: int = LINUX_MAX_PATH) -> DataFrame:
     """Errors and warnings (snapshot, file, detail, level) of a run: rows left out, long paths."""
     failed = actions.where(F.col("action").isin(CONFLICT, FAILED)).select(
@@ -174,7 +183,7 @@ def clone(
     rows = source.select("snapshot", *SIGNATURE, "hash", "file")
     place = F.struct("snapshot", "file", "hash")
     per_source = rows.groupBy(*SIGNATURE).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(F.when(F.col("hash") != "", place)).alias("first")
+        F.count(F.lit(1)).alias("_n"), F.min(F.when(hash_is_set(F.col("hash")), place)).alias("first")
     )
     per_signature = per_source.join(newest_per_signature(target), SIGNATURE, "left").select(
         *SIGNATURE, "_n", "first", F.col("prior_hash").alias("kept_hash")
@@ -183,7 +192,7 @@ def clone(
     canonical = F.coalesce("kept_hash", "first.hash")
     later = F.col("kept_hash").isNotNull() | (place != F.col("first"))
     state = (
-        F.when(F.col("hash").isNull() | (F.col("hash") == ""), FAILED)
+        F.when(~hash_is_set(F.col("hash")), FAILED)
         .when(F.col("hash") != canonical, CONFLICT)
         .when(F.lit(incremental) & later, SKIP)
     )
@@ -200,20 +209,34 @@ def clone(
     return decided.select(*columns).unionByName(closed.select(*columns))
 
 
+def purge_standing(manifest: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Rows with ``stays``: whether the stored file is there."""
+    there = inventory.select("snapshot", "file").distinct().withColumn("stays", F.lit(True))
+    found = manifest.join(there, ["snapshot", "file"], "left")
+    return found.select(*manifest.columns, F.coalesce("stays", F.lit(False)).alias("stays"))
+
+
 def purge(manifest: DataFrame, inventory: DataFrame, targets: list[str] | None = None) -> DataFrame:
     """``manifest`` without rows of the targets (all by default) whose stored file is gone."""
-    rows = manifest if targets is None else manifest.where(F.col("snapshot").isin(targets))
-    kept = rows.join(inventory.select("snapshot", "file"), ["snapshot", "file"], "left_semi")
-    kept = kept.select(*manifest.columns)
     if targets is None:
-        return kept
-    return manifest.where(~F.col("snapshot").isin(targets)).unionByName(kept)
+        return staying(purge_standing(manifest, inventory))
+    rows = manifest.where(F.col("snapshot").isin(targets))
+    return beyond(manifest, targets).unionByName(staying(purge_standing(rows, inventory)))
+
+
+def staying(standing: DataFrame) -> DataFrame:
+    return standing.where("stays").drop("stays")
+
+
+def beyond(manifest: DataFrame, targets: list[str]) -> DataFrame:
+    """Rows of no target; a row without a snapshot is one of them."""
+    return manifest.where(~F.coalesce(F.col("snapshot").isin(targets), F.lit(False)))
 
 
 def distill(manifest: DataFrame, targets: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """``manifest`` with the targets, in order, reduced to content found nowhere else."""
-    kept = target_standing(manifest, targets, hot_rows).where("stays").drop("stays")
-    return manifest.where(~F.col("snapshot").isin(targets)).unionByName(kept)
+    kept = staying(target_standing(manifest, targets, hot_rows))
+    return beyond(manifest, targets).unionByName(kept)
 
 
 def verify(

@@ -54,6 +54,10 @@ flawed_once as (
 flawed as (select * from flawed_once union all
   select * from flawed_once where ends_with(source, '/purchase'))"""
 
+HOLED = """holed as (
+  select * replace (case when n % 127 <> 0 then snapshot end as snapshot), coalesce(regexp_matches(hash, '^[0-9a-f]{64}$'), false) as usable
+  from (select *, cast(substr(file, 2) as bigint) as n from flawed))"""
+
 URLS = "urls as (select '/' as root, regexp_replace(url, '^https?:/', '') as path, page_id from pages)"
 
 DOC_INV = """doc_inv as (
@@ -81,7 +85,8 @@ slots as (
   select hash, blob_id, spare, coalesce(sum(spare) over (partition by hash order by {order}
     rows between unbounded preceding and 1 preceding), 0) as lo from held),
 room as (select hash, sum(spare) as c from held group by hash),
-numbered as (select *, row_number() over (partition by hash order by snapshot, file) as n from {kept}),
+numbered as (select *, row_number() over (
+  partition by hash order by snapshot, substr(md5(file), 1, 3), file) as n from {kept}),
 decided as (
   select d.*,
     case when r.c is null and n = 1 then 'import'
@@ -288,7 +293,7 @@ select r.inode as "file index", s0, s1, s2, s3, size, strftime({STAMP}, '%Y-%m-%
 from ranked r join counts c using (inode) where k = 1""",
     "scan_and_hash": """select source, lang,
   sum(octet_length(encode(text)) + 1)::bigint as listed_bytes,
-  sum(octet_length(encode(text)) + 1)::bigint as read_bytes
+  sum(octet_length(encode(text)) + 1)::bigint as read_bytes, true as same_hashes
 from documents group by source, lang""",
     "content_hash": "select doc_id, sha256(text) as content_hash from documents",
     "exclude_kept": f"with {url_marks(URL_TEST)} select root, path, page_id from marked where excluded_by is null",
@@ -354,6 +359,8 @@ union all select path, 'unfinished' from named where path in (select path from r
     "assign_blobs": f"""with {NEW_DOCS}, none as (select *, hash as blob_id from new_docs where false),
 {assign('new_docs', 'none', 's9')} select {ROW}, action, blob_id from decided""",
     "assign_blobs_limited": f"""with {PRIOR}, {NEW_DOCS}, {assign('new_docs', 'prior', 's9', 2, 0)}
+select {ROW}, action, blob_id from decided""",
+    "assign_blobs_hot": f"""with {PRIOR}, {NEW_DOCS}, {assign('new_docs', 'prior', 's9', 2)}
 select {ROW}, action, blob_id from decided""",
     "assign_blobs_windows": f"""with {PRIOR}, {NEW_DOCS}, {assign('new_docs', 'prior', 's9', 1023, 513)}
 select {ROW}, action, blob_id from decided""",
@@ -420,6 +427,21 @@ select snapshot, file from dirs d where not exists (
     "purge_result": f"with {DOCS} select {ROW} from docs where doc_id % 37 <> 0 or snapshot not in ('s0', 's1')",
     "distill_result": f"with {DOCS}, {distill('docs', TARGET_RANK, 'rnk = top or rnk = 3')}",
     "distill_days": f"""with {EVENTS}, {distill('ev', 'dense_rank() over (order by snapshot)', 'rnk = top')}""",
+    "distill_flawed": f"""with {FLAWED}, {HOLED}, ranked as (
+  select *, dense_rank() over (order by snapshot nulls last) as rnk from holed), days as (
+  select count(distinct snapshot) as last from holed), standing as (
+  select *, max(case when usable then coalesce(if(snapshot is null, last, rnk), last) end) over (partition by hash, usable) as top
+  from ranked, days)
+select {ROW} from standing where not usable or snapshot is null or rnk = top""",
+    "purge_flawed": f"""with {FLAWED}, {HOLED}, days as (
+  select distinct snapshot from holed where snapshot is not null order by snapshot limit 10)
+select {ROW} from holed where snapshot is null or snapshot not in (select snapshot from days) or n % 37 <> 0""",
+    "purge_stored": f"with {DOCS} select {ROW} from docs where doc_id % 37 <> 0 or snapshot not in ('s0', 's1')",
+    "distill_stored": f"with {DOCS}, {distill('docs', TARGET_RANK, 'rnk = top or rnk = 3')}",
+    "clone_stored": f"""with {EVENTS}, {TARGET}, outcome as (with {clone('tgt', False, '_copy')})
+select {ROW}, blob_id from outcome where action in ('import', 'dup_link', 'dup_copy')""",
+    "normalised_roots": """select page_id, case when page_id % 5 < 3 then '/' when page_id % 5 = 4 then '../' else '' end
+  || regexp_extract(url, '^https?://([^/]+)', 1) as root from pages""",
     "clone_into_empty": f"with {EVENTS}, none as (select * from ev where false), {clone('none', True)}",
     "clone_result": f"with {EVENTS}, {TARGET}, {clone('tgt', False, '_copy')}",
     "clone_incremental": f"with {EVENTS}, {TARGET}, {clone('tgt', True, '_copy')}",

@@ -60,8 +60,14 @@ def empty(df: DataFrame) -> DataFrame:
 
 
 def manifest_lookup(spark, sf):
-    rows = V.event_manifest(spark, sf)
-    return lookup.scan_manifest(rows, source="/u/8/error", size=9).select(*ROW)
+    """A lookup in stored snapshots: only their partitions are read, and filters reach the scan."""
+    events = staged_events(spark, sf)
+    repo = repository_of(spark, events, event_days(events))
+    return lookup.scan_manifest(repo.manifest(), source="/u/8/error", size=9).select(*ROW)
+
+
+def event_days(events: DataFrame) -> list[str]:
+    return sorted(r.snapshot for r in events.select("snapshot").distinct().collect())
 
 
 def repository_of(spark, rows: DataFrame, names: list[str]) -> Repository:
@@ -74,8 +80,7 @@ def repository_union(spark, sf):
     """Two groups of snapshots stored one after the other, read back as one table."""
     repo = repository_of(spark, V.doc_manifest(spark, sf), DOC_SNAPSHOTS)
     events = staged_events(spark, sf)
-    days = [r.snapshot for r in events.select("snapshot").distinct().collect()]
-    repo.write(events, repo.begin(days, create=True))
+    repo.write(events, repo.begin(event_days(events), create=True))
     return repo.manifest().select(*ROW)
 
 
@@ -115,7 +120,10 @@ def write_table(spark, sf):
 
 
 def scan_and_hash(spark, sf):
-    """The texts as files in a directory tree, listed and read back: bytes per directory."""
+    """The texts as files in a directory tree, listed and read back: bytes per directory.
+
+    The hashes are compared with those of the same files as Spark reads them.
+    """
     tree = scratch_path(spark, "tree")
     texts = V.table(spark, sf, "documents").select("text", "source", "lang")
     texts.hint("rebalance", "source", "lang").write.partitionBy("source", "lang").text(tree)
@@ -123,9 +131,14 @@ def scan_and_hash(spark, sf):
     listed = scan_inventory(spark, [top], [".crc"])
     files = filters.exclude_kept(listed, [".crc", "_SUCCESS"]).where("type = 'regular'")
     read = file_hasher(F.col("path"))(files.select("path", "size")).where("content_hash is not null")
+    plain = F.regexp_replace("path", "^file:/+", "/")
+    binary = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(tree)
+    expected = binary.select(plain.alias("path"), F.sha2("content", 256).alias("expected"))
+    both = read.join(expected, "path", "left")
     place = [F.regexp_extract("path", f"/{part}=([^/]+)", 1).alias(part) for part in ("source", "lang")]
-    return read.groupBy(*place).agg(
-        F.sum("size").alias("listed_bytes"), F.sum("now_size").alias("read_bytes")
+    same = F.coalesce(F.col("content_hash") == F.col("expected"), F.lit(False))
+    return both.groupBy(*place).agg(
+        F.sum("size").alias("listed_bytes"), F.sum("now_size").alias("read_bytes"), F.bool_and(same).alias("same_hashes")
     )
 
 
@@ -249,6 +262,12 @@ def assign_limited(spark, sf, max_links, min_bytes):
     return rows.select(*DECIDED)
 
 
+def assign_hot(spark, sf):
+    """Every hash with more than one new row is numbered in parts; the outcome is that of one order."""
+    files = new_docs(spark, sf)
+    return assign_blobs(files, staged_prior(spark, sf), "s9", 2, 0, hot_rows=1).select(*DECIDED)
+
+
 def incremental_skip(spark, sf):
     files = staged_events(spark, sf).select(*ROW)
     return lookup.incremental_skip(files, V.event_target(spark, sf))
@@ -387,8 +406,64 @@ def distill_result(spark, sf):
 def distill_days(spark, sf):
     """All daily snapshots but the last, oldest first: each content stays in one place."""
     events = staged_events(spark, sf)
-    days = sorted(r.snapshot for r in events.select("snapshot").distinct().collect())
-    return jobs.distill(events, days[:-1]).select(*ROW)
+    return jobs.distill(events, event_days(events)[:-1]).select(*ROW)
+
+
+def flawed(spark, sf) -> DataFrame:
+    """Flawed rows, some without a snapshot."""
+    rows = V.flawed_manifest(spark, sf)
+    n = F.substr(F.col("file"), F.lit(2)).cast("long")
+    return stage(rows.withColumn("snapshot", F.when(n % 127 != 0, F.col("snapshot"))), "flawed")
+
+
+def distill_flawed(spark, sf):
+    """Rows without a usable hash, or without a snapshot, are never taken for copies."""
+    rows = flawed(spark, sf)
+    return jobs.distill(rows, event_days(rows.where("snapshot is not null"))[:-1]).select(*ROW)
+
+
+def purge_flawed(spark, sf):
+    rows = flawed(spark, sf)
+    n = F.substr(F.col("file"), F.lit(2)).cast("long")
+    there = rows.where(n % 37 != 0).select("snapshot", "file")
+    return jobs.purge(rows, there, event_days(rows.where("snapshot is not null"))[:10]).select(*ROW)
+
+
+def purge_stored(spark, sf):
+    docs = staged_docs(spark, sf)
+    repo = repository_of(spark, docs, DOC_SNAPSHOTS)
+    commands.purge(repo, V.doc_inventory(spark, sf, docs), ["s0", "s1"])
+    return repo.manifest().select(*ROW)
+
+
+def distill_stored(spark, sf):
+    repo = repository_of(spark, staged_docs(spark, sf), DOC_SNAPSHOTS)
+    commands.distill(repo, ["s1", "s3"])
+    repo.vacuum()
+    return repo.manifest().select(*ROW)
+
+
+def clone_stored(spark, sf):
+    """One repository cloned into another: the rows the target then holds of it."""
+    events, target = staged_events(spark, sf), stage(V.event_target(spark, sf), "target")
+    source, known = repository_of(spark, events, event_days(events)), repository_of(spark, target, event_days(target))
+    commands.clone(source, known, "run", suffix="copy")
+    return known.manifest([f"{day}_copy" for day in event_days(events)]).select(*ROW, "blob_id")
+
+
+def normalised_roots(spark, sf):
+    """Hosts as roots, written in ways that mean the same path."""
+    pages = V.table(spark, sf, "pages")
+    host = F.regexp_extract("url", "^https?://([^/]+)", 1)
+    way = F.col("page_id") % 5
+    written = (
+        F.when(way == 0, F.concat(F.lit("//"), host, F.lit("/")))
+        .when(way == 1, F.concat(F.lit("/./x/../"), host))
+        .when(way == 2, F.concat(F.lit("/../"), host, F.lit("//.")))
+        .when(way == 3, F.concat(host, F.lit("/a/b/../..")))
+        .otherwise(F.concat(F.lit("../"), host, F.lit("/./")))
+    )
+    return pages.select("page_id", P.normal_path(written).alias("root"))
 
 
 def clone_into_empty(spark, sf, incremental):
@@ -449,6 +524,7 @@ QUERIES: dict[str, Query] = {
     "snapshot_set_checks": snapshot_set_checks,
     "assign_blobs": assign_all_new,
     "assign_blobs_limited": partial(assign_limited, max_links=2, min_bytes=0),
+    "assign_blobs_hot": assign_hot,
     "assign_blobs_windows": partial(
         assign_limited, max_links=WINDOWS_MAX_LINKS, min_bytes=WINDOWS_MIN_BYTES
     ),
@@ -481,6 +557,12 @@ QUERIES: dict[str, Query] = {
     "purge_result": purge_result,
     "distill_result": distill_result,
     "distill_days": distill_days,
+    "distill_flawed": distill_flawed,
+    "purge_flawed": purge_flawed,
+    "purge_stored": purge_stored,
+    "distill_stored": distill_stored,
+    "clone_stored": clone_stored,
+    "normalised_roots": normalised_roots,
     "clone_into_empty": partial(clone_into_empty, incremental=True),
     "clone_result": partial(clone_result, incremental=False),
     "clone_incremental": partial(clone_result, incremental=True),

@@ -15,6 +15,7 @@ from ..functions.text import sha256_hex
 from ..operators.skew import cut_to
 
 CHUNK_BYTES = 1 << 20
+TASK_BYTES = 1 << 30
 
 
 def hash_column(content: DataFrame, key: str, value: Column) -> DataFrame:
@@ -47,8 +48,20 @@ def _read(path: str) -> tuple[str | None, int | None, int | None]:
         return None, None, None
 
 
-def file_hasher(path: Column) -> Callable[[DataFrame], DataFrame]:
-    """A hasher that reads each file once, in chunks.
+def spread_by_bytes(rows: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """``rows`` in as many parts as their ``size`` needs, whatever parts they come in.
+
+    Rows with a size of a task or more get parts of their own numbers beside the others.
+    """
+    size = F.col("size").cast("long")
+    large = size >= task_bytes
+    found = rows.agg(F.coalesce(F.sum(size), F.lit(0)).alias("bytes"), F.count_if(large).alias("large")).first()
+    parts = max(1, -(-found["bytes"] // task_bytes)) + found["large"]
+    return rows.repartition(int(parts), *[F.col(c) for c in rows.columns])
+
+
+def file_hasher(path: Column, task_bytes: int = TASK_BYTES) -> Callable[[DataFrame], DataFrame]:
+    """A hasher that reads each file once, in chunks, spread over tasks by ``size`` where given.
 
     Adds ``content_hash`` (null if the file cannot be read) and the size and time found when the
     file was opened, as ``now_size`` and ``now_mtime_ns``.
@@ -83,7 +96,10 @@ def file_hasher(path: Column) -> Callable[[DataFrame], DataFrame]:
                 for f in schema.fields
             ]
         )
-        hashed = rows.select(*texts, path.alias("_open")).mapInPandas(read, as_text)
+        named = rows.select(*texts, path.alias("_open"))
+        if "size" in names:
+            named = spread_by_bytes(named, task_bytes)
+        hashed = named.mapInPandas(read, as_text)
         return hashed.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
     return hasher

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,16 +18,19 @@ DELETED = "deleted"
 def arrange(manifest: DataFrame) -> DataFrame:
     """Rows laid out for storage: even parts per snapshot, ordered by hash inside each part.
 
-    The rebalance hint splits a large snapshot over many tasks and joins small ones.
+    The rebalance hint splits a large snapshot over many tasks and joins small ones. The order
+    begins with the partition columns, so the write has no reason to sort again.
     """
-    return manifest.hint("rebalance", "snapshot").sortWithinPartitions("snapshot", "hash", "file")
+    order = ["snapshot", "generation", "hash", "file"]
+    return manifest.hint("rebalance", "snapshot").sortWithinPartitions(*order)
 
 
 class Repository:
     """Manifest rows live in ``manifest/snapshot=<name>/generation=<n>``.
 
     A rewrite (delete, compaction) goes to a new generation of the snapshots it touches; the line
-    appended to the log afterwards makes it current, so a path being read is never overwritten. A
+    appended to the log afterwards makes it current, so a path being read is never overwritten, and
+    ``vacuum`` removes what is no longer read. A
     snapshot whose last line is ``in_progress`` was left unfinished and keeps the repository from
     opening until it is deleted.
     """
@@ -84,11 +89,53 @@ class Repository:
     def manifest(self, names: list[str] | None = None) -> DataFrame:
         """Rows of all, or the named, snapshots; only current partitions are listed."""
         current = self._open(names)
-        parts = [f"{r.generation}@{n}" for n, r in current.items() if r.generation > 0]
+        there = self._partitions()
+        parts = [there[n, r.generation] for n, r in current.items() if (n, r.generation) in there]
+        if not parts:
+            return self._empty(MANIFEST)
         stored = T.StructType([*MANIFEST.fields, T.StructField("generation", T.LongType())])
-        rows = self.spark.read.schema(stored).parquet(f"{self.path}/manifest")
-        place = F.concat(F.col("generation").cast("string"), F.lit("@"), F.col("snapshot"))
-        return rows.where(place.isin(parts)).select(*MANIFEST.names)
+        rows = self.spark.read.schema(stored).option("basePath", f"{self.path}/manifest").parquet(*parts)
+        return rows.select(*MANIFEST.names)
+
+    def _folder(self, path: str):
+        """A folder and its file system, through Spark's own access to files."""
+        jvm = self.spark.sparkContext._jvm
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        return place, place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _partitions(self) -> dict[tuple[str, int], str]:
+        """Folder of every stored (snapshot, generation): two levels of names, no files."""
+        place, files = self._folder(f"{self.path}/manifest")
+        found = {}
+        for outer in files.listStatus(place):
+            if not outer.getPath().getName().startswith("snapshot="):
+                continue
+            name = unquote(outer.getPath().getName().removeprefix("snapshot="))
+            for inner in files.listStatus(outer.getPath()):
+                number = inner.getPath().getName().removeprefix("generation=")
+                if number.isdigit():
+                    found[name, int(number)] = inner.getPath().toString()
+        return found
+
+    def vacuum(self, keep: int = 0) -> list[str]:
+        """Remove generations that the log no longer names; returns their folders.
+
+        ``keep`` older generations of a snapshot stay, for readers that began earlier. Unfinished
+        snapshots are left alone, as is everything of a snapshot whose last line is in progress.
+        """
+        states = self._states()
+        gone = []
+        for (name, generation), path in sorted(self._partitions().items()):
+            line = states.get(name)
+            if line is None or line.state == IN_PROGRESS:
+                continue
+            # a deleted snapshot's line carries its last number, which is no longer read either
+            current = line.generation if line.state == COMPLETE else line.generation + 1
+            if generation < current - keep:
+                place, files = self._folder(path)
+                files.delete(place, True)
+                gone.append(path)
+        return gone
 
     def _record(self, states: dict[str, tuple[str, int]], known: dict[str, Row]) -> None:
         seq = max((r.seq for r in known.values()), default=0) + 1
@@ -111,10 +158,16 @@ class Repository:
         return new
 
     def write(self, rows: DataFrame, generations: dict[str, int]) -> None:
-        """Store rows of snapshots that are in progress and finish these snapshots."""
+        """Store rows of snapshots that are in progress and finish these snapshots.
+
+        A row of any other snapshot, or of none, makes the write fail before anything is recorded.
+        """
         lines = [(name, generation) for name, generation in generations.items()]
-        new = self.spark.createDataFrame(lines, "snapshot string, generation long")
-        stored = rows.select(*MANIFEST.names).join(F.broadcast(new), "snapshot")
+        new = self.spark.createDataFrame(lines, "snapshot string, begun long")
+        stray = F.concat(F.lit("row of a snapshot that was not begun: "), F.coalesce("snapshot", F.lit("null")))
+        number = F.coalesce("begun", F.raise_error(stray).cast("long"))
+        joined = rows.select(*MANIFEST.names).join(F.broadcast(new), "snapshot", "left")
+        stored = joined.withColumn("generation", number).drop("begun")
         arrange(stored).write.mode("append").partitionBy("snapshot", "generation").parquet(
             f"{self.path}/manifest"
         )

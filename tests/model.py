@@ -8,21 +8,9 @@ def bucket(text):
     return hashlib.md5(text.encode()).hexdigest()[:3]
 
 
-def walk_order(rows, hot_rows=1_000_000):
+def walk_order(rows):
     """The pinned order of rows inside a hash; between hashes the order does not matter."""
-    plain = sorted(rows, key=lambda r: (r["snapshot"], r["file"]))
-    first, count = {}, defaultdict(int)
-    for r in plain:
-        first.setdefault(r["hash"], (r["snapshot"], r["file"]))
-        count[r["hash"]] += 1
-
-    def key(r):
-        if count[r["hash"]] <= hot_rows:
-            return r["snapshot"], 0, "", r["file"]
-        lead = first[r["hash"]] == (r["snapshot"], r["file"])
-        return r["snapshot"], 0 if lead else 1, bucket(r["file"]), r["file"]
-
-    return sorted(rows, key=key)
+    return sorted(rows, key=lambda r: (r["snapshot"], bucket(r["file"]), r["file"]))
 
 
 class Blobs:
@@ -74,7 +62,7 @@ def newest(manifest):
     return {k: v[1] for k, v in found.items()}
 
 
-def take_snapshot(files, manifest, content, run, incremental, always_hash, max_links, min_bytes, hot_rows):
+def take_snapshot(files, manifest, content, run, incremental, always_hash, max_links, min_bytes):
     prior = newest(manifest)
     blobs = Blobs(manifest, max_links, min_bytes)
     out, kept, read = {}, [], set()
@@ -91,12 +79,12 @@ def take_snapshot(files, manifest, content, run, incremental, always_hash, max_l
             out[f["file"]] = ("skip", None)
         else:
             kept.append({**f, "hash": h})
-    for r in walk_order(kept, hot_rows):
+    for r in walk_order(kept):
         out[r["file"]] = blobs.place(r, run)
     return out, read
 
 
-def clone(source, target, run, incremental, max_links, min_bytes, hot_rows):
+def clone(source, target, run, incremental, max_links, min_bytes):
     known = newest(target)
     blobs = Blobs(target, max_links, min_bytes)
     out, kept = {}, []
@@ -110,7 +98,7 @@ def clone(source, target, run, incremental, max_links, min_bytes, hot_rows):
         else:
             known[signature(r)] = r["hash"]
             kept.append(r)
-    for r in walk_order(kept, hot_rows):
+    for r in walk_order(kept):
         out[(r["snapshot"], r["file"])] = blobs.place(r, run)
     return out
 

@@ -20,14 +20,14 @@ from snapledger.sources.repository import Repository
 def tree(tmp_path):
     top = tmp_path / "data"
     (top / "sub" / "deep").mkdir(parents=True)
-    (top / "cache_NO_BACKUP" / "in").mkdir(parents=True)
+    (top / "cache_SKIP" / "in").mkdir(parents=True)
     (top / "a.txt").write_bytes(b"alpha")
     (top / "copy.txt").write_bytes(b"alpha")
     (top / ".hidden").write_bytes(b"h")
     (top / "empty").write_bytes(b"")
     (top / "sub" / "b.txt").write_bytes(b"beta" * 400_000)
     (top / "sub" / "deep" / "c.txt").write_bytes(b"gamma")
-    (top / "cache_NO_BACKUP" / "in" / "x").write_bytes(b"x")
+    (top / "cache_SKIP" / "in" / "x").write_bytes(b"x")
     os.symlink(top / "a.txt", top / "link")
     os.symlink(top / "sub", top / "dirlink")
     os.utime(top / "a.txt", ns=(1_704_067_200_123_456_789, 1_704_067_200_123_456_789))
@@ -37,14 +37,14 @@ def tree(tmp_path):
 def test_listing(spark, tree, tmp_path):
     single = tmp_path / "one.txt"
     single.write_bytes(b"1")
-    got = scan_inventory(spark, [str(tree), str(single)], ["_NO_BACKUP"]).collect()
+    got = scan_inventory(spark, [str(tree), str(single)], ["_SKIP"]).collect()
     kinds = {os.path.relpath(r.path, tmp_path): r.type for r in got}
     assert kinds == {
         "data": "directory",
         "one.txt": "regular",
         "data/sub": "directory",
         "data/sub/deep": "directory",
-        "data/cache_NO_BACKUP": "directory",
+        "data/cache_SKIP": "directory",
         "data/a.txt": "regular",
         "data/copy.txt": "regular",
         "data/.hidden": "regular",
@@ -68,11 +68,11 @@ def test_file_hashes(spark, tree):
     assert got[names[3]].now_mtime_ns == got[names[3]].t == 1_704_067_200_123_456_789
 
 
-def run_backup(spark, repo, tree, minute, **options):
+def run_snapshot(spark, repo, tree, minute, **options):
     given = spark.createDataFrame([(0, str(tree))], "ord int, root string")
-    inventory = scan_inventory(spark, [str(tree)], ["_NO_BACKUP"])
-    return commands.backup(
-        repo, given, inventory, ["_NO_BACKUP"], file_hasher(F.col("source")), datetime(2024, 1, 1, 0, minute), **options
+    inventory = scan_inventory(spark, [str(tree)], ["_SKIP"])
+    return commands.take_snapshot(
+        repo, given, inventory, ["_SKIP"], file_hasher(F.col("source")), datetime(2024, 1, 1, 0, minute), **options
     )
 
 
@@ -83,7 +83,7 @@ def counts(df):
 def test_life_of_a_repository(spark, tree, tmp_path):
     repo = Repository(spark, str(tmp_path / "repo"), create=True)
     assert repo.manifest().count() == 0
-    _, stats, events = run_backup(spark, repo, tree, 1)
+    _, stats, events = run_snapshot(spark, repo, tree, 1)
     assert [tuple(r) for r in events.collect()] == [("*", 0, 0)]
     assert counts(stats) == {"hashed": 6, "copied": 5, "linked": 1, "deleted": 0}
     first = "2024-01-01_00-01-00"
@@ -91,11 +91,11 @@ def test_life_of_a_repository(spark, tree, tmp_path):
 
     # unchanged but for one file
     (tree / "sub" / "b.txt").write_bytes(b"new")
-    _, stats, _ = run_backup(spark, repo, tree, 2, incremental=True, suffix="inc")
+    _, stats, _ = run_snapshot(spark, repo, tree, 2, incremental=True, suffix="inc")
     second = "2024-01-01_00-02-00_inc"
     assert counts(stats) == {"hashed": 1, "copied": 1, "linked": 0, "deleted": 0}
     assert [r.file.split("/")[-1] for r in repo.manifest([second]).collect()] == ["b.txt"]
-    _, stats, _ = run_backup(spark, repo, tree, 3)
+    _, stats, _ = run_snapshot(spark, repo, tree, 3)
     third = "2024-01-01_00-03-00"
     assert counts(stats) == {"hashed": 0, "copied": 0, "linked": 6, "deleted": 0}
     assert repo.manifest().count() == 13 and repo.names() == [first, second, third]
@@ -169,15 +169,15 @@ def test_a_failed_run_leaves_the_mark(spark, tree, tmp_path):
         raise RuntimeError("disk gone")
 
     with pytest.raises(RuntimeError):
-        commands.backup(repo, given, scan_inventory(spark, [str(tree)]), [], broken, datetime(2024, 1, 1))
+        commands.take_snapshot(repo, given, scan_inventory(spark, [str(tree)]), [], broken, datetime(2024, 1, 1))
     with pytest.raises(ValueError, match="unfinished"):
         repo.manifest()
 
 
-def test_overlapping_roots_stop_a_backup(spark, tree, tmp_path):
+def test_overlapping_roots_stop_a_snapshot(spark, tree, tmp_path):
     repo = Repository(spark, str(tree / "repo"), create=True)
     with pytest.raises(ValueError, match="contains_repository"):
-        run_backup(spark, repo, tree, 1)
+        run_snapshot(spark, repo, tree, 1)
 
 
 def test_roots_that_cannot_be_taken(spark, tree, tmp_path):
@@ -187,7 +187,7 @@ def test_roots_that_cannot_be_taken(spark, tree, tmp_path):
         given = spark.createDataFrame([(0, str(path))], "ord int, root string")
         inventory = scan_inventory(spark, [str(path)], list(excludes))
         hasher = file_hasher(F.col("source"))
-        commands.backup(repo, given, inventory, list(excludes), hasher, datetime(2024, 1, 1))
+        commands.take_snapshot(repo, given, inventory, list(excludes), hasher, datetime(2024, 1, 1))
 
     with pytest.raises(ValueError, match="root is missing"):
         attempt(tree / "nowhere")

@@ -22,21 +22,21 @@ def manifest(spark, rows):
 
 # the six files of the only data fixture: name, bytes, content
 SIX = [
-    ("largeFile.txt", 497, "A"),
-    ("newLargeFileOldContent.txt", 497, "A"),
-    ("newLargeFileNewContent.txt", 497, "B"),
-    ("newSmallFileOldContent.txt", 1, "1"),
-    ("newSmallFileNewContent.txt", 1, "3"),
-    ("asdfasdfasdf.txt", 1, "2"),
+    ("big.bin", 497, "A"),
+    ("big_copy.bin", 497, "A"),
+    ("big_other.bin", 497, "B"),
+    ("tiny.bin", 1, "1"),
+    ("tiny_other.bin", 1, "3"),
+    ("left_out.bin", 1, "2"),
 ]
 
 
 def six_files(spark):
-    listing = [("TestSource", "TestSource", "directory", 0, 0)]
-    listing += [("TestSource", f"TestSource/{n}", "regular", size, 5) for n, size, _ in SIX]
+    listing = [("tree", "tree", "directory", 0, 0)]
+    listing += [("tree", f"tree/{n}", "regular", size, 5) for n, size, _ in SIX]
     inventory = spark.createDataFrame(listing, LISTING)
-    given = spark.createDataFrame([(0, "TestSource")], "ord int, root string")
-    content = spark.createDataFrame([(f"TestSource/{n}", c) for n, _, c in SIX], "source string, c string")
+    given = spark.createDataFrame([(0, "tree")], "ord int, root string")
+    content = spark.createDataFrame([(f"tree/{n}", c) for n, _, c in SIX], "source string, c string")
     hashes = content.select("source", F.sha2("c", 256).alias("content_hash"))
     return given, inventory, table_hasher(hashes, ["source"])
 
@@ -44,13 +44,13 @@ def six_files(spark):
 @pytest.mark.parametrize("limits,copy", [((65000, 0), "dup_link"), ((WINDOWS_MAX_LINKS, WINDOWS_MIN_BYTES), "dup_copy")])
 def test_first_and_second_snapshot(spark, limits, copy):
     given, inventory, hasher = six_files(spark)
-    excludes = ["asdf.txt"]
-    assert jobs.left_out(inventory, excludes).collect() == [("TestSource/asdfasdfasdf.txt", "suffix")]
+    excludes = ["out.bin"]
+    assert jobs.left_out(inventory, excludes).collect() == [("tree/left_out.bin", "suffix")]
     files = jobs.walk(given, inventory, excludes, "s1")
     none = manifest(spark, [])
     first = jobs.take_snapshot(files, none, hasher, "s1", False, True, *limits)
     actions = {r.file: r.action for r in first.collect()}
-    assert actions.pop("TestSource/newLargeFileOldContent.txt") == copy
+    assert actions.pop("tree/big_copy.bin") == copy
     assert set(actions.values()) == {"import"} and len(actions) == 4
     counts = {r.measure: (r.files, r.bytes) for r in stats.action_stats(first).collect()}
     assert counts["hashed"] == (5, 1493)
@@ -66,8 +66,8 @@ def test_first_and_second_snapshot(spark, limits, copy):
 
 def test_content_is_read_only_for_unknown_signatures(spark):
     given, inventory, _ = six_files(spark)
-    files = jobs.walk(given, inventory, ["asdf.txt"], "s2")
-    known = [("s1", f"TestSource/{n}", size, 5, f"{i:064x}", n, None) for i, (n, size, _) in enumerate(SIX)]
+    files = jobs.walk(given, inventory, ["out.bin"], "s2")
+    known = [("s1", f"tree/{n}", size, 5, f"{i:064x}", n, None) for i, (n, size, _) in enumerate(SIX)]
 
     def refuse(rows):
         raise AssertionError("content was read")
@@ -82,7 +82,7 @@ def test_content_is_read_only_for_unknown_signatures(spark):
         return rows.withColumn("content_hash", F.lit("e" * 64))
 
     jobs.take_snapshot(files, manifest(spark, known[1:]), hasher, "s2").collect()
-    assert set(asked) == {"TestSource/largeFile.txt"}
+    assert set(asked) == {"tree/big.bin"}
 
 
 def test_file_changed_while_hashing_is_looked_up_again(spark):
@@ -160,9 +160,9 @@ def test_running_total(spark):
 TREE = [
     ("/r", "/r", "directory"),
     ("/r", "/r/keep.txt", "regular"),
-    ("/r", "/r/x_NO_BACKUP", "directory"),
-    ("/r", "/r/x_NO_BACKUP/a.txt", "regular"),
-    ("/r", "/r/x_NO_BACKUP/deep/b.tmp", "regular"),
+    ("/r", "/r/x_SKIP", "directory"),
+    ("/r", "/r/x_SKIP/a.txt", "regular"),
+    ("/r", "/r/x_SKIP/deep/b.tmp", "regular"),
     ("/r", "/r/.hidden", "regular"),
     ("/r", "/r/empty", "regular"),
     ("/r", "/r/a.TMP", "regular"),
@@ -177,7 +177,7 @@ TREE = [
 @pytest.mark.parametrize("form", ["list", "long list", "table", "large table"])
 def test_exclusion(spark, form, monkeypatch):
     inventory = spark.createDataFrame([(*t, 1, 1) for t in TREE], LISTING)
-    excludes = ["_NO_BACKUP", ".tmp"]
+    excludes = ["_SKIP", ".tmp"]
     if form == "long list":
         excludes += [f"/unused{i}" for i in range(80)]
     elif form != "list":
@@ -185,9 +185,9 @@ def test_exclusion(spark, form, monkeypatch):
     if form == "large table":
         monkeypatch.setattr("snapledger.operators.filters.small_copy", lambda df: None)
     kept = {r.path for r in filters.exclude_kept(inventory, excludes).collect()}
-    assert kept == {t[1] for t in TREE if "NO_BACKUP" not in t[1] and not t[1].endswith(".tmp")}
+    assert kept == {t[1] for t in TREE if "SKIP" not in t[1] and not t[1].endswith(".tmp")}
     topmost = sorted(r.path for r in filters.exclude_topmost(inventory, excludes).collect())
-    assert topmost == ["/r/b.tmp", "/r/x_NO_BACKUP"]
+    assert topmost == ["/r/b.tmp", "/r/x_SKIP"]
     reasons = {r.reason: r.entries for r in stats.exclusion_stats(jobs.left_out(inventory, excludes)).collect()}
     assert reasons == {"suffix": 2, "symlink": 1, "unknown_type": 1, "inaccessible": 1}
 
