@@ -16,9 +16,9 @@ once as it is and once without each of its shingles; since next words differ in
 most, a pair still meets. Where what is left of the next word is as poor, the word after it joins
 in the same way, without up to two. So a key shared by many documents means truly similar ones.
 
-Equal sets form a class by a 128-bit signature and are compared once. Within a key, classes are
-first compared to the key's first class only, which ties groups of near copies together in a number
-of comparisons that is linear in the group. After components are found, keys whose classes fall
+Equal sets form a class by a 128-bit signature and are compared once. At first a class is compared
+only to the class that comes first in most of its keys, which ties groups of near copies together in
+as many comparisons as there are classes. After components are found, keys whose classes fall
 into several components are taken up again: star by star with changing centres as long as they
 make many pairs, at last with every pair of different components. A pair above the similarity therefore always ends up in one
 component, and no bucket, group or list of partners is cut.
@@ -44,6 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import is_small
 from ..session import stage
 from .common import without
 from .components import stars
@@ -51,6 +52,7 @@ from .shingles import ODD, STEP, U, mix64, ranges, shingle_parts, signatures
 
 SEEN_SETS = 1 << 18
 STAR_ROUNDS = 4
+NEXT = U(0xFFFF)
 PAIRS_PER_ROW = 16
 
 
@@ -148,7 +150,10 @@ def sketch_keys(
 
 
 def key_rows(join: Join):
-    """Task function: a row per key of every distinct set; ``next`` is folded from the next word."""
+    """Task function: a row per key of every distinct set.
+
+    The key's last 16 bits are the short form of the next word, which keeps the row at two numbers.
+    """
     starts = np.array(join.starts())
     words = np.array([join.words(b, starts.tolist()) for b in range(len(starts) - 1)])
 
@@ -175,8 +180,8 @@ def key_rows(join: Join):
                     continue
                 held = np.append(0, np.cumsum(sizes[rows]))
                 keys, near, owner = sketch_keys(values[ranges(bounds[rows], sizes[rows])], held, bands, words[bands])
-                columns = [keys.view(np.int64), one[rows][owner], near.astype(np.int32)]
-                yield pa.record_batch([pa.array(c) for c in columns], names=["key", "sig", "next"])
+                packed = ((keys & ~NEXT) | near).view(np.int64)
+                yield pa.record_batch([pa.array(packed), pa.array(one[rows][owner])], names=["key", "sig"])
 
     return run
 
@@ -184,13 +189,15 @@ def key_rows(join: Join):
 def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Task function over rows sorted by (key, sig): rows of keys with two sets or more.
 
-    Adds the first set of the key and its ``next``. One line is held between batches. A set may
+    Takes ``next`` out of the key again and adds the first set of the key and its ``next``. One line is held between batches. A set may
     come twice where a batch ends.
     """
     names = ["key", "first", "first_next", "sig", "next"]
     held = None  # key, sig, next of the open group's first line; whether it has been sent
     for batch in batches:
-        key, sig, near = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("key", "sig", "next"))
+        packed, sig = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("key", "sig"))
+        near = (packed & 0xFFFF).astype(np.int32)
+        key = packed - near
         sent = False
         if held is not None:
             key, sig, near = (np.append(h, x) for h, x in zip(held[:3], (key, sig, near), strict=True))
@@ -211,7 +218,7 @@ def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if sent:
             out[0] = False
         last = int(head[-1])
-        held = (key[last], sig[last], near[last].astype(np.int32), bool(wide[-1]))
+        held = (key[last], sig[last], near[last], bool(wide[-1]))
         at = np.flatnonzero(out)
         if len(at):
             yield pa.record_batch(
@@ -234,6 +241,9 @@ def fetch_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, join: Join
     """(sig, set) for the classes in ``pairs``, computed from a text of each."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
     spokes = classes.join(wanted, "sig", "left_semi").select("rep", F.col("sig").alias("_sig"))
+    spokes = stage(spokes, "wanted")
+    # Few enough lines, as counted, are sent to the texts; else the texts are brought to them.
+    spokes = F.broadcast(spokes) if is_small(spokes) else spokes
     texts = docs.join(spokes, F.col("_key").eqNullSafe(F.col("rep"))).select("_text", "_sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,13 +309,15 @@ def open_pairs(members: DataFrame, join: Join, turn: int | None) -> DataFrame:
 
 
 def first_pairs(shared: DataFrame, sizes: DataFrame, join: Join) -> DataFrame:
-    """Every set with the first one of each of its keys."""
+    """Every set with that set which comes first in most of its keys."""
     near = shared.where(F.col("first") != F.col("sig")).where(near_words("first_next", "next"))
-    pairs = near.select(F.least("first", "sig").alias("a"), F.greatest("first", "sig").alias("b")).distinct()
-    sized = pairs.join(sizes.select(F.col("sig").alias("a"), F.col("n").alias("a_n")), "a").join(
-        sizes.select(F.col("sig").alias("b"), F.col("n").alias("b_n")), "b"
+    counted = near.groupBy("sig", "first").agg(F.count(F.lit(1)).alias("c"))
+    sized = counted.join(sizes, "sig").join(
+        sizes.select(F.col("sig").alias("first"), F.col("n").alias("first_n")), "first"
     )
-    return sized.where(sizes_fit(join, "a_n", "b_n")).select("a", "b")
+    fitting = sized.where(sizes_fit(join, "n", "first_n"))
+    best = fitting.groupBy("sig").agg(F.max(F.struct("c", "first"))["first"].alias("first"))
+    return best.select(F.least("first", "sig").alias("a"), F.greatest("first", "sig").alias("b")).distinct()
 
 
 def find_components(df: DataFrame, join: Join, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -320,10 +332,9 @@ def find_components(df: DataFrame, join: Join, key: str = "doc_id", text: str =
         .agg(F.min("_key").alias("rep")),
         "classes",
     )
-    keys = docs.mapInArrow(key_rows(join), "key long, sig long, next int")
-    shared = stage(
-        keys.repartition("key").sortWithinPartitions("key", "sig").mapInArrow(shared_keys, SHARED), "shared"
-    )
+    keys = docs.mapInArrow(key_rows(join), "key long, sig long")
+    dealt = keys.repartition(F.col("key").bitwiseAND(F.lit(~0xFFFF))).sortWithinPartitions("key", "sig")
+    shared = stage(dealt.mapInArrow(shared_keys, SHARED), "shared")
     sizes = classes.select("sig", "n")
     tested = stage(first_pairs(shared, sizes, join), "pairs")
     links = stage(verify(tested, fetch_sets(docs, classes, tested, join), join), "links")
