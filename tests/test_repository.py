@@ -83,7 +83,8 @@ def counts(df):
 def test_life_of_a_repository(spark, tree, tmp_path):
     repo = Repository(spark, str(tmp_path / "repo"), create=True)
     assert repo.manifest().count() == 0
-    _, stats, events = run_snapshot(spark, repo, tree, 1)
+    _, stats, events, excluded, _ = run_snapshot(spark, repo, tree, 1)
+    assert {r.reason for r in excluded.collect()} >= {"suffix", "symlink"}
     assert [tuple(r) for r in events.collect()] == [("*", 0, 0)]
     assert counts(stats) == {"hashed": 6, "copied": 5, "linked": 1, "deleted": 0}
     first = "2024-01-01_00-01-00"
@@ -91,11 +92,11 @@ def test_life_of_a_repository(spark, tree, tmp_path):
 
     # unchanged but for one file
     (tree / "sub" / "b.txt").write_bytes(b"new")
-    _, stats, _ = run_snapshot(spark, repo, tree, 2, incremental=True, suffix="inc")
+    _, stats, *_ = run_snapshot(spark, repo, tree, 2, incremental=True, suffix="inc")
     second = "2024-01-01_00-02-00_inc"
     assert counts(stats) == {"hashed": 1, "copied": 1, "linked": 0, "deleted": 0}
     assert [r.file.split("/")[-1] for r in repo.manifest([second]).collect()] == ["b.txt"]
-    _, stats, _ = run_snapshot(spark, repo, tree, 3)
+    _, stats, *_ = run_snapshot(spark, repo, tree, 3)
     third = "2024-01-01_00-03-00"
     assert counts(stats) == {"hashed": 0, "copied": 0, "linked": 6, "deleted": 0}
     assert repo.manifest().count() == 13 and repo.names() == [first, second, third]
@@ -121,14 +122,14 @@ def test_life_of_a_repository(spark, tree, tmp_path):
     assert commands.purge(repo, lost, [third]).count() == 0
 
     before = {r.hash for r in repo.manifest().collect()}
-    dropped, stats, _ = commands.distill(repo, [first, third])
+    dropped, stats, *_ = commands.distill(repo, [first, third])
     assert counts(stats)["deleted"] == dropped.count() > 0
     assert {r.hash for r in repo.manifest().collect()} == before
-    again, _, _ = commands.distill(repo, [first, third])
+    again, *_ = commands.distill(repo, [first, third])
     assert again.count() == 0
 
     other = Repository(spark, str(tmp_path / "other"), create=True)
-    _, stats, _ = commands.clone(repo, other, "clone", suffix="c")
+    _, stats, *_ = commands.clone(repo, other, "clone", suffix="c")
     assert counts(stats)["copied"] == len(before)
     assert other.names() == [n + "_c" for n in repo.names()]
     assert other.manifest().count() == repo.manifest().count()
