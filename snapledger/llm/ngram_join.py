@@ -376,7 +376,8 @@ def one_of_each(df: DataFrame, join: Join, key: str = "doc_id", text: str = "tex
     gone = full.where(~F.col("_key").eqNullSafe(F.col("component_id"))).select(F.col("_key").alias("_gone"))
     repeated = full.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and _key is not null")
     named = without(df, "_gone").withColumn("_gone", F.col(f"`{key}`").cast("long"))
-    left = named.join(gone.where("_gone is not null").distinct(), "_gone", "left_anti")
+    gone = gone.where("_gone is not null").distinct()
+    left = named.join(F.broadcast(gone) if is_small(gone) else gone, "_gone", "left_anti")
     if repeated.isEmpty():
         return left.drop("_gone")
     again = repeated.select(F.col("_key").alias("_gone"))

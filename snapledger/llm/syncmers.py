@@ -64,6 +64,11 @@ def fingerprint(found: Column) -> Column:
     return F.array_join(found, "")
 
 
+def names_in(column: str) -> Column:
+    """The distinct anchors of a fingerprint."""
+    return F.array_distinct(F.regexp_extract_all(column, F.lit(f".{{{HEX}}}"), F.lit(0)))
+
+
 def likeness(one: Column, two: Column) -> Column:
     """Dice coefficient of two arrays of distinct anchors."""
     total = F.size(one) + F.size(two)
@@ -108,8 +113,9 @@ def compare_edited(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     The last quarter of the edited text comes from the next document's beginning.
     """
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    # Four bytes per anchor move with the text.
     own = df.select(F.col(f"`{key}`").alias("doc_id"), body.alias("body")).select(
-        "doc_id", "body", anchors(F.col("body")).alias("found"), F.xxhash64("body").alias("_tie")
+        "doc_id", "body", F.unhex(fingerprint(anchors(F.col("body")))).alias("found"), F.xxhash64("body").alias("_tie")
     )
     paired = with_next(own, "doc_id", ["body", "found"])
     size = F.length("body")
@@ -117,17 +123,23 @@ def compare_edited(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     edited = F.concat(
         F.substring(F.col("body"), F.lit(1), size - quarter), F.substring(F.col("next_body"), F.lit(1), quarter)
     )
-    staged = paired.select("doc_id", size.cast("long").alias("n_chars"), edited.alias("edited"), "found", "next_found")
-    staged = staged.withColumn("edited_found", anchors(F.col("edited")))
+    staged = paired.select(
+        "doc_id",
+        size.cast("long").alias("n_chars"),
+        edited.alias("edited"),
+        F.lower(F.hex("found")).alias("fingerprint"),
+        F.lower(F.hex("next_found")).alias("next_fingerprint"),
+    )
+    staged = staged.withColumn("edited_fingerprint", fingerprint(anchors(F.col("edited"))))
     unique = staged.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        fingerprint(F.col("found")).alias("fingerprint"),
-        fingerprint(F.col("edited_found")).alias("edited_fingerprint"),
-        F.array_distinct("found").alias("a"),
-        F.array_distinct("edited_found").alias("b"),
-        F.array_distinct("next_found").alias("c"),
+        "fingerprint",
+        "edited_fingerprint",
+        names_in("fingerprint").alias("a"),
+        names_in("edited_fingerprint").alias("b"),
+        names_in("next_fingerprint").alias("c"),
     )
     return unique.select(
         "doc_id",
