@@ -102,16 +102,24 @@ def running_total(
     """Add the sum of ``value`` over earlier rows of the key, in descending order throughout.
 
     The order is ``major``, bucket of ``minor``, ``minor``. Sums are taken inside (key, major,
-    bucket) and shifted by the totals of the earlier buckets, so no key is gathered in one task.
+    bucket) and shifted by the totals of the earlier buckets of the same major, then by those of
+    the earlier majors, so no key is gathered in one task.
     """
     place = [*keys, *major, "_bucket"]
-    parts_order = [F.col(c).desc() for c in [*major, "_bucket"]]
+    down = lambda columns: [F.col(c).desc() for c in columns]
     rows = rows.withColumn("_bucket", bucket(minor))
+    sums = rows.groupBy(*place).agg(F.sum(value).alias("_sum"))
+    majors = (
+        sums.groupBy(*keys, *major)
+        .agg(F.sum("_sum").alias("_total"))
+        .withColumn("_earlier", running_before("_total", keys, down(major)))
+        .drop("_total")
+    )
     shift = (
-        rows.groupBy(*place)
-        .agg(F.sum(value).alias("_sum"))
-        .withColumn("_before", running_before("_sum", keys, parts_order))
-        .drop("_sum")
+        sums.withColumn("_inside", running_before("_sum", [*keys, *major], down(["_bucket"])))
+        .join(majors, [*keys, *major])
+        .withColumn("_before", F.col("_earlier") + F.col("_inside"))
+        .drop("_sum", "_earlier", "_inside")
     )
     local = rows.withColumn("_local", running_before(value, place, [F.col(minor).desc()]))
     joined = local.join(shift, place).withColumn(name, F.col("_before") + F.col("_local"))
