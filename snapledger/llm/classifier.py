@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import without
+from .common import modest_batches, without
 from .shingles import ODD, STEP, U, hash_words, mix64, text_parts
 
 FOLDS = 5
@@ -184,5 +184,5 @@ def score(
             scores = pa.array(np.round(np.concatenate(found), 6))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], scores], names=[*kept, "score"])
 
-    scored = df.mapInArrow(run, schema)
+    scored = modest_batches(df).mapInArrow(run, schema)
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from ..operators.skew import is_small
 from ..session import stage
-from .common import without
+from .common import modest_batches, without
 from .components import stars
 from .shingles import ODD, STEP, U, mix64, ranges, shingle_parts, signatures
 
@@ -322,7 +322,7 @@ def first_pairs(shared: DataFrame, sizes: DataFrame, join: Join) -> DataFrame:
 
 def find_components(df: DataFrame, join: Join, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(_key, n_shingles, component_id), a row per row of ``df``."""
-    docs = df.select(F.col(f"`{key}`").cast("long").alias("_key"), F.col(f"`{text}`").alias("_text"))
+    docs = modest_batches(df).select(F.col(f"`{key}`").cast("long").alias("_key"), F.col(f"`{text}`").alias("_text"))
     digest = stage(
         docs.mapInArrow(digests(join.width), "_key long, n_shingles long, sig long, sig2 long"), "digests"
     )

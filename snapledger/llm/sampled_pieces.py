@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import spare, without
+from .common import modest_batches, spare, without
 from .shingles import ODD, STEP, U, mix64, powers, ranges, text_parts
 
 SHIFT = 10
@@ -314,7 +314,7 @@ def encode(df: DataFrame, pieces: Pieces, key: str = "doc_id", text: str = "text
             )
 
     number = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(0).cast("long"))
-    return df.withColumn(order, number).mapInArrow(run, schema)
+    return modest_batches(df).withColumn(order, number).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, pieces: Pieces, column: str = "pieces", result: str = "decoded") -> DataFrame:
@@ -345,4 +345,4 @@ def decode(df: DataFrame, pieces: Pieces, column: str = "pieces", result: str =
                 texts = pc.if_else(lists.is_valid(), texts, pa.scalar(None, pa.string()))
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], texts], names=[*names, result])
 
-    return df.mapInArrow(run, schema)
+    return modest_batches(df).mapInArrow(run, schema)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import running_sums, without
+from .common import modest_batches, running_sums, without
 
 
 @dataclass(frozen=True)
@@ -61,7 +61,7 @@ def encoded_lengths(
                 [*[batch.column(c) for c in kept], pa.array(found)], names=[*kept, "n_tokens"]
             )
 
-    return df.mapInArrow(run, schema)
+    return modest_batches(df).mapInArrow(run, schema)
 
 
 def histogram(lengths: DataFrame) -> DataFrame:
