@@ -39,7 +39,7 @@ from .common import modest_batches, spare, without
 from .shingles import ODD, STEP, U, mix64, powers, ranges, text_parts
 
 SHIFT = 10
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 BYTE_WEIGHT = -25.0
 MARK = "▁"
 SPACE = 0x20
