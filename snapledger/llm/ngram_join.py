@@ -77,15 +77,16 @@ class Join:
         return (100 - self.percent) * 2 * largest // (100 + self.percent) + 1
 
 
-def digests(width: int):
-    """Task function: per row its shingle count and signature."""
+def digests(width: int, keep: tuple[str, ...] = ("_key",)):
+    """Task function: per row the columns to ``keep``, its shingle count and signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [(np.diff(b), *signatures(v, b)) for v, b in shingle_parts(batch.column("_text"), width)]
             columns = [pa.array(np.concatenate(c), pa.int64()) for c in zip(*parts, strict=True)]
             if columns:
-                yield pa.record_batch([batch.column("_key"), *columns], names=["_key", "n_shingles", "sig", "sig2"])
+                kept = [batch.column(c) for c in keep]
+                yield pa.record_batch([*kept, *columns], names=[*keep, "n_shingles", "sig", "sig2"])
 
     return run
 
@@ -320,12 +321,12 @@ def first_pairs(shared: DataFrame, sizes: DataFrame, join: Join) -> DataFrame:
     return best.select(F.least("first", "sig").alias("a"), F.greatest("first", "sig").alias("b")).distinct()
 
 
-def find_components(df: DataFrame, join: Join, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(_key, n_shingles, component_id), a row per row of ``df``."""
-    docs = modest_batches(df).select(F.col(f"`{key}`").cast("long").alias("_key"), F.col(f"`{text}`").alias("_text"))
-    digest = stage(
-        docs.mapInArrow(digests(join.width), "_key long, n_shingles long, sig long, sig2 long"), "digests"
-    )
+def texts_of(df: DataFrame, key: str, text: str) -> DataFrame:
+    return modest_batches(df).select(F.col(f"`{key}`").cast("long").alias("_key"), F.col(f"`{text}`").alias("_text"))
+
+
+def find_classes(docs: DataFrame, digest: DataFrame, join: Join) -> DataFrame:
+    """(sig, sig2, n, rep, root): every class of equal sets, its smallest key, and the name of its component."""
     classes = stage(
         digest.where("n_shingles > 0")
         .groupBy("sig", "sig2", F.col("n_shingles").alias("n"))
@@ -356,9 +357,17 @@ def find_components(df: DataFrame, join: Join, key: str = "doc_id", text: str =
         if last:
             break
         tested = stage(tested.unionByName(pairs), "tested")
-    named = classes.join(roots, F.col("sig") == F.col("node"), "left").withColumn(
-        "root", F.coalesce("root", "sig")
+    named = classes.join(roots, F.col("sig") == F.col("node"), "left")
+    return named.select(*classes.columns, F.coalesce("root", "sig").alias("root"))
+
+
+def find_components(df: DataFrame, join: Join, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(_key, n_shingles, component_id), a row per row of ``df``."""
+    docs = texts_of(df, key, text)
+    digest = stage(
+        docs.mapInArrow(digests(join.width), "_key long, n_shingles long, sig long, sig2 long"), "digests"
     )
+    named = find_classes(docs, digest, join)
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     found = named.join(least, "root").select("sig", "sig2", F.col("n").alias("n_shingles"), "component_id")
     return digest.join(found, ["sig", "sig2", "n_shingles"], "left").select(
@@ -369,17 +378,37 @@ def find_components(df: DataFrame, join: Join, key: str = "doc_id", text: str =
 def one_of_each(df: DataFrame, join: Join, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with one row of every component, of its smallest key; rows without shingles stay.
 
-    Only rows that repeat a key with equal shingles are brought together, to keep one of them.
+    A null key is the largest. Rows are told apart by key and text, so texts that share a key go or
+    stay by themselves. Only rows that repeat the chosen key and text are brought together, to keep
+    one of them.
     """
-    found = stage(find_components(df, join, key, text), "components")
-    full = found.where("n_shingles > 0")
-    gone = full.where(~F.col("_key").eqNullSafe(F.col("component_id"))).select(F.col("_key").alias("_gone"))
-    repeated = full.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and _key is not null")
-    named = without(df, "_gone").withColumn("_gone", F.col(f"`{key}`").cast("long"))
-    gone = gone.where("_gone is not null").distinct()
-    left = named.join(F.broadcast(gone) if is_small(gone) else gone, "_gone", "left_anti")
-    if repeated.isEmpty():
-        return left.drop("_gone")
-    again = repeated.select(F.col("_key").alias("_gone"))
-    once = left.join(again, "_gone", "left_semi").dropDuplicates(["_gone"])
-    return left.join(again, "_gone", "left_anti").unionByName(once).drop("_gone")
+    name = ["_key", "_tag", "_tag2"]
+    tags = F.xxhash64("_text").alias("_tag"), F.xxhash64(F.lit(1), "_text").alias("_tag2")
+    docs = texts_of(df, key, text)
+    tagged = docs.select("_key", *tags, "_text")
+    digest = stage(
+        tagged.mapInArrow(digests(join.width, tuple(name)), "_key long, _tag long, _tag2 long, n_shingles long, sig long, sig2 long"),
+        "digests",
+    )
+    classes = find_classes(docs, digest, join).withColumnRenamed("n", "n_shingles").drop("rep")
+    rows = digest.where("n_shingles > 0").join(classes, ["sig", "sig2", "n_shingles"])
+    texts = stage(rows.groupBy("root", *name).agg(F.count(F.lit(1)).alias("n")), "rows")
+    first = texts.groupBy("root").agg(F.min(F.struct(F.col("_key").isNull().alias("unnamed"), *name)).alias("first"))
+    chosen = texts.join(first, "root").withColumn("stays", F.struct(*name) == F.struct(*[f"first.{c}" for c in name]))
+    chosen = stage(chosen.select(*name, "n", "stays"), "chosen")
+    named = without(df, *name).withColumns({"_key": F.col(f"`{key}`").cast("long")})
+    named = named.withColumns({"_tag": F.xxhash64(f"`{text}`"), "_tag2": F.xxhash64(F.lit(1), f"`{text}`")})
+
+    def select(rows: DataFrame, lines: DataFrame, how: str) -> DataFrame:
+        lines = lines.select(*[F.col(c).alias(f"{c}_") for c in name])
+        same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in name]
+        return rows.join(F.broadcast(lines) if is_small(lines) else lines, same, how)
+
+    left = select(named, chosen.where(~F.col("stays")), "left_anti")
+    again = chosen.where("stays and n > 1")
+    if again.isEmpty():
+        return left.drop(*name)
+    columns = [f"`{c}`" for c in without(df, *name).columns]
+    order = F.xxhash64(*[f"`{c}`" for c, kind in df.dtypes if "map<" not in kind])
+    once = select(left, again, "left_semi").groupBy(*name).agg(F.min_by(F.struct(*columns), order).alias("row"))
+    return select(left, again, "left_anti").drop(*name).unionByName(once.select("row.*"))

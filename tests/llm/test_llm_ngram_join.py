@@ -162,6 +162,24 @@ def test_one_of_each(spark):
     assert len(rows) > len(left)
 
 
+def test_one_of_each_decides_by_row(spark):
+    """Texts that share a key, and near copies without one, go or stay by themselves."""
+    left = [(r.doc_id, r.text) for r in one_of_each(documents(spark), Join()).collect()]
+    assert [t for i, t in left if i == 15] == ["other text under one number"]
+    base = " ".join(f"word{i}" for i in range(120))
+    other = " ".join(f"item{i}" for i in range(120))
+    rows = [(5, f"a text number {i} of its own", "en", "a", 1) for i in range(9)]
+    rows += [(None, base + f" more {i}", "en", "a", i) for i in range(4)] + [(None, base + " more 0", "de", "b", 7)] * 3
+    rows += [(6, other, "en", "a", 1), (6, other + " end", "en", "b", 2), (6, other.upper(), "en", "c", 3), (7, other, "en", "d", 4)]
+    rows += [(None, other, "en", "a", 1), (None, "", "en", "a", 1), (5, None, "en", "a", 1), (5, None, "en", "a", 1)]
+    got = [tuple(r) for r in one_of_each(documents(spark, rows), Join()).collect()]
+    assert len([r for r in got if r[0] == 5]) == 11 and len([r for r in got if r[0] == 6]) == 1
+    assert len([r for r in got if r[0] is None and r[1]]) == 1 and (None, "", "en", "a", 1) in got
+    assert len(got) == 14 and set(got) <= set(rows)
+    again = one_of_each(documents(spark, rows[::-1]).repartition(3), Join()).collect()
+    assert sorted(map(repr, got)) == sorted(repr(tuple(r)) for r in again)
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in stars(links).collect()}
