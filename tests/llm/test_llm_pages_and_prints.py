@@ -63,6 +63,16 @@ def test_sites_lose_what_they_repeat(spark):
     assert extract(spark, []) == {}
 
 
+def test_unique_texts_stay_on_a_hot_host(spark):
+    """However many pages and child sequences a host has."""
+    ids = spark.range(30_000).select(F.col("id").alias("page_id"), F.lit("https://hot.example/").alias("url"), "id")
+    # 60 child sequences of skewed frequency, the first on most pages.
+    tail = F.when(F.col("id") % 8 == 0, F.repeat(F.lit("<ul></ul>"), (F.col("id") % 61).cast("int"))).otherwise("")
+    html = F.concat(F.lit("<div class=text><p>Text "), "id", F.lit("</p>"), tail, F.lit("</div><div class=low><p>Same</p></div>"))
+    got = style_tree.extract(ids.select("page_id", "url", html.alias("html")))
+    assert got.where(F.col("text") != F.concat(F.lit("Text "), "page_id")).count() == 0 and got.count() == 30_000
+
+
 def test_page_query(spark):
     got = {r.page_id: r for r in QUERIES["op6_style_tree"](spark, SF_DIR).collect()}
     for r in spark.read.parquet(f"{SF_DIR}/pages.parquet").collect():
