@@ -63,6 +63,19 @@ def test_sites_lose_what_they_repeat(spark):
     assert extract(spark, []) == {}
 
 
+def test_repeated_parts_of_articles_go(spark):
+    box = "<div class=box><p>Written by our own team, see the rules of the house</p></div>"
+    rows = [(i, "https://s.example/", f"<div>out {i}</div><article><h1>T {i}</h1><p>Story {i}.</p>{box}</article>") for i in range(12)]
+    rows += [(100 + i, "https://s.example/", f"<article><h1>T</h1><p>a mirrored story</p>{box}</article>") for i in range(30)]
+    rows += [(200 + i, "https://few.example/", f"<main><p>Text {i}</p>{box}</main>") for i in range(2)]
+    rows += [(300 + i, "https://all.example/", f"<main><p>{'ab'[i % 2]}</p><p>{'ab'[i < 6]}</p></main>") for i in range(12)]
+    got = extract(spark, rows)
+    assert [got[i] for i in range(12)] == [f"T {i}\nStory {i}." for i in range(12)]
+    assert {got[100 + i] for i in range(30)} == {"T\na mirrored story"}
+    assert all("rules" in got[200 + i] for i in range(2)), "two pages are too little evidence"
+    assert all(got[300 + i] for i in range(12)), "no article is emptied"
+
+
 def test_unique_texts_stay_on_a_hot_host(spark):
     """However many pages and child sequences a host has."""
     ids = spark.range(30_000).select(F.col("id").alias("page_id"), F.lit("https://hot.example/").alias("url"), "id")
