@@ -23,6 +23,9 @@ into several components are taken up again: star by star with changing centres a
 make many pairs, at last with every pair of different components. A pair above the similarity therefore always ends up in one
 component, and no bucket, group or list of partners is cut.
 
+Links themselves, pairs of classes and their number per row, are of another size than components:
+``find_links`` and ``count_links`` compare every pair of classes that share a key.
+
 Memory: keys are read in sorted order and only the current group's first line is held. Sets of
 candidates are shuffled in pairs. Nothing is gathered on the driver but counts.
 
@@ -54,6 +57,7 @@ SEEN_SETS = 1 << 18
 STAR_ROUNDS = 4
 NEXT = U(0xFFFF)
 PAIRS_PER_ROW = 16
+KEY_SETS = 1000
 
 
 @dataclass(frozen=True)
@@ -325,17 +329,82 @@ def texts_of(df: DataFrame, key: str, text: str) -> DataFrame:
     return modest_batches(df).select(F.col(f"`{key}`").cast("long").alias("_key"), F.col(f"`{text}`").alias("_text"))
 
 
-def find_classes(docs: DataFrame, digest: DataFrame, join: Join) -> DataFrame:
-    """(sig, sig2, n, rep, root): every class of equal sets, its smallest key, and the name of its component."""
-    classes = stage(
-        digest.where("n_shingles > 0")
-        .groupBy("sig", "sig2", F.col("n_shingles").alias("n"))
-        .agg(F.min("_key").alias("rep")),
-        "classes",
-    )
+def digest_of(docs: DataFrame, join: Join) -> DataFrame:
+    schema = "_key long, n_shingles long, sig long, sig2 long"
+    return stage(docs.mapInArrow(digests(join.width), schema), "digests")
+
+
+def classes_of(digest: DataFrame) -> DataFrame:
+    """(sig, sig2, n, rep, copies): every class of equal sets, its smallest key, and its rows."""
+    groups = digest.where("n_shingles > 0").groupBy("sig", "sig2", F.col("n_shingles").alias("n"))
+    return stage(groups.agg(F.min("_key").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
+
+
+def find_shared(docs: DataFrame, join: Join) -> DataFrame:
     keys = docs.mapInArrow(key_rows(join), "key long, sig long")
     dealt = keys.repartition(F.col("key").bitwiseAND(F.lit(~0xFFFF))).sortWithinPartitions("key", "sig")
-    shared = stage(dealt.mapInArrow(shared_keys, SHARED), "shared")
+    return stage(dealt.mapInArrow(shared_keys, SHARED), "shared")
+
+
+def all_pairs(shared: DataFrame, sizes: DataFrame, join: Join) -> DataFrame:
+    """All pairs of sets that share a key.
+
+    The sets of a key are dealt into parts and a task's group is a pair of parts, so no group has
+    more than about ``KEY_SETS`` squared pairs, however many sets share the key.
+    """
+    members = shared.select("key", "sig", "next").distinct().join(sizes, "sig")
+    parts = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / KEY_SETS).cast("int").alias("parts"))
+    dealt = members.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int"))
+    side = lambda name: [F.col(c).alias(f"{name}_{c}") for c in ("sig", "next", "n")]
+    one = dealt.select("key", F.col("part").alias("low"), F.explode(F.expr("sequence(part, parts - 1)")).alias("high"), *side("a"))
+    two = dealt.select("key", F.explode(F.expr("sequence(0, part)")).alias("low"), F.col("part").alias("high"), *side("b"))
+    both = one.join(two, ["key", "low", "high"]).where("a_sig <> b_sig and (low < high or a_sig < b_sig)")
+    fitting = both.where(near_words("a_next", "b_next") & sizes_fit(join, "a_n", "b_n"))
+    return fitting.select(F.least("a_sig", "b_sig").alias("a"), F.greatest("a_sig", "b_sig").alias("b")).distinct()
+
+
+def link_classes(docs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
+    """(a, b): every pair of classes whose sets are similar enough, once."""
+    pairs = stage(all_pairs(find_shared(docs, join), classes.select("sig", "n"), join), "pairs")
+    return verify(pairs, fetch_sets(docs, classes, pairs, join), join)
+
+
+def find_links(df: DataFrame, join: Join, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(class_a, class_b, key_a, key_b): every link between different sets, once.
+
+    A class holds the rows of equal sets and is named by a hash of its set; a key is the smallest one
+    of the class. Links between equal sets are those inside a class and are not spelled out.
+    """
+    docs = texts_of(df, key, text)
+    classes = classes_of(digest_of(docs, join))
+    named = [classes.select(F.col("sig").alias(f"class_{s}"), F.col("rep").alias(f"key_{s}")) for s in "ab"]
+    links = link_classes(docs, classes, join).select(F.col("a").alias("class_a"), F.col("b").alias("class_b"))
+    return links.join(named[0], "class_a").join(named[1], "class_b").select("class_a", "class_b", "key_a", "key_b")
+
+
+def count_links(df: DataFrame, join: Join, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(_key, n_shingles, class_id, n_links), a row per row of ``df``: how many other rows are similar to it.
+
+    Counted from the links of classes and their sizes. Rows without shingles have no class and no links.
+    """
+    docs = texts_of(df, key, text)
+    digest = digest_of(docs, join)
+    classes = classes_of(digest)
+    links = stage(link_classes(docs, classes, join), "links")
+    ways = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    outside = ways.join(classes.select(F.col("sig").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("outside"))
+    counted = classes.join(outside, F.col("sig") == F.col("a"), "left").select(
+        "sig", "sig2", F.col("n").alias("n_shingles"), (F.col("copies") - 1 + F.coalesce("outside", F.lit(0))).alias("n_links")
+    )
+    return digest.join(counted, ["sig", "sig2", "n_shingles"], "left").select(
+        "_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("sig")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+    )
+
+
+def find_classes(docs: DataFrame, digest: DataFrame, join: Join) -> DataFrame:
+    """(sig, sig2, n, rep, root): every class of equal sets, its smallest key, and the name of its component."""
+    classes = classes_of(digest).drop("copies")
+    shared = find_shared(docs, join)
     sizes = classes.select("sig", "n")
     tested = stage(first_pairs(shared, sizes, join), "pairs")
     links = stage(verify(tested, fetch_sets(docs, classes, tested, join), join), "links")
@@ -364,9 +433,7 @@ def find_classes(docs: DataFrame, digest: DataFrame, join: Join) -> DataFrame:
 def find_components(df: DataFrame, join: Join, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(_key, n_shingles, component_id), a row per row of ``df``."""
     docs = texts_of(df, key, text)
-    digest = stage(
-        docs.mapInArrow(digests(join.width), "_key long, n_shingles long, sig long, sig2 long"), "digests"
-    )
+    digest = digest_of(docs, join)
     named = find_classes(docs, digest, join)
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     found = named.join(least, "root").select("sig", "sig2", F.col("n").alias("n_shingles"), "component_id")

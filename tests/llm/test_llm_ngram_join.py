@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pytest
-from llm_data import SCHEMA, documents, words
+from llm_data import SCHEMA, awkward, documents, words
 
 from snapledger.llm import ngram_join
 from snapledger.llm.components import stars
@@ -180,6 +180,28 @@ def test_one_of_each_decides_by_row(spark):
     assert sorted(map(repr, got)) == sorted(repr(tuple(r)) for r in again)
 
 
+@pytest.mark.parametrize("sets", [2, 1000])
+def test_every_link_is_found(spark, monkeypatch, sets):
+    """Also inside a component; copies are counted, not expanded."""
+    monkeypatch.setattr(ngram_join, "KEY_SETS", sets)
+    join = Join(2, 60, 1.3)
+    base = [f"word{i}" for i in range(60)]
+    rows = [(i, " ".join([*base[:i], "x", *base[i + 1 :]]), None, None, None) for i in range(14)]
+    rows += [*[(50 + i, rows[0][1].upper(), None, None, None) for i in range(3)], *awkward(), *chains(5)[:40]]
+    sets_of = [shingles(r[1], join.width) for r in rows]
+    alike = lambda x, y: bool(x and y) and 100 * len(x & y) >= join.percent * len(x | y)
+    counts = sorted(
+        ((r[0], sum(alike(one, two) for j, two in enumerate(sets_of) if j != i)) for i, (r, one) in enumerate(zip(rows, sets_of))), key=repr
+    )
+    assert max(n for _, n in counts) >= 16
+    got = ngram_join.count_links(documents(spark, rows), join).collect()
+    assert sorted(((r._key, r.n_links) for r in got), key=repr) == counts
+    distinct = list({s for s in sets_of if s})
+    links = ngram_join.find_links(documents(spark, rows), join).collect()
+    assert len(links) == len({frozenset((r.class_a, r.class_b)) for r in links})
+    assert len(links) == sum(alike(x, y) for i, x in enumerate(distinct) for y in distinct[:i])
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in stars(links).collect()}
