@@ -106,10 +106,15 @@ def fit(lines: DataFrame, role: str = "role") -> Model:
     """Count the model on lines whose role is known; only counts by state and sign are gathered."""
     place = sum((F.when(F.col(f"`{role}`") == r, F.lit(i)).otherwise(F.lit(0)) for i, r in enumerate(ROLES)), F.lit(0))
     known = lines.where(F.col(f"`{role}`").isin(*ROLES)).withColumn("state", place * 2 + (F.col("at") > 0).cast("int"))
-    # Steps between turns: the next turn's role, from one line per turn.
-    turns = known.where("at = 0").select("conv", "block", "turn", "tie", "state")
-    order = Window.partitionBy("conv", "block").orderBy("turn", "tie")
-    steps = turns.withColumn("next", F.lead("state").over(order)).groupBy("state", "next").count().collect()
+    # Steps from line to line inside blocks, and from a block's last line to the first of the next.
+    order = ("turn", "tie", "at", "state")
+    inside = Window.partitionBy("conv", "block").orderBy(*order)
+    within = known.select("state", F.lead("state").over(inside).alias("next"))
+    ends = known.groupBy("conv", "block").agg(
+        F.min_by("state", F.struct(*order)).alias("opening"), F.max_by("state", F.struct(*order)).alias("state")
+    )
+    between = ends.select("state", F.lead("opening").over(Window.partitionBy("conv").orderBy("block")).alias("next"))
+    steps = within.unionByName(between).where("next is not null").groupBy("state", "next").count().collect()
     signs = known.groupBy("state", "mark", "shape").agg(
         F.count(F.lit(1)).alias("count"), F.sum((F.col("shape") % 2).cast("long")).alias("firsts")
     ).collect()
@@ -121,18 +126,8 @@ def fit(lines: DataFrame, role: str = "role") -> Model:
         shapes[row["state"], row["shape"]] += row["count"]
         start[row["state"]] += row["firsts"]
     step = np.zeros((STATES, STATES))
-    later = marks.sum(axis=1)[1::2]
     for row in steps:
-        if row["next"] is not None:
-            # A turn's lines after the first come between its first line and the next turn.
-            step[row["state"], row["next"]] += row["count"]
-    turn_counts = step.sum(axis=1)[0::2]
-    for i in range(len(ROLES)):
-        rest = min(later[i], turn_counts[i])
-        leaving = step[2 * i].copy()
-        step[2 * i + 1] = leaving
-        step[2 * i + 1, 2 * i + 1] = max(0.0, later[i] - rest)
-        step[2 * i, 2 * i + 1] = rest
+        step[row["state"], row["next"]] += row["count"]
     allowed = np.ones((STATES, STATES))
     for i in range(len(ROLES)):
         allowed[:, 2 * i + 1] = 0

@@ -253,3 +253,19 @@ def test_chat_query_recovers_most_roles(spark):
     plain = Counter((r.conv_id, f"<|im_start|>{r.role}\n{r.text}<|im_end|>") for r in source.collect() if r.conv_id % 2 or True)
     found = Counter((r.conv_id, r.rendered) for r in got.collect())
     assert sum((plain & found).values()) / sum(plain.values()) > 0.75
+
+
+@pytest.mark.parametrize("block", [1, 3, 1024])
+def test_steps_are_counted_line_by_line(spark, monkeypatch, block):
+    """Also inside turns, and from block to block."""
+    monkeypatch.setattr(chat_format, "BLOCK_TURNS", block)
+    turns = [("user", 2), ("assistant", 1), ("user", 2), ("assistant", 7), ("assistant", 1), ("user", 2), ("system", 1)]
+    rows = [(c, i, role, "\n".join(f"line {k}" for k in range(n))) for c in (1, None) for i, (role, n) in enumerate(turns)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    states = [2 * chat_format.ROLES.index(role) + (k > 0) for role, n in turns for k in range(n)]
+    counts = np.zeros((chat_format.STATES, chat_format.STATES))
+    for one, two in zip(states, states[1:]):
+        counts[one, two] += 2
+    allowed = np.array([[b % 2 == 0 or a // 2 == b // 2 for b in range(chat_format.STATES)] for a in range(chat_format.STATES)])
+    model = chat_format.fit(chat_format.lines_of(df, keep=("role",)))
+    assert np.exp(model.step) == pytest.approx(np.exp(chat_format.shares(counts, allowed)))
