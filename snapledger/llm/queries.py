@@ -11,8 +11,11 @@ from ..session import scratch_path, stage
 from . import (
     chat_format,
     classifier,
+    languages,
+    merkle,
     mixing,
     ngram_join,
+    periods,
     quality_rules,
     sampled_pieces,
     sharding,
@@ -129,6 +132,38 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.withColumn("conv_id", F.col("conv").cast("long")).drop("conv")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = merkle.Manifest()
+    rows = merkle.manifest_rows(table(spark, sf_dir, "documents"), manifest, merkle.tampered_text(manifest))
+    return merkle.check(rows).select(
+        F.col("key").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"
+    )
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = periods.with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periods.find_runs(documents, periods.Runs(), columns=["doc_id"])
+    best = found.withColumn("best", periods.strongest(F.col("runs")))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(periods.run_lines(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    how = languages.Compression()
+    known = languages.learn(documents.where(~languages.held_out("doc_id")), how)
+    found = languages.identify(documents, known, how, columns=["doc_id"])
+    return found.select("doc_id", languages.held_out("doc_id").alias("held_out"), "lang_pred", "score", "accepted")
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_quality_rules": op2_quality_rules,
@@ -140,4 +175,7 @@ QUERIES = {
     "op8_syncmers": op8_syncmers,
     "op9_sampled_pieces": op9_sampled_pieces,
     "op10_chat_format": op10_chat_format,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_language_id": op13_language_id,
 }

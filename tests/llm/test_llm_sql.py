@@ -12,7 +12,7 @@ from snapledger.llm.queries import QUERIES
 
 def test_every_operator_has_its_query():
     numbers = [int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES]
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(contract.queries())
     assert set(ORACLES) <= set(contract.oracle_sql()) and set(ORACLES) <= set(QUERIES)
 
