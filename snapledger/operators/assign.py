@@ -88,12 +88,15 @@ def assign_blobs(
     first; ``dup_copy`` where the file is below ``min_bytes`` or all blobs are at ``max_links``, and
     such a copy at the limit then takes the next links. ``run`` is a name no earlier run has used;
     it keeps new blob ids apart. With ``stored`` (see ``blobs``), rows whose only blobs are gone are
-    ``failed``, as are rows without a hash.
+    ``failed``, as are rows without a hash. With a column ``prior_blob`` (see ``signature_lookup``)
+    rows link to that blob first, as long as it has room (see ``follow_records``).
 
     What the manifest holds of the new hashes is written to the shared folder first (one line per
     hash), so the manifest is scanned once and the plan can follow what was found: numbering in
     parts only if a hash is hot, filling of older blobs only if one runs over.
     """
+    # Counted, cut to, and numbered: computed once.
+    files = stage(files, "files")
     has_hash = hash_is_set(F.col("hash"))
     decided = assign_hashed(
         files.where(has_hash), manifest, run, max_links, min_bytes, stored, hot_rows
@@ -113,8 +116,62 @@ def assign_hashed(
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``assign_blobs`` for rows that all have a hash."""
+    follow = "prior_blob" in files.columns
+    if follow:
+        files = files.drop("blob_id")
     manifest = cut_to(manifest, files, ["hash"])
     per_blob = blobs(manifest, max_links, min_bytes, stored)
+    if not follow:
+        return assign_by_hash(files, per_blob, run, max_links, min_bytes, hot_rows)
+    # Read twice; blobs of other contents than the run's are not needed.
+    per_blob = stage(per_blob.join(files.select("hash").distinct(), "hash", "left_semi"), "blobs")
+    linked, rest, left = follow_records(files, per_blob, min_bytes)
+    decided = assign_by_hash(rest, left, run, max_links, min_bytes, hot_rows)
+    return decided.unionByName(linked.select(*decided.columns))
+
+
+def follow_records(
+    files: DataFrame, per_blob: DataFrame, min_bytes: int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows that link to the blob of the very record their signature was found in.
+
+    Returns these rows with ``action`` and ``blob_id``, the rows that are left, and ``per_blob`` with
+    the links taken off. Where more rows want a blob than it has room for, the first ones by
+    (snapshot, bucket of the file, file) get it, and only those rows are numbered. Every row that
+    wants a blob has a stored record in it, so a blob's group is never above its links.
+    """
+    wants = F.coalesce(F.col("prior_blob").isNotNull() & (F.col("size") >= min_bytes), F.lit(False))
+    wanting = files.where(wants)
+    wanting = wanting.withColumn("blob_id", F.col("prior_blob")).drop("prior_blob")
+    place = ["hash", "blob_id"]
+    room = per_blob.where("spare > 0").select(*place, "spare")
+    demand = stage(count_rows(wanting, place, "n_want").join(room, place), "demand")
+    enough = demand.where("n_want <= spare").select(*place)
+    short = demand.where("n_want > spare").select(*place, "spare")
+
+    order = Window.partitionBy(*place).orderBy("snapshot", bucket("file"), "file")
+    in_line = wanting.join(short, place).withColumn("nth", F.row_number().over(order))
+    linked = wanting.join(enough, place, "left_semi").unionByName(
+        in_line.where("nth <= spare").drop("nth", "spare")
+    )
+    refused = in_line.where("nth > spare").drop("nth", "spare")
+    roomless = wanting.join(demand.select(*place), place, "left_anti")
+    rest = files.where(~wants).drop("prior_blob").unionByName(refused.unionByName(roomless).drop("blob_id"))
+
+    taken = demand.select(*place, F.least("n_want", "spare").alias("taken"))
+    left = per_blob.join(taken, place, "left").withColumn("spare", F.col("spare") - F.coalesce("taken", F.lit(0)))
+    return linked.withColumn("action", F.lit(DUP_LINK)), rest, left.drop("taken")
+
+
+def assign_by_hash(
+    files: DataFrame,
+    per_blob: DataFrame,
+    run: str,
+    max_links: int = LINUX_MAX_LINKS,
+    min_bytes: int = LINUX_MIN_BYTES,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Rows in order of their hash on its blobs with room, newest first."""
     counted = count_rows(files, ["hash"], "n_new").join(content_capacity(per_blob), "hash", "left")
     kept = F.col("present").isNotNull() | (F.col("n_new") > hot_rows)
     columns = ["hash", "n_new", "n_room", "spare", "present", "room"]

@@ -17,7 +17,8 @@ from ..functions.paths import (
     target_key,
 )
 from ..schemas import LINUX_MAX_PATH
-from .skew import HOT_ROWS, attach, count_rows, small_copy
+from ..session import stage
+from .skew import HOT_ROWS, attach, count_rows, is_small
 
 FOLDED_SUFFIXES = 64
 
@@ -60,9 +61,9 @@ def _mark_by_table(inventory: DataFrame, excludes: DataFrame, hot_rows: int) ->
         .groupBy("step")
         .agg(F.max("_n").alias("_n"), F.lit(True).alias("hit"))
     )
-    few = small_copy(matched)
-    if few is not None:
-        found = steps.join(F.broadcast(few), "step")
+    matched = stage(matched, "matched")
+    if is_small(matched):
+        found = steps.join(F.broadcast(matched.select("step")), "step")
     else:
         found = attach(steps, matched, ["step"], ["path"], "_n", hot_rows).where("hit")
     topmost = found.groupBy("root", "path").agg(F.min(F.struct("depth", "step")).alias("first"))
@@ -128,10 +129,9 @@ def target_path(
     roots: DataFrame, inventory: DataFrame, windows: bool = False, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Add ``file``: the root's directory name followed by the path below the root."""
-    keys = root_keys(roots, windows).select("root", "key")
-    few = small_copy(keys)
-    if few is not None:
-        found = inventory.join(F.broadcast(few), "root", "left")
+    keys = stage(root_keys(roots, windows).select("root", "key"), "roots")
+    if is_small(keys):
+        found = inventory.join(F.broadcast(keys), "root", "left")
     else:
         sized = count_rows(inventory, ["root"], "_n").join(keys, "root")
         found = attach(inventory, sized, ["root"], ["path"], "_n", hot_rows)

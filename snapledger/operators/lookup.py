@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import LINUX_MAX_LINKS, LINUX_MIN_BYTES, RECORD, SIGNATURE
+from ..session import stage
 from .skew import HOT_ROWS, attach, bucket, count_rows, cut_to, rank_snapshots
 
 HEX = "0123456789abcdef"
@@ -46,21 +47,31 @@ def mirrored(hash: Column) -> Column:
     return F.translate(hash, HEX, HEX[::-1])
 
 
-def newest_per_signature(manifest: DataFrame) -> DataFrame:
+def blob_name(manifest: DataFrame) -> Column:
+    """The blob of a row; a row without one is a blob of its own."""
+    if "file" not in manifest.columns:
+        return F.col("blob_id")
+    own = F.concat_ws("/", F.col("snapshot"), F.col("file"))
+    return F.coalesce("blob_id", own) if "blob_id" in manifest.columns else own
+
+
+def newest_per_signature(manifest: DataFrame, with_blob: bool = False, by: list[str] | None = None) -> DataFrame:
     """One line per signature: the newest snapshot holding it and its smallest hash there.
 
-    A plain max() with map-side combining; no group is ever gathered in a window.
+    ``with_blob`` adds ``prior_blob``, the blob of that record, the last one by name if it has several;
+    ``by`` gives a line per signature and these columns. A plain max() with map-side combining; no group
+    is ever gathered in a window.
     """
+    groups = [*SIGNATURE, *(by or [])]
     usable = hash_is_set(F.col("hash"))
-    return (
-        manifest.where(usable)
-        .groupBy(*SIGNATURE)
-        .agg(F.max(F.struct("snapshot", mirrored(F.col("hash")).alias("m"))).alias("top"))
-        .select(
-            *SIGNATURE,
-            mirrored(F.col("top.m")).alias("prior_hash"),
-            F.col("top.snapshot").alias("prior_snapshot"),
-        )
+    blob = [blob_name(manifest).alias("blob")] if with_blob else []
+    top = F.max(F.struct("snapshot", mirrored(F.col("hash")).alias("m"), *blob)).alias("top")
+    found = manifest.where(usable).groupBy(*groups).agg(top)
+    return found.select(
+        *groups,
+        mirrored(F.col("top.m")).alias("prior_hash"),
+        F.col("top.snapshot").alias("prior_snapshot"),
+        *[F.col("top.blob").alias("prior_blob") for _ in blob],
     )
 
 
@@ -69,18 +80,20 @@ def signature_lookup(
     manifest: DataFrame,
     unique_files: bool = False,
     hot_rows: int = HOT_ROWS,
+    with_blob: bool = False,
 ) -> DataFrame:
     """Add ``prior_hash`` and ``prior_snapshot`` of the newest record with the same signature.
 
-    ``unique_files`` says that no signature repeats in ``files`` (true for a listing, where every
+    ``with_blob`` adds that record's ``prior_blob``. ``unique_files`` says that no signature repeats in ``files`` (true for a listing, where every
     path occurs once); the join then needs no care for repeated keys.
     """
+    # Counted, cut to, and joined: computed once.
+    files = stage(files, "files")
     manifest = cut_to(manifest, files, SIGNATURE)
-    newest = newest_per_signature(manifest)
+    newest = newest_per_signature(manifest, with_blob)
     if unique_files:
-        return files.join(newest, SIGNATURE, "left").select(
-            *files.columns, "prior_hash", "prior_snapshot"
-        )
+        added = [c for c in newest.columns if c not in SIGNATURE]
+        return files.join(newest, SIGNATURE, "left").select(*files.columns, *added)
     wanted = count_rows(files, SIGNATURE, "_n").join(newest, SIGNATURE)
     return attach(files, wanted, SIGNATURE, ["file"], "_n", hot_rows)
 
@@ -107,16 +120,17 @@ def blobs(
 
     Rows without a ``blob_id`` count as blobs of their own. With ``stored`` (snapshot, file, nlink)
     links are taken from the file system, and a blob none of whose files is left is not present.
+    Rows with ``n_links`` stand for that many rows of a snapshot and blob (see ``Repository.summary``).
     """
-    own = F.concat_ws("/", F.col("snapshot"), F.col("file"))
+    counted = "n_links" in manifest.columns
     rows = manifest.where(hash_is_set(F.col("hash"))).select(
         "hash",
-        F.coalesce("blob_id", own).alias("blob_id") if "blob_id" in manifest.columns else own.alias("blob_id"),
+        blob_name(manifest).alias("blob_id"),
         "snapshot",
-        "file",
         "size",
+        *[F.col(c) for c in ("file", "n_links") if c in manifest.columns],
     )
-    here, links = F.lit(True), F.count(F.lit(1))
+    here, links = F.lit(True), F.sum("n_links") if counted else F.count(F.lit(1))
     if stored is not None:
         found = stored.select("snapshot", "file", F.lit(True).alias("here"), "nlink")
         rows = rows.join(found, ["snapshot", "file"], "left")

@@ -61,14 +61,6 @@ def cut_to(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     return table.join(F.broadcast(rows.select(*keys).distinct()), keys, "left_semi")
 
 
-def small_copy(df: DataFrame) -> DataFrame | None:
-    """The lines of ``df`` as a local table fit to broadcast, or None if there are too many."""
-    lines = df.limit(BROADCAST_ROWS + 1).collect()
-    if len(lines) > BROADCAST_ROWS:
-        return None
-    return df.sparkSession.createDataFrame(lines, df.schema)
-
-
 def rank_snapshots(rows: DataFrame, names: list[str], rank: str) -> DataFrame:
     """Add the place of a row's snapshot in ``names``, from 0; null where it is not named.
 

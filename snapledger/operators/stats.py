@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import DELETE, DUP_COPY, DUP_LINK, IMPORT
 
 
-def action_stats(actions: DataFrame) -> DataFrame:
-    """Files and bytes hashed, copied, linked and deleted, one line per measure.
+STATS = "measure string, files long, bytes long"
+MEASURES = ["hashed", "copied", "linked", "deleted"]
+
+
+def stat_columns(actions: DataFrame) -> list[Column]:
+    """Two aggregates per measure, its files and its bytes, that can also be observed in another job.
 
     ``actions`` has ``action``, ``size`` and, where content was read, a true ``hashed``.
     """
@@ -20,20 +24,28 @@ def action_stats(actions: DataFrame) -> DataFrame:
         "linked": F.col("action") == DUP_LINK,
         "deleted": F.col("action") == DELETE,
     }
-    totals = actions.agg(
-        *[F.count_if(rule).alias(f"{name}_files") for name, rule in rules.items()],
-        *[
-            F.coalesce(F.sum(F.when(rule, F.col("size"))), F.lit(0)).alias(f"{name}_bytes")
-            for name, rule in rules.items()
-        ],
-    )
+    found = []
+    for name in MEASURES:
+        found.append(F.count_if(rules[name]).alias(f"{name}_files"))
+        found.append(F.coalesce(F.sum(F.when(rules[name], F.col("size"))), F.lit(0)).alias(f"{name}_bytes"))
+    return found
+
+
+def stat_lines(totals: dict[str, int]) -> list[tuple[str, int, int]]:
+    """Lines of ``STATS`` from observed totals."""
+    return [(name, totals[f"{name}_files"], totals[f"{name}_bytes"]) for name in MEASURES]
+
+
+def action_stats(actions: DataFrame) -> DataFrame:
+    """Files and bytes hashed, copied, linked and deleted, one line per measure."""
+    totals = actions.agg(*stat_columns(actions))
     lines = [
         F.struct(
             F.lit(name).alias("measure"),
             F.col(f"{name}_files").alias("files"),
             F.col(f"{name}_bytes").alias("bytes"),
         )
-        for name in rules
+        for name in MEASURES
     ]
     return totals.select(F.inline(F.array(*lines)))
 

@@ -14,7 +14,6 @@ from .skew import HOT_ROWS, attach, rank_snapshots
 Hasher = Callable[[DataFrame], DataFrame]
 
 
-PIVOT_NAMES = 64
 PHYSICAL = ["device", "inode"]
 
 
@@ -55,19 +54,31 @@ def representatives(linked: DataFrame, snapshots: list[str] | None = None) -> Da
     )
 
 
+def reference_counts(linked: DataFrame, snapshots: list[str] | None = None) -> DataFrame:
+    """One line per physical file: ``links``, a map of the snapshots that hold it to their rows, and ``first``.
+
+    A file's map has as many entries as it has snapshots, whatever the number of all snapshots.
+    """
+    rows = placed(linked, snapshots)
+    per_snapshot = rows.groupBy(*PHYSICAL, "snapshot").agg(F.count(F.lit(1)).alias("n"), first_record().alias("r"))
+    # a list leaves out what is null, here rows without a snapshot
+    entry = F.when(F.col("snapshot").isNotNull(), F.struct("snapshot", "n"))
+    return per_snapshot.groupBy(*PHYSICAL).agg(
+        F.map_from_entries(F.collect_list(entry)).alias("links"), F.min("r").alias("first")
+    )
+
+
 def file_table(
     linked: DataFrame, names: list[str], snapshots: list[str] | None = None
 ) -> DataFrame:
-    """One line per physical file: links per snapshot in ``names``, and its first record."""
-    rows = placed(linked, snapshots)
-    if len(names) <= PIVOT_NAMES:
-        counts = [F.count_if(F.col("snapshot") == n).alias(n) for n in names]
-        table = rows.groupBy(*PHYSICAL).agg(*counts, first_record().alias("r"))
-    else:
-        # counting per snapshot first keeps the work per row independent of the number of columns
-        counts = rows.groupBy(*PHYSICAL).pivot("snapshot", names).agg(F.count(F.lit(1)))
-        first = rows.groupBy(*PHYSICAL).agg(first_record().alias("r"))
-        table = first.join(counts, PHYSICAL).na.fill(0, names)
+    """One line per physical file: links per snapshot in ``names``, and its first record.
+
+    The columns are taken out of ``reference_counts`` at the end, for a report.
+    """
+    counts = reference_counts(linked, snapshots)
+    table = counts.select(
+        "inode", F.col("first").alias("r"), *[F.coalesce(F.try_element_at("links", F.lit(n)), F.lit(0)).alias(n) for n in names]
+    )
     return table.select(
         F.col("inode").alias("file_index"),
         *[F.col(f"`{n}`") for n in names],

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +30,7 @@ from ..operators.verify import (
     signature_pairs,
     unreadable_index,
 )
-from ..schemas import CONFLICT, FAILED, LINUX_MAX_LINKS, LINUX_MAX_PATH, LINUX_MIN_BYTES, MANIFEST, SIGNATURE, SKIP, STORED
+from ..schemas import CONFLICT, FAILED, LINUX_MAX_LINKS, LINUX_MAX_PATH, LINUX_MIN_BYTES, MANIFEST, SIGNATURE, SKIP, STORED, UNSTABLE
 from ..session import stage
 
 INACCESSIBLE = "inaccessible"
@@ -65,41 +68,57 @@ def take_snapshot(
     min_bytes: int = LINUX_MIN_BYTES,
     stored: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
+    affinity: bool = False,
+    contents: DataFrame | None = None,
 ) -> DataFrame:
     """Decide what happens to every file of a new snapshot.
 
     ``files`` (see ``walk``) has one line per path. Signatures are looked up first; ``hasher`` is
     given only rows without a known signature (all rows with ``always_hash``) and adds
     ``content_hash``, and may add ``now_size`` and ``now_mtime_ns`` if it saw the file change; such
-    rows are looked up again with the new values. Returns the rows with ``action``, ``blob_id`` and
-    ``hashed``; rows with an action in ``STORED`` are the new manifest rows.
+    rows are looked up again with the new values. A file that changes whenever it is read, as a
+    ``read_state`` of the hasher says, is ``unstable`` and left out. With ``affinity`` a file with a known signature
+    links to the blob of the very record it was found in, as long as that has room, and only then to
+    others of its content. ``manifest`` is searched for signatures and ``contents``, by default the same,
+    for hashes; a repository's summaries will do. Returns the rows with ``action``, ``blob_id`` and ``hashed``; rows with an
+    action in ``STORED`` are the new manifest rows.
     """
     base = ["snapshot", *SIGNATURE, "file"]
-    found = signature_lookup(files.select(*base), manifest, unique_files=True)
+    prior = ["prior_hash", "prior_blob"] if affinity else ["prior_hash"]
+    look = partial(signature_lookup, manifest=manifest, unique_files=True, with_blob=affinity)
+    found = look(files.select(*base))
     looked = stage(found, "looked")
     readable = F.col("size").isNotNull() & F.col("mtime_ns").isNotNull()
     lost = looked.where(~readable)
     wanted = looked.where(readable if always_hash else readable & F.col("prior_hash").isNull())
     trusted = looked.where(F.lit(False) if always_hash else F.col("prior_hash").isNotNull())
-    trusted = trusted.select(*base, F.col("prior_hash").alias("hash"), "prior_hash", F.lit(False).alias("hashed"))
+    trusted = trusted.select(
+        *base,
+        *prior,
+        F.col("prior_hash").alias("hash"),
+        F.lit(False).alias("hashed"),
+        F.lit(None).cast("string").alias("read_state"),
+    )
 
     # content is not touched at all when every signature is known
     if wanted.isEmpty():
         rows = trusted
     else:
-        fresh = stage(_hash_rows(wanted, manifest, hasher, base), "hashed")
+        fresh = stage(_hash_rows(wanted, look, hasher, [*base, *prior]), "hashed")
         rows = trusted.unionByName(fresh)
 
     broken = F.col("hashed") & F.col("prior_hash").isNotNull() & (F.col("prior_hash") != F.col("hash"))
     state = (
-        F.when(~hash_is_set(F.col("hash")), FAILED)
+        F.when(F.col("read_state") == UNSTABLE, UNSTABLE)
+        .when(~hash_is_set(F.col("hash")), FAILED)
         .when(broken, CONFLICT)
         .when(F.lit(incremental) & F.col("prior_hash").isNotNull(), SKIP)
     )
-    judged = rows.withColumn("action", state)
+    judged = rows.withColumn("action", state).drop("read_state")
     closed = judged.where("action is not null").withColumn("blob_id", F.lit(None).cast("string"))
     open_rows = judged.where("action is null").drop("action", "prior_hash")
-    decided = assign_hashed(open_rows, manifest, run, max_links, min_bytes, stored, hot_rows)
+    held = manifest if contents is None else contents
+    decided = assign_hashed(open_rows, held, run, max_links, min_bytes, stored, hot_rows)
     unread = lost.select(
         *base,
         F.lit(None).cast("string").alias("hash"),
@@ -114,28 +133,48 @@ def take_snapshot(
     )
 
 
-def _hash_rows(wanted: DataFrame, manifest: DataFrame, hasher: Hasher, base: list[str]) -> DataFrame:
+def _hash_rows(
+    wanted: DataFrame, look: Callable[[DataFrame], DataFrame], hasher: Hasher, columns: list[str]
+) -> DataFrame:
+    """Rows with the hash of their content, and the signature it was read with.
+
+    Files that were disturbed as often as the hasher tried are read once more after all others; one
+    that is disturbed even then keeps ``read_state`` ``UNSTABLE`` and has no hash.
+    """
     found = hasher(wanted)
     if "now_size" in found.columns:
-        changed = (F.col("now_size") != F.col("size")) | (F.col("now_mtime_ns") != F.col("mtime_ns"))
-        changed = F.coalesce(changed, F.lit(False))
-        found = stage(found, "read")
-        steady = found.where(~changed).drop("now_size", "now_mtime_ns")
-        moved = found.where(changed).select(
-            "snapshot",
-            "source",
-            F.col("now_size").alias("size"),
-            F.col("now_mtime_ns").alias("mtime_ns"),
-            "file",
-            "content_hash",
-        )
-        if moved.isEmpty():
-            found = steady
-        else:
-            found = steady.unionByName(signature_lookup(moved, manifest, unique_files=True))
+        found = _settle(found, look)
+        disturbed = found.where(F.col("read_state") == UNSTABLE)
+        if not disturbed.isEmpty():
+            calm = found.where(~F.col("read_state").eqNullSafe(UNSTABLE))
+            found = calm.unionByName(_settle(hasher(disturbed.drop("content_hash", "read_state")), look))
+    state = F.col("read_state") if "read_state" in found.columns else F.lit(None).cast("string")
     return found.select(
-        *base, F.col("content_hash").alias("hash"), "prior_hash", F.col("content_hash").isNotNull().alias("hashed")
+        *columns,
+        F.col("content_hash").alias("hash"),
+        F.col("content_hash").isNotNull().alias("hashed"),
+        state.alias("read_state"),
+    )
+
+
+def _settle(found: DataFrame, look: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows as read; those that no longer have their listed size and time are looked up again."""
+    if "read_state" not in found.columns:
+        found = found.withColumn("read_state", F.lit(None).cast("string"))
+    found = stage(found, "read")
+    changed = (F.col("now_size") != F.col("size")) | (F.col("now_mtime_ns") != F.col("mtime_ns"))
+    changed = F.coalesce(changed, F.lit(False))
+    steady = found.where(~changed).drop("now_size", "now_mtime_ns")
+    moved = found.where(changed).select(
+        "snapshot",
+        "source",
+        F.col("now_size").alias("size"),
+        F.col("now_mtime_ns").alias("mtime_ns"),
+        "file",
+        "content_hash",
+        "read_state",
     )
+    return steady if moved.isEmpty() else stage(steady.unionByName(look(moved)), "settled")
 
 
 def access_errors(excluded: DataFrame, snapshot: str) -> DataFrame:
@@ -148,7 +187,7 @@ def access_errors(excluded: DataFrame, snapshot: str) -> DataFrame:
 
 def run_events(actions: DataFrame, max_path: int = LINUX_MAX_PATH) -> DataFrame:
     """Errors and warnings (snapshot, file, detail, level) of a run: rows left out, long paths."""
-    failed = actions.where(F.col("action").isin(CONFLICT, FAILED)).select(
+    failed = actions.where(F.col("action").isin(CONFLICT, FAILED, UNSTABLE)).select(
         "snapshot", "file", F.col("action").alias("detail"), F.lit("error").alias("level")
     )
     path = full_path(F.col("snapshot"), F.col("file"))
@@ -172,21 +211,25 @@ def clone(
     min_bytes: int = LINUX_MIN_BYTES,
     stored: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
+    affinity: bool = False,
+    contents: DataFrame | None = None,
 ) -> DataFrame:
     """Decide what happens to every row of ``source`` when its snapshots are cloned into ``target``.
 
     All snapshots go in one pass. A signature stands for the hash the target has for it, else for
     that of its first row in (snapshot, file) order; rows with another hash are conflicts. With
     ``incremental`` only that first row is stored, and only if the target does not know it. Hashes
-    are taken over, not computed.
+    are taken over, not computed. ``affinity`` as in ``take_snapshot``, for records the target has, as
+    is ``contents``, the rows of the target that are searched for hashes.
     """
+    prior = ["prior_blob"] if affinity else []
     rows = source.select("snapshot", *SIGNATURE, "hash", "file")
     place = F.struct("snapshot", "file", "hash")
     per_source = rows.groupBy(*SIGNATURE).agg(
         F.count(F.lit(1)).alias("_n"), F.min(F.when(hash_is_set(F.col("hash")), place)).alias("first")
     )
-    per_signature = per_source.join(newest_per_signature(target), SIGNATURE, "left").select(
-        *SIGNATURE, "_n", "first", F.col("prior_hash").alias("kept_hash")
+    per_signature = per_source.join(newest_per_signature(target, affinity), SIGNATURE, "left").select(
+        *SIGNATURE, "_n", "first", F.col("prior_hash").alias("kept_hash"), *prior
     )
     found = attach(rows, per_signature, SIGNATURE, ["snapshot", "file"], "_n", hot_rows)
     canonical = F.coalesce("kept_hash", "first.hash")
@@ -199,12 +242,13 @@ def clone(
     judged = stage(
         found.withColumn("action", state)
         .withColumn("snapshot", snapshot_name(F.col("snapshot"), suffix))
-        .select(*rows.columns, "action"),
+        .select(*rows.columns, *prior, "action"),
         "clone",
     )
     closed = judged.where("action is not null").withColumn("blob_id", F.lit(None).cast("string"))
     open_rows = judged.where("action is null").drop("action")
-    decided = assign_hashed(open_rows, target, run, max_links, min_bytes, stored, hot_rows)
+    held = target if contents is None else contents
+    decided = assign_hashed(open_rows, held, run, max_links, min_bytes, stored, hot_rows)
     columns = [*MANIFEST.names, "action"]
     return decided.select(*columns).unionByName(closed.select(*columns))
 

@@ -76,12 +76,17 @@ def newest(manifest: str, name: str = "newest") -> str:
 
 def assign(kept: str, manifest: str, run: str, max_links: int = 65000, min_bytes: int = 0) -> str:
     """CTEs ending in ``decided``: kept rows with action and blob_id."""
-    order = "newest desc, oldest desc, substr(md5(blob_id), 1, 3) desc, blob_id desc"
     return f"""held as (
   select hash, blob_id, max(snapshot) as newest, min(snapshot) as oldest,
     case when max(size) >= {min_bytes} then greatest({max_links} - count(*), 0) else 0 end as spare
   from {manifest} group by hash, blob_id),
-slots as (
+{decide(kept, run, max_links, min_bytes)}"""
+
+
+def decide(kept: str, run: str, max_links: int = 65000, min_bytes: int = 0) -> str:
+    """The CTEs of ``assign`` after ``held``, the blobs there are."""
+    order = "newest desc, oldest desc, substr(md5(blob_id), 1, 3) desc, blob_id desc"
+    return f"""slots as (
   select hash, blob_id, spare, coalesce(sum(spare) over (partition by hash order by {order}
     rows between unbounded preceding and 1 preceding), 0) as lo from held),
 room as (select hash, sum(spare) as c from held group by hash),
@@ -100,6 +105,28 @@ decided as (
   left join slots s on d.hash = s.hash and d.n > s.lo and d.n <= s.lo + s.spare)"""
 
 
+def follow(kept: str, manifest: str, run: str, max_links: int) -> str:
+    """CTEs ending in ``decided``: kept rows that have a ``prior_blob`` take that first."""
+    return f"""held_before as (
+  select hash, blob_id, max(snapshot) as newest, min(snapshot) as oldest, greatest({max_links} - count(*), 0) as spare
+  from {manifest} group by hash, blob_id),
+in_line as (select k.*, h.spare, row_number() over (
+    partition by k.hash, prior_blob order by k.snapshot, substr(md5(file), 1, 3), file) as place
+  from {kept} k left join held_before h on h.hash = k.hash and h.blob_id = k.prior_blob),
+followed as (select * from in_line where place <= spare),
+others as (select * exclude (spare, place, prior_blob) from in_line where spare is null or place > spare),
+taken as (select hash, prior_blob as blob_id, count(*) as n from followed group by all),
+held as (select hash, blob_id, newest, oldest, spare - coalesce(n, 0) as spare
+  from held_before left join taken using (hash, blob_id)),
+{decide('others', run, max_links)}"""
+
+
+NEWEST_BLOB = f"""newest as (
+  select {SIG}, hash as prior_hash, blob_id as prior_blob from (
+    select *, row_number() over (partition by {SIG} order by snapshot desc, hash, blob_id desc) as k from prior)
+  where k = 1)"""
+
+
 def take_snapshot(incremental: bool, always_hash: bool, max_links: int = 65000, min_bytes: int = 0) -> str:
     content = "true" if always_hash else "prior_hash is null"
     skip = "true" if incremental else "false"
@@ -362,6 +389,31 @@ union all select path, 'unfinished' from named where path in (select path from r
 select {ROW}, action, blob_id from decided""",
     "assign_blobs_hot": f"""with {PRIOR}, {NEW_DOCS}, {assign('new_docs', 'prior', 's9', 2)}
 select {ROW}, action, blob_id from decided""",
+    "assign_blobs_affinity": f"""with {PRIOR}, {NEWEST_BLOB}, {NEW_DOCS}, looked as (
+  select n.* replace (coalesce(prior_hash, hash) as hash), prior_blob from new_docs n left join newest using ({SIG})),
+{follow('looked', 'prior', 's9', 2)}
+select {ROW}, action, blob_id from decided
+union all select {ROW}, 'dup_link', prior_blob from followed""",
+    "assign_blobs_stored": f"""with {PRIOR}, {NEW_DOCS}, digits as (
+  select *, instr('0123456789abcdef', right(hash, 1)) - 1 as last from prior),
+kinds as (select *, last % 3 <> 0 or blob_id not like '%-0' as here from digits),
+held as (select hash, blob_id, max(snapshot) as newest, min(snapshot) as oldest, bool_or(here) as present,
+    case when bool_or(here) then greatest(3 - max(last % 4 + 1), 0) else 0 end as spare
+  from kinds group by hash, blob_id),
+gone as (select hash from held group by hash having not bool_or(present)),
+{decide('new_docs', 's9', 3)}
+select {ROW}, case when g.hash is null then action else 'failed' end as action,
+  case when g.hash is null then blob_id end as blob_id
+from decided left join gone g using (hash)""",
+    "clone_affinity": f"""with {DOCS}, {PRIOR}, {NEWEST_BLOB}, looked as (
+  select d.* exclude (blob_id, doc_id), prior_hash, prior_blob,
+    first_value(d.hash) over (partition by {SIG} order by d.snapshot, d.file, d.hash) as first_hash
+  from docs d left join newest using ({SIG})),
+kept as (select * exclude (prior_hash, first_hash) from looked where hash = coalesce(prior_hash, first_hash)),
+{follow('kept', 'prior', 'run', 3)}
+select {ROW}, action, blob_id from decided
+union all select {ROW}, 'dup_link', prior_blob from followed
+union all select {ROW}, 'conflict', null from looked where hash <> coalesce(prior_hash, first_hash)""",
     "assign_blobs_windows": f"""with {PRIOR}, {NEW_DOCS}, {assign('new_docs', 'prior', 's9', 1023, 513)}
 select {ROW}, action, blob_id from decided""",
     "incremental_skip": f"with {LOOKED} select {ROW} from looked where prior_hash is not null",

@@ -268,6 +268,27 @@ def assign_hot(spark, sf):
     return assign_blobs(files, staged_prior(spark, sf), "s9", 2, 0, hot_rows=1).select(*DECIDED)
 
 
+def assign_affinity(spark, sf):
+    """Unchanged files keep to the blob of their own record, though contents have two blobs each."""
+    hasher = table_hasher(V.doc_hashes(spark, sf), ["source"])
+    rows = jobs.take_snapshot(
+        V.doc_files(spark, sf), staged_prior(spark, sf), hasher, "s9", max_links=2, affinity=True
+    )
+    return rows.select(*DECIDED)
+
+
+def assign_stored(spark, sf):
+    """Links as the file system counts them; blobs whose files are all gone cannot be linked."""
+    prior = staged_prior(spark, sf)
+    return assign_blobs(new_docs(spark, sf), prior, "s9", 3, 0, V.stored_links(prior)).select(*DECIDED)
+
+
+def clone_affinity(spark, sf):
+    """Documents cloned into a repository that knows most of them in one of two blobs."""
+    rows = jobs.clone(staged_docs(spark, sf), staged_prior(spark, sf), "run", max_links=3, affinity=True)
+    return rows.select(*DECIDED)
+
+
 def incremental_skip(spark, sf):
     files = staged_events(spark, sf).select(*ROW)
     return lookup.incremental_skip(files, V.event_target(spark, sf))
@@ -525,6 +546,9 @@ QUERIES: dict[str, Query] = {
     "assign_blobs": assign_all_new,
     "assign_blobs_limited": partial(assign_limited, max_links=2, min_bytes=0),
     "assign_blobs_hot": assign_hot,
+    "assign_blobs_affinity": assign_affinity,
+    "assign_blobs_stored": assign_stored,
+    "clone_affinity": clone_affinity,
     "assign_blobs_windows": partial(
         assign_limited, max_links=WINDOWS_MAX_LINKS, min_bytes=WINDOWS_MIN_BYTES
     ),

@@ -57,5 +57,6 @@ DUP_COPY = "dup_copy"
 SKIP = "skip"
 CONFLICT = "conflict"
 FAILED = "failed"
+UNSTABLE = "unstable"
 DELETE = "delete"
 STORED = [IMPORT, DUP_LINK, DUP_COPY]

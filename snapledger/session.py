@@ -30,14 +30,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/snapledger/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Used where a result is read more than once and is dear to compute (content hashing, a join of
     two large tables): later steps scan only the columns they need, the planner sees true sizes,
-    and a lost executor costs a re-read instead of a recomputation.
+    and a lost executor costs a re-read instead of a recomputation. ``by`` names columns, of few values,
+    whose parts are to be read by themselves.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*(by or [])).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

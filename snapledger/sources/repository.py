@@ -1,18 +1,38 @@
-"""A repository of snapshots: one manifest table and a small log of snapshot states."""
+"""A repository of snapshots: one manifest table, summaries of it for lookups, and a small log of states."""
 
 from __future__ import annotations
 
+import hashlib
+import json
+import time
+import uuid
+from collections.abc import Callable
 from urllib.parse import unquote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schemas import MANIFEST, SNAPSHOT_LOG
+from ..operators.lookup import blob_name, hash_is_set, newest_per_signature
+from ..schemas import MANIFEST, SIGNATURE, SNAPSHOT_LOG
 
 IN_PROGRESS = "in_progress"
 COMPLETE = "complete"
 DELETED = "deleted"
+COMMIT_TRIES = 20
+COMMIT_WAIT = 0.1
+
+# Per summary, the columns its files are bucketed by, and its schema.
+SUMMARIES = {
+    "signatures": (SIGNATURE, "source string, size bigint, mtime_ns bigint, hash string, blob_id string"),
+    "contents": (["hash"], "hash string, blob_id string, size bigint, n_links bigint"),
+}
+PARTITIONS = ["snapshot", "generation"]
+
+
+class Conflict(ValueError):
+    """Another writer came first."""
 
 
 def arrange(manifest: DataFrame) -> DataFrame:
@@ -25,31 +45,99 @@ def arrange(manifest: DataFrame) -> DataFrame:
     return manifest.hint("rebalance", "snapshot").sortWithinPartitions(*order)
 
 
+def summarise(manifest: DataFrame, kind: str) -> DataFrame:
+    """What lookups need of the rows, reduced per snapshot: a line per signature, or per blob of a content.
+
+    Summaries of several snapshots together give the same lookups as the rows: the newest record of a
+    signature, and links, sizes and snapshots of a blob, are maxima, minima and sums over snapshots.
+    """
+    if kind == "signatures":
+        top = newest_per_signature(manifest, True, by=PARTITIONS)
+        return top.select(*SIGNATURE, F.col("prior_hash").alias("hash"), F.col("prior_blob").alias("blob_id"), *PARTITIONS)
+    rows = manifest.where(hash_is_set(F.col("hash")))
+    blobs = rows.groupBy("hash", blob_name(rows).alias("blob_id"), *PARTITIONS)
+    held = blobs.agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("n_links"))
+    return held.select("hash", "blob_id", "size", "n_links", *PARTITIONS)
+
+
 class Repository:
     """Manifest rows live in ``manifest/snapshot=<name>/generation=<n>``.
 
-    A rewrite (delete, compaction) goes to a new generation of the snapshots it touches; the line
-    appended to the log afterwards makes it current, so a path being read is never overwritten, and
-    ``vacuum`` removes what is no longer read. A
-    snapshot whose last line is ``in_progress`` was left unfinished and keeps the repository from
-    opening until it is deleted.
+    A rewrite (delete, compaction) goes to a new generation of the snapshots it touches; the entry
+    added to the log afterwards makes it current, so a path being read is never overwritten, and
+    ``vacuum`` removes what is no longer read. A snapshot whose last line is ``in_progress`` was left
+    unfinished and keeps the repository from opening until it is deleted.
+
+    Every log entry is a file named by its number, created only if there is none of that name; of two
+    writers that have read the same state one wins, and the other looks again. The file system must
+    refuse to create a file that exists, as HDFS does.
+
+    Next to the rows, each generation has two summaries (see ``summarise``) in the same layout, in
+    ``signatures`` and ``contents``, bucketed by what lookups join on. Snapshots are so summarised once,
+    when they are written, and a long run's lookups shuffle no line of what is stored, if there are at
+    least as many buckets as shuffle partitions. To Spark, the current generations are an external
+    table of the session's catalog, named after their list.
     """
 
-    def __init__(self, spark: SparkSession, path: str, create: bool = False):
+    def __init__(self, spark: SparkSession, path: str, create: bool = False, buckets: int | None = None):
         self.spark = spark
         self.path = path.rstrip("/")
-        if create:
-            self._empty(SNAPSHOT_LOG).write.mode("ignore").parquet(f"{self.path}/log")
+        self.buckets: int | None = None
+        if create and not self._exists("log"):
+            number = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
             stored = T.StructType([*MANIFEST.fields, T.StructField("generation", T.LongType())])
-            self._empty(stored).write.mode("ignore").partitionBy("snapshot", "generation").parquet(
-                f"{self.path}/manifest"
-            )
+            self._empty(stored).write.mode("ignore").partitionBy(*PARTITIONS).parquet(f"{self.path}/manifest")
+            self._create("buckets", str(number))
+            place, files = self._folder(f"{self.path}/log")
+            files.mkdirs(place)
 
     def _empty(self, schema: T.StructType) -> DataFrame:
         return self.spark.createDataFrame([], schema)
 
-    def _log(self) -> DataFrame:
-        return self.spark.read.schema(SNAPSHOT_LOG).parquet(f"{self.path}/log")
+    def _exists(self, name: str) -> bool:
+        place, files = self._folder(f"{self.path}/{name}")
+        return files.exists(place)
+
+    def _create(self, name: str, text: str) -> bool:
+        """Write a small file, unless there is one of that name."""
+        place, files = self._folder(f"{self.path}/{name}")
+        try:
+            out = files.create(place, False)
+        except Py4JJavaError as error:
+            if files.exists(place):
+                return False
+            raise error
+        out.write(bytearray(text, "utf-8"))
+        out.close()
+        return True
+
+    def _entries(self) -> list[int]:
+        """Numbers of the log's entries.
+
+        An entry that is still empty is being written; one that stays so was left by a run that broke,
+        and says nothing.
+        """
+        place, files = self._folder(f"{self.path}/log")
+        for attempt in range(COMMIT_TRIES):
+            found = {f.getPath().getName(): f.getLen() for f in files.listStatus(place)}
+            if any(name.endswith(".parquet") for name in found):
+                raise ValueError(f"the log was written by an earlier version: {self.path}")
+            sizes = {int(n.removesuffix(".json")): size for n, size in found.items() if n.removesuffix(".json").isdigit()}
+            if all(sizes.values()) or attempt == COMMIT_TRIES - 1:
+                break
+            time.sleep(COMMIT_WAIT)
+        return sorted(sizes)
+
+    def _entry(self, number: int) -> str:
+        return f"log/{number:012d}.json"
+
+    def _log(self, entries: list[int] | None = None) -> DataFrame:
+        """Lines of the given entries. One that was not written to its end has no line that can be read."""
+        entries = self._entries() if entries is None else entries
+        if not entries:
+            return self._empty(SNAPSHOT_LOG)
+        paths = [f"{self.path}/{self._entry(n)}" for n in entries]
+        return self.spark.read.schema(SNAPSHOT_LOG).json(paths).where(F.col("snapshot").isNotNull() & F.col("state").isNotNull())
 
     def snapshots(self) -> DataFrame:
         """Current (snapshot, state, generation), without deleted ones."""
@@ -58,10 +146,10 @@ class Repository:
         )
         return last.select("snapshot", "l.state", "l.generation").where(F.col("state") != DELETED)
 
-    def _states(self) -> dict[str, Row]:
+    def _states(self, entries: list[int] | None = None) -> dict[str, Row]:
         """Last log line of every snapshot, deleted ones too: one line each, however many rows."""
         last = F.max(F.struct("seq", "state", "generation")).alias("l")
-        lines = self._log().groupBy("snapshot").agg(last, F.max("generation").alias("highest"))
+        lines = self._log(entries).groupBy("snapshot").agg(last, F.max("generation").alias("highest"))
         return {r.snapshot: r for r in lines.select("snapshot", "highest", "l.*").collect()}
 
     def _open(self, names: list[str] | None = None) -> dict[str, Row]:
@@ -91,11 +179,11 @@ class Repository:
         current = self._open(names)
         there = self._partitions()
         parts = [there[n, r.generation] for n, r in current.items() if (n, r.generation) in there]
-        if not parts:
-            return self._empty(MANIFEST)
+        return self._read(parts).select(*MANIFEST.names) if parts else self._empty(MANIFEST)
+
+    def _read(self, parts: list[str]) -> DataFrame:
         stored = T.StructType([*MANIFEST.fields, T.StructField("generation", T.LongType())])
-        rows = self.spark.read.schema(stored).option("basePath", f"{self.path}/manifest").parquet(*parts)
-        return rows.select(*MANIFEST.names)
+        return self.spark.read.schema(stored).option("basePath", f"{self.path}/manifest").parquet(*parts)
 
     def _folder(self, path: str):
         """A folder and its file system, through Spark's own access to files."""
@@ -103,11 +191,11 @@ class Repository:
         place = jvm.org.apache.hadoop.fs.Path(path)
         return place, place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _partitions(self) -> dict[tuple[str, int], str]:
+    def _partitions(self, kind: str = "manifest") -> dict[tuple[str, int], str]:
         """Folder of every stored (snapshot, generation): two levels of names, no files."""
-        place, files = self._folder(f"{self.path}/manifest")
+        place, files = self._folder(f"{self.path}/{kind}")
         found = {}
-        for outer in files.listStatus(place):
+        for outer in files.listStatus(place) if files.exists(place) else []:
             if not outer.getPath().getName().startswith("snapshot="):
                 continue
             name = unquote(outer.getPath().getName().removeprefix("snapshot="))
@@ -117,6 +205,46 @@ class Repository:
                     found[name, int(number)] = inner.getPath().toString()
         return found
 
+    def _buckets(self) -> int | None:
+        """Number of buckets of the summaries; None in a repository without any."""
+        if self.buckets is None and self._exists("buckets"):
+            self.buckets = int(self.spark.read.text(f"{self.path}/buckets").first()[0])
+        return self.buckets
+
+    def _table(self, kind: str, name: str, buckets: int) -> None:
+        keys, columns = SUMMARIES[kind]
+        place = self.path.replace("'", "\\'")
+        self.spark.sql(
+            f"create table if not exists `{name}` ({columns}, snapshot string, generation bigint) using parquet"
+            f" partitioned by (snapshot, generation) clustered by ({', '.join(keys)}) sorted by ({', '.join(keys)})"
+            f" into {buckets} buckets location '{place}/{kind}'"
+        )
+
+    def summary(self, kind: str, names: list[str] | None = None) -> DataFrame:
+        """``signatures`` or ``contents`` of all, or the named, snapshots; their rows stand in for the manifest's.
+
+        Snapshots that were stored without one are summarised on the way.
+        """
+        current = {(n, r.generation) for n, r in self._open(names).items()}
+        stored, buckets = self._partitions(), self._buckets()
+        there = {} if buckets is None else self._partitions(kind)
+        parts = {place: there[place] for place in sorted(current) if place in there}
+        bare = [stored[place] for place in sorted(current) if place in stored and place not in there]
+        found = None
+        if parts or not bare:
+            list_hash = hashlib.sha256(json.dumps([self.path, sorted(parts)]).encode()).hexdigest()[:16]
+            name = f"snapledger_{kind}_{list_hash}"
+            self._table(kind, name, buckets or 1)
+            escape = lambda text: text.replace("\\", "\\\\").replace("'", "\\'")
+            lines = [f"partition (snapshot='{escape(n)}', generation={g}) location '{escape(p)}'" for (n, g), p in parts.items()]
+            if lines:
+                self.spark.sql(f"alter table `{name}` add if not exists {' '.join(lines)}")
+            found = self.spark.table(name)
+        if bare:
+            rows = self._read(bare)
+            found = summarise(rows, kind) if found is None else found.unionByName(summarise(rows, kind))
+        return found.drop("generation")
+
     def vacuum(self, keep: int = 0) -> list[str]:
         """Remove generations that the log no longer names; returns their folders.
 
@@ -125,6 +253,7 @@ class Repository:
         """
         states = self._states()
         gone = []
+        summaries = {kind: self._partitions(kind) for kind in SUMMARIES}
         for (name, generation), path in sorted(self._partitions().items()):
             line = states.get(name)
             if line is None or line.state == IN_PROGRESS:
@@ -132,35 +261,57 @@ class Repository:
             # a deleted snapshot's line carries its last number, which is no longer read either
             current = line.generation if line.state == COMPLETE else line.generation + 1
             if generation < current - keep:
-                place, files = self._folder(path)
-                files.delete(place, True)
+                for kind in ("manifest", *SUMMARIES):
+                    old = path if kind == "manifest" else summaries[kind].get((name, generation))
+                    if old:
+                        place, files = self._folder(old)
+                        files.delete(place, True)
                 gone.append(path)
         return gone
 
-    def _record(self, states: dict[str, tuple[str, int]], known: dict[str, Row]) -> None:
-        seq = max((r.seq for r in known.values()), default=0) + 1
-        lines = [(seq, name, state, generation) for name, (state, generation) in states.items()]
-        added = self.spark.createDataFrame(lines, SNAPSHOT_LOG).coalesce(1)
-        added.write.mode("append").parquet(f"{self.path}/log")
+    def _record(self, states: dict[str, tuple[str, int]], entries: list[int]) -> None:
+        """Add an entry after those that were read; raises ``Conflict`` if another writer has done so."""
+        number = max(entries, default=0) + 1
+        lines = [
+            json.dumps({"seq": number, "snapshot": name, "state": state, "generation": generation})
+            for name, (state, generation) in states.items()
+        ]
+        if not self._create(self._entry(number), "\n".join(lines) + "\n"):
+            raise Conflict(f"entry {number} of the log was written by another run")
+
+    def _commit(self, decide: Callable[[dict[str, Row]], dict[str, tuple[str, int]]]) -> dict[str, tuple[str, int]]:
+        """Record what ``decide`` makes of the states; decides anew when another writer came first."""
+        for attempt in range(COMMIT_TRIES):
+            entries = self._entries()
+            new = decide(self._states(entries))
+            try:
+                self._record(new, entries)
+                return new
+            except Conflict:
+                if attempt == COMMIT_TRIES - 1:
+                    raise
+        raise AssertionError
 
     def begin(self, names: list[str], create: bool = False) -> dict[str, int]:
         """Mark snapshots in progress; returns the generation each will be written to."""
-        known = self._states()
-        for name in names:
-            state = known[name].state if name in known else DELETED
-            if create and state != DELETED:
-                raise ValueError(f"snapshot already exists: {name}")
-            if not create and state != COMPLETE:
-                raise ValueError(f"snapshot is not open for changes: {name}")
-        # the mark carries the new number, so what a broken run left is never written to again
-        new = {n: (known[n].highest if n in known else 0) + 1 for n in names}
-        self._record({n: (IN_PROGRESS, generation) for n, generation in new.items()}, known)
-        return new
+
+        def decide(known: dict[str, Row]) -> dict[str, tuple[str, int]]:
+            for name in names:
+                state = known[name].state if name in known else DELETED
+                if create and state != DELETED:
+                    raise ValueError(f"snapshot already exists: {name}")
+                if not create and state != COMPLETE:
+                    raise ValueError(f"snapshot is not open for changes: {name}")
+            # the mark carries the new number, so what a broken run left is never written to again
+            return {n: (IN_PROGRESS, (known[n].highest if n in known else 0) + 1) for n in names}
+
+        return {name: generation for name, (_, generation) in self._commit(decide).items()}
 
     def write(self, rows: DataFrame, generations: dict[str, int]) -> None:
-        """Store rows of snapshots that are in progress and finish these snapshots.
+        """Store rows of snapshots that are in progress, with their summaries, and finish these snapshots.
 
-        A row of any other snapshot, or of none, makes the write fail before anything is recorded.
+        A row of any other snapshot, or of none, makes the write fail before anything is recorded, as
+        does a snapshot that was deleted or begun anew meanwhile.
         """
         lines = [(name, generation) for name, generation in generations.items()]
         new = self.spark.createDataFrame(lines, "snapshot string, begun long")
@@ -168,11 +319,34 @@ class Repository:
         number = F.coalesce("begun", F.raise_error(stray).cast("long"))
         joined = rows.select(*MANIFEST.names).join(F.broadcast(new), "snapshot", "left")
         stored = joined.withColumn("generation", number).drop("begun")
-        arrange(stored).write.mode("append").partitionBy("snapshot", "generation").parquet(
-            f"{self.path}/manifest"
-        )
-        self._record({n: (COMPLETE, g) for n, g in generations.items()}, self._states())
+        writer = arrange(stored).write.mode("append").partitionBy(*PARTITIONS)
+        # a lookup of one hash skips row groups; small files get small filters
+        writer = writer.option("parquet.bloom.filter.enabled#hash", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
+        writer.parquet(f"{self.path}/manifest")
+        self._summarise(generations)
+
+        def decide(known: dict[str, Row]) -> dict[str, tuple[str, int]]:
+            for name, generation in generations.items():
+                line = known.get(name)
+                if line is None or (line.state, line.generation) != (IN_PROGRESS, generation):
+                    raise ValueError(f"snapshot is no longer in progress: {name}")
+            return {name: (COMPLETE, generation) for name, generation in generations.items()}
+
+        self._commit(decide)
+
+    def _summarise(self, generations: dict[str, int]) -> None:
+        buckets, there = self._buckets(), self._partitions()
+        parts = [there[place] for place in generations.items() if place in there]
+        if buckets is None or not parts:
+            return
+        rows = self._read(parts)
+        for kind, (keys, _) in SUMMARIES.items():
+            # a table of its own, so that what is written is not added to one that is being read
+            name = f"snapledger_{kind}_{uuid.uuid4().hex}"
+            self._table(kind, name, buckets)
+            lines = summarise(rows, kind).repartition(buckets, *keys)
+            lines.sortWithinPartitions(*PARTITIONS, *keys).write.insertInto(name)
+            self.spark.sql(f"drop table `{name}`")
 
     def delete_snapshot(self, name: str) -> None:
-        known = self._states()
-        self._record({name: (DELETED, known[name].highest)}, known)
+        self._commit(lambda known: {name: (DELETED, known[name].highest)})

@@ -49,6 +49,15 @@ class Blobs:
         return action, blob
 
 
+    def follow(self, row, wanted):
+        """Link to the wanted blob if it has room."""
+        for blob in self.by_hash[row["hash"]]:
+            if blob[0] == wanted and row["size"] >= self.min_bytes and blob[2] >= self.min_bytes and blob[1] < self.max_links:
+                blob[1] += 1
+                return "dup_link", wanted
+        return None
+
+
 def signature(r):
     return r["source"], r["size"], r["mtime_ns"]
 
@@ -62,7 +71,30 @@ def newest(manifest):
     return {k: v[1] for k, v in found.items()}
 
 
-def take_snapshot(files, manifest, content, run, incremental, always_hash, max_links, min_bytes):
+def newest_blobs(manifest):
+    """Blob of the newest record per signature: smallest hash there, then the last blob by name."""
+    found = {}
+    for r in sorted(manifest, key=lambda r: (r["hash"], [-ord(c) for c in r["blob_id"]]), reverse=True):
+        at = found.get(signature(r))
+        if at is None or r["snapshot"] >= at[0]:
+            found[signature(r)] = (r["snapshot"], r["blob_id"])
+    return {k: v[1] for k, v in found.items()}
+
+
+def settle(kept, blobs, run, wanted):
+    """Rows that follow their record first, then all others; (row, outcome)."""
+    rest = []
+    for r in walk_order(kept):
+        held = blobs.follow(r, wanted[signature(r)]) if signature(r) in wanted else None
+        if held:
+            yield r, held
+        else:
+            rest.append(r)
+    for r in rest:
+        yield r, blobs.place(r, run)
+
+
+def take_snapshot(files, manifest, content, run, incremental, always_hash, max_links, min_bytes, affinity=False):
     prior = newest(manifest)
     blobs = Blobs(manifest, max_links, min_bytes)
     out, kept, read = {}, [], set()
@@ -79,12 +111,12 @@ def take_snapshot(files, manifest, content, run, incremental, always_hash, max_l
             out[f["file"]] = ("skip", None)
         else:
             kept.append({**f, "hash": h})
-    for r in walk_order(kept):
-        out[r["file"]] = blobs.place(r, run)
+    for r, outcome in settle(kept, blobs, run, newest_blobs(manifest) if affinity else {}):
+        out[r["file"]] = outcome
     return out, read
 
 
-def clone(source, target, run, incremental, max_links, min_bytes):
+def clone(source, target, run, incremental, max_links, min_bytes, affinity=False):
     known = newest(target)
     blobs = Blobs(target, max_links, min_bytes)
     out, kept = {}, []
@@ -98,8 +130,8 @@ def clone(source, target, run, incremental, max_links, min_bytes):
         else:
             known[signature(r)] = r["hash"]
             kept.append(r)
-    for r in walk_order(kept):
-        out[(r["snapshot"], r["file"])] = blobs.place(r, run)
+    for r, outcome in settle(kept, blobs, run, newest_blobs(target) if affinity else {}):
+        out[(r["snapshot"], r["file"])] = outcome
     return out
 
 

@@ -43,12 +43,13 @@ def frame(spark, rows):
     return spark.createDataFrame([tuple(r[c] for c in MANIFEST.names) for r in rows], MANIFEST)
 
 
-CASES = [(s, inc, always) for s in range(3) for inc in (False, True) for always in (False, True)]
+CASES = [(s, inc, always, False) for s in range(3) for inc in (False, True) for always in (False, True)]
+CASES += [(s, False, s == 2, True) for s in range(4)]
 HOT = [1_000_000, 5, 0]
 
 
-@pytest.mark.parametrize("seed,incremental,always_hash", CASES)
-def test_take_snapshot(spark, seed, incremental, always_hash, monkeypatch):
+@pytest.mark.parametrize("seed,incremental,always_hash,affinity", CASES)
+def test_take_snapshot(spark, seed, incremental, always_hash, affinity, monkeypatch):
     if incremental != always_hash:
         monkeypatch.setattr(skew, "BROADCAST_ROWS", 0)
     rng = random.Random(seed)
@@ -63,7 +64,7 @@ def test_take_snapshot(spark, seed, incremental, always_hash, monkeypatch):
         )
         content[f"/r/{i}"] = h
     expected, read = model.take_snapshot(
-        files, prior, content, "s9", incremental, always_hash, max_links, min_bytes
+        files, prior, content, "s9", incremental, always_hash, max_links, min_bytes, affinity
     )
     table = spark.createDataFrame(list(content.items()), "source string, content_hash string")
     cols = ["snapshot", "source", "size", "mtime_ns", "file"]
@@ -80,20 +81,23 @@ def test_take_snapshot(spark, seed, incremental, always_hash, monkeypatch):
         always_hash,
         max_links,
         min_bytes,
-        hot_rows=HOT[seed],
+        hot_rows=HOT[seed % 3],
+        affinity=affinity,
     ).collect()
     assert {r.file: (r.action, r.blob_id) for r in got} == expected
     assert len(got) == len(files)
     assert {r.source for r in got if r.hashed} == read
 
 
-@pytest.mark.parametrize("seed,incremental", [(s, i) for s in range(3) for i in (False, True)])
-def test_clone(spark, seed, incremental):
+@pytest.mark.parametrize(
+    "seed,incremental,affinity", [*[(s, i, False) for s in range(3) for i in (False, True)], (0, False, True), (1, False, True)]
+)
+def test_clone(spark, seed, incremental, affinity):
     rng = random.Random(100 + seed)
     max_links, min_bytes = 3, 100 * (seed % 2)
     source = random_manifest(rng, ["a", "b", "c"], 50, max_links)
     target = random_manifest(rng, ["t1", "t2"], 25, max_links, hashes=8, start=1000)
-    expected = model.clone(source, target, "run", incremental, max_links, min_bytes)
+    expected = model.clone(source, target, "run", incremental, max_links, min_bytes, affinity)
     got = jobs.clone(
         frame(spark, source),
         frame(spark, target),
@@ -102,6 +106,7 @@ def test_clone(spark, seed, incremental):
         max_links=max_links,
         min_bytes=min_bytes,
         hot_rows=HOT[seed],
+        affinity=affinity,
     ).collect()
     assert {(r.snapshot, r.file): (r.action, r.blob_id) for r in got} == expected
     assert len(got) == len(source)
@@ -159,3 +164,30 @@ def test_failed_when_stored_files_are_gone(spark):
     got = assign_blobs(files, prior, "run", 9, 0, stored).collect()
     assert {r.hash for r in got if r.action == "failed"} == gone
     assert all(r.action == "dup_link" for r in got if r.hash not in gone)
+
+
+@pytest.mark.parametrize("max_links", [1, 2, 3, 100])
+def test_links_follow_their_record(spark, max_links):
+    """Two blobs of one content: files keep to the blob of their own record while it has room."""
+    row = dict(size=700, mtime_ns=0, hash="0" * 64)
+    prior = [dict(row, snapshot="s1", source=f"/p/{i}", file=f"p{i}", blob_id=f"b{i % 2}") for i in range(2)]
+    prior += [dict(row, snapshot="s2", source="/q", file="q", blob_id="b1")]
+    new = [dict(row, snapshot="s9", source=f"/p/{i}", file=f"n{i}", blob_id=None) for i in range(4)]
+    expected, _ = model.take_snapshot(new, prior, {r["source"]: "0" * 64 for r in new}, "s9", False, False, max_links, 0, True)
+    listing = frame(spark, new).drop("blob_id", "hash")
+    content = spark.createDataFrame([(r["source"], "0" * 64) for r in new], "source string, content_hash string")
+    got = jobs.take_snapshot(
+        listing, frame(spark, prior), table_hasher(content, ["source"]), "s9", max_links=max_links, affinity=True
+    ).collect()
+    assert {r.file: (r.action, r.blob_id) for r in got} == expected
+    if max_links == 100:
+        assert expected["n0"] == ("dup_link", "b0") and expected["n1"] == ("dup_link", "b1")
+
+
+def test_rows_without_a_size_take_no_blob_by_record(spark):
+    rows = [("s9", "/a", None, 0, "0" * 64, "a", "b0"), ("s9", "/b", 5, 0, "0" * 64, "b", None)]
+    files = spark.createDataFrame(rows, "snapshot string, source string, size long, mtime_ns long, hash string, file string, prior_blob string")
+    prior = spark.createDataFrame([("s1", "/a", 5, 0, "0" * 64, "a", "b0")], MANIFEST)
+    got = assign_blobs(files, prior, "run")
+    assert "prior_blob" not in got.columns
+    assert sorted(r.file for r in got.collect()) == ["a", "b"]

@@ -2,18 +2,23 @@
 
 import hashlib
 import os
+import shutil
+import threading
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from snapledger.operators import lookup, skew
+from snapledger.operators.stats import action_stats
 from snapledger.operators.verify import file_table, link_inventory
 from snapledger.plans import commands
 from snapledger.schemas import MANIFEST
+from snapledger.sources import content
 from snapledger.sources.content import file_hasher
 from snapledger.sources.listing import scan_inventory
 from snapledger.sources.report import read_file_table, write_file_table
-from snapledger.sources.repository import Repository
+from snapledger.sources.repository import Conflict, Repository
 
 
 @pytest.fixture
@@ -68,6 +73,106 @@ def test_file_hashes(spark, tree):
     assert got[names[3]].now_mtime_ns == got[names[3]].t == 1_704_067_200_123_456_789
 
 
+def test_reading_a_file_that_changes(tmp_path, monkeypatch):
+    """A reading counts only if size, time and file are the same before and after it."""
+    path = tmp_path / "f"
+    path.write_bytes(b"one")
+    digest = hashlib.sha256
+    sha = lambda b: digest(b).hexdigest()
+    assert content.read_stable(str(path)) == (sha(b"one"), 3, os.stat(path).st_mtime_ns, "steady")
+    assert content.read_stable(str(tmp_path / "none")) == (None, None, None, "unreadable")
+    changes = []
+
+    class Disturbed:
+        """Stands for another process that writes while the bytes are read."""
+
+        def __init__(self):
+            self.inner = digest()
+
+        def update(self, chunk):
+            self.inner.update(chunk)
+            if changes:
+                changes.pop()()
+
+        def hexdigest(self):
+            return self.inner.hexdigest()
+
+    monkeypatch.setattr(content.hashlib, "sha256", Disturbed)
+    changes[:] = [lambda: path.write_bytes(b"three")]
+    state = content.read_stable(str(path), 3, 0)
+    assert state == (sha(b"three"), 5, os.stat(path).st_mtime_ns, "steady")
+
+    def replace():
+        (tmp_path / "g").write_bytes(b"other")
+        os.utime(tmp_path / "g", ns=(os.stat(path).st_mtime_ns,) * 2)
+        os.replace(tmp_path / "g", path)
+
+    changes[:] = [replace]
+    assert content.read_stable(str(path), 3, 0)[::3] == (sha(b"other"), "steady")
+    changes[:] = [lambda n=n: os.utime(path, ns=(n, n)) for n in range(3)]
+    assert content.read_stable(str(path), 3, 0)[::3] == (None, "unstable")
+    changes[:] = [path.unlink]
+    assert content.read_stable(str(path), 3, 0)[3] == "unreadable"
+
+
+def test_growing_file_in_a_snapshot(spark, tree, tmp_path):
+    """A file that another process keeps writing to is left out as unstable; all others are stored."""
+    repo = Repository(spark, str(tmp_path / "repo"), create=True)
+    busy = tree / "busy.log"
+    busy.write_bytes(b"x" * 30_000_000)
+    stop = threading.Event()
+
+    def write():
+        with open(busy, "ab", buffering=0) as handle:
+            while not stop.wait(0.001):
+                handle.write(b"y")
+
+    writer = threading.Thread(target=write)
+    writer.start()
+    try:
+        given = spark.createDataFrame([(0, str(tree))], "ord int, root string")
+        inventory = scan_inventory(spark, [str(tree)], ["_SKIP"])
+        hasher = file_hasher(F.col("source"), tries=2, wait=0.01)
+        run = commands.take_snapshot(repo, given, inventory, ["_SKIP"], hasher, datetime(2024, 1, 1))
+        actions = {os.path.basename(r.source): r.action for r in run.rows.collect()}
+    finally:
+        stop.set()
+        writer.join()
+    assert actions.pop("busy.log") == "unstable"
+    assert set(actions.values()) == {"import", "dup_link"} and len(actions) == 6
+    assert [(r.errors) for r in run.events.where("snapshot = '*'").collect()] == [1]
+    assert "busy.log" not in {os.path.basename(r.source) for r in repo.manifest().collect()}
+
+
+def test_change_between_listing_and_reading(spark, tree, tmp_path):
+    """What was read is stored with the size and time it was read with, and compared by these."""
+    repo = Repository(spark, str(tmp_path / "repo"), create=True)
+    given = spark.createDataFrame([(0, str(tree))], "ord int, root string")
+    listed = spark.createDataFrame(scan_inventory(spark, [str(tree)], ["_SKIP"]).collect())
+    (tree / "a.txt").write_bytes(b"longer than before")
+    commands.take_snapshot(repo, given, listed, ["_SKIP"], file_hasher(F.col("source")), datetime(2024, 1, 1))
+    row = next(r for r in repo.manifest().collect() if r.source.endswith("/a.txt"))
+    assert (row.size, row.hash) == (18, hashlib.sha256(b"longer than before").hexdigest())
+    assert row.mtime_ns == os.stat(tree / "a.txt").st_mtime_ns
+
+
+@pytest.mark.parametrize("sizes", [[5] * 200, [100] * 7 + [1] * 300, [10_000, 51, 49, 50, 1], [0, 0, None], [], [7]])
+def test_files_are_dealt_by_bytes(spark, sizes):
+    rows = spark.createDataFrame([(f"p{i}", s) for i, s in enumerate(sizes)], "path string, size long")
+    packed = content.pack_by_bytes(rows, 100).collect()
+    assert sorted(r.path for r in packed) == sorted(r.path for r in rows.collect())
+    parts = {}
+    for r in packed:
+        parts.setdefault(r._part, []).append(r.size or 0)
+    assert all(sum(p) <= 150 or len(p) == 1 for p in parts.values())
+    assert len(parts) <= 2 * (sum(s or 0 for s in sizes) // 100 + 1) + 1
+    spread = content.spread_by_bytes(rows, 100).withColumn("at", F.spark_partition_id())
+    held = {}
+    for r in spread.collect():
+        held.setdefault(r["at"], []).append(r["size"] or 0)
+    assert sorted(map(sorted, held.values())) == sorted(map(sorted, parts.values()))
+
+
 def run_snapshot(spark, repo, tree, minute, **options):
     given = spark.createDataFrame([(0, str(tree))], "ord int, root string")
     inventory = scan_inventory(spark, [str(tree)], ["_SKIP"])
@@ -208,3 +313,193 @@ def test_quotes_in_the_file_table(spark, tmp_path):
     text = "".join(p.read_text() for p in (tmp_path / "csv").glob("*.csv"))
     assert '"a ""quoted"", name"' in text
     assert read_file_table(spark, ["s1"], str(tmp_path / "csv")).first()["first source"] == odd
+
+
+def rows_of(spark, names, n=30, shift=0):
+    lines = [
+        (name, f"/p/{i + shift}", 10 + i % 3, i, f"{i % 7:064x}", f"f{i + shift}", f"b{i % 4}" if i % 5 else None)
+        for name in names
+        for i in range(n)
+    ]
+    return spark.createDataFrame(lines, MANIFEST)
+
+
+def lookups(repo):
+    """What lookups find in the summaries, and in the rows."""
+    newest = [lookup.newest_per_signature(t, True) for t in (repo.summary("signatures"), repo.manifest())]
+    held = [lookup.blobs(t, 50, 11) for t in (repo.summary("contents"), repo.manifest())]
+    same = lambda tables: [sorted(map(repr, t.select(*sorted(t.columns)).collect())) for t in tables]
+    return same(newest), same(held)
+
+
+def check_summaries(repo):
+    for found, expected in lookups(repo):
+        assert found == expected
+
+
+def test_summaries_follow_every_change(spark, tmp_path):
+    repo = Repository(spark, str(tmp_path / "a repo's"), create=True)
+    check_summaries(repo)
+    repo.write(rows_of(spark, ["s1", "s2"]), repo.begin(["s1", "s2", "empty"], create=True))
+    check_summaries(repo)
+    repo.write(rows_of(spark, ["s 3='x"], 20, 15), repo.begin(["s 3='x"], create=True))
+    check_summaries(repo)
+    assert len(lookups(repo)[0][0]) == 50
+    there = repo.manifest().where("file <> 'f3' or snapshot <> 's2'").select("snapshot", "file")
+    assert commands.purge(repo, there, ["s1", "s2"]).count() == 1
+    check_summaries(repo)
+    commands.distill(repo, ["s1", "s 3='x"])
+    check_summaries(repo)
+    other = Repository(spark, str(tmp_path / "other"), create=True)
+    commands.clone(repo, other, "run", suffix="c")
+    check_summaries(other)
+    repo.delete_snapshot("s2")
+    check_summaries(repo)
+    commands.compact(repo, ["s1"])
+    assert repo.vacuum() and not repo.vacuum()
+    check_summaries(repo)
+    one = other.summary("signatures", ["s2_c"])
+    assert one.count() == 29 and one.select("snapshot").distinct().count() == 1
+
+
+def test_snapshots_without_summaries_are_read(spark, tmp_path):
+    repo = Repository(spark, str(tmp_path / "repo"), create=True)
+    repo.write(rows_of(spark, ["s1"]), repo.begin(["s1"], create=True))
+    shutil.rmtree(tmp_path / "repo" / "signatures")
+    shutil.rmtree(tmp_path / "repo" / "contents")
+    repo.write(rows_of(spark, ["s2"], 40), repo.begin(["s2"], create=True))
+    check_summaries(repo)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_runs_do_not_shuffle_what_is_stored(spark, tmp_path, monkeypatch):
+    """Lookups in a repository with as many buckets as shuffle partitions: only the run's rows move."""
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 0)
+    repo = Repository(spark, str(tmp_path / "repo"), create=True)
+    repo.write(rows_of(spark, ["s1", "s2"]), repo.begin(["s1", "s2"], create=True))
+    files = spark.createDataFrame(rows_of(spark, ["s9"], 50).drop("hash", "blob_id").collect(), "snapshot string, source string, size long, mtime_ns long, file string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(lookup.signature_lookup(files, repo.summary("signatures"), unique_files=True))
+        assert "Bucketed: true" in plan and plan.count("Exchange") == 1
+        plan = plan_of(lookup.content_capacity(lookup.blobs(repo.summary("contents"))))
+        assert "Bucketed: true" in plan and "Exchange" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_lookup_of_one_hash_uses_filters(spark, tmp_path):
+    """Stored files carry a filter of their hashes, and the condition reaches the scan."""
+    repo = Repository(spark, str(tmp_path / "repo"), create=True)
+    # enough hashes that they are not kept as a dictionary, which would do as well
+    rows = spark.range(40_000).select(F.sha2(F.col("id").cast("string"), 256).alias("hash"), F.col("id").cast("string").alias("file"))
+    blank = {n: F.lit(None).cast(t.dataType) for n, t in zip(MANIFEST.names, MANIFEST.fields, strict=True) if n not in rows.columns}
+    repo.write(rows.withColumns({**blank, "snapshot": F.lit("s1")}), repo.begin(["s1"], create=True))
+    wanted = hashlib.sha256(b"77").hexdigest()
+    found = lookup.scan_manifest(repo.manifest(), hash=wanted)
+    assert [r.file for r in found.collect()] == ["77"]
+    assert f"EqualTo(hash,{wanted})" in plan_of(found)
+    jvm, sizes = spark.sparkContext._jvm, []
+    for path in (tmp_path / "repo" / "manifest").rglob("*.parquet"):
+        place = jvm.org.apache.hadoop.fs.Path(str(path))
+        opened = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(place, spark.sparkContext._jsc.hadoopConfiguration())
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(opened)
+        for block in reader.getFooter().getBlocks():
+            sizes += [c.getBloomFilterLength() for c in block.getColumns() if c.getPath().toDotString() == "hash"]
+        reader.close()
+    assert sizes and all(0 < s < 200_000 for s in sizes)
+
+
+def test_one_of_many_writers_wins(spark, tmp_path):
+    path = str(tmp_path / "repo")
+    first, second = Repository(spark, path, create=True), Repository(spark, path, create=True)
+    entries = first._entries()
+    first._record({"s1": ("in_progress", 1)}, entries)
+    with pytest.raises(Conflict):
+        second._record({"s1": ("in_progress", 1)}, entries)
+    first.delete_snapshot("s1")
+
+    outcomes = []
+
+    def begin(name):
+        try:
+            outcomes.append((name, Repository(spark, path).begin([name], create=True)))
+        except ValueError as error:
+            outcomes.append((name, str(error)))
+
+    threads = [threading.Thread(target=begin, args=(f"t{i % 2}",)) for i in range(6)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    for name in ("t0", "t1"):
+        mine = [o for n, o in outcomes if n == name]
+        assert sum(isinstance(o, dict) for o in mine) == 1
+        assert all("already exists" in o for o in mine if isinstance(o, str))
+    lines = first._log().collect()
+    assert len({r.seq for r in lines}) == len(lines) == 4
+
+
+def test_a_broken_entry_says_nothing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("snapledger.sources.repository.COMMIT_WAIT", 0.001)
+    repo = Repository(spark, str(tmp_path / "repo"), create=True)
+    repo.begin(["s1"], create=True)
+    (tmp_path / "repo" / "log" / "000000000002.json").write_bytes(b"")
+    assert repo.names() == ["s1"]
+    repo.delete_snapshot("s1")
+    assert repo.names() == [] and repo._entries() == [1, 2, 3]
+    (tmp_path / "repo" / "log" / "part-0.parquet").write_bytes(b"x")
+    with pytest.raises(ValueError, match="earlier version"):
+        repo.names()
+
+
+def test_a_snapshot_begun_anew_is_not_finished_by_the_old_run(spark, tmp_path):
+    repo = Repository(spark, str(tmp_path / "repo"), create=True)
+    old = repo.begin(["s1"], create=True)
+    repo.delete_snapshot("s1")
+    new = repo.begin(["s1"], create=True)
+    with pytest.raises(ValueError, match="no longer in progress"):
+        repo.write(rows_of(spark, ["s1"]), old)
+    repo.write(rows_of(spark, ["s1"], 5), new)
+    assert repo.manifest().count() == 5
+    check_summaries(repo)
+
+
+@pytest.mark.parametrize("breaks_at", [2])
+def test_a_broken_clone_is_continued(spark, tmp_path, breaks_at, monkeypatch):
+    source = Repository(spark, str(tmp_path / "source"), create=True)
+    names = ["s1", "s2", "s3"]
+    rows = [rows_of(spark, [n], 20, 7 * i) for i, n in enumerate(names)]
+    for n, r in zip(names, rows, strict=True):
+        source.write(r, source.begin([n], create=True))
+    whole = Repository(spark, str(tmp_path / "whole"), create=True)
+    run = commands.clone(source, whole, "run", batch_rows=1)
+    assert sorted(map(repr, run.stats.collect())) == sorted(map(repr, action_stats(run.rows).collect()))
+
+    target = Repository(spark, str(tmp_path / "target"), create=True)
+    calls, write = [], Repository.write
+
+    def failing(self, *args):
+        calls.append(args)
+        if len(calls) == breaks_at:
+            raise RuntimeError("disk full")
+        write(self, *args)
+
+    monkeypatch.setattr(Repository, "write", failing)
+    with pytest.raises(RuntimeError):
+        commands.clone(source, target, "run", batch_rows=1)
+    done = names[: breaks_at - 1]
+    assert {r.snapshot for r in target.snapshots().where("state = 'complete'").collect()} == set(done)
+    before = sorted(map(repr, target.manifest(done).collect())) if done else []
+    with pytest.raises(ValueError):
+        commands.clone(source, target, "again", batch_rows=1)
+    rest = commands.clone(source, target, "again", batch_rows=1, resume=True)
+    assert {r.snapshot for r in rest.rows.collect()} == set(names[breaks_at - 1 :])
+    assert target.names() == names
+    assert before == (sorted(map(repr, target.manifest(done).collect())) if done else [])
+    plain = lambda repo: sorted(repr(tuple(r)) for r in repo.manifest().drop("blob_id").collect())
+    assert plain(target) == plain(whole)
+    assert commands.clone(source, target, "third", resume=True).rows.count() == 0

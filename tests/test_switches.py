@@ -47,12 +47,31 @@ def test_small_and_large_tables_give_the_same(spark, monkeypatch):
     assert outcomes[0] == outcomes[1]
 
 
-def test_file_table_columns(spark, monkeypatch):
-    known = manifest(spark, 30)
-    linked = verify.link_inventory(known, known.select("snapshot", "file", F.hash("blob_id").cast("long").alias("inode")))
-    wide = rows_of(verify.file_table(linked, ["s0", "s1"]))
-    monkeypatch.setattr(verify, "PIVOT_NAMES", 0)
-    assert rows_of(verify.file_table(linked, ["s0", "s1"])) == wide
+def test_references_are_counted_per_snapshot(spark):
+    known = manifest(spark, 60, ("s0", "s1", "s2", None))
+    there = known.select("snapshot", "file", F.abs(F.hash("blob_id")).cast("long").alias("inode"))
+    linked = verify.link_inventory(known, there).withColumn("inode", F.coalesce("inode", F.lit(5)))
+    counts = {}
+    for r in linked.collect():
+        counts.setdefault(r.inode, {}).setdefault(r.snapshot, []).append(r.file)
+    plain = {inode: {s: len(f) for s, f in held.items() if s is not None} for inode, held in counts.items()}
+    assert {r.inode: r.links for r in verify.reference_counts(linked).collect()} == plain
+    names = ["s0", "s1", "s2"]
+    table = {r.file_index: [r[n] for n in names] for r in verify.file_table(linked, names).collect()}
+    assert table == {inode: [held.get(n, 0) for n in names] for inode, held in plain.items()}
+
+
+def test_file_table_of_a_thousand_snapshots(spark):
+    """Work per row does not depend on the number of snapshots; the plan has no aggregate per column."""
+    names = [f"s{i:04d}" for i in range(1000)]
+    rows = [(n, f"/r/{i % 3}", 1, 1, f"{i % 3:064x}", f"f{i}", None) for i, n in enumerate(names)]
+    there = spark.createDataFrame([(r[0], r[5], i % 3) for i, r in enumerate(rows)], "snapshot string, file string, inode long")
+    linked = verify.link_inventory(spark.createDataFrame(rows, MANIFEST), there)
+    table = verify.file_table(linked, names, names)
+    got = {r.file_index: sum(r[n] for n in names) for r in table.collect()}
+    assert got == {0: 334, 1: 333, 2: 333}
+    plan = verify.reference_counts(linked, names)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("count(") <= 4
 
 
 @pytest.mark.parametrize("empty", [[""], ["", None], []])
@@ -107,7 +126,7 @@ def test_files_are_in_order_and_old_ones_go(spark, tmp_path):
 def test_content_is_dealt_by_bytes(spark):
     rows = spark.createDataFrame([(f"/{i}", 100) for i in range(50)] + [("/big", 5000), ("/none", None)], "path string, size long")
     one = rows.coalesce(1)
-    assert spread_by_bytes(one, 1000).rdd.getNumPartitions() == 11
+    assert spread_by_bytes(one, 1000).rdd.getNumPartitions() == 6
     assert spread_by_bytes(one, 10**9).rdd.getNumPartitions() == 1
     assert rows_of(spread_by_bytes(one, 1000)) == rows_of(rows)
 
