@@ -52,6 +52,16 @@ def spare(df: DataFrame, name: str) -> str:
     return name
 
 
+def few_lines(df: DataFrame, most: int) -> bool:
+    """Whether ``df`` has at most that many lines; reads no further than that."""
+    return len(df.select(F.lit(1)).take(most + 1)) <= most
+
+
+def row_hash(df: DataFrame, seed: int = 0) -> Column:
+    """A hash of the whole row, but for maps, which have no order."""
+    return F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind])
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without columns that an operator is about to add under these names."""
     lowered = {n.lower() for n in names}

@@ -6,28 +6,33 @@ that reach the wanted similarity differ in at most D shingles, D following from
 are cut into bands. A band's sketch has D + 1 words; with at most D differing bits, one word at
 least is equal in both (pigeonhole), and going round the words there is such a place whose next
 word differs in one bit at most, and the two next ones in two. Words are sparse and very wide, so
-they are kept as the XOR of a hash per set bit, next to a short form of 16 parity bits. A document
-puts the words of its own band, and of the band above if partners may lie there, into one shuffle,
-keyed by band, place and word; equal keys whose next words' short forms differ in one bit at most
-are candidates, and their sets are compared.
-
-Words of no or one shingle are common to many unrelated sets. Their key also holds the next word,
+they are kept as the XOR of a hash per set bit, and as a short form of 8 parity bits. A document puts
+the words of its own band, and of the band above if partners may lie there, into one shuffle, keyed
+by band, place and word, with the short forms of the next six words. Going round the words there is
+also a place after which the first t words differ in t bits at most, for every t; so equal keys whose
+next words' short forms differ in one, two, ... six bits at most are candidates, and their sets are
+compared. Of unrelated sets one pair in tens of millions passes that, so that next to no sets are
+shipped in vain.
+
+Words without a shingle are common to many unrelated sets. Their key also holds the next word,
 once as it is and once without each of its shingles; since next words differ in one shingle at
 most, a pair still meets. Where what is left of the next word is as poor, the word after it joins
-in the same way, without up to two. So a key shared by many documents means truly similar ones.
+in the same way, without up to two.
 
 Equal sets form a class by a 128-bit signature and are compared once. At first a class is compared
 only to the class that comes first in most of its keys, which ties groups of near copies together in
 as many comparisons as there are classes. After components are found, keys whose classes fall
-into several components are taken up again: star by star with changing centres as long as they
-make many pairs, at last with every pair of different components. A pair above the similarity therefore always ends up in one
-component, and no bucket, group or list of partners is cut.
+into several components are taken up again: star by star with changing centres as long as that finds
+links, at last with every pair of different components. A pair above the similarity therefore always
+ends up in one component, and no bucket, group or list of partners is cut. Keys of many sets are cut
+into groups by the first of their short forms, which in a pair differs in one bit at most, and these
+into parts that are paired with each other, so that no task holds a whole key.
 
 Links themselves, pairs of classes and their number per row, are of another size than components:
 ``find_links`` and ``count_links`` compare every pair of classes that share a key.
 
 Memory: keys are read in sorted order and only the current group's first line is held. Sets of
-candidates are shuffled in pairs. Nothing is gathered on the driver but counts.
+candidates are shuffled in pairs; those of at most ``ONE_TASK`` pairs are compared in one task. Nothing is gathered on the driver but counts.
 
 Defined results: a null or blank text has no shingles, is its own component, and has size 0; a text
 with fewer words than the width is one shingle; equal texts share a component; repeated rows and
@@ -40,6 +45,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -49,15 +55,19 @@ from pyspark.sql import functions as F
 
 from ..operators.skew import is_small
 from ..session import stage
-from .common import modest_batches, without
+from .common import few_lines, modest_batches, without
 from .components import stars
 from .shingles import ODD, STEP, U, mix64, ranges, shingle_parts, signatures
 
 SEEN_SETS = 1 << 18
 STAR_ROUNDS = 4
-NEXT = U(0xFFFF)
 PAIRS_PER_ROW = 16
 KEY_SETS = 1000
+ONE_TASK = 20_000
+# Bits of a word's short form, how many words' forms go with a key, and how many of them inside the key.
+FORM = 8
+NEXT_WORDS = 6
+INSIDE = U((1 << 2 * FORM) - 1)
 
 
 @dataclass(frozen=True)
@@ -106,9 +116,9 @@ def deleted(tokens: np.ndarray, errors: int) -> np.ndarray:
 def sketch_keys(
     values: np.ndarray, bounds: np.ndarray, bands: np.ndarray, counts: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of many sketches at once, 16 parity bits of the word after each, and whose they are.
+    """Keys of many sketches at once, the short forms of the words after each, and whose they are.
 
-    Sketch ``i`` holds the shingles between bounds ``i`` and ``i + 1`` in ``counts[i]`` words.
+    The next word's form has the lowest bits, the one after that the bits above. Sketch ``i`` holds the shingles between bounds ``i`` and ``i + 1`` in ``counts[i]`` words.
     """
     sizes = np.diff(bounds)
     base = np.cumsum(counts) - counts
@@ -120,15 +130,18 @@ def sketch_keys(
     full = np.flatnonzero(held)
     words, parity = np.zeros(total, dtype=np.uint64), np.zeros(total, dtype=np.uint64)
     words[full] = np.bitwise_xor.reduceat(tokens, begin[full])
-    parity[full] = np.bitwise_xor.reduceat(U(1) << (tokens & U(15)), begin[full])
+    parity[full] = np.bitwise_xor.reduceat(U(1) << (tokens & U(FORM - 1)), begin[full])
     owner = np.repeat(np.arange(len(counts)), counts)
     inside = np.arange(total) - base[owner]
     place = bands[owner].astype(np.uint64) * STEP + inside.astype(np.uint64) * ODD
     keys = mix64(words ^ mix64(place))
     after = np.where(inside + 1 < counts[owner], np.arange(total) + 1, base[owner])
     alone = counts[owner] == 1
-    near = np.where(alone, U(0), parity[after])
-    weak = np.flatnonzero((held <= 1) & ~alone)
+    near, step = np.zeros(total, dtype=np.uint64), after
+    for word in range(NEXT_WORDS):
+        near |= np.where(counts[owner] > word + 1, parity[step], U(0)) << U(FORM * word)
+        step = after[step]
+    weak = np.flatnonzero((held == 0) & ~alone)
     if not len(weak):
         return keys, near, owner
     # The next word as it is, then without one of its shingles each.
@@ -140,7 +153,7 @@ def sketch_keys(
     left = np.concatenate([many, many[source] - 1])
     source = np.concatenate([np.arange(len(weak)), source])
     long, whose = mix64(keys[weak][source] ^ mix64(forms + ODD)), weak[source]
-    thin = np.flatnonzero((left <= 1) & (counts[owner[whose]] > 2))
+    thin = np.flatnonzero((left == 0) & (counts[owner[whose]] > 2))
     more, more_whose = [], []
     for t in thin.tolist():  # rare: the word after the next joins the key as well
         j = int(after[after[whose[t]]])
@@ -149,7 +162,7 @@ def sketch_keys(
         more_whose.append(np.full(len(far), whose[t]))
     strong = np.ones(len(long), dtype=bool)
     strong[thin] = False
-    firm = (held > 1) | alone
+    firm = (held > 0) | alone
     from_ = np.concatenate([np.flatnonzero(firm), whose[strong], *more_whose])
     return np.concatenate([keys[firm], long[strong], *more]), near[from_], owner[from_]
 
@@ -157,7 +170,7 @@ def sketch_keys(
 def key_rows(join: Join):
     """Task function: a row per key of every distinct set.
 
-    The key's last 16 bits are the short form of the next word, which keeps the row at two numbers.
+    The key's last 16 bits are the short forms of the next two words, ``far`` are those of the others.
     """
     starts = np.array(join.starts())
     words = np.array([join.words(b, starts.tolist()) for b in range(len(starts) - 1)])
@@ -185,8 +198,10 @@ def key_rows(join: Join):
                     continue
                 held = np.append(0, np.cumsum(sizes[rows]))
                 keys, near, owner = sketch_keys(values[ranges(bounds[rows], sizes[rows])], held, bands, words[bands])
-                packed = ((keys & ~NEXT) | near).view(np.int64)
-                yield pa.record_batch([pa.array(packed), pa.array(one[rows][owner])], names=["key", "sig"])
+                packed = ((keys & ~INSIDE) | (near & INSIDE)).view(np.int64)
+                far = (near >> U(2 * FORM)).astype(np.uint32).view(np.int32)
+                columns = [pa.array(c) for c in (packed, one[rows][owner], far)]
+                yield pa.record_batch(columns, names=["key", "sig", "far"])
 
     return run
 
@@ -194,15 +209,16 @@ def key_rows(join: Join):
 def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Task function over rows sorted by (key, sig): rows of keys with two sets or more.
 
-    Takes ``next`` out of the key again and adds the first set of the key and its ``next``. One line is held between batches. A set may
-    come twice where a batch ends.
+    Puts the short forms together as ``next`` and adds the first set of the key and its ``next``. One
+    line is held between batches. A set may come twice where a batch ends.
     """
     names = ["key", "first", "first_next", "sig", "next"]
     held = None  # key, sig, next of the open group's first line; whether it has been sent
     for batch in batches:
-        packed, sig = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("key", "sig"))
-        near = (packed & 0xFFFF).astype(np.int32)
-        key = packed - near
+        packed, sig, far = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("key", "sig", "far"))
+        low = packed & int(INSIDE)
+        near = (far.view(np.uint32).astype(np.int64) << 2 * FORM) | low
+        key = packed - low
         sent = False
         if held is not None:
             key, sig, near = (np.append(h, x) for h, x in zip(held[:3], (key, sig, near), strict=True))
@@ -231,11 +247,14 @@ def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-SHARED = "key long, first long, first_next int, sig long, next int"
+SHARED = "key long, first long, first_next long, sig long, next long"
 
 
 def near_words(one: str, two: str) -> Column:
-    return F.bit_count(F.col(one).bitwiseXOR(F.col(two))) <= 1
+    """Whether the first 1, 2, ... of the words after two equal keys differ in as many bits at most."""
+    differ = F.col(one).bitwiseXOR(F.col(two))
+    cut = lambda words: F.bit_count(differ.bitwiseAND(F.lit((1 << FORM * words) - 1)))
+    return reduce(lambda x, y: x & y, [cut(words) <= words for words in range(1, NEXT_WORDS + 1)])
 
 
 def sizes_fit(join: Join, one: str, two: str) -> Column:
@@ -243,7 +262,12 @@ def sizes_fit(join: Join, one: str, two: str) -> Column:
 
 
 def fetch_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, join: Join) -> DataFrame:
-    """(sig, set) for the classes in ``pairs``, computed from a text of each."""
+    """(sig, set) for the classes in ``pairs``, computed from a text of each.
+
+    Where pairs are few their sets are one part, and need no further shuffle.
+    """
+    few = few_lines(pairs, ONE_TASK)
+    pairs = pairs.coalesce(1) if few else pairs
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
     spokes = classes.join(wanted, "sig", "left_semi").select("rep", F.col("sig").alias("_sig"))
     spokes = stage(spokes, "wanted")
@@ -263,11 +287,14 @@ def fetch_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, join: Join
                 yield pa.record_batch([pa.array(own[same]), pa.array(sets, pa.binary())], names=["sig", "found"])
 
     rows = texts.mapInArrow(run, "sig long, found binary")
+    rows = rows.repartition(1) if few else rows
     return stage(rows.dropDuplicates(["sig"]), "sets")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar enough."""
+    """Those of the pairs (a, b) whose sets are similar enough; few of them in one task."""
+    if few_lines(pairs, ONE_TASK):
+        pairs, sets = pairs.coalesce(1), sets.coalesce(1)
     left = sets.select(F.col("sig").alias("a"), F.col("found").alias("one"))
     right = sets.select(F.col("sig").alias("b"), F.col("found").alias("two"))
 
@@ -293,24 +320,21 @@ def open_members(shared: DataFrame, roots: DataFrame, sizes: DataFrame) -> DataF
         .select("key", "sig", "next", F.coalesce("root", "sig").alias("root"))
     )
     mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    return named.join(mixed.select("key"), "key", "left_semi").join(sizes, "sig").distinct()
-
+    return named.join(mixed.select("key"), "key", "left_semi").distinct().join(sizes, "sig")
 
-def open_pairs(members: DataFrame, join: Join, turn: int | None) -> DataFrame:
-    """Pairs of sets that share a key but no component yet.
 
-    With a ``turn``, every set is paired with one centre of its key, another one each turn;
-    without, with all sets of other components.
-    """
+def star_pairs(members: DataFrame, join: Join, turn: int) -> DataFrame:
+    """Every set with one centre of each of its keys, another one each turn, unless they share a component."""
     sides = [members.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("sig", "next", "root", "n")]) for side in "ab"]
-    if turn is not None:
-        centre = F.min_by(F.struct("b_sig", "b_next", "b_root", "b_n"), F.xxhash64("b_sig", F.lit(turn)))
-        sides[1] = sides[1].groupBy("key").agg(centre.alias("c")).select("key", "c.*")
-        both = sides[0].join(sides[1], "key").where("a_root <> b_root")
-    else:
-        both = sides[0].join(sides[1], "key").where("a_sig < b_sig and a_root <> b_root")
-    fitting = both.where(near_words("a_next", "b_next") & sizes_fit(join, "a_n", "b_n"))
-    return fitting.select(F.least("a_sig", "b_sig").alias("a"), F.greatest("a_sig", "b_sig").alias("b")).distinct()
+    centre = F.min_by(F.struct("b_sig", "b_next", "b_root", "b_n"), F.xxhash64("b_sig", F.lit(turn)))
+    centres = sides[1].groupBy("key").agg(centre.alias("c")).select("key", "c.*")
+    return fitting(sides[0].join(centres, "key").where("a_root <> b_root"), join)
+
+
+def fitting(both: DataFrame, join: Join) -> DataFrame:
+    """The distinct pairs (a, b) whose short forms and sizes allow the similarity."""
+    fit = both.where(near_words("a_next", "b_next") & sizes_fit(join, "a_n", "b_n"))
+    return fit.select(F.least("a_sig", "b_sig").alias("a"), F.greatest("a_sig", "b_sig").alias("b")).distinct()
 
 
 def first_pairs(shared: DataFrame, sizes: DataFrame, join: Join) -> DataFrame:
@@ -341,31 +365,40 @@ def classes_of(digest: DataFrame) -> DataFrame:
 
 
 def find_shared(docs: DataFrame, join: Join) -> DataFrame:
-    keys = docs.mapInArrow(key_rows(join), "key long, sig long")
-    dealt = keys.repartition(F.col("key").bitwiseAND(F.lit(~0xFFFF))).sortWithinPartitions("key", "sig")
+    keys = docs.mapInArrow(key_rows(join), "key long, sig long, far int")
+    dealt = keys.repartition(F.col("key").bitwiseAND(F.lit(~int(INSIDE)))).sortWithinPartitions("key", "sig")
     return stage(dealt.mapInArrow(shared_keys, SHARED), "shared")
 
 
-def all_pairs(shared: DataFrame, sizes: DataFrame, join: Join) -> DataFrame:
-    """All pairs of sets that share a key.
+def all_pairs(members: DataFrame, join: Join) -> DataFrame:
+    """All pairs of sets (key, sig, next, n, root) that share a key and no root, in groups of bounded size.
 
-    The sets of a key are dealt into parts and a task's group is a pair of parts, so no group has
-    more than about ``KEY_SETS`` squared pairs, however many sets share the key.
+    A key of more than ``KEY_SETS`` sets is cut by the short form of the next word: a set stands in the
+    group of its own form as one side of a pair, and in the groups of all forms that differ in one bit
+    at most as the other side. The sets of a key are also dealt into parts, and a group is a pair of
+    parts. Every pair is found in one group at least, whatever the sizes.
     """
-    members = shared.select("key", "sig", "next").distinct().join(sizes, "sig")
-    parts = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / KEY_SETS).cast("int").alias("parts"))
-    dealt = members.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int"))
-    side = lambda name: [F.col(c).alias(f"{name}_{c}") for c in ("sig", "next", "n")]
-    one = dealt.select("key", F.col("part").alias("low"), F.explode(F.expr("sequence(part, parts - 1)")).alias("high"), *side("a"))
-    two = dealt.select("key", F.explode(F.expr("sequence(0, part)")).alias("low"), F.col("part").alias("high"), *side("b"))
-    both = one.join(two, ["key", "low", "high"]).where("a_sig <> b_sig and (low < high or a_sig < b_sig)")
-    fitting = both.where(near_words("a_next", "b_next") & sizes_fit(join, "a_n", "b_n"))
-    return fitting.select(F.least("a_sig", "b_sig").alias("a"), F.greatest("a_sig", "b_sig").alias("b")).distinct()
+    counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+    form = F.col("next").bitwiseAND((1 << FORM) - 1)
+    dealt = (
+        members.join(counts, "key")
+        .withColumn("parts", F.ceil(F.col("c") / (KEY_SETS * 16)).cast("int"))
+        .withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int"))
+        .withColumn("form", F.when(F.col("c") > KEY_SETS, form).otherwise(-1))
+    )
+    others = F.array(*[F.col("form").bitwiseXOR(F.lit(bit)) for bit in [0, *[1 << b for b in range(FORM)]]])
+    side = lambda name: [F.col(c).alias(f"{name}_{c}") for c in ("sig", "next", "n", "root")]
+    one = dealt.select("key", "form", F.col("part").alias("low"), F.explode(F.expr("sequence(part, parts - 1)")).alias("high"), *side("a"))
+    two = dealt.select("key", "part", F.explode(F.when(F.col("form") < 0, F.array("form")).otherwise(others)).alias("form"), *side("b"))
+    two = two.withColumn("high", F.col("part")).withColumn("low", F.explode(F.expr("sequence(0, part)")))
+    both = one.join(two, ["key", "form", "low", "high"])
+    return fitting(both.where("a_sig <> b_sig and a_root <> b_root and (low < high or a_sig < b_sig)"), join)
 
 
 def link_classes(docs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
     """(a, b): every pair of classes whose sets are similar enough, once."""
-    pairs = stage(all_pairs(find_shared(docs, join), classes.select("sig", "n"), join), "pairs")
+    members = find_shared(docs, join).select("key", "sig", "next").distinct().join(classes.select("sig", "n"), "sig")
+    pairs = stage(all_pairs(members.withColumn("root", F.col("sig")), join), "pairs")
     return verify(pairs, fetch_sets(docs, classes, pairs, join), join)
 
 
@@ -409,18 +442,20 @@ def find_classes(docs: DataFrame, digest: DataFrame, join: Join) -> DataFrame:
     tested = stage(first_pairs(shared, sizes, join), "pairs")
     links = stage(verify(tested, fetch_sets(docs, classes, tested, join), join), "links")
     roots = stage(stars(links), "roots")
+    found = True
     for turn in range(1, STAR_ROUNDS + 2):
         members = stage(open_members(shared, roots, sizes), "open")
         groups = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
         many = groups.agg(F.sum("c").alias("rows"), F.sum(F.expr("c * (c - 1) div 2")).alias("pairs")).first()
         if not many["rows"]:
             break
-        # Only how many pairs there are at most decides when all of them are taken.
-        last = turn > STAR_ROUNDS or many["pairs"] <= PAIRS_PER_ROW * many["rows"]
-        pairs = open_pairs(members, join, None if last else turn).join(tested, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "pairs")
+        # Where stars find nothing more, or pairs are few, all pairs are taken and it ends.
+        last = turn > STAR_ROUNDS or not found or many["pairs"] <= PAIRS_PER_ROW * many["rows"]
+        pairs = all_pairs(members, join) if last else star_pairs(members, join, turn)
+        pairs = stage(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         more = stage(verify(pairs, fetch_sets(docs, classes, pairs, join), join), "more")
-        if not more.isEmpty():
+        found = not more.isEmpty()
+        if found:
             joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
             roots = stage(stars(joined), "roots")
         if last:

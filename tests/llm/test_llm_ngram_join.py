@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from llm_data import SCHEMA, awkward, documents, words
 
-from snapledger.llm import ngram_join
+from snapledger.llm import components, ngram_join
 from snapledger.llm.components import stars
 from snapledger.llm.ngram_join import Join, find_components, key_rows, one_of_each, shared_keys, sketch_keys
 from snapledger.llm.shingles import distinct_shingles, hash_words
@@ -76,6 +76,7 @@ def chains(seed):
 
 @pytest.mark.parametrize("seed", [0, 2])
 def test_chains_of_near_copies(spark, seed, monkeypatch):
+    monkeypatch.setattr(ngram_join, "ONE_TASK", 20_000 * (seed > 0))
     monkeypatch.setattr(ngram_join, "STAR_ROUNDS", seed)  # with 0 rounds, all is left to the last step
     monkeypatch.setattr(ngram_join, "PAIRS_PER_ROW", 0)
     join = Join(3, 70)
@@ -106,7 +107,9 @@ def test_sets_within_reach_share_a_key():
                 bounds = np.arange(len(bands) + 1) * n
                 found_keys, near, _ = sketch_keys(np.tile(found_set, len(bands)), bounds, bands, counts)
                 keys.append([(int(k), int(m)) for k, m in zip(found_keys, near, strict=True)])
-            assert any(k == k2 and (m ^ m2).bit_count() <= 1 for k, m in keys[0] for k2, m2 in keys[1])
+            cut = [(n, (1 << ngram_join.FORM * n) - 1) for n in range(1, ngram_join.NEXT_WORDS + 1)]
+            near = lambda x, y: all((x & mask ^ y & mask).bit_count() <= n for n, mask in cut)
+            assert any(k == k2 and near(m, m2) for k, m in keys[0] for k2, m2 in keys[1])
 
 
 def test_words_do_not_cross_texts_or_blocks(monkeypatch):
@@ -133,13 +136,14 @@ def test_shared_keys_over_batches():
     rows = [(1, 5, 0), (1, 5, 0), (2, 5, 0), (2, 6, 1), (2, 6, 1), (2, 9, 1), (3, 1, 0), (4, 7, 0), (4, 8, 0)]
     rows = [(key << 16, sig, near) for key, sig, near in rows]
     expected = [(2, 5, 0, 5, 0), (2, 5, 0, 6, 1), (2, 5, 0, 9, 1), (4, 7, 0, 7, 0), (4, 7, 0, 8, 0)]
-    expected = [(key << 16, *rest) for key, *rest in expected]
+    far = 0xFFFFFFFF << 16
+    expected = [(key << 16, first, one | far, sig, two | far) for key, first, one, sig, two in expected]
     for size in (1, 2, 3, 9):
         batches = []
         for at in range(0, len(rows), size):
             part = rows[at : at + size]
-            columns = [[key + near for key, _, near in part], [sig for _, sig, _ in part]]
-            batches.append(pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["key", "sig"]))
+            columns = [pa.array([key + near for key, _, near in part]), pa.array([sig for _, sig, _ in part])]
+            batches.append(pa.record_batch([*columns, pa.array([-1] * len(part), pa.int32())], names=["key", "sig", "far"]))
         got = [tuple(r.values()) for b in shared_keys(iter(batches)) for r in b.to_pylist()]
         assert sorted(set(got)) == expected and len(got) <= len(expected) + 1
 
@@ -180,7 +184,7 @@ def test_one_of_each_decides_by_row(spark):
     assert sorted(map(repr, got)) == sorted(repr(tuple(r)) for r in again)
 
 
-@pytest.mark.parametrize("sets", [2, 1000])
+@pytest.mark.parametrize("sets", [1, 2, 1000])
 def test_every_link_is_found(spark, monkeypatch, sets):
     """Also inside a component; copies are counted, not expanded."""
     monkeypatch.setattr(ngram_join, "KEY_SETS", sets)
@@ -202,7 +206,26 @@ def test_every_link_is_found(spark, monkeypatch, sets):
     assert len(links) == sum(alike(x, y) for i, x in enumerate(distinct) for y in distinct[:i])
 
 
-def test_components_of_a_long_path(spark):
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_components_of_a_long_path(spark, one_task, monkeypatch):
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in stars(links).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+
+
+def test_keys_of_many_sets(spark, monkeypatch):
+    """Sets that share nothing but one passage, some of them near copies, with every key cut into groups."""
+    monkeypatch.setattr(ngram_join, "KEY_SETS", 1)
+    monkeypatch.setattr(ngram_join, "STAR_ROUNDS", 0)
+    monkeypatch.setattr(ngram_join, "PAIRS_PER_ROW", 0)
+    rng = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = []
+    for i in range(40):
+        own = " ".join(f"o{rng.randrange(10**6)}" for _ in range(60))
+        rows += [(10 * i + j, f"{passage} {own} {'end ' * (j > 0)}{j}", None, None, None) for j in range(i % 3 + 1)]
+    join = Join(4, 85)
+    expected = plain_components(rows, join)
+    assert len({r[2] for r in expected}) == 40
+    assert found(spark, rows, join) == expected
