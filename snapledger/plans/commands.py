@@ -127,10 +127,9 @@ def verify(
 def purge(repo: Repository, inventory: DataFrame, names: list[str], compact: bool = False) -> DataFrame:
     """Drop records of missing files from the named snapshots. Returns the dropped rows."""
     repo.check()
-    standing = stage(jobs.purge_standing(repo.manifest(names), inventory), "standing")
-    dropped = standing.where("not stays").drop("stays")
-    _rewrite(repo, names, jobs.staying(standing), dropped, compact)
-    return dropped
+    standing = stage(jobs.purge_standing(repo.manifest(names, with_files=True), inventory), "standing")
+    _rewrite(repo, names, standing, compact)
+    return _dropped(standing)
 
 
 def distill(
@@ -143,21 +142,32 @@ def distill(
     """
     repo.check()
     repo.check(names)
-    standing = stage(target_standing(repo.manifest(), names), "standing")
-    dropped = standing.where("not stays").drop("stays")
-    _rewrite(repo, names, jobs.staying(standing), dropped, compact)
+    standing = stage(target_standing(repo.manifest(with_files=True), names), "standing")
+    dropped = _dropped(standing)
+    _rewrite(repo, names, standing, compact)
     deleted = dropped.withColumn("action", F.lit(DELETE))
     emptied = None if tree is None else empty_directories(tree, dropped)
     return Run(dropped, action_stats(deleted), event_counts(jobs.run_events(deleted)), emptied=emptied)
 
 
-def _rewrite(repo: Repository, names: list[str], kept: DataFrame, dropped: DataFrame, compact: bool) -> None:
-    """Write a new generation of the snapshots that lost rows; of all of them to compact."""
-    touched = {r.snapshot for r in dropped.select("snapshot").distinct().collect()}
-    changed = [n for n in names if compact or n in touched]
-    if changed:
-        kept = kept.where(F.col("snapshot").isin(changed))
-        repo.write(kept, repo.begin(changed))
+def _dropped(standing: DataFrame) -> DataFrame:
+    return standing.where("not stays").drop("stays", "stored_in")
+
+
+def _rewrite(repo: Repository, names: list[str], standing: DataFrame, compact: bool) -> None:
+    """Write the files that lost rows again; to compact, all rows of the named snapshots."""
+    kept = jobs.staying(standing)
+    if compact:
+        repo.write(kept, repo.begin(names))
+        return
+    # a line per file, however many rows
+    place = ["snapshot", "stored_in"]
+    hit = standing.where("not stays").select(*place).distinct()
+    files: dict[str, list[str]] = {}
+    for row in hit.collect():
+        files.setdefault(row.snapshot, []).append(row.stored_in)
+    if files:
+        repo.replace(kept.join(F.broadcast(hit), place, "left_semi"), files)
 
 
 def compact(repo: Repository, names: list[str]) -> None:

@@ -322,6 +322,8 @@ from ranked r join counts c using (inode) where k = 1""",
   sum(octet_length(encode(text)) + 1)::bigint as listed_bytes,
   sum(octet_length(encode(text)) + 1)::bigint as read_bytes, true as same_hashes
 from documents group by source, lang""",
+    "scan_source": """select source, lang, sum(octet_length(encode(text)) + 1)::bigint as listed_bytes
+from documents where lang <> 'fr' group by source, lang""",
     "content_hash": "select doc_id, sha256(text) as content_hash from documents",
     "exclude_kept": f"with {url_marks(URL_TEST)} select root, path, page_id from marked where excluded_by is null",
     "exclude_topmost": f"""with {url_marks(URL_TEST)}

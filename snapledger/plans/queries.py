@@ -22,6 +22,7 @@ from ..schemas import (
 from ..session import scratch_path, stage
 from ..sources.content import file_hasher, hash_column, table_hasher
 from ..sources.listing import scan_inventory
+from ..sources.listing_source import read_inventory
 from ..sources.report import read_file_table, write_file_table
 from ..sources.repository import Repository
 from . import commands, jobs
@@ -142,6 +143,18 @@ def scan_and_hash(spark, sf):
     )
 
 
+def scan_source(spark, sf):
+    """The same directory tree listed by the data source, without what the conditions leave out."""
+    tree = scratch_path(spark, "tree")
+    texts = V.table(spark, sf, "documents").select("text", "source", "lang")
+    texts.hint("rebalance", "source", "lang").write.partitionBy("source", "lang").text(tree)
+    top = tree.removeprefix("file://").removeprefix("file:")
+    listed = read_inventory(spark, [top], ["lang=fr"])
+    files = listed.where((F.col("type") == "regular") & ~F.col("path").endswith(".crc") & F.col("path").endswith(".txt"))
+    place = [F.regexp_extract("path", f"/{part}=([^/]+)", 1).alias(part) for part in ("source", "lang")]
+    return files.groupBy(*place).agg(F.sum("size").alias("listed_bytes"))
+
+
 def content_hash(spark, sf):
     return hash_column(V.table(spark, sf, "documents"), "doc_id", F.col("text"))
 
@@ -524,6 +537,7 @@ QUERIES: dict[str, Query] = {
     "invalid_snapshots": invalid_snapshots,
     "write_file_table": write_table,
     "scan_and_hash": scan_and_hash,
+    "scan_source": scan_source,
     "content_hash": content_hash,
     "exclude_kept": exclude_kept,
     "exclude_topmost": exclude_topmost,

@@ -38,6 +38,8 @@ SNAPSHOT_LOG = T.StructType(
         T.StructField("snapshot", T.StringType()),
         T.StructField("state", T.StringType()),
         T.StructField("generation", T.LongType()),
+        T.StructField("bases", T.ArrayType(T.LongType())),
+        T.StructField("without", T.ArrayType(T.StringType())),
     ]
 )
 

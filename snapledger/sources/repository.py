@@ -7,6 +7,7 @@ import json
 import time
 import uuid
 from collections.abc import Callable
+from typing import NamedTuple
 from urllib.parse import unquote
 
 from py4j.protocol import Py4JJavaError
@@ -31,6 +32,19 @@ SUMMARIES = {
 PARTITIONS = ["snapshot", "generation"]
 
 
+class Mark(NamedTuple):
+    """What a log line says of a snapshot.
+
+    Its rows are the files of ``generation`` and those of the earlier generations in ``bases``, except
+    the files named in ``without`` (as ``generation=<n>/<name>``).
+    """
+
+    state: str
+    generation: int
+    bases: tuple[int, ...] = ()
+    without: tuple[str, ...] = ()
+
+
 class Conflict(ValueError):
     """Another writer came first."""
 
@@ -65,7 +79,8 @@ class Repository:
 
     A rewrite (delete, compaction) goes to a new generation of the snapshots it touches; the entry
     added to the log afterwards makes it current, so a path being read is never overwritten, and
-    ``vacuum`` removes what is no longer read. A snapshot whose last line is ``in_progress`` was left
+    ``vacuum`` removes what is no longer read. Where rows go, only the files that hold them are written
+    again; the new generation is based on those before it, without these files. A snapshot whose last line is ``in_progress`` was left
     unfinished and keeps the repository from opening until it is deleted.
 
     Every log entry is a file named by its number, created only if there is none of that name; of two
@@ -148,7 +163,7 @@ class Repository:
 
     def _states(self, entries: list[int] | None = None) -> dict[str, Row]:
         """Last log line of every snapshot, deleted ones too: one line each, however many rows."""
-        last = F.max(F.struct("seq", "state", "generation")).alias("l")
+        last = F.max(F.struct("seq", "state", "generation", "bases", "without")).alias("l")
         lines = self._log(entries).groupBy("snapshot").agg(last, F.max("generation").alias("highest"))
         return {r.snapshot: r for r in lines.select("snapshot", "highest", "l.*").collect()}
 
@@ -174,12 +189,32 @@ class Repository:
         """Snapshot names in order."""
         return sorted(n for n, r in self._states().items() if r.state != DELETED)
 
-    def manifest(self, names: list[str] | None = None) -> DataFrame:
-        """Rows of all, or the named, snapshots; only current partitions are listed."""
-        current = self._open(names)
-        there = self._partitions()
-        parts = [there[n, r.generation] for n, r in current.items() if (n, r.generation) in there]
-        return self._read(parts).select(*MANIFEST.names) if parts else self._empty(MANIFEST)
+    def manifest(self, names: list[str] | None = None, with_files: bool = False) -> DataFrame:
+        """Rows of all, or the named, snapshots; only current partitions are listed.
+
+        ``with_files`` adds ``stored_in``, the name of a row's file (see ``Mark``).
+        """
+        parts = self._parts(self._open(names), self._partitions())
+        rows = self._read(parts) if parts else self._empty(MANIFEST)
+        if not with_files:
+            return rows.select(*MANIFEST.names)
+        place = F.regexp_extract(F.col("_metadata.file_path"), "/(generation=[0-9]+/[^/]+)$", 1) if parts else F.lit("")
+        return rows.select(*MANIFEST.names, place.alias("stored_in"))
+
+    def _parts(self, current: dict[str, Row], there: dict[tuple[str, int], str]) -> list[str]:
+        """Folders to read; single files of the generations that a later one is based on."""
+        found = []
+        for name, line in current.items():
+            if (name, line.generation) in there:
+                found.append(there[name, line.generation])
+            gone = set(line.without or ())
+            for base in line.bases or ():
+                if (name, base) in there:
+                    place, files = self._folder(there[name, base])
+                    inside = [f.getPath() for f in files.listStatus(place)]
+                    kept = [p for p in inside if p.getName()[0] not in "._" and f"generation={base}/{p.getName()}" not in gone]
+                    found += [p.toString() for p in kept]
+        return found
 
     def _read(self, parts: list[str]) -> DataFrame:
         stored = T.StructType([*MANIFEST.fields, T.StructField("generation", T.LongType())])
@@ -225,20 +260,21 @@ class Repository:
 
         Snapshots that were stored without one are summarised on the way.
         """
-        current = {(n, r.generation) for n, r in self._open(names).items()}
-        stored, buckets = self._partitions(), self._buckets()
+        lines = self._open(names)
+        current = {(n, r.generation) for n, r in lines.items()}
+        buckets = self._buckets()
         there = {} if buckets is None else self._partitions(kind)
         parts = {place: there[place] for place in sorted(current) if place in there}
-        bare = [stored[place] for place in sorted(current) if place in stored and place not in there]
+        bare = self._parts({n: r for n, r in lines.items() if (n, r.generation) not in there}, self._partitions())
         found = None
         if parts or not bare:
             list_hash = hashlib.sha256(json.dumps([self.path, sorted(parts)]).encode()).hexdigest()[:16]
             name = f"snapledger_{kind}_{list_hash}"
             self._table(kind, name, buckets or 1)
             escape = lambda text: text.replace("\\", "\\\\").replace("'", "\\'")
-            lines = [f"partition (snapshot='{escape(n)}', generation={g}) location '{escape(p)}'" for (n, g), p in parts.items()]
-            if lines:
-                self.spark.sql(f"alter table `{name}` add if not exists {' '.join(lines)}")
+            added = [f"partition (snapshot='{escape(n)}', generation={g}) location '{escape(p)}'" for (n, g), p in parts.items()]
+            if added:
+                self.spark.sql(f"alter table `{name}` add if not exists {' '.join(added)}")
             found = self.spark.table(name)
         if bare:
             rows = self._read(bare)
@@ -260,7 +296,8 @@ class Repository:
                 continue
             # a deleted snapshot's line carries its last number, which is no longer read either
             current = line.generation if line.state == COMPLETE else line.generation + 1
-            if generation < current - keep:
+            based_on = line.state == COMPLETE and generation in (line.bases or ())
+            if generation < current - keep and not based_on:
                 for kind in ("manifest", *SUMMARIES):
                     old = path if kind == "manifest" else summaries[kind].get((name, generation))
                     if old:
@@ -269,17 +306,17 @@ class Repository:
                 gone.append(path)
         return gone
 
-    def _record(self, states: dict[str, tuple[str, int]], entries: list[int]) -> None:
+    def _record(self, states: dict[str, Mark], entries: list[int]) -> None:
         """Add an entry after those that were read; raises ``Conflict`` if another writer has done so."""
         number = max(entries, default=0) + 1
         lines = [
-            json.dumps({"seq": number, "snapshot": name, "state": state, "generation": generation})
-            for name, (state, generation) in states.items()
+            json.dumps({"seq": number, "snapshot": name, **{k: v for k, v in mark._asdict().items() if v != ()}})
+            for name, mark in states.items()
         ]
         if not self._create(self._entry(number), "\n".join(lines) + "\n"):
             raise Conflict(f"entry {number} of the log was written by another run")
 
-    def _commit(self, decide: Callable[[dict[str, Row]], dict[str, tuple[str, int]]]) -> dict[str, tuple[str, int]]:
+    def _commit(self, decide: Callable[[dict[str, Row]], dict[str, Mark]]) -> dict[str, Mark]:
         """Record what ``decide`` makes of the states; decides anew when another writer came first."""
         for attempt in range(COMMIT_TRIES):
             entries = self._entries()
@@ -295,7 +332,7 @@ class Repository:
     def begin(self, names: list[str], create: bool = False) -> dict[str, int]:
         """Mark snapshots in progress; returns the generation each will be written to."""
 
-        def decide(known: dict[str, Row]) -> dict[str, tuple[str, int]]:
+        def decide(known: dict[str, Row]) -> dict[str, Mark]:
             for name in names:
                 state = known[name].state if name in known else DELETED
                 if create and state != DELETED:
@@ -303,16 +340,24 @@ class Repository:
                 if not create and state != COMPLETE:
                     raise ValueError(f"snapshot is not open for changes: {name}")
             # the mark carries the new number, so what a broken run left is never written to again
-            return {n: (IN_PROGRESS, (known[n].highest if n in known else 0) + 1) for n in names}
+            return {n: Mark(IN_PROGRESS, (known[n].highest if n in known else 0) + 1) for n in names}
+
+        return {name: mark.generation for name, mark in self._commit(decide).items()}
 
-        return {name: generation for name, (_, generation) in self._commit(decide).items()}
+    def replace(self, rows: DataFrame, files: dict[str, list[str]]) -> None:
+        """Store ``rows`` in place of the rows in some files (``stored_in``) of each snapshot; other files stay."""
+        before = self._open(list(files))
+        bases = {n: Mark(COMPLETE, 0, (*(r.bases or ()), r.generation), (*(r.without or ()), *files[n])) for n, r in before.items()}
+        self.write(rows, self.begin(list(files)), bases)
 
-    def write(self, rows: DataFrame, generations: dict[str, int]) -> None:
+    def write(self, rows: DataFrame, generations: dict[str, int], bases: dict[str, Mark] | None = None) -> None:
         """Store rows of snapshots that are in progress, with their summaries, and finish these snapshots.
 
         A row of any other snapshot, or of none, makes the write fail before anything is recorded, as
-        does a snapshot that was deleted or begun anew meanwhile.
+        does a snapshot that was deleted or begun anew meanwhile. ``bases`` name what stays of earlier
+        generations (see ``replace``).
         """
+        marks = {n: (bases or {}).get(n, Mark(COMPLETE, g))._replace(generation=g) for n, g in generations.items()}
         lines = [(name, generation) for name, generation in generations.items()]
         new = self.spark.createDataFrame(lines, "snapshot string, begun long")
         stray = F.concat(F.lit("row of a snapshot that was not begun: "), F.coalesce("snapshot", F.lit("null")))
@@ -323,23 +368,23 @@ class Repository:
         # a lookup of one hash skips row groups; small files get small filters
         writer = writer.option("parquet.bloom.filter.enabled#hash", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
         writer.parquet(f"{self.path}/manifest")
-        self._summarise(generations)
+        self._summarise(marks)
 
-        def decide(known: dict[str, Row]) -> dict[str, tuple[str, int]]:
+        def decide(known: dict[str, Row]) -> dict[str, Mark]:
             for name, generation in generations.items():
                 line = known.get(name)
                 if line is None or (line.state, line.generation) != (IN_PROGRESS, generation):
                     raise ValueError(f"snapshot is no longer in progress: {name}")
-            return {name: (COMPLETE, generation) for name, generation in generations.items()}
+            return marks
 
         self._commit(decide)
 
-    def _summarise(self, generations: dict[str, int]) -> None:
-        buckets, there = self._buckets(), self._partitions()
-        parts = [there[place] for place in generations.items() if place in there]
+    def _summarise(self, marks: dict[str, Mark]) -> None:
+        buckets, parts = self._buckets(), self._parts(marks, self._partitions())
         if buckets is None or not parts:
             return
-        rows = self._read(parts)
+        numbers = self.spark.createDataFrame([(n, m.generation) for n, m in marks.items()], "snapshot string, generation long")
+        rows = self._read(parts).drop("generation").join(F.broadcast(numbers), "snapshot")
         for kind, (keys, _) in SUMMARIES.items():
             # a table of its own, so that what is written is not added to one that is being read
             name = f"snapledger_{kind}_{uuid.uuid4().hex}"
@@ -349,4 +394,4 @@ class Repository:
             self.spark.sql(f"drop table `{name}`")
 
     def delete_snapshot(self, name: str) -> None:
-        self._commit(lambda known: {name: (DELETED, known[name].highest)})
+        self._commit(lambda known: {name: Mark(DELETED, known[name].highest)})

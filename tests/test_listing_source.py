@@ -1,0 +1,99 @@
+"""The listing as a data source: the same rows, and what is excluded or not asked for is never opened."""
+
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from snapledger.sources import listing_source
+from snapledger.sources.listing import scan_inventory
+from snapledger.sources.listing_source import PUSHDOWN, FilteringReader, InventoryReader, read_inventory
+
+
+@pytest.fixture
+def tree(tmp_path):
+    top = tmp_path / "data"
+    for name in ("a/b/c", "a/d", "cache_SKIP/in", "wide", "empty"):
+        (top / name).mkdir(parents=True)
+    for name in ("x.txt", "a/b/c/deep.txt", "a/b/y.tmp", "a/d/z", "cache_SKIP/in/hidden"):
+        (top / name).write_text(name)
+    for i in range(25):
+        (top / "wide" / f"f{i}").write_text("w")
+    os.symlink(top / "a", top / "link")
+    (tmp_path / "one.txt").write_text("1")
+    return tmp_path
+
+
+def rows(df):
+    return sorted(map(repr, df.collect()))
+
+
+def listed(reader):
+    """Paths below the one root, each once."""
+    found = [r["path"] for part in reader.partitions() for batch in reader.read(part) for r in batch.to_pylist()]
+    assert len(found) == len(set(found))
+    return sorted(os.path.relpath(path, reader.roots[0]) for path in found)
+
+
+@pytest.mark.parametrize("tasks", [1, 3, 50])
+def test_same_rows_as_the_listing_by_levels(spark, tree, tasks):
+    roots = [str(tree / "data"), str(tree / "one.txt"), str(tree / "none"), str(tree / "data" / "link")]
+    one = scan_inventory(spark, roots, ["_SKIP"])
+    two = read_inventory(spark, roots, ["_SKIP", ""], tasks)
+    assert two.columns == one.columns and rows(two) == rows(one)
+    assert not [r for r in two.collect() if "cache_SKIP/" in r.path]
+
+
+@pytest.mark.parametrize("tasks", [1, 50])
+def test_excluded_trees_are_never_opened(tree, tasks, monkeypatch):
+    opened, scan = [], os.scandir
+    monkeypatch.setattr(listing_source.os, "scandir", lambda p: (opened.append(str(p)), scan(p))[1])
+    reader = InventoryReader([str(tree / "data")], ["_SKIP"], tasks)
+    assert any(p.endswith("cache_SKIP") for p in listed(reader))
+    assert opened and not any("_SKIP" in p for p in opened)
+    opened.clear()
+    reader = FilteringReader([str(tree / "data")], [], tasks)
+    reader.begins.append(str(tree / "data" / "a" / "b"))
+    assert listed(reader) == ["a/b", "a/b/c", "a/b/c/deep.txt", "a/b/y.tmp"]
+    assert {os.path.relpath(p, tree / "data") for p in opened} <= {".", "a", "a/b", "a/b/c"}
+
+
+@pytest.mark.parametrize("pushed", ["true", "false"])
+def test_conditions_on_the_listing(spark, tree, pushed):
+    top = str(tree / "data")
+    spark.conf.set(PUSHDOWN, pushed)
+    try:
+        entries = read_inventory(spark, [top, str(tree / "one.txt")])
+        plain = scan_inventory(spark, [top, str(tree / "one.txt")])
+        for condition in (
+            F.col("path").startswith(f"{top}/a/b"),
+            ~F.col("path").endswith(".tmp") & (F.col("type") == "regular"),
+            F.col("path").endswith(".txt") & (F.col("size") > 3),
+            F.col("type").isin("directory", "symlink") & (F.col("root") == top),
+            F.col("root").isin(str(tree / "one.txt"), "other"),
+            F.col("root") == "other",
+            (F.col("type") == "regular") & (F.col("type") == "symlink"),
+        ):
+            assert rows(entries.where(condition)) == rows(plain.where(condition))
+    finally:
+        spark.conf.unset(PUSHDOWN)
+
+
+def test_unreadable_directories_stand_for_themselves(tree, monkeypatch):
+    scan = os.scandir
+
+    def refuse(path):
+        if str(path).endswith("/a/b"):
+            raise PermissionError(path)
+        return scan(path)
+
+    monkeypatch.setattr(listing_source.os, "scandir", refuse)
+    reader = InventoryReader([str(tree / "data")], [], 1)
+    found = [r for part in reader.partitions() for batch in reader.read(part) for r in batch.to_pylist()]
+    lost = [r for r in found if r["type"] == "unreadable_directory"]
+    assert [r["path"] for r in lost] == [str(tree / "data" / "a" / "b")] and lost[0]["size"] is None
+
+
+def test_urls_are_no_paths(spark):
+    with pytest.raises(ValueError, match="mount"):
+        read_inventory(spark, ["s3://bucket/x"])

@@ -5,6 +5,7 @@ import os
 import shutil
 import threading
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from snapledger.sources import content
 from snapledger.sources.content import file_hasher
 from snapledger.sources.listing import scan_inventory
 from snapledger.sources.report import read_file_table, write_file_table
-from snapledger.sources.repository import Conflict, Repository
+from snapledger.sources.repository import Conflict, Mark, Repository
 
 
 @pytest.fixture
@@ -362,6 +363,42 @@ def test_summaries_follow_every_change(spark, tmp_path):
     assert one.count() == 29 and one.select("snapshot").distinct().count() == 1
 
 
+def files_of(repo):
+    return {p.name for p in Path(repo.path, "manifest").rglob("*.parquet")}
+
+
+def test_only_files_that_lose_rows_are_written_again(spark, tmp_path):
+    repo = Repository(spark, str(tmp_path / "a repo"), create=True)
+    names = ["s1", "s:2 %"]
+    for name in names:
+        generation = repo.begin([name], create=True)
+        # a file per part, as a large snapshot has
+        parts = rows_of(spark, [name], 40).withColumn("generation", F.lit(1).cast("long")).repartition(8, "file")
+        parts.write.mode("append").partitionBy("snapshot", "generation").parquet(f"{repo.path}/manifest")
+        repo.write(rows_of(spark, [name], 0), generation)
+    before, rows = files_of(repo), sorted(map(repr, repo.manifest().collect()))
+    assert len(before) == 16 and len(rows) == 80
+    there = repo.manifest().where("file <> 'f3' or snapshot <> 's1'").select("snapshot", "file")
+    assert [r.file for r in commands.purge(repo, there, names).collect()] == ["f3"]
+    assert len(files_of(repo) - before) == 1 and before <= files_of(repo)
+    left = sorted(map(repr, repo.manifest().collect()))
+    assert set(rows) - set(left) == {r for r in rows if "file='f3'" in r and "'s1'" in r} and len(left) == 79
+    check_summaries(repo)
+    # again, from a snapshot that is based on files of an earlier generation
+    there = repo.manifest().where("file not in ('f3', 'f4') and snapshot = 's1' or file <> 'f9'").select("snapshot", "file")
+    count = commands.purge(repo, there, names).count()
+    assert count == 80 - 1 - repo.manifest().count() and repo.manifest().join(there, ["snapshot", "file"], "left_anti").count() == 0
+    check_summaries(repo)
+    repo.vacuum()
+    check_summaries(repo)
+    held = sorted(map(repr, repo.manifest().collect()))
+    assert len(held) == repo.manifest().count() and len(set(held)) == len(held)
+    commands.compact(repo, names)
+    repo.vacuum()
+    assert sorted(map(repr, repo.manifest().collect())) == held and not files_of(repo) & before
+    check_summaries(repo)
+
+
 def test_snapshots_without_summaries_are_read(spark, tmp_path):
     repo = Repository(spark, str(tmp_path / "repo"), create=True)
     repo.write(rows_of(spark, ["s1"]), repo.begin(["s1"], create=True))
@@ -417,9 +454,9 @@ def test_one_of_many_writers_wins(spark, tmp_path):
     path = str(tmp_path / "repo")
     first, second = Repository(spark, path, create=True), Repository(spark, path, create=True)
     entries = first._entries()
-    first._record({"s1": ("in_progress", 1)}, entries)
+    first._record({"s1": Mark("in_progress", 1)}, entries)
     with pytest.raises(Conflict):
-        second._record({"s1": ("in_progress", 1)}, entries)
+        second._record({"s1": Mark("in_progress", 1)}, entries)
     first.delete_snapshot("s1")
 
     outcomes = []
