@@ -9,9 +9,10 @@ shortest text has an anchor, and its first and last words count as such.
 A fingerprint is the anchors' hashes in the order of the text. Likeness is twice the number of
 distinct anchors that two fingerprints share, divided by the number in both.
 
-A document meets the next one in a window over blocks of keys. Blocks are equal ranges of the key,
-at most ``MAX_BLOCKS``; the first document of the following block is added to each block as its
-last. Built-in functions only.
+A document meets the next one in a window over blocks of keys. The keys are cut at ``QUANTILES``
+approximate quantiles of the rows, and each piece into equal ranges of the key, at most ``MAX_BLOCKS``
+in all; so ids far apart or close together move few rows, and no block has more than about a piece.
+The first document of the following block is added to each block as its last. Built-in functions only.
 
 Defined results: a null text counts as empty; a text without words has an empty fingerprint, and two
 empty ones have likeness 1, one empty and another 0; null keys come first; rows that share a key
@@ -30,6 +31,7 @@ K = 8
 S = 2
 HEX = 8
 MAX_BLOCKS = 1 << 16
+QUANTILES = 256
 BLOCK_ROWS = 1024
 
 
@@ -76,19 +78,35 @@ def likeness(one: Column, two: Column) -> Column:
     return F.when(total == 0, F.lit(1.0)).otherwise(shared / total)
 
 
+def block_of(key: Column, cuts: list[float], blocks: int) -> Column:
+    """A block's number, which never falls as the key rises: pieces between cuts, each in equal ranges."""
+    taken = sorted({*cuts[:: max(1, len(cuts) // blocks)], cuts[-1]})
+    begins = taken[:-1] or taken
+    widths = [max(after - before, 1.0) for before, after in zip(begins, taken[1:], strict=True)] if len(taken) > 1 else [1.0]
+    ranges = -(-blocks // len(begins))
+    numbers = lambda values: F.array(*[F.lit(float(v)) for v in values])
+    piece = F.greatest(F.size(F.filter(numbers(begins), lambda b: b <= key)) - 1, F.lit(0))
+
+    def inside(at: Column) -> Column:
+        part = F.floor((key - F.get(numbers(begins), at)) / F.get(numbers(widths), at) * ranges)
+        return at.cast("long") * ranges + F.greatest(F.least(part, F.lit(ranges - 1)), F.lit(0))
+
+    return let(piece, inside)
+
+
 def with_next(df: DataFrame, key: str, values: list[str]) -> DataFrame:
     """Add ``next_<v>`` of the row with the next key; the first row follows the last.
 
     ``_key`` and ``_tie`` order the rows; both are dropped again.
     """
     number = F.col(f"`{key}`").cast("decimal(20,0)")
-    stats = df.agg(F.min(number).alias("low"), F.max(number).alias("high"), F.count(F.lit(1)).alias("n")).first()
-    blocks = max(1, min(MAX_BLOCKS, stats["n"] // BLOCK_ROWS))
+    rough = number.cast("double")
+    cuts = F.percentile_approx(rough, F.array(*[F.lit(i / QUANTILES) for i in range(QUANTILES + 1)]), F.lit(40 * QUANTILES))
+    stats = df.agg(F.min(number).alias("low"), cuts.alias("cuts"), F.count(F.lit(1)).alias("n")).first()
     low = int(stats["low"] or 0) - 1  # the place of null keys
-    width = (int(stats["high"] or 0) - low) // blocks + 1
-    exact = lambda n: F.lit(str(n)).cast("decimal(20,0)")
-    ordered = df.withColumn("_key", F.coalesce(number, exact(low)))
-    ordered = ordered.withColumn("_block", F.floor((F.col("_key") - exact(low)) / exact(width)).cast("long"))
+    ordered = df.withColumn("_key", F.coalesce(number, F.lit(str(low)).cast("decimal(20,0)")))
+    blocks = max(1, min(MAX_BLOCKS, stats["n"] // BLOCK_ROWS))
+    ordered = ordered.withColumn("_block", block_of(F.col("_key").cast("double"), stats["cuts"] or [0.0], blocks))
     # At most MAX_BLOCKS lines: the first key of every block, and the block before it.
     firsts = ordered.groupBy("_block").agg(F.min("_key").alias("_key"))
     line = Window.orderBy("_block")

@@ -1,6 +1,8 @@
 """Style tree and syncmers."""
 
 import html
+import math
+import random
 import re
 
 import pytest
@@ -33,6 +35,13 @@ def text_of(page):
         ("<p>ends <!-- open", "ends"),
         ("<p>ends<script>open", "ends"),
         ("<header>site</header><section id=comments><p>me too</section><p hidden>h</p><p>t", "t"),
+        ("<div class='layout has-sidebar'><main><p>Real text one.</p></main><div class=sidebar>s</div></div>", "Real text one."),
+        ("<div id='page' class='no-sidebar'><article><p>Real</p></article></div>", "Real"),
+        ("<article class='search-result comment-open'><p>Real</p><div class=share>s</div></article>", "Real"),
+        ("<div class=widget><div id=search><article>a</article></div><p>more</p></div><div class=ad>b</div>", "a\nmore"),
+        ("<article>a</article><section class=comments><article class=comment>me too</article></section>", "a"),
+        ("<nav><article>in a menu</article></nav><div class=widget>w</div><p>t", "t"),
+        ("<article><p>As <math><mi>x</mi></math> grows</p></article>", "As x grows"),
         ("<p>" + "long " * 50_000, ("long " * 50_000).strip()),
     ],
 )
@@ -86,6 +95,53 @@ def test_unique_texts_stay_on_a_hot_host(spark):
     assert got.where(F.col("text") != F.concat(F.lit("Text "), "page_id")).count() == 0 and got.count() == 30_000
 
 
+def test_articles_under_misleading_names(spark):
+    """Only what is inside the article counts, whatever the names around it say."""
+    rows = [
+        (1, "http://a.example/", "<div class='layout has-sidebar'><main><p>One.</p></main><p>out</p></div>"),
+        (2, "http://b.example/", "<div class='widget'><article><p>Two.</p></article><p>out</p></div><div class=ad>x</div>"),
+        (3, "http://c.example/", "<article class='search-result comment-open'><p>Three.</p></article>"),
+    ]
+    assert extract(spark, rows) == {1: "One.", 2: "Two.", 3: "Three."}
+
+
+def test_low_nodes_against_a_plain_computation(spark):
+    rng = random.Random(3)
+    rows = []
+    for page in range(60):
+        for at in range(rng.randint(1, 8)):
+            node = rng.randrange(6)
+            rows.append((page % 3, rng.choice([style_tree.PLAIN, style_tree.CONTENT]), page % 50, at, node, rng.choice([7, 8, 100 * page + at][: node % 3 + 1])))
+    frame = spark.createDataFrame(rows, "site long, kind int, signature long, at int, node long, text long")
+    got = {(r.site, r.kind, r.node) for r in style_tree.low_nodes(frame).collect()}
+    pages, places = {}, {}
+    for site, kind, signature, at, node, text in rows:
+        pages.setdefault((site, kind), set()).add(signature)
+        places.setdefault((site, kind, node), {}).setdefault(text, {}).setdefault(signature, set()).add(at)
+    low = set()
+    for (site, kind, node), texts in places.items():
+        count = len(pages[site, kind])
+        if count < 2:
+            continue
+        entropies, weights = [], []
+        for spread in texts.values():
+            sizes = [len(a) for a in spread.values()]
+            entropies.append(-sum(c / sum(sizes) * math.log(c / sum(sizes)) for c in sizes))
+            weights.append(sum(sizes))
+        mean = sum(e * w for e, w in zip(entropies, weights, strict=True)) / sum(weights)
+        prior = style_tree.CONTENT_PRIOR if kind == style_tree.CONTENT else 0
+        importance = (prior + count * max(0.0, 1 - mean / math.log(count))) / (prior + count)
+        if importance < style_tree.MIN_IMPORTANCE:
+            low.add((site, kind, node))
+    assert got == low and 0 < len(low) < len(places)
+
+
+def test_further_columns_of_pages(spark):
+    rows = [(1, "http://a.example/", "<p>x</p>", 1, 2, 3, 4)]
+    pages = spark.createDataFrame(rows, f"{PAGES}, site int, blocks int, low int, kind int")
+    assert [tuple(r) for r in style_tree.extract(pages).collect()] == [(1, "http://a.example/", "x")]
+
+
 def test_page_query(spark):
     got = {r.page_id: r for r in QUERIES["op6_style_tree"](spark, SF_DIR).collect()}
     for r in spark.read.parquet(f"{SF_DIR}/pages.parquet").collect():
@@ -145,6 +201,21 @@ def test_next_rows(spark, blocks, monkeypatch):
     assert got == {k: f"t{order[(i + 1) % len(order)]}" for i, k in enumerate(order)}
 
 
+def test_outlying_keys_leave_blocks_even(spark, monkeypatch):
+    """One id far away, and ids in clusters: blocks keep about equal numbers of rows."""
+    monkeypatch.setattr(syncmers, "BLOCK_ROWS", 100)
+    far = spark.range(20_000).select(F.col("id").alias("doc_id")).unionByName(spark.range(1).select(F.lit(2**62).alias("doc_id")))
+    clusters = spark.range(20_000).select((F.floor(F.col("id") / 5000) * 10**15 + F.col("id")).cast("long").alias("doc_id"))
+    for df in (far, clusters):
+        values = sorted(float(r.doc_id) for r in df.collect())
+        cuts = [values[i * (len(values) - 1) // syncmers.QUANTILES] for i in range(syncmers.QUANTILES + 1)]
+        counted = df.select(syncmers.block_of(F.col("doc_id").cast("double"), cuts, 200).alias("b"), "doc_id")
+        sizes = [r["count"] for r in counted.groupBy("b").count().collect()]
+        assert max(sizes) <= 400 and len(sizes) >= 100
+        rows = sorted((r.doc_id, r.b) for r in counted.collect())
+        assert [b for _, b in rows] == sorted(b for _, b in rows)
+
+
 def test_awkward_prints(spark):
     rows = awkward()
     got = syncmers.compare_edited(documents(spark).withColumn("found", F.lit(1))).collect()
