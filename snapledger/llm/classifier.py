@@ -13,7 +13,7 @@ size of three small tables.
 Defined results: a null, empty or blank text gets the score of the bias alone; without labels of
 both classes the score is the smoothed share of good labels; null labels and labels without a
 document don't count, a document with several labels counts as good if all say so; equal texts have
-equal scores; rows that repeat are scored alike; an empty table gives an empty result; columns of
+equal scores; a row without a key is not held out; rows that repeat are scored alike; an empty table gives an empty result; columns of
 the input named like a result are replaced.
 """
 
@@ -47,7 +47,8 @@ class Training:
 
 
 def held_out(key: str) -> Column:
-    return F.crc32(F.col(f"`{key}`").cast("string")) % FOLDS == 0
+    """Whether a row is kept for testing; a row without a key is not."""
+    return F.coalesce(F.crc32(F.col(f"`{key}`").cast("string")) % FOLDS == 0, F.lit(False))
 
 
 def feature_ids(data: np.ndarray, bounds: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:

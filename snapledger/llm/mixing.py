@@ -27,12 +27,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import without
+from .common import row_hash, without
 
 PARTS_DIGITS = 12
 PARTS = 1 << PARTS_DIGITS
 RESULTS = ("size", "source_size", "weight", "target", "copies", "finish", "epoch")
-INNER = ("_source", "_size", "_order", "_part")
+INNER = ("_source", "_size", "_order", "_part", "_tie")
 
 
 @dataclass(frozen=True)
@@ -83,6 +83,7 @@ def schedule(df: DataFrame, mix: Mix, key: str, source: str, size: Column) -> Da
         .withColumn("_source", marked)
         .withColumn("_order", F.xxhash64(F.lit(mix.seed), F.col(f"`{key}`")))
         .withColumn("_part", F.shiftrightunsigned("_order", 64 - PARTS_DIGITS))
+        .withColumn("_tie", row_hash(df))
     )
     rows = without(rows, *RESULTS)
     # A line per source and part, staged so that sizes are computed for it once.
@@ -97,7 +98,7 @@ def schedule(df: DataFrame, mix: Mix, key: str, source: str, size: Column) -> Da
     )
     inside = (
         Window.partitionBy("_source", "_part")
-        .orderBy("_order", f"`{key}`", "_size")
+        .orderBy("_order", f"`{key}`", "_size", "_tie")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     passes = F.array(*[F.lit(e) for e in range(mix.max_repeats)])
@@ -127,4 +128,4 @@ def mix_rows(df: DataFrame, mix: Mix, key: str, source: str, size: Column) -> Da
         *[F.col(f"`{c}`") for c in planned.columns if c != "finish"],
         F.posexplode("finish").alias("epoch", "finish"),
     )
-    return copies.orderBy("finish", f"`{key}`", "epoch")
+    return copies.orderBy("finish", f"`{key}`", "epoch", row_hash(df))

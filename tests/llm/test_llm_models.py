@@ -1,6 +1,7 @@
 """Classifier, sampled pieces, token counts and chat formatting."""
 
 import math
+import zlib
 from collections import Counter
 from itertools import product
 
@@ -248,11 +249,19 @@ def test_awkward_transcripts(spark):
 
 
 def test_chat_query_recovers_most_roles(spark):
-    got = QUERIES["op10_chat_format"](spark, SF)
-    source = spark.read.parquet(f"{SF}/conversations.parquet")
-    plain = Counter((r.conv_id, f"<|im_start|>{r.role}\n{r.text}<|im_end|>") for r in source.collect() if r.conv_id % 2 or True)
-    found = Counter((r.conv_id, r.rendered) for r in got.collect())
-    assert sum((plain & found).values()) / sum(plain.values()) > 0.75
+    """Of conversations that the model was not trained on, and there of turns without a marker."""
+    held_out = lambda key: zlib.crc32(str(key).encode()) % 5 == 0
+    got = [r for r in QUERIES["op10_chat_format"](spark, SF).collect() if held_out(r.conv_id)]
+    found = Counter((r.conv_id, r.rendered) for r in got)
+    bare = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(8)) == 0
+    source = spark.read.parquet(f"{SF}/conversations.parquet").withColumn("bare", bare)
+    shares = []
+    for unmarked in (False, True):
+        turns = [r for r in source.collect() if held_out(r.conv_id) and (r.bare or not unmarked)]
+        plain = Counter((r.conv_id, f"<|im_start|>{r.role}\n{r.text}<|im_end|>") for r in turns)
+        shares.append(sum((plain & found).values()) / sum(plain.values()))
+    print(f"recovered of held-out turns {shares[0]:.3f}, of those without a marker {shares[1]:.3f}")
+    assert shares[0] > 0.75 and shares[1] > 0.3
 
 
 @pytest.mark.parametrize("block", [1, 3, 1024])

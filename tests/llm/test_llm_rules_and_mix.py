@@ -98,6 +98,27 @@ def test_shards(spark, bucket_bytes):
     assert sharding.shuffle_records(documents(spark, []), shuffle).count() == 0
 
 
+def test_one_key_with_most_texts(spark):
+    """A key larger than a bucket is spread; records equal in key and text are told apart by the rest."""
+    rows = [(7, f"text number {i} " * 20, "en", "a", i) for i in range(400)]
+    rows += [(i, "short", "en", "a", i) for i in range(100, 150)] + [(8, "same", "en", str(i), i) for i in range(40)]
+    docs, shuffle = documents(spark, rows), sharding.Shuffle(4, 4 << 10)
+    got = sharding.shuffle_records(docs, shuffle).collect()
+    check_rows_law(got, len(rows), 4)
+    again = sharding.shuffle_records(documents(spark, rows[::-1]).repartition(7), shuffle).collect()
+    key = lambda r: (r.shard, r.slot, r.doc_id, r.text, r.source)
+    assert sorted(map(key, got)) == sorted(map(key, again))
+    assert [r._large for r in sharding.large_keys(docs, "doc_id", "text", 4 << 10).collect()] == [7]
+    neighbours = sorted((r.shard, r.slot, r.doc_id) for r in got)
+    assert sum(a[2] != b[2] for a, b in zip(neighbours, neighbours[1:], strict=False)) > 60
+
+
+def test_equal_sizes_keep_their_order_in_the_mix(spark):
+    rows = [(5, f"t{i}", "en", "a", i) for i in range(50)] + [(6, "t", "en", "b", 1)]
+    mix = lambda df: [tuple(r) for r in mixing.mix_rows(df, mixing.Mix(), "doc_id", "source", F.lit(3)).collect()]
+    assert mix(documents(spark, rows)) == mix(documents(spark, rows[::-1]).repartition(5))
+
+
 def test_shard_query(spark):
     source = {r.doc_id: r.text for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
     got = QUERIES["op3_sharding"](spark, SF_DIR).collect()
