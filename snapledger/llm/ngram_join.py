@@ -11,8 +11,10 @@ the words of its own band, and of the band above if partners may lie there, into
 by band, place and word, with the short forms of the next six words. Going round the words there is
 also a place after which the first t words differ in t bits at most, for every t; so equal keys whose
 next words' short forms differ in one, two, ... six bits at most are candidates, and their sets are
-compared. Of unrelated sets one pair in tens of millions passes that, so that next to no sets are
-shipped in vain.
+compared. Of unrelated sets one pair in tens of millions passes that. Sets that are somewhat alike pass
+more often, so every set has one more sketch, of the whole, some bits per shingle by which it may differ
+from a similar one. Many pairs are first joined to these, and refused by their distance. So next to no
+sets are shipped in vain.
 
 Words without a shingle are common to many unrelated sets. Their key also holds the next word,
 once as it is and once without each of its shingles; since next words differ in one shingle at
@@ -60,10 +62,11 @@ from .components import stars
 from .shingles import ODD, STEP, U, mix64, ranges, shingle_parts, signatures
 
 SEEN_SETS = 1 << 18
-STAR_ROUNDS = 4
+STAR_ROUNDS = 2
 PAIRS_PER_ROW = 16
 KEY_SETS = 1000
 ONE_TASK = 20_000
+SKETCH_WIDTH = 16  # bits of a whole set's sketch per shingle by which similar sets may differ
 # Bits of a word's short form, how many words' forms go with a key, and how many of them inside the key.
 FORM = 8
 NEXT_WORDS = 6
@@ -91,20 +94,53 @@ class Join:
         return (100 - self.percent) * 2 * largest // (100 + self.percent) + 1
 
 
-def digests(width: int, keep: tuple[str, ...] = ("_key",)):
-    """Task function: per row the columns to ``keep``, its shingle count and signature."""
+    def may_differ(self, sizes: int) -> int:
+        """By how many shingles two similar sets differ at most, given both sizes together."""
+        return (100 - self.percent) * sizes // (100 + self.percent)
+
+
+def whole_sketch(values: np.ndarray, join: Join) -> bytes:
+    """Parity sketch of a whole set, wide enough that few of its differences cancel out.
+
+    Widths are powers of two, so a sketch folds to the next smaller width by the XOR of its halves.
+    """
+    bits = 1 << max(6, (SKETCH_WIDTH * join.may_differ(2 * len(values))).bit_length())
+    places = (mix64(values ^ STEP) & U(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def distance(one: bytes, two: bytes) -> int:
+    """Hamming distance of two sketches, at the width of the narrower one."""
+    small, large = sorted((one, two), key=len)
+    value, bits = int.from_bytes(large, "little"), 8 * len(large)
+    while bits > 8 * len(small):
+        bits //= 2
+        value = (value & ((1 << bits) - 1)) ^ (value >> bits)
+    return (value ^ int.from_bytes(small, "little")).bit_count()
+
+
+def digests(join: Join, keep: tuple[str, ...] = ("_key",)):
+    """Task function: per row the columns to ``keep``, its shingle count, signature and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [(np.diff(b), *signatures(v, b)) for v, b in shingle_parts(batch.column("_text"), width)]
-            columns = [pa.array(np.concatenate(c), pa.int64()) for c in zip(*parts, strict=True)]
+            numbers, sketches = [], []
+            for v, b in shingle_parts(batch.column("_text"), join.width):
+                numbers.append((np.diff(b), *signatures(v, b)))
+                ends = b.tolist()
+                sketches += [whole_sketch(v[i:j], join) if j > i else None for i, j in zip(ends, ends[1:], strict=False)]
+            columns = [pa.array(np.concatenate(c), pa.int64()) for c in zip(*numbers, strict=True)]
             if columns:
                 kept = [batch.column(c) for c in keep]
-                yield pa.record_batch([*kept, *columns], names=[*keep, "n_shingles", "sig", "sig2"])
+                columns.append(pa.array(sketches, pa.binary()))
+                yield pa.record_batch([*kept, *columns], names=[*keep, "n_shingles", "sig", "sig2", "sketch"])
 
     return run
 
 
+DIGEST = "n_shingles long, sig long, sig2 long, sketch binary"
+
+
 def deleted(tokens: np.ndarray, errors: int) -> np.ndarray:
     """XOR of the tokens without any ``errors`` of them or fewer."""
     whole = np.bitwise_xor.reduce(tokens) if len(tokens) else U(0)
@@ -291,6 +327,32 @@ def fetch_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, join: Join
     return stage(rows.dropDuplicates(["sig"]), "sets")
 
 
+def refuse(pairs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
+    """The pairs (a, b) but for those whose whole sketches differ in more bits than their sets may in shingles.
+
+    A difference flips one bit, so the distance is at most the difference, and no similar pair goes. A
+    few pairs are left as they are, as their sets are soon compared.
+    """
+    if few_lines(pairs, ONE_TASK):
+        return pairs
+    sides = [classes.select(F.col("sig").alias(side), F.col("n").alias(f"{side}_n"), F.col("sketch").alias(f"{side}_sketch")) for side in "ab"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("a_n", "b_n", "a_sketch", "b_sketch")]
+            keep = [distance(x, y) <= join.may_differ(m + n) for m, n, x, y in zip(*columns, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "a_n", "b_n", "a_sketch", "b_sketch")
+    return stage(both.mapInArrow(run, "a long, b long"), "likely")
+
+
+def compare(docs: DataFrame, classes: DataFrame, pairs: DataFrame, join: Join) -> DataFrame:
+    """Those of the pairs (a, b) of classes whose sets are similar enough: by their sketches, then by the sets."""
+    likely = refuse(pairs, classes, join)
+    return verify(likely, fetch_sets(docs, classes, likely, join), join)
+
+
 def verify(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     """Those of the pairs (a, b) whose sets are similar enough; few of them in one task."""
     if few_lines(pairs, ONE_TASK):
@@ -354,14 +416,14 @@ def texts_of(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def digest_of(docs: DataFrame, join: Join) -> DataFrame:
-    schema = "_key long, n_shingles long, sig long, sig2 long"
-    return stage(docs.mapInArrow(digests(join.width), schema), "digests")
+    return stage(docs.mapInArrow(digests(join), f"_key long, {DIGEST}"), "digests")
 
 
 def classes_of(digest: DataFrame) -> DataFrame:
-    """(sig, sig2, n, rep, copies): every class of equal sets, its smallest key, and its rows."""
+    """(sig, sig2, n, rep, copies, sketch): every class of equal sets, its smallest key, and its rows."""
     groups = digest.where("n_shingles > 0").groupBy("sig", "sig2", F.col("n_shingles").alias("n"))
-    return stage(groups.agg(F.min("_key").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
+    found = groups.agg(F.min("_key").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"))
+    return stage(found, "classes")
 
 
 def find_shared(docs: DataFrame, join: Join) -> DataFrame:
@@ -399,7 +461,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
     """(a, b): every pair of classes whose sets are similar enough, once."""
     members = find_shared(docs, join).select("key", "sig", "next").distinct().join(classes.select("sig", "n"), "sig")
     pairs = stage(all_pairs(members.withColumn("root", F.col("sig")), join), "pairs")
-    return verify(pairs, fetch_sets(docs, classes, pairs, join), join)
+    return compare(docs, classes, pairs, join)
 
 
 def find_links(df: DataFrame, join: Join, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -436,11 +498,11 @@ def count_links(df: DataFrame, join: Join, key: str = "doc_id", text: str = "tex
 
 def find_classes(docs: DataFrame, digest: DataFrame, join: Join) -> DataFrame:
     """(sig, sig2, n, rep, root): every class of equal sets, its smallest key, and the name of its component."""
-    classes = classes_of(digest).drop("copies")
+    classes = classes_of(digest)
     shared = find_shared(docs, join)
     sizes = classes.select("sig", "n")
     tested = stage(first_pairs(shared, sizes, join), "pairs")
-    links = stage(verify(tested, fetch_sets(docs, classes, tested, join), join), "links")
+    links = stage(compare(docs, classes, tested, join), "links")
     roots = stage(stars(links), "roots")
     found = True
     for turn in range(1, STAR_ROUNDS + 2):
@@ -453,7 +515,7 @@ def find_classes(docs: DataFrame, digest: DataFrame, join: Join) -> DataFrame:
         last = turn > STAR_ROUNDS or not found or many["pairs"] <= PAIRS_PER_ROW * many["rows"]
         pairs = all_pairs(members, join) if last else star_pairs(members, join, turn)
         pairs = stage(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = stage(verify(pairs, fetch_sets(docs, classes, pairs, join), join), "more")
+        more = stage(compare(docs, classes, pairs, join), "more")
         found = not more.isEmpty()
         if found:
             joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
@@ -462,7 +524,7 @@ def find_classes(docs: DataFrame, digest: DataFrame, join: Join) -> DataFrame:
             break
         tested = stage(tested.unionByName(pairs), "tested")
     named = classes.join(roots, F.col("sig") == F.col("node"), "left")
-    return named.select(*classes.columns, F.coalesce("root", "sig").alias("root"))
+    return named.select("sig", "sig2", "n", "rep", F.coalesce("root", "sig").alias("root"))
 
 
 def find_components(df: DataFrame, join: Join, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -489,7 +551,7 @@ def one_of_each(df: DataFrame, join: Join, key: str = "doc_id", text: str = "tex
     docs = texts_of(df, key, text)
     tagged = docs.select("_key", *tags, "_text")
     digest = stage(
-        tagged.mapInArrow(digests(join.width, tuple(name)), "_key long, _tag long, _tag2 long, n_shingles long, sig long, sig2 long"),
+        tagged.mapInArrow(digests(join, tuple(name)), f"_key long, _tag long, _tag2 long, {DIGEST}"),
         "digests",
     )
     classes = find_classes(docs, digest, join).withColumnRenamed("n", "n_shingles").drop("rep")

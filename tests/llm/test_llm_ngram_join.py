@@ -76,7 +76,7 @@ def chains(seed):
 
 @pytest.mark.parametrize("seed", [0, 2])
 def test_chains_of_near_copies(spark, seed, monkeypatch):
-    monkeypatch.setattr(ngram_join, "ONE_TASK", 20_000 * (seed > 0))
+    monkeypatch.setattr(ngram_join, "ONE_TASK", 20_000 * (seed > 0))  # with 0, sketches refuse pairs
     monkeypatch.setattr(ngram_join, "STAR_ROUNDS", seed)  # with 0 rounds, all is left to the last step
     monkeypatch.setattr(ngram_join, "PAIRS_PER_ROW", 0)
     join = Join(3, 70)
@@ -214,6 +214,25 @@ def test_components_of_a_long_path(spark, one_task, monkeypatch):
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
 
 
+def test_sketches_of_whole_sets():
+    """Their distance is never above the difference, at any widths, and near it for similar sets."""
+    rng = np.random.default_rng(3)
+    join = Join(4, 85)
+    for size in (1, 2, 9, 60, 400, 5000):
+        for gone in {0, 1, size // 20, size // 6, size // 2, size}:
+            one = rng.integers(0, 2**63, size).astype(np.uint64)
+            two = np.append(one[gone:], rng.integers(0, 2**63, int(gone * rng.choice([0, 1, 3]))).astype(np.uint64))
+            if not len(two):
+                continue
+            apart = len(np.setxor1d(one, two))
+            found = ngram_join.distance(ngram_join.whole_sketch(one, join), ngram_join.whole_sketch(two, join))
+            assert found <= apart and (apart - found) % 2 == 0
+            if size >= 60 and gone <= size // 6:
+                assert found >= 0.75 * apart
+            similar = 100 * (len(one) + len(two) - apart) >= join.percent * (len(one) + len(two) + apart)
+            assert (apart <= join.may_differ(len(one) + len(two))) == similar
+
+
 def test_keys_of_many_sets(spark, monkeypatch):
     """Sets that share nothing but one passage, some of them near copies, with every key cut into groups."""
     monkeypatch.setattr(ngram_join, "KEY_SETS", 1)
