@@ -21,6 +21,8 @@ from ..schemas import MANIFEST, SIGNATURE, SNAPSHOT_LOG
 IN_PROGRESS = "in_progress"
 COMPLETE = "complete"
 DELETED = "deleted"
+# Few by default, since each snapshot has a file per bucket and summary.
+BUCKETS = 8
 COMMIT_TRIES = 20
 COMMIT_WAIT = 0.1
 
@@ -99,10 +101,9 @@ class Repository:
         self.path = path.rstrip("/")
         self.buckets: int | None = None
         if create and not self._exists("log"):
-            number = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
             stored = T.StructType([*MANIFEST.fields, T.StructField("generation", T.LongType())])
             self._empty(stored).write.mode("ignore").partitionBy(*PARTITIONS).parquet(f"{self.path}/manifest")
-            self._create("buckets", str(number))
+            self._create("buckets", str(buckets or BUCKETS))
             place, files = self._folder(f"{self.path}/log")
             files.mkdirs(place)
 

@@ -415,7 +415,7 @@ def plan_of(df):
 def test_long_runs_do_not_shuffle_what_is_stored(spark, tmp_path, monkeypatch):
     """Lookups in a repository with as many buckets as shuffle partitions: only the run's rows move."""
     monkeypatch.setattr(skew, "BROADCAST_ROWS", 0)
-    repo = Repository(spark, str(tmp_path / "repo"), create=True)
+    repo = Repository(spark, str(tmp_path / "repo"), create=True, buckets=2)
     repo.write(rows_of(spark, ["s1", "s2"]), repo.begin(["s1", "s2"], create=True))
     files = spark.createDataFrame(rows_of(spark, ["s9"], 50).drop("hash", "blob_id").collect(), "snapshot string, source string, size long, mtime_ns long, file string")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
