@@ -13,8 +13,8 @@ also a place after which the first t words differ in t bits at most, for every t
 next words' short forms differ in one, two, ... six bits at most are candidates, and their sets are
 compared. Of unrelated sets one pair in tens of millions passes that. Sets that are somewhat alike pass
 more often, so every set has one more sketch, of the whole, some bits per shingle by which it may differ
-from a similar one. Many pairs are first joined to these, and refused by their distance. So next to no
-sets are shipped in vain.
+from a similar one. The distance of these is part of the last join's condition, and many pairs of earlier
+turns are joined to them as well. So next to no sets are shipped in vain.
 
 Words without a shingle are common to many unrelated sets. Their key also holds the next word,
 once as it is and once without each of its shingles; since next words differ in one shingle at
@@ -67,6 +67,7 @@ PAIRS_PER_ROW = 16
 KEY_SETS = 1000
 ONE_TASK = 20_000
 SKETCH_WIDTH = 16  # bits of a whole set's sketch per shingle by which similar sets may differ
+SKETCH_WORDS = 32  # 64-bit words of a sketch that goes with every key of its set
 # Bits of a word's short form, how many words' forms go with a key, and how many of them inside the key.
 FORM = 8
 NEXT_WORDS = 6
@@ -99,24 +100,14 @@ class Join:
         return (100 - self.percent) * sizes // (100 + self.percent)
 
 
-def whole_sketch(values: np.ndarray, join: Join) -> bytes:
-    """Parity sketch of a whole set, wide enough that few of its differences cancel out.
+def whole_sketch(values: np.ndarray, join: Join) -> np.ndarray:
+    """Parity sketch of a whole set in 64-bit words, wide enough that few of its differences cancel out.
 
     Widths are powers of two, so a sketch folds to the next smaller width by the XOR of its halves.
     """
     bits = 1 << max(6, (SKETCH_WIDTH * join.may_differ(2 * len(values))).bit_length())
     places = (mix64(values ^ STEP) & U(bits - 1)).astype(np.int64)
-    return np.packbits((np.bincount(places, minlength=bits) & 1).astype(np.uint8)).tobytes()
-
-
-def distance(one: bytes, two: bytes) -> int:
-    """Hamming distance of two sketches, at the width of the narrower one."""
-    small, large = sorted((one, two), key=len)
-    value, bits = int.from_bytes(large, "little"), 8 * len(large)
-    while bits > 8 * len(small):
-        bits //= 2
-        value = (value & ((1 << bits) - 1)) ^ (value >> bits)
-    return (value ^ int.from_bytes(small, "little")).bit_count()
+    return np.packbits((np.bincount(places, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
 
 def digests(join: Join, keep: tuple[str, ...] = ("_key",)):
@@ -132,13 +123,13 @@ def digests(join: Join, keep: tuple[str, ...] = ("_key",)):
             columns = [pa.array(np.concatenate(c), pa.int64()) for c in zip(*numbers, strict=True)]
             if columns:
                 kept = [batch.column(c) for c in keep]
-                columns.append(pa.array(sketches, pa.binary()))
+                columns.append(pa.array(sketches, pa.list_(pa.int64())))
                 yield pa.record_batch([*kept, *columns], names=[*keep, "n_shingles", "sig", "sig2", "sketch"])
 
     return run
 
 
-DIGEST = "n_shingles long, sig long, sig2 long, sketch binary"
+DIGEST = "n_shingles long, sig long, sig2 long, sketch array<bigint>"
 
 
 def deleted(tokens: np.ndarray, errors: int) -> np.ndarray:
@@ -327,24 +318,46 @@ def fetch_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, join: Join
     return stage(rows.dropDuplicates(["sig"]), "sets")
 
 
+def sketches_fit(join: Join, one: str, two: str) -> Column:
+    """Whether two whole sketches differ in no more bits than the sets may in shingles.
+
+    ``one`` and ``two`` are prefixes of the columns ``n`` and ``sketch``. A difference flips one bit, so
+    the distance is at most the difference, and no similar pair is refused. Similar sizes have sketches
+    of one width, or of one and its double, which is folded.
+    """
+    a, b = F.col(f"{one}_sketch"), F.col(f"{two}_sketch")
+    xor = lambda x, y: F.zip_with(x, y, lambda p, q: p.bitwiseXOR(q))
+    half = lambda x: (F.size(x) / 2).cast("int")
+    fold = lambda x: xor(F.slice(x, F.lit(1), half(x)), F.slice(x, half(x) + 1, half(x)))
+    differ = (
+        F.when(F.size(a) == F.size(b), xor(a, b))
+        .when(F.size(a) == 2 * F.size(b), xor(fold(a), b))
+        .when(2 * F.size(a) == F.size(b), xor(a, fold(b)))
+    )
+    distance = F.aggregate(differ, F.lit(0), lambda total, word: total + F.bit_count(word))
+    most = F.floor((F.col(f"{one}_n") + F.col(f"{two}_n")) * (100 - join.percent) / (100 + join.percent))
+    return F.coalesce(distance <= most, F.lit(True))
+
+
+def narrow_sketches(classes: DataFrame) -> DataFrame:
+    """(sig, sketch): null for large sets, whose many keys would each carry a long sketch.
+
+    Pairs of these are compared by their sketches afterwards, in ``refuse``.
+    """
+    return classes.select("sig", F.when(F.size("sketch") <= SKETCH_WORDS, F.col("sketch")).alias("sketch"))
+
+
 def refuse(pairs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
-    """The pairs (a, b) but for those whose whole sketches differ in more bits than their sets may in shingles.
+    """The pairs (a, b) but for those that their whole sketches rule out.
 
-    A difference flips one bit, so the distance is at most the difference, and no similar pair goes. A
-    few pairs are left as they are, as their sets are soon compared.
+    A few pairs are left as they are, as their sets are soon compared.
     """
     if few_lines(pairs, ONE_TASK):
         return pairs
-    sides = [classes.select(F.col("sig").alias(side), F.col("n").alias(f"{side}_n"), F.col("sketch").alias(f"{side}_sketch")) for side in "ab"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("a_n", "b_n", "a_sketch", "b_sketch")]
-            keep = [distance(x, y) <= join.may_differ(m + n) for m, n, x, y in zip(*columns, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "a_n", "b_n", "a_sketch", "b_sketch")
-    return stage(both.mapInArrow(run, "a long, b long"), "likely")
+    for side in "ab":
+        own = classes.select(F.col("sig").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n", "sketch")])
+        pairs = pairs.join(own, side)
+    return stage(pairs.where(sketches_fit(join, "a", "b")).select("a", "b"), "likely")
 
 
 def compare(docs: DataFrame, classes: DataFrame, pairs: DataFrame, join: Join) -> DataFrame:
@@ -394,8 +407,11 @@ def star_pairs(members: DataFrame, join: Join, turn: int) -> DataFrame:
 
 
 def fitting(both: DataFrame, join: Join) -> DataFrame:
-    """The distinct pairs (a, b) whose short forms and sizes allow the similarity."""
-    fit = both.where(near_words("a_next", "b_next") & sizes_fit(join, "a_n", "b_n"))
+    """The distinct pairs (a, b) whose short forms, sizes and, where given, sketches allow the similarity."""
+    fit = near_words("a_next", "b_next") & sizes_fit(join, "a_n", "b_n")
+    if "a_sketch" in both.columns:
+        fit = fit & sketches_fit(join, "a", "b")
+    fit = both.where(fit)
     return fit.select(F.least("a_sig", "b_sig").alias("a"), F.greatest("a_sig", "b_sig").alias("b")).distinct()
 
 
@@ -433,12 +449,13 @@ def find_shared(docs: DataFrame, join: Join) -> DataFrame:
 
 
 def all_pairs(members: DataFrame, join: Join) -> DataFrame:
-    """All pairs of sets (key, sig, next, n, root) that share a key and no root, in groups of bounded size.
+    """All pairs of sets (key, sig, next, n, root, sketch) that share a key and no root, in groups of bounded size.
 
     A key of more than ``KEY_SETS`` sets is cut by the short form of the next word: a set stands in the
     group of its own form as one side of a pair, and in the groups of all forms that differ in one bit
     at most as the other side. The sets of a key are also dealt into parts, and a group is a pair of
-    parts. Every pair is found in one group at least, whatever the sizes.
+    parts. Every pair is found in one group at least, whatever the sizes. The join itself compares sketches,
+    so of a group of sets that are not similar enough next to no pair comes out of it.
     """
     counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
     form = F.col("next").bitwiseAND((1 << FORM) - 1)
@@ -449,7 +466,7 @@ def all_pairs(members: DataFrame, join: Join) -> DataFrame:
         .withColumn("form", F.when(F.col("c") > KEY_SETS, form).otherwise(-1))
     )
     others = F.array(*[F.col("form").bitwiseXOR(F.lit(bit)) for bit in [0, *[1 << b for b in range(FORM)]]])
-    side = lambda name: [F.col(c).alias(f"{name}_{c}") for c in ("sig", "next", "n", "root")]
+    side = lambda name: [F.col(c).alias(f"{name}_{c}") for c in ("sig", "next", "n", "root", "sketch")]
     one = dealt.select("key", "form", F.col("part").alias("low"), F.explode(F.expr("sequence(part, parts - 1)")).alias("high"), *side("a"))
     two = dealt.select("key", "part", F.explode(F.when(F.col("form") < 0, F.array("form")).otherwise(others)).alias("form"), *side("b"))
     two = two.withColumn("high", F.col("part")).withColumn("low", F.explode(F.expr("sequence(0, part)")))
@@ -460,6 +477,7 @@ def all_pairs(members: DataFrame, join: Join) -> DataFrame:
 def link_classes(docs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
     """(a, b): every pair of classes whose sets are similar enough, once."""
     members = find_shared(docs, join).select("key", "sig", "next").distinct().join(classes.select("sig", "n"), "sig")
+    members = members.join(narrow_sketches(classes), "sig")
     pairs = stage(all_pairs(members.withColumn("root", F.col("sig")), join), "pairs")
     return compare(docs, classes, pairs, join)
 
@@ -513,7 +531,10 @@ def find_classes(docs: DataFrame, digest: DataFrame, join: Join) -> DataFrame:
             break
         # Where stars find nothing more, or pairs are few, all pairs are taken and it ends.
         last = turn > STAR_ROUNDS or not found or many["pairs"] <= PAIRS_PER_ROW * many["rows"]
-        pairs = all_pairs(members, join) if last else star_pairs(members, join, turn)
+        if last:
+            pairs = all_pairs(members.join(narrow_sketches(classes), "sig"), join)
+        else:
+            pairs = star_pairs(members, join, turn)
         pairs = stage(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         more = stage(compare(docs, classes, pairs, join), "more")
         found = not more.isEmpty()

@@ -214,23 +214,30 @@ def test_components_of_a_long_path(spark, one_task, monkeypatch):
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
 
 
-def test_sketches_of_whole_sets():
+def test_sketches_of_whole_sets(spark):
     """Their distance is never above the difference, at any widths, and near it for similar sets."""
     rng = np.random.default_rng(3)
-    join = Join(4, 85)
-    for size in (1, 2, 9, 60, 400, 5000):
+    join, rows = Join(4, 85), []
+    for size in (1, 2, 9, 60, 100, 400, 5000):
         for gone in {0, 1, size // 20, size // 6, size // 2, size}:
             one = rng.integers(0, 2**63, size).astype(np.uint64)
             two = np.append(one[gone:], rng.integers(0, 2**63, int(gone * rng.choice([0, 1, 3]))).astype(np.uint64))
             if not len(two):
                 continue
             apart = len(np.setxor1d(one, two))
-            found = ngram_join.distance(ngram_join.whole_sketch(one, join), ngram_join.whole_sketch(two, join))
-            assert found <= apart and (apart - found) % 2 == 0
-            if size >= 60 and gone <= size // 6:
-                assert found >= 0.75 * apart
+            sketches = [ngram_join.whole_sketch(x, join) for x in (one, two)]
+            if 100 * min(len(one), len(two)) < 85 * max(len(one), len(two)):
+                continue  # sizes alone rule these out
+            assert max(map(len, sketches)) <= 2 * min(map(len, sketches))
             similar = 100 * (len(one) + len(two) - apart) >= join.percent * (len(one) + len(two) + apart)
             assert (apart <= join.may_differ(len(one) + len(two))) == similar
+            rows.append((len(one), len(two), *[x.tolist() for x in sketches], apart, similar))
+    frame = spark.createDataFrame(rows, "a_n long, b_n long, a_sketch array<bigint>, b_sketch array<bigint>, apart long, similar boolean")
+    got = frame.withColumn("fit", ngram_join.sketches_fit(join, "a", "b")).collect()
+    assert all(r.fit for r in got if r.similar) and sum(r.similar for r in got) > 10
+    assert len({len(r.a_sketch) == len(r.b_sketch) for r in got}) == 2
+    wide = [r for r in got if r.a_n >= 60 and r.apart > 1.4 * join.may_differ(r.a_n + r.b_n)]
+    assert wide and not any(r.fit for r in wide)
 
 
 def test_keys_of_many_sets(spark, monkeypatch):
