@@ -1,12 +1,18 @@
 """Main text of web pages by a site style tree.
 
-Pages are parsed into blocks of text, each with the path of elements above it. Pages of one host are
-merged into a tree: a node is a path, its contents are the texts of its blocks. Importance follows
-the published measure. There a branch goes if it and all below it are unimportant, so whether a text
-goes is up to its leaf, and a leaf counts by how unevenly its texts are spread over the host's pages:
-one minus the entropy of every text over the pages, weighted by how often it occurs. The styles of
-inner nodes, which hold no text, decide no text. Leaves below ``MIN_IMPORTANCE`` go, at every size of
-the host. A host of one page has no evidence and keeps all.
+Pages are parsed into blocks of text, each with its place among the elements above it. Pages of one
+host are merged into a style tree: below an element stand its styles, the sequences of child elements
+it has on some page, and below a style its elements, each a node of its own. So a menu and a text in
+elements of one name are told apart by their places in the style of what holds them. The contents of
+a node are the texts of its blocks. Importance follows the published measure. There a branch goes if
+it and all below it are unimportant, so whether a text goes is up to its leaf, and a leaf counts by
+how unevenly its texts are spread over the host's pages: one minus the entropy of every text over the
+pages, weighted by how often it occurs. Presentation entropy is the measure of nodes with styles, which
+hold no text of their own: it says which branch a leaf goes with, not whether it goes. Leaves below
+``MIN_IMPORTANCE`` go, at every size of the host. A host of one page has no evidence and keeps all.
+
+Styles that differ from page to page leave a node few pages. So a leaf is judged a second time with
+all styles merged, where a node is the path of names, and goes if either says so.
 
 Some nodes declare what they are. Elements, roles and class names for menus, adverts, forms and the
 like have importance 0. A name alone, unlike an element, can mislead: ``has-sidebar`` names a state and
@@ -122,10 +128,10 @@ def declared(tag: str, attributes: str) -> tuple[int, str, bool]:
     return NOISE if noise or named else kind, name, named and not noise
 
 
-def read_blocks(page: str) -> list[tuple[str, int, str, str]]:
-    """(path, kind, style, text) of every block outside declared boilerplate.
+def read_blocks(page: str) -> list[tuple[str, int, int, str]]:
+    """(path, kind, style node, text) of every block outside declared boilerplate.
 
-    The style is the sequence of child elements of the block's container. A page whose articles all
+    The style node is the place of the block's container in the style tree. A page whose articles all
     lie in elements that are boilerplate by their names, or are such themselves, is read again without
     believing these names.
     """
@@ -133,7 +139,7 @@ def read_blocks(page: str) -> list[tuple[str, int, str, str]]:
     return read_once(page, doubted)[0] if doubted else blocks
 
 
-def read_once(page: str, trusted: frozenset[int]) -> tuple[list[tuple[str, int, str, str]], frozenset[int]]:
+def read_once(page: str, trusted: frozenset[int]) -> tuple[list[tuple[str, int, int, str]], frozenset[int]]:
     """Blocks of a page, and the elements, by number, whose names hide all its articles from view.
 
     Elements in ``trusted`` are not boilerplate by their names.
@@ -143,7 +149,9 @@ def read_once(page: str, trusted: frozenset[int]) -> tuple[list[tuple[str, int,
     seen_article = False
     stack: list[tuple[str, int, str]] = []  # tag, kind, name
     children: list[list[str]] = [[]]
-    blocks: list[tuple[str, int, list[str], str]] = []
+    elements: list[tuple[int, list[str], int]] = []  # the element above, its children, place among them
+    holders = [-1]  # the open elements
+    blocks: list[tuple[str, int, int, str]] = []
     held: list[str] = []
     noise = content = 0
 
@@ -152,14 +160,14 @@ def read_once(page: str, trusted: frozenset[int]) -> tuple[list[tuple[str, int,
             if not noise:
                 text = " ".join(unescape("".join(held)).split())
                 if text:
-                    inside = children[-2] if len(children) > 1 else children[-1]
-                    blocks.append(("/".join(s[2] for s in stack), CONTENT if content else PLAIN, inside, text))
+                    blocks.append(("/".join(s[2] for s in stack), CONTENT if content else PLAIN, holders[-1], text))
             held.clear()
 
     def pop() -> None:
         nonlocal noise, content
         _, kind, _ = stack.pop()
         children.pop()
+        holders.pop()
         noise -= kind == NOISE
         if kind == NOISE:
             named_open.pop()
@@ -233,14 +241,31 @@ def read_once(page: str, trusted: frozenset[int]) -> tuple[list[tuple[str, int,
         stack.append((tag, kind, name))
         if kind == NOISE:
             named_open.append(number if by_name else -1)
+        elements.append((holders[-1], children[-1], len(children[-1]) - 1))
+        holders.append(len(elements) - 1)
         children.append([])
         noise += kind == NOISE
         content += kind == CONTENT
     flush()
-    found = [(path, kind, " ".join(inside), text) for path, kind, inside, text in blocks]
+    nodes = style_nodes(elements)
+    found = [(path, kind, nodes[holder], text) for path, kind, holder, text in blocks]
     return found, frozenset() if seen_article else frozenset(hiding)
 
 
+def style_nodes(elements: list[tuple[int, list[str], int]]) -> list[int]:
+    """The node of every element in the style tree; the last one is that of the page.
+
+    A node follows from the node above, that node's style and the place in it.
+    """
+    styles: dict[int, int] = {}
+    nodes = [0] * (len(elements) + 1)
+    for at, (above, siblings, place) in enumerate(elements):
+        if id(siblings) not in styles:  # hashed once, however long
+            styles[id(siblings)] = node_of(" ".join(siblings))
+        nodes[at] = node_of(f"{nodes[above]} {styles[id(siblings)]} {place}")
+    return nodes
+
+
 def skip_inline(page: str, at: int, tag: str) -> int:
     """The place after the end of an inline element of boilerplate, or ``at`` if it has none."""
     depth = 1
@@ -251,7 +276,7 @@ def skip_inline(page: str, at: int, tag: str) -> int:
     return at
 
 
-PARSED = "page_id long, url string, site long, blocks array<struct<node:long,kind:int,text:string>>"
+PARSED = "page_id long, url string, site long, blocks array<struct<node:long,style:long,kind:int,text:string>>"
 
 
 def node_of(path: str) -> int:
@@ -259,11 +284,12 @@ def node_of(path: str) -> int:
 
 
 def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("node", pa.int64()), ("kind", pa.int32()), ("text", pa.string())]))
+    kind = pa.list_(pa.struct([("node", pa.int64()), ("style", pa.int64()), ("kind", pa.int32()), ("text", pa.string())]))
     for batch in batches:
         rows = []
         for page in batch.column("html"):
-            rows.append([{"node": node_of(p), "kind": k, "text": t} for p, k, _, t in read_blocks(page.as_py() or "")])
+            blocks = read_blocks(page.as_py() or "")
+            rows.append([{"node": node_of(p), "style": s, "kind": k, "text": t} for p, k, s, t in blocks])
         yield pa.RecordBatch.from_arrays(
             [*[batch.column(c) for c in ("page_id", "url", "site")], pa.array(rows, kind)],
             names=["page_id", "url", "site", "blocks"],
@@ -307,10 +333,11 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def evidence(kind: int) -> DataFrame:
         own = parsed.select("site", of_kind(kind).alias("own")).where(F.size("own") > 0)
-        hashed = own.select("site", F.transform("own", lambda b: F.struct(b["node"].alias("node"), F.xxhash64(b["text"]).alias("text"))).alias("own"))
+        nodes = lambda b: F.array(b["node"], b["style"])
+        hashed = own.select("site", F.transform("own", lambda b: F.struct(nodes(b).alias("nodes"), F.xxhash64(b["text"]).alias("text"))).alias("own"))
         signature = F.xxhash64(F.transform("own", lambda b: b["text"]))
         placed = hashed.select("site", F.lit(kind).alias("kind"), signature.alias("signature"), F.posexplode("own").alias("at", "b"))
-        return placed.select("site", "kind", "signature", "at", "b.node", "b.text")
+        return placed.select("site", "kind", "signature", "at", F.explode("b.nodes").alias("node"), "b.text")
 
     # A low branch is on many pages of its site, so a site has no more of them than some pages have blocks.
     low = low_nodes(evidence(PLAIN).unionByName(evidence(CONTENT))).groupBy("site", "kind").agg(F.collect_set("node").alias("low"))
@@ -324,7 +351,7 @@ def extract(pages: DataFrame) -> DataFrame:
         judged = attach(judged.withColumn("tie", F.xxhash64("page_id", "url")), low, ["site", "kind"], ["tie"], "size")
     own = judged.select("page_id", "url", "kind", "low", F.filter("blocks", lambda b: b["kind"] == F.col("kind")).alias("own"))
     bad = F.coalesce("low", F.array().cast("array<bigint>"))
-    kept = F.filter("own", lambda b: ~F.array_contains(bad, b["node"]))
+    kept = F.filter("own", lambda b: ~(F.array_contains(bad, b["node"]) | F.array_contains(bad, b["style"])))
     # Whatever declares itself the article is never lost as a whole.
     kept = F.when((F.size(kept) == 0) & (F.col("kind") == CONTENT), F.col("own")).otherwise(kept)
     return own.select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias("text"))

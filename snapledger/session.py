@@ -36,9 +36,9 @@ def stage(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     Used where a result is read more than once and is dear to compute (content hashing, a join of
     two large tables): later steps scan only the columns they need, the planner sees true sizes,
     and a lost executor costs a re-read instead of a recomputation. ``by`` names columns, of few values,
-    whose parts are to be read by themselves.
+    whose parts are to be read by themselves. Compressed closely, as the folder counts as scratch disk.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.partitionBy(*(by or [])).parquet(path)
+    df.write.partitionBy(*(by or [])).parquet(path, compression="zstd")
     return spark.read.schema(df.schema).parquet(path)

@@ -72,6 +72,27 @@ def test_sites_lose_what_they_repeat(spark):
     assert extract(spark, []) == {}
 
 
+def test_styles_tell_elements_of_one_name_apart(spark):
+    """A menu and texts in elements of one name: merged by their paths, the texts would keep the menu."""
+    story = lambda i: f"<div>Story {i} begins.</div><div>It goes on {i}.</div>"
+    rows = [(i, "http://s.example/", f"<div><div>Home Terms Help</div>{story(i)}</div>") for i in range(20)]
+    rows += [(100 + i, "http://t.example/", f"<article><p>Rules of the house</p><p>Text {i}</p><p>More {i}</p></article>") for i in range(20)]
+    # As many styles as pages: there is no evidence by place, and by path half of the texts are unique.
+    rows += [(200 + i, "http://u.example/", f"<div>Home</div><div>Story {i}</div>{'<ul></ul>' * i}") for i in range(20)]
+    got = extract(spark, rows)
+    assert all(got[i] == f"Story {i} begins.\nIt goes on {i}." for i in range(20))
+    assert all(got[100 + i] == f"Text {i}\nMore {i}" for i in range(20))
+    assert all(got[200 + i] == f"Home\nStory {i}" for i in range(20))
+
+
+def test_style_nodes_of_a_page():
+    of = lambda page: {b[3]: b[2] for b in style_tree.read_blocks(page)}
+    one, two = of("<div>a</div><div>b</div><ul><li>c</ul>"), of("<div>a</div><div>x</div><ul><li>c</ul>")
+    assert one["a"] != one["b"] and one["a"] == two["a"] and one["b"] == two["x"] and one["c"] == two["c"]
+    assert of("<div>a</div><p>b")["a"] != one["a"], "another style of the same element"
+    assert len(set(of("".join(f"<p>{i}</p>" for i in range(20_000))).values())) == 20_000
+
+
 def test_repeated_parts_of_articles_go(spark):
     box = "<div class=box><p>Written by our own team, see the rules of the house</p></div>"
     rows = [(i, "https://s.example/", f"<div>out {i}</div><article><h1>T {i}</h1><p>Story {i}.</p>{box}</article>") for i in range(12)]
