@@ -16,7 +16,8 @@ the vocabulary's space mark and one is put before each text; the mark itself, wh
 becomes byte pieces. Decoding joins the pieces' bytes and takes the first space off again, so it
 gives back exactly the text.
 
-Memory holds one batch of ``BATCH_BYTES`` of text at a time, a longer text alone.
+Memory holds the arrays of ``BATCH_BYTES`` of text at a time, in both directions, a longer text alone.
+They are many times as large, and an executor runs two workers per task, one each way.
 
 Defined results: a null text has null pieces and decodes to null; an empty text has none and decodes
 to the empty text; null keys count as key 0; repeated rows are cut alike; an empty table gives an
@@ -36,10 +37,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import modest_batches, spare, without
-from .shingles import ODD, STEP, U, mix64, powers, ranges, text_parts
+from .shingles import ODD, STEP, U, mix64, powers, ranges, segment_sums, text_parts
 
 SHIFT = 10
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 19
 BYTE_WEIGHT = -25.0
 MARK = "▁"
 SPACE = 0x20
@@ -292,6 +293,42 @@ def list_column(parts: list[tuple[np.ndarray, np.ndarray]], null: np.ndarray) ->
     return pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(np.concatenate(values)), mask=mask)
 
 
+def encode_column(trie: Trie, pieces: Pieces, column: pa.Array, keys: np.ndarray) -> pa.Array:
+    """The pieces of every text of a column, part by part."""
+    parts = [
+        encode_part(trie, pieces, data, bounds, keys[first : first + len(bounds) - 1])
+        for data, bounds, first in text_parts(column, BATCH_BYTES)
+    ]
+    return list_column(parts, column.is_null().to_numpy(zero_copy_only=False))
+
+
+def decode_column(trie: Trie, lists: pa.Array) -> pa.Array:
+    """The text that every list of pieces of a column stands for, part by part."""
+    bounds = np.asarray(lists.offsets).astype(np.int64)
+    ids = lists.values.to_numpy(zero_copy_only=False)[bounds[0] : bounds[-1]]
+    bounds = bounds - bounds[0]
+    before = np.append(0, np.cumsum(segment_sums(trie.lengths[ids], bounds)))
+    parts, first = [np.zeros(0, np.uint8)], 0
+    while first < len(lists):
+        end = int(np.searchsorted(before, before[first] + BATCH_BYTES))
+        end = min(max(end, first + 1), len(lists))
+        own = ids[bounds[first] : bounds[end]]
+        data = trie.content[ranges(trie.begins[own], trie.lengths[own])]
+        keep = np.ones(len(data), dtype=bool)
+        full = before[first:end] < before[first + 1 : end + 1]
+        keep[before[first:end][full] - before[first]] = False
+        parts.append(data[keep])
+        first = end
+    ends = np.append(0, np.cumsum(np.maximum(np.diff(before) - 1, 0)))
+    raw = pa.LargeStringArray.from_buffers(len(lists), pa.py_buffer(ends), pa.py_buffer(np.concatenate(parts)))
+    texts = raw.cast(pa.string())
+    if lists.null_count:
+        import pyarrow.compute as pc
+
+        texts = pc.if_else(lists.is_valid(), texts, pa.scalar(None, pa.string()))
+    return texts
+
+
 def encode(df: DataFrame, pieces: Pieces, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with ``pieces``, the sampled piece numbers of every text."""
     df = without(df, "pieces")
@@ -304,14 +341,8 @@ def encode(df: DataFrame, pieces: Pieces, key: str = "doc_id", text: str = "text
         for batch in batches:
             keys = batch.column(order).to_numpy(zero_copy_only=False)
             column = batch.column(text)
-            parts = [
-                encode_part(trie, pieces, data, bounds, keys[first : first + len(bounds) - 1])
-                for data, bounds, first in text_parts(column, BATCH_BYTES)
-            ]
-            null = column.is_null().to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(n) for n in names], list_column(parts, null)], names=[*names, "pieces"]
-            )
+            found = encode_column(trie, pieces, column, keys)
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], found], names=[*names, "pieces"])
 
     number = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(0).cast("long"))
     return modest_batches(df).withColumn(order, number).mapInArrow(run, schema)
@@ -326,23 +357,7 @@ def decode(df: DataFrame, pieces: Pieces, column: str = "pieces", result: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = load(pieces)
         for batch in batches:
-            lists = batch.column(column)
-            bounds = np.asarray(lists.offsets).astype(np.int64)
-            ids = lists.values.to_numpy(zero_copy_only=False)[bounds[0] : bounds[-1]].astype(np.int64)
-            bounds = bounds - bounds[0]
-            length = trie.lengths[ids]
-            before = np.append(0, np.cumsum(length))[bounds]
-            data = trie.content[ranges(trie.begins[ids], length)]
-            keep = np.ones(len(data), dtype=bool)
-            keep[before[:-1][before[1:] > before[:-1]]] = False
-            ends = np.append(0, np.cumsum(np.maximum(np.diff(before) - 1, 0)))
-            data = np.ascontiguousarray(data[keep])
-            raw = pa.LargeStringArray.from_buffers(len(lists), pa.py_buffer(ends), pa.py_buffer(data))
-            texts = raw.cast(pa.string())
-            if lists.null_count:
-                import pyarrow.compute as pc
-
-                texts = pc.if_else(lists.is_valid(), texts, pa.scalar(None, pa.string()))
+            texts = decode_column(trie, batch.column(column))
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], texts], names=[*names, result])
 
     return modest_batches(df).mapInArrow(run, schema)

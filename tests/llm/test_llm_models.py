@@ -1,6 +1,7 @@
 """Classifier, sampled pieces, token counts and chat formatting."""
 
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 from itertools import product
@@ -131,6 +132,28 @@ def test_pieces_in_one_go_or_in_parts(pieces, monkeypatch):
     assert whole == list(cut(pieces, texts, 8))
 
 
+def test_memory_of_pieces_follows_parts_not_batches(pieces):
+    """Arrays of a batch of 1000 texts, each way, stay near those of one part."""
+    rng = np.random.default_rng(5)
+    words = [bytes(rng.integers(97, 123, n).tolist()).decode() for n in rng.integers(2, 9, 2000)]
+    texts = [" ".join(rng.choice(words, 600)) for _ in range(998)] + [None, ""]
+    trie, column = sampled_pieces.load(pieces), pa.array(texts)
+    peaks = []
+
+    def measured(function, *args):
+        tracemalloc.start()
+        found = function(*args)
+        peaks.append(tracemalloc.get_traced_memory()[1] - found.nbytes)
+        tracemalloc.stop()
+        return found
+
+    lists = measured(sampled_pieces.encode_column, trie, pieces, column, np.arange(1000))
+    decoded = measured(sampled_pieces.decode_column, trie, lists)
+    assert decoded.to_pylist() == texts and column.nbytes > 6 * sampled_pieces.BATCH_BYTES
+    assert sampled_pieces.decode_column(trie, lists.slice(7, 991)).to_pylist() == texts[7:998]
+    assert max(peaks) < 40 << 20, peaks
+
+
 def cut(pieces, texts, size):
     trie, keys = sampled_pieces.load(pieces), np.arange(len(texts))
     for data, bounds, first in sampled_pieces.text_parts(pa.array(texts), size):
