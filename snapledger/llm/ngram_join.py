@@ -33,7 +33,10 @@ into parts that are paired with each other, so that no task holds a whole key.
 Links themselves, pairs of classes and their number per row, are of another size than components:
 ``find_links`` and ``count_links`` compare every pair of classes that share a key.
 
-Memory: keys are read in sorted order and only the current group's first line is held. Sets of
+Keys that a few hundred sets share are read apart by these short forms at once, so sets that
+have only a common passage don't stay together to the next turns.
+
+Memory: keys are read in sorted order; a few hundred lines of the current group are held, or its first one. Sets of
 candidates are shuffled in pairs; those of at most ``ONE_TASK`` pairs are compared in one task. Nothing is gathered on the driver but counts.
 
 Defined results: a null or blank text has no shingles, is its own component, and has size 0; a text
@@ -65,6 +68,8 @@ SEEN_SETS = 1 << 18
 STAR_ROUNDS = 2
 PAIRS_PER_ROW = 16
 KEY_SETS = 1000
+NEAR_SETS = 256  # lines of a key that are compared with each other where keys are read
+PART_LINES = 1 << 14
 ONE_TASK = 20_000
 SKETCH_WIDTH = 16  # bits of a whole set's sketch per shingle by which similar sets may differ
 SKETCH_WORDS = 32  # 64-bit words of a sketch that goes with every key of its set
@@ -233,45 +238,106 @@ def key_rows(join: Join):
     return run
 
 
+def near_forms(differ: np.ndarray) -> np.ndarray:
+    """Whether the first 1, 2, ... words' forms have as many bits at most, as ``near_words`` has it."""
+    fit = np.ones(len(differ), dtype=bool)
+    for words in range(1, NEXT_WORDS + 1):
+        fit &= np.bitwise_count(differ & ((1 << FORM * words) - 1)) <= words
+    return fit
+
+
+def near_groups(key: np.ndarray, sig: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """For every line of whole groups, sorted by key, the first line of those it is near to by any steps.
+
+    Steps lead between different sets of one key.
+    """
+    begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    sizes = np.diff(np.append(begin, len(key)))
+    after = np.repeat(begin + sizes, sizes) - np.arange(len(key)) - 1
+    edges, lag = [], 1
+    one = np.flatnonzero(after >= lag)
+    while len(one):
+        fit = near_forms(near[one] ^ near[one + lag]) & (sig[one] != sig[one + lag])
+        edges.append(np.stack([one[fit], one[fit] + lag]))
+        lag += 1
+        one = one[after[one] >= lag]
+    label = np.arange(len(key))
+    ends = np.concatenate(edges, axis=1) if edges else np.zeros((2, 0), dtype=np.int64)
+    while True:
+        least = np.minimum(label[ends[0]], label[ends[1]])
+        lower = label.copy()
+        np.minimum.at(lower, ends[0], least)
+        np.minimum.at(lower, ends[1], least)
+        lower = lower[lower]
+        if (lower == label).all():
+            return label
+        label = lower
+
+
+def line_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Key, sig and short forms of the lines of several batches at a time."""
+    held, lines = [], 0
+    for batch in batches:
+        held.append([batch.column(n).to_numpy(zero_copy_only=False) for n in ("key", "sig", "far")])
+        lines += batch.num_rows
+        if lines >= PART_LINES:
+            yield [np.concatenate(c) for c in zip(*held, strict=True)]
+            held, lines = [], 0
+    if lines:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
 def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Task function over rows sorted by (key, sig): rows of keys with two sets or more.
 
-    Puts the short forms together as ``next`` and adds the first set of the key and its ``next``. One
-    line is held between batches. A set may come twice where a batch ends.
+    Puts the short forms together as ``next`` and adds the first set of the key and its ``next``. Where
+    a key has at most ``NEAR_SETS`` lines, these are told apart by their short forms: a set that is near
+    to no other one goes, and those that lead to each other get a key of their own, which differs in the
+    last 16 bits. No pair that the forms allow is lost by that. The lines of such a key, or the first line
+    of a longer one, are held between batches. A set may come twice where a batch ends.
     """
-    names = ["key", "first", "first_next", "sig", "next"]
-    held = None  # key, sig, next of the open group's first line; whether it has been sent
-    for batch in batches:
-        packed, sig, far = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("key", "sig", "far"))
+
+    def output(key, sig, near, head, at):
+        columns = [key[at] + (head[at] - begin_of(key)[at]), sig[head[at]], near[head[at]], sig[at], near[at]]
+        return pa.record_batch([pa.array(x) for x in columns], names=["key", "first", "first_next", "sig", "next"])
+
+    def begin_of(key):
+        new = np.append(True, key[1:] != key[:-1])
+        return np.flatnonzero(new)[np.cumsum(new) - 1]
+
+    def near_lines(key, sig, near):
+        head = near_groups(key, sig, near)
+        at = np.flatnonzero(np.bincount(head, minlength=len(head))[head] > 1)
+        return output(key, sig, near, head, at)
+
+    held = [np.zeros(0, dtype=np.int64)] * 3  # lines of the open group: key, sig, next
+    sent = False  # whether the open group is long, and its first line, the only one held, has been sent
+    for packed, sig, far in line_parts(batches):
         low = packed & int(INSIDE)
         near = (far.view(np.uint32).astype(np.int64) << 2 * FORM) | low
-        key = packed - low
-        sent = False
-        if held is not None:
-            key, sig, near = (np.append(h, x) for h, x in zip(held[:3], (key, sig, near), strict=True))
-            sent = held[3]
-        if not len(key):
-            continue
-        new_key = np.append(True, key[1:] != key[:-1])
-        group = np.cumsum(new_key) - 1
-        head = np.flatnonzero(new_key)[group]
-        other = sig != sig[head]
-        # A line is a copy if it repeats the line before it, or the group's first set.
-        fresh = other & np.append(True, (key[1:] != key[:-1]) | (sig[1:] != sig[:-1]))
-        wide = np.zeros(group[-1] + 1, dtype=bool)
-        wide[group[other]] = True
-        if sent:
-            wide[0] = True
-        out = fresh | (new_key & wide[group])
+        lines = [np.append(h, x) for h, x in zip(held, (packed - low, sig, near), strict=True)]
+        same = (lines[0][1:] == lines[0][:-1]) & (lines[1][1:] == lines[1][:-1])
+        key, sig, near = (x[np.append(True, ~same)] for x in lines)
+        begin = begin_of(key)
+        last = int(begin[-1])
+        size = np.bincount(begin, minlength=len(key))[begin]
+        long = size > NEAR_SETS
+        long[begin == 0] |= sent
+        closed = np.arange(len(key)) < last
+        short = np.flatnonzero(closed & ~long)
+        if len(short):
+            yield near_lines(key[short], sig[short], near[short])
+        out = long & (sig != sig[begin])
+        out[begin[out]] = True
         if sent:
             out[0] = False
-        last = int(head[-1])
-        held = (key[last], sig[last], near[last], bool(wide[-1]))
         at = np.flatnonzero(out)
         if len(at):
-            yield pa.record_batch(
-                [pa.array(x) for x in (key[at], sig[head[at]], near[head[at]], sig[at], near[at])], names=names
-            )
+            yield output(key, sig, near, begin, at)
+        sent = bool(long[last])
+        held = [x[last : last + 1] if sent else x[last:] for x in (key, sig, near)]
+    if len(held[0]) and not sent:
+        yield near_lines(*held)
 
 
 SHARED = "key long, first long, first_next long, sig long, next long"
@@ -388,12 +454,16 @@ def verify(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
 
 
 def open_members(shared: DataFrame, roots: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(key, sig, next, n, root) of the keys whose sets are not all in one component yet."""
+    """(key, sig, next, n, root) of the keys whose sets are not all in one component yet.
+
+    Components only grow, so after the first turn ``shared`` may be what the turn before found.
+    """
     named = (
         shared.select("key", "sig", "next")
         .join(roots, F.col("sig") == F.col("node"), "left")
         .select("key", "sig", "next", F.coalesce("root", "sig").alias("root"))
     )
+    named = stage(named, "named")
     mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     return named.join(mixed.select("key"), "key", "left_semi").distinct().join(sizes, "sig")
 
@@ -524,7 +594,7 @@ def find_classes(docs: DataFrame, digest: DataFrame, join: Join) -> DataFrame:
     roots = stage(stars(links), "roots")
     found = True
     for turn in range(1, STAR_ROUNDS + 2):
-        members = stage(open_members(shared, roots, sizes), "open")
+        shared = members = stage(open_members(shared, roots, sizes), "open")
         groups = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
         many = groups.agg(F.sum("c").alias("rows"), F.sum(F.expr("c * (c - 1) div 2")).alias("pairs")).first()
         if not many["rows"]:

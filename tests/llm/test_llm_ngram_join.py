@@ -148,6 +148,39 @@ def test_shared_keys_over_batches():
         assert sorted(set(got)) == expected and len(got) <= len(expected) + 1
 
 
+@pytest.mark.parametrize("most", [3, 256])
+def test_keys_are_split_by_near_forms(monkeypatch, most):
+    """Sets without a near one under their key go, others stay with all they are near to, at any batch size."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(ngram_join, "NEAR_SETS", most)
+    rng = random.Random(4)
+    bits = lambda: sum(1 << 8 * w + b for w in range(6) for b in [rng.randrange(40)] if b < 8)
+    bases = [rng.getrandbits(48) for _ in range(3)]
+    rows = {(key << 16, sig): rng.choice(bases) ^ bits() for key in range(60) for sig in range(rng.choice([1, 2, 3, 9]))}
+    rows = sorted((key | near & 0xFFFF, sig, near) for (key, sig), near in rows.items())
+    cut = [(n, (1 << 8 * n) - 1) for n in range(1, 7)]
+    near = lambda x, y: all((x & mask ^ y & mask).bit_count() <= n for n, mask in cut)
+    pairs = {(k >> 16, a, b) for k, a, x in rows for k2, b, y in rows if k >> 16 == k2 >> 16 and a < b and near(x, y)}
+    lonely = {(k >> 16, a) for k, a, _ in rows} - {(k, s) for k, *both in pairs for s in both}
+    assert len(pairs) > 20 < len(lonely)
+    for lines, size in ((1, 1), (1, 7), (1 << 14, 50)):
+        monkeypatch.setattr(ngram_join, "PART_LINES", lines)
+        batches = []
+        for at in range(0, len(rows), size):
+            key, sig, forms = zip(*rows[at : at + size], strict=True)
+            far = pa.array(np.array([f >> 16 for f in forms], dtype=np.uint32).view(np.int32))
+            batches.append(pa.record_batch([pa.array(key), pa.array(sig), far], names=["key", "sig", "far"]))
+        got = [r for b in shared_keys(iter(batches)) for r in b.to_pylist()]
+        together = {}
+        for r in got:
+            together.setdefault(r["key"], set()).add(r["sig"])
+        found = {(k >> 16, a, b) for k, sigs in together.items() for a in sigs for b in sigs if a < b}
+        assert pairs <= found
+        if most == 256:
+            assert not lonely & {(r["key"] >> 16, r["sig"]) for r in got}
+
+
 def test_copies_in_a_task_send_keys_once():
     import pyarrow as pa
 
