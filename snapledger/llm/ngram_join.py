@@ -24,8 +24,9 @@ in the same way, without up to two.
 Equal sets form a class by a 128-bit signature and are compared once. At first a class is compared
 only to the class that comes first in most of its keys, which ties groups of near copies together in
 as many comparisons as there are classes. After components are found, keys whose classes fall
-into several components are taken up again: star by star with changing centres as long as that finds
-links, at last with every pair of different components. A pair above the similarity therefore always
+into several components are taken up again. Those of few sets are done at once with every pair of
+different components; the others star by star with changing centres as long as that finds links, at
+last with every such pair as well. A pair above the similarity therefore always
 ends up in one component, and no bucket, group or list of partners is cut. Keys of many sets are cut
 into groups by the first of their short forms, which in a pair differs in one bit at most, and these
 into parts that are paired with each other, so that no task holds a whole key.
@@ -456,7 +457,7 @@ def verify(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
 def open_members(shared: DataFrame, roots: DataFrame, sizes: DataFrame) -> DataFrame:
     """(key, sig, next, n, root) of the keys whose sets are not all in one component yet.
 
-    Components only grow, so after the first turn ``shared`` may be what the turn before found.
+    Components only grow, so after the first turn ``shared`` may be what the turn before left open.
     """
     named = (
         shared.select("key", "sig", "next")
@@ -594,17 +595,22 @@ def find_classes(docs: DataFrame, digest: DataFrame, join: Join) -> DataFrame:
     roots = stage(stars(links), "roots")
     found = True
     for turn in range(1, STAR_ROUNDS + 2):
-        shared = members = stage(open_members(shared, roots, sizes), "open")
+        members = stage(open_members(shared, roots, sizes), "open")
         groups = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
         many = groups.agg(F.sum("c").alias("rows"), F.sum(F.expr("c * (c - 1) div 2")).alias("pairs")).first()
         if not many["rows"]:
             break
         # Where stars find nothing more, or pairs are few, all pairs are taken and it ends.
         last = turn > STAR_ROUNDS or not found or many["pairs"] <= PAIRS_PER_ROW * many["rows"]
-        if last:
-            pairs = all_pairs(members.join(narrow_sketches(classes), "sig"), join)
-        else:
-            pairs = star_pairs(members, join, turn)
+        paired = members
+        if not last:
+            # Keys of few sets make no more pairs a row than that, and are done with; only larger ones are opened again.
+            large = groups.where(F.col("c") > 2 * PAIRS_PER_ROW + 1).select("key")
+            shared = stage(members.join(large, "key", "left_semi"), "large")
+            paired = members.join(large, "key", "left_anti")
+        pairs = all_pairs(paired.join(narrow_sketches(classes), "sig"), join)
+        if not last:
+            pairs = pairs.unionByName(star_pairs(shared, join, turn)).distinct()
         pairs = stage(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         more = stage(compare(docs, classes, pairs, join), "more")
         found = not more.isEmpty()

@@ -288,3 +288,30 @@ def test_keys_of_many_sets(spark, monkeypatch):
     expected = plain_components(rows, join)
     assert len({r[2] for r in expected}) == 40
     assert found(spark, rows, join) == expected
+
+
+def test_keys_of_few_sets_are_opened_once(spark, monkeypatch):
+    """They are done with every pair of the first turn; only keys of more sets go on to the next ones."""
+    monkeypatch.setattr(ngram_join, "PAIRS_PER_ROW", 1)
+    monkeypatch.setattr(ngram_join, "NEAR_SETS", 1)
+    turns, opened = [], ngram_join.open_members
+
+    def counted(*given):
+        members = opened(*given)
+        turns.append([r["count"] for r in members.groupBy("key").count().collect()])
+        return members
+
+    monkeypatch.setattr(ngram_join, "open_members", counted)
+    rng = random.Random(9)
+    text = lambda n: " ".join(f"o{rng.randrange(10**6)}" for _ in range(n))
+    texts = []
+    for shared, families in ((text(90), 30), *[(text(90), 2) for _ in range(6)]):
+        for _ in range(families):
+            own = text(60)
+            texts += [f"{shared} {own} {'end ' * j}{j}" for j in range(rng.choice([1, 2, 3]))]
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    rows += [(len(rows) + r[0], *r[1:]) for r in chains(3)]
+    join = Join(4, 85)
+    assert found(spark, rows, join) == plain_components(rows, join)
+    assert len(turns) > 1 and min(turns[0]) < 4 < max(turns[0])
+    assert min(turns[1]) > 3
